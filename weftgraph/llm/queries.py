@@ -79,7 +79,7 @@ FROM rows GROUP BY conv_id
 """,
     "op5_substring": """
 WITH docs AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS words FROM documents
+  SELECT doc_id, [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF w <> ''] AS words FROM documents
 ), windows AS (
   SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS w
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM docs WHERE len(words) >= 13)
@@ -91,7 +91,7 @@ WITH docs AS (
   SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
 )
 SELECT docs.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
-  sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), p -> NOT list_contains(gone, p[2])), p -> p[1]) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE [p[1] FOR p IN list_zip(words, range(1, len(words) + 1)) IF NOT list_contains(gone, p[2])] END, ' ')) AS kept_sha256
 FROM docs LEFT JOIN marks USING (doc_id)
 """,
     "op8_topk": topk.ORACLE,
