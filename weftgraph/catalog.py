@@ -1,10 +1,525 @@
-"""All queries of the library with their SQL."""
+"""All queries of the library over the graph in the driver's tables, with the same results in plain SQL.
+
+Lists are joined to text, so that results compare across engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftgraph.operators import curate, graph, history, lookup, match, quality, reports, vector, views
+from weftgraph.plans import testgraph
+from weftgraph.plans.testgraph import ctes, knowledge
+from weftgraph.runtime import read, ship
+from weftgraph.sources import files
+from weftgraph.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+ACTIVE = "coalesce(assertion_status = 'active', false)"
+VISIBLE = f"({ACTIVE} AND NOT coalesce(review = 'rejected', false))"
+TRUSTED = f"({ACTIVE} AND coalesce(review IN ('reviewed', 'canonical'), false) AND (NOT coalesce(asserted_by = 'llm', false) OR review = 'canonical'))"
+LIVE = "NOT coalesce(status IN ('deprecated', 'superseded'), false)"
+SIGNATURE = "'sha256:' || sha256(source || chr(31) || relation || chr(31) || coalesce(target, 'None') || chr(31) || coalesce(polarity, 'positive') || chr(31) || '[]')"
+
+
+def add(name: str, f: Callable, sql: str | None = None, *tables: str) -> None:
+    """f takes a KnowledgeSet; sql goes after the graph's own tables."""
+    QUERIES[name] = lambda spark, sf_dir: (ship(spark), f(knowledge(spark, sf_dir)))[1]
+    if sql is not None:
+        head = ctes(*tables)
+        ORACLE[name] = head + (", " + sql.strip()[5:] if sql.strip().startswith("WITH ") else "\n" + sql)
+
+
+def add_raw(name: str, f: Query, sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: (ship(spark), f(spark, sf_dir))[1]
+    if sql is not None:
+        ORACLE[name] = sql
+
+
+# look-ups
+
+_E = "id, type, name, domain, status"
+add("entity_get", lambda kg: lookup.entity_get(kg, kg.entities.select("id")).select("asked", "verdict", "name"),
+    f"SELECT id AS asked, CASE WHEN {LIVE} THEN 'found' ELSE 'retired' END AS verdict, name FROM entities", "entities")
+add("entities_filter", lambda kg: lookup.entities_filter(kg, domain="org", type="law").select("id", "type", "name", "domain", "status"),
+    f"SELECT {_E} FROM entities WHERE domain = 'org' AND type = 'law' AND {LIVE}", "entities")
+add("limit", lambda kg: lookup.entities_filter(kg, domain="prod", limit=25).select("id", "type", "name", "domain", "status"),
+    f"SELECT {_E} FROM entities WHERE domain = 'prod' AND {LIVE} ORDER BY id LIMIT 25", "entities")
+add("by_external_id", lambda kg: lookup.by_external_id(kg, kg.external_ids.select("scheme", "value").distinct()),
+    f"""SELECT scheme, value, CASE WHEN n = 0 THEN 'retired' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS verdict, CASE WHEN n = 1 THEN entity_id END AS entity_id FROM (
+  SELECT scheme, value, count(*) FILTER ({LIVE}) AS n, min(entity_id) FILTER ({LIVE}) AS entity_id FROM external_ids JOIN entities ON entity_id = id GROUP BY scheme, value)""", "external_ids", "entities")
+_C = "id, source, relation, target, review"
+add("connections_filter", lambda kg: lookup.connections_filter(kg, relation="applies_to", policy="reviewed").select("id", "source", "relation", "target", "review"),
+    f"SELECT {_C} FROM connections WHERE relation = 'applies_to' AND {ACTIVE} AND review IN ('reviewed', 'canonical')", "connections")
+add("connections_rejected", lambda kg: lookup.connections_filter(kg, review="rejected").select("id", "source", "relation", "target", "review"),
+    f"SELECT {_C} FROM connections WHERE {ACTIVE} AND review = 'rejected'", "connections")
+add("values", lookup.values,
+    f"""SELECT id AS connection_id, source, relation, amount, unit, review, assertion_status, {SIGNATURE} AS claim_signature FROM connections
+WHERE target IS NULL AND amount IS NOT NULL AND {VISIBLE} AND source IN (SELECT id FROM entities WHERE {LIVE})""", "entities", "connections")
+add("neighbors", lambda kg: lookup.neighbors(kg, policy="trusted"),
+    f"""WITH sides AS (
+  SELECT id AS connection_id, source, target, relation, review, assertion_status, source AS id, target AS other, 'out' AS direction FROM connections WHERE target IS NOT NULL AND {TRUSTED}
+  UNION ALL SELECT id, source, target, relation, review, assertion_status, target, source, CASE WHEN source = target THEN 'both' ELSE 'in' END FROM connections WHERE target IS NOT NULL AND {TRUSTED})
+SELECT s.*, o.name AS other_name, o.domain AS other_domain, o.type AS other_type, o.status AS other_status FROM sides s JOIN entities o ON s.other = o.id JOIN entities e ON s.id = e.id
+WHERE NOT coalesce(o.status IN ('deprecated', 'superseded'), false) AND NOT coalesce(e.status IN ('deprecated', 'superseded'), false)""", "entities", "connections")
+add("concept_details", lookup.concept_details,
+    """WITH c AS (SELECT * FROM connections WHERE target IS NOT NULL AND NOT coalesce(assertion_status IN ('deprecated', 'superseded'), false)),
+links AS (SELECT source AS id, target AS other, CASE WHEN relation IN ('mathematically_requires', 'logically_requires') THEN 'prerequisite' ELSE 'related' END AS role FROM c
+  UNION SELECT target, source, CASE WHEN relation IN ('mathematically_requires', 'logically_requires') THEN 'dependent' ELSE 'related' END FROM c)
+SELECT id, coalesce(string_agg(other, ',' ORDER BY other) FILTER (role = 'prerequisite'), '') AS prerequisites, coalesce(string_agg(other, ',' ORDER BY other) FILTER (role = 'dependent'), '') AS dependents,
+  coalesce(string_agg(other, ',' ORDER BY other) FILTER (role = 'related'), '') AS relateds FROM links WHERE id IN (SELECT id FROM entities) AND other IN (SELECT id FROM entities) GROUP BY id""", "entities", "connections")
+add("review_list", lookup.review_list, "SELECT id, source, relation, coalesce(target, 'value:' || amount) AS claim, review, assertion_status FROM connections", "connections")
+add("review_show", lookup.review_show,
+    """SELECT c.id, source, s.name AS source_name, substr(s.definition, 1, 200) AS source_definition, relation, family, target, t.name AS target_name, substr(t.definition, 1, 200) AS target_definition, review
+FROM connections c LEFT JOIN entities s ON s.id = c.source LEFT JOIN entities t ON t.id = c.target LEFT JOIN relations r ON r.name = c.relation""", "entities", "connections", "relations")
+add("concept_summary", lookup.concept_summary, "SELECT id, name, domain, type, status FROM entities", "entities")
+add("edge_projection", lookup.edge_projection,
+    """SELECT c.id, source, target, relation, coalesce(review, 'unreviewed') AS trust,
+  round((CASE family WHEN 'dependency' THEN 2.0 WHEN 'structural' THEN 1.5 ELSE 1.0 END)::DOUBLE * (CASE coalesce(review, 'unreviewed') WHEN 'canonical' THEN 1.0 WHEN 'reviewed' THEN 0.8 WHEN 'rejected' THEN 0.3 ELSE 0.5 END)::DOUBLE, 3) AS width
+FROM connections c LEFT JOIN relations r ON r.name = c.relation WHERE NOT coalesce(assertion_status IN ('deprecated', 'superseded'), false) AND source IN (SELECT id FROM entities) AND target IN (SELECT id FROM entities)""", "entities", "connections", "relations")
+add("node_projection", lookup.node_projection,
+    """WITH e AS (SELECT source, target FROM connections WHERE NOT coalesce(assertion_status IN ('deprecated', 'superseded'), false) AND source IN (SELECT id FROM entities) AND target IN (SELECT id FROM entities)),
+d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id)
+SELECT n.id, type, CASE WHEN h LIKE '%region%' THEN 'region' WHEN h LIKE '%nation%' THEN 'nation' WHEN h LIKE '%customer%' THEN 'customer' WHEN h LIKE '%supplier%' THEN 'supplier' WHEN h LIKE '%steel%' THEN 'steel'
+  WHEN h LIKE '%brass%' THEN 'brass' WHEN h LIKE '%copper%' THEN 'copper' WHEN h LIKE '%tin%' THEN 'tin' WHEN h LIKE '%nickel%' THEN 'nickel' ELSE 'other' END AS cluster,
+  coalesce(degree, 0) AS degree, CAST(least(4 + coalesce(degree, 0), CASE WHEN type = 'law' THEN 30 ELSE 20 END) AS BIGINT) AS size
+FROM (SELECT *, lower(concat_ws(' ', name, subdomain)) AS h FROM entities) n LEFT JOIN d ON d.id = n.id""", "entities", "connections")
+add("inverse_edges", lookup.inverse_edges,
+    "SELECT target AS source, inverse AS relation, source AS target, id AS derived_from FROM connections JOIN relations ON name = relation WHERE inverse IS NOT NULL AND target IS NOT NULL", "connections", "relations")
+
+# policies and views
+
+_POLICY_SQL = {
+    "all": VISIBLE, "reviewed": f"({ACTIVE} AND review IN ('reviewed', 'canonical'))", "canonical": f"({ACTIVE} AND review = 'canonical')", "trusted": TRUSTED,
+    "proposed": "(assertion_type = 'proposed' AND review = 'unreviewed')", "rejected": "review = 'rejected'",
+}
+
+
+def _policy_query(name: str) -> Callable:
+    from weftgraph.functions.policy import policy
+
+    return lambda kg: kg.connections.where(policy(name)).select("id", "source", "relation", "target", "review")
+
+
+for _name, _where in _POLICY_SQL.items():
+    add(f"policy_{_name}", _policy_query(_name), f"SELECT {_C} FROM connections WHERE {_where}", "connections")
+add("review_views", views.review_views, "\nUNION ALL ".join(f"SELECT '{n}' AS view, id, {SIGNATURE} AS claim_signature FROM connections WHERE {w}" for n, w in _POLICY_SQL.items()), "connections")
+for _col in ("domain", "type", "status"):
+    add(f"subset_{_col}", (lambda c: lambda kg: views.subset_by(kg, c))(_col),
+        f"""SELECT {_col} AS value, 'entity' AS kind, id FROM entities UNION ALL
+SELECT s.{_col}, 'connection', c.id FROM connections c JOIN entities s ON s.id = c.source LEFT JOIN entities t ON t.id = c.target WHERE s.{_col} = t.{_col} OR (c.target IS NULL AND c.amount IS NOT NULL)""", "entities", "connections")
+add("subset_entities_only", lookup.concept_summary, "SELECT id, name, domain, type, status FROM entities", "entities")
+add("subset_connections_only", views.subset_connections_only, "SELECT id, name FROM entities WHERE id IN (SELECT source FROM connections) OR id IN (SELECT target FROM connections)", "entities", "connections")
+add("subset_ai_rag", views.subset_ai_rag,
+    """SELECT id, name, definition, coalesce(outgoing, '') AS outgoing FROM entities LEFT JOIN (
+  SELECT source, string_agg(relation || ':' || target, ',' ORDER BY relation, target) AS outgoing FROM connections WHERE target IS NOT NULL GROUP BY source) ON source = id""", "entities", "connections")
+add("subset_educational", views.subset_educational,
+    """WITH ok AS (SELECT id FROM entities WHERE status IN ('canonical', 'human_reviewed'))
+SELECT 'entity' AS kind, id FROM ok UNION ALL SELECT 'connection', id FROM connections WHERE review IN ('reviewed', 'canonical') AND source IN (SELECT id FROM ok) AND target IN (SELECT id FROM ok)""", "entities", "connections")
+PROFILES = [{"id": "atlas", "domains": ["geo"], "policy": "all"}, {"id": "shop", "domains": ["prod", "org"], "types": ["unit", "law"], "policy": "reviewed"}, {"id": "archive", "policy": "canonical"}]
+
+
+def _bundle_sql() -> str:
+    def where(p):
+        parts = [LIVE]
+        for col, key in (("domain", "domains"), ("type", "types")):
+            if p.get(key):
+                parts.append(f"{col} IN ({', '.join(repr(x) for x in p[key])})")
+        return " AND ".join(parts)
+
+    ent = " UNION ALL ".join(f"SELECT '{p['id']}' AS consumer, id FROM entities WHERE {where(p)}" for p in PROFILES)
+    con = " UNION ALL ".join(f"SELECT '{p['id']}' AS consumer, id, source, target FROM connections WHERE {_POLICY_SQL[p['policy']]}" for p in PROFILES)
+    return f"""WITH ent AS ({ent}), con AS (SELECT consumer, id FROM ({con}) c WHERE EXISTS (SELECT 1 FROM ent e WHERE e.consumer = c.consumer AND e.id = c.source)
+  AND (target IS NULL OR EXISTS (SELECT 1 FROM ent e WHERE e.consumer = c.consumer AND e.id = c.target)))
+SELECT consumer, 'entity' AS kind, id FROM ent UNION ALL SELECT consumer, 'connection', id FROM con UNION ALL
+SELECT DISTINCT consumer, 'source', source_ref FROM con JOIN evidence ON connection_id = id WHERE source_ref IN (SELECT id FROM sources)"""
+
+
+add("consumer_bundle", lambda kg: views.consumer_bundle(kg, PROFILES), _bundle_sql(), "entities", "connections", "evidence", "sources")
+add("consumer_preview", lambda kg: views.consumer_preview(kg, "org", ["canonical", "human_reviewed"]),
+    "SELECT id, name, status FROM entities WHERE domain = 'org' AND status IN ('canonical', 'human_reviewed') ORDER BY id LIMIT 100", "entities")
+add("jsonld_nodes", views.jsonld_nodes,
+    f"""SELECT id AS node_id, upper(substr(type, 1, 1)) || substr(type, 2) AS node_type, name AS label, CAST(NULL AS STRING) AS source, CAST(NULL AS STRING) AS target FROM entities WHERE status = 'canonical'
+UNION ALL SELECT id, 'Assertion', relation, source, target FROM connections WHERE {ACTIVE} AND review = 'canonical'""", "entities", "connections")
+add("projection_mismatch", views.projection_mismatch, "SELECT id, '' AS side FROM entities WHERE false", "entities", "connections")
+
+# graph
+
+add("resolve", graph.resolve,
+    """WITH RECURSIVE walk AS (SELECT id, id AS pos, 0 AS hops FROM entities UNION ALL
+  SELECT w.id, n.id, w.hops + 1 FROM walk w JOIN entities e ON e.id = w.pos JOIN entities n ON n.id = e.deprecated_by WHERE e.deprecated_by <> e.id AND w.hops < 100),
+last AS (SELECT id, max(hops) AS hops, max_by(pos, hops) AS pos FROM walk GROUP BY id)
+SELECT l.id, pos AS resolved, CAST(hops AS BIGINT) AS hops, CASE WHEN e.deprecated_by IS NOT NULL THEN 'dangling' ELSE 'ok' END AS verdict FROM last l JOIN entities e ON e.id = l.pos""".replace("WITH RECURSIVE", "WITH"), "entities")
+ORACLE["resolve"] = ORACLE["resolve"].replace("WITH entities", "WITH RECURSIVE entities", 1)
+_NEED = "relation IN ('mathematically_requires', 'requires', 'logically_requires', 'depends_on')"
+add("prerequisites", lambda kg: graph.prerequisites(kg, kg.entities.where("domain = 'prod' and subdomain = 'brand#11'").select("id"), policy="reviewed").select("id", "prerequisite"),
+    f"""WITH shown AS (SELECT * FROM entities WHERE {LIVE}), edges AS (SELECT DISTINCT source, target FROM connections WHERE {_NEED} AND target IN (SELECT id FROM shown) AND {_POLICY_SQL['reviewed']}),
+reach AS (SELECT id, id AS node FROM shown WHERE domain = 'prod' AND subdomain = 'brand#11' UNION SELECT r.id, e.target FROM reach r JOIN edges e ON e.source = r.node)
+SELECT id, node AS prerequisite FROM reach WHERE id <> node""", "entities", "connections")
+ORACLE["prerequisites"] = ORACLE["prerequisites"].replace("WITH entities", "WITH RECURSIVE entities", 1)
+add("transitive_closure", lambda kg: graph.transitive_closure(kg, ["part_of", "logically_requires"]).select("relation", "source", "target", F.array_join("path", " > ").alias("path")),
+    """WITH edges AS (SELECT DISTINCT relation, source, target FROM connections WHERE relation IN ('part_of', 'logically_requires') AND target IS NOT NULL AND source <> target),
+walk AS (SELECT relation, source, target, source || ' > ' || target AS path, 1 AS n FROM edges UNION ALL
+  SELECT w.relation, w.source, e.target, path || ' > ' || e.target, n + 1 FROM walk w JOIN edges e ON e.relation = w.relation AND e.source = w.target WHERE n < 40)
+SELECT relation, source, target, min(path) AS path FROM walk w WHERE n = (SELECT min(n) FROM walk v WHERE v.relation = w.relation AND v.source = w.source AND v.target = w.target) AND n > 1 GROUP BY relation, source, target""", "connections")
+ORACLE["transitive_closure"] = ORACLE["transitive_closure"].replace("WITH pairs", "WITH RECURSIVE pairs", 1)
+add("prerequisite_chains", graph.prerequisite_chains,
+    f"""WITH edges AS (SELECT DISTINCT source, target FROM connections WHERE {ACTIVE} AND target IS NOT NULL AND relation IN ('mathematically_requires', 'logically_requires')),
+starts AS (SELECT DISTINCT source FROM edges ORDER BY source LIMIT 20),
+walk AS (SELECT [source, target] AS p FROM edges WHERE source IN (SELECT source FROM starts) AND source <> target UNION ALL SELECT list_append(p, target) FROM walk JOIN edges ON source = p[-1] WHERE len(p) < 5 AND NOT list_contains(p, target))
+SELECT array_to_string(p, ' > ') AS path, CAST(len(p) - 1 AS INTEGER) AS length FROM walk""", "connections")
+ORACLE["prerequisite_chains"] = ORACLE["prerequisite_chains"].replace("WITH pairs", "WITH RECURSIVE pairs", 1)
+add("relationship_cycles", graph.relationship_cycles, "SELECT relation, source AS cycle FROM connections WHERE false", "connections")
+add("connected_components", graph.connected_components,
+    """WITH edges AS (SELECT source AS a, target AS b FROM connections WHERE target IS NOT NULL UNION SELECT target, source FROM connections WHERE target IS NOT NULL),
+near AS (SELECT id, least(id, coalesce(min(b), id)) AS low FROM entities LEFT JOIN edges ON a = id GROUP BY id),
+near2 AS (SELECT n.id, least(n.low, coalesce(min(m.low), n.low)) AS low FROM near n LEFT JOIN edges ON a = n.id LEFT JOIN near m ON m.id = b GROUP BY n.id, n.low),
+near3 AS (SELECT n.id, least(n.low, coalesce(min(m.low), n.low)) AS low FROM near2 n LEFT JOIN edges ON a = n.id LEFT JOIN near2 m ON m.id = b GROUP BY n.id, n.low),
+near4 AS (SELECT n.id, least(n.low, coalesce(min(m.low), n.low)) AS low FROM near3 n LEFT JOIN edges ON a = n.id LEFT JOIN near3 m ON m.id = b GROUP BY n.id, n.low),
+near5 AS (SELECT n.id, least(n.low, coalesce(min(m.low), n.low)) AS low FROM near4 n LEFT JOIN edges ON a = n.id LEFT JOIN near4 m ON m.id = b GROUP BY n.id, n.low),
+near6 AS (SELECT n.id, least(n.low, coalesce(min(m.low), n.low)) AS low FROM near5 n LEFT JOIN edges ON a = n.id LEFT JOIN near5 m ON m.id = b GROUP BY n.id, n.low)
+SELECT low AS component, id, count(*) OVER (PARTITION BY low) AS size FROM near6""", "entities", "connections")
+
+
+def _rank_sql() -> str:
+    out = """WITH edges AS (SELECT source, target FROM connections WHERE target IS NOT NULL),
+nodes AS (SELECT id, (SELECT count(*) FROM edges WHERE target = id) AS in_degree, (SELECT count(*) FROM edges WHERE source = id) AS out_degree FROM entities),
+total AS (SELECT count(*)::DOUBLE AS n FROM nodes), ways AS (SELECT DISTINCT source, target, out_degree FROM edges JOIN nodes ON id = source),
+r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM nodes, total)"""
+    for i in range(1, 6):
+        out += f""",
+r{i} AS (SELECT id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM nodes CROSS JOIN total LEFT JOIN (SELECT target, sum(rank / out_degree) AS got FROM ways JOIN r{i - 1} ON id = source GROUP BY target) ON target = id)"""
+    return out + "\n"
+
+
+add("centrality", lambda kg: graph.centrality(kg).withColumn("rank", F.round("rank", 5)),
+    _rank_sql() + "SELECT id, in_degree, out_degree, in_degree + out_degree AS degree, round(round(rank, 6), 5) AS rank FROM nodes JOIN r5 USING (id)", "entities", "connections")
+add("centrality_top", lambda kg: graph.centrality_top(kg).select("id", "degree"), _rank_sql() + "SELECT id, in_degree + out_degree AS degree FROM nodes JOIN r5 USING (id) ORDER BY round(rank, 6) DESC, id LIMIT 20", "entities", "connections")
+add("cross_domain_pathways", graph.cross_domain_pathways,
+    "SELECT c.id, source, s.domain AS source_domain, target, t.domain AS target_domain FROM connections c LEFT JOIN entities s ON s.id = source LEFT JOIN entities t ON t.id = target WHERE relation = 'bridges' AND target IS NOT NULL", "entities", "connections")
+for _key, _rel in (("analogy_pairs", "analogous_to"), ("approximation_chains", "approximates")):
+    add(_key, (lambda r: lambda kg: graph.pairs_by_relation(kg, r))(_rel), f"SELECT id, source, target, review FROM connections WHERE relation = '{_rel}'", "connections")
+add("edge_union", lambda kg: graph.edge_union(kg.with_(connections=kg.connections.where("relation in ('part_of', 'applies_to')"))),
+    """WITH c AS (SELECT * FROM connections WHERE relation IN ('part_of', 'applies_to') AND target IS NOT NULL)
+SELECT source, relation, target, false AS derived, 'explicit' AS method FROM c UNION ALL SELECT target, inverse, source, true, 'inverse' FROM c JOIN relations ON name = relation WHERE inverse IS NOT NULL UNION ALL
+SELECT DISTINCT a.source, a.relation, b.target, true, 'closure' FROM c a JOIN c b ON a.target = b.source AND a.relation = b.relation WHERE a.relation = 'part_of'""", "connections", "relations")
+add("dangling_endpoints", graph.dangling_endpoints,
+    """SELECT 'source' AS kind, id AS record, source AS pointer FROM connections WHERE source NOT IN (SELECT id FROM entities) UNION ALL
+SELECT 'target', id, target FROM connections WHERE target IS NOT NULL AND target NOT IN (SELECT id FROM entities) UNION ALL
+SELECT 'deprecated_by', id, deprecated_by FROM entities WHERE deprecated_by IS NOT NULL AND deprecated_by NOT IN (SELECT id FROM entities) UNION ALL
+SELECT 'replaced_by', id, replaced_by FROM connections WHERE replaced_by IS NOT NULL AND replaced_by NOT IN (SELECT id FROM connections) UNION ALL
+SELECT 'evidence', connection_id, source_ref FROM evidence WHERE source_ref NOT IN (SELECT id FROM sources)""", "entities", "connections", "evidence", "sources")
+add("structural_index", graph.structural_index,
+    """SELECT id, coalesce(o, '') AS outgoing, coalesce(i, '') AS incoming FROM entities
+LEFT JOIN (SELECT source, string_agg(relation || ':' || target, ',' ORDER BY relation || ':' || target) AS o FROM connections WHERE target IS NOT NULL GROUP BY source) a ON a.source = id
+LEFT JOIN (SELECT target, string_agg(relation || ':' || source, ',' ORDER BY relation || ':' || source) AS i FROM connections WHERE target IS NOT NULL GROUP BY target) b ON b.target = id""", "entities", "connections")
+
+# reports
+
+add("stats", reports.stats,
+    f"""SELECT (SELECT count(*) FROM connections) AS connection_count, (SELECT count(*) FROM connections WHERE {VISIBLE}) AS active_connection_count, (SELECT count(*) FROM connections WHERE review = 'rejected') AS rejected_connection_count,
+  (SELECT count(*) FROM entities) AS entity_count, (SELECT count(*) FROM entities WHERE NOT ({LIVE})) AS retired_entity_count, (SELECT count(*) FROM sources) AS source_count""", "entities", "connections", "sources")
+add("status_counts", reports.status_counts,
+    """SELECT (SELECT count(*) FROM entities WHERE status = 'human_reviewed') AS entities_reviewed, (SELECT count(*) FROM entities WHERE status = 'draft') AS entities_draft,
+  count(*) FILTER (review = 'canonical') AS connections_canonical, count(*) FILTER (review = 'unreviewed') AS connections_unreviewed, (SELECT count(*) FROM sources) AS sources,
+  round(100.0::DOUBLE * count(*) FILTER (review = 'canonical') / count(*), 1) AS percent_canonical FROM connections""", "entities", "connections", "sources")
+_ORIGIN = "CASE WHEN confidence_basis = 'migrated' THEN 'migrated' WHEN asserted_by = 'llm' THEN 'llm' WHEN asserted_by = 'human' THEN 'human' ELSE 'unknown' END"
+
+
+def _counts_sql(dims: dict[str, str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{d}' AS dimension, coalesce(CAST({e} AS STRING), 'none') AS value, count(*) AS n FROM {source} GROUP BY coalesce(CAST({e} AS STRING), 'none')" for d, e in dims.items())
+
+
+add("curation_status", reports.curation_status,
+    _counts_sql({"relation": "relation", "family": "family", "review": "review", "assertion_type": "assertion_type", "assertion_status": "assertion_status", "origin": _ORIGIN, "domain": "e.domain"},
+                "connections c LEFT JOIN relations r ON r.name = c.relation LEFT JOIN entities e ON e.id = c.source"), "entities", "connections", "relations")
+add("epistemic_summary", reports.epistemic_summary,
+    _counts_sql({"assertion_type": "assertion_type", "review": "review", "assertion_status": "assertion_status", "origin": _ORIGIN, "has_confidence": "(confidence IS NOT NULL)"}, "connections"), "connections")
+add("origin_classify", lambda kg: kg.connections.select("id", reports.origin().alias("origin")), f"SELECT id, {_ORIGIN} AS origin FROM connections", "connections")
+add("trust_audit", reports.trust_audit,
+    """SELECT relation, count(*) AS n, count(*) FILTER (id IN (SELECT connection_id FROM evidence)) AS with_evidence, count(confidence_basis) AS with_basis,
+  round(count(*) FILTER (id IN (SELECT connection_id FROM evidence))::DOUBLE / count(*), 4) AS evidence_share FROM connections WHERE review = 'canonical' GROUP BY relation""", "connections", "evidence")
+add("evidence_gaps", reports.evidence_gaps, f"SELECT id, relation, review FROM connections WHERE {ACTIVE} AND id NOT IN (SELECT connection_id FROM evidence)", "connections", "evidence")
+add("provenance_gaps", reports.provenance_gaps, "SELECT id, review FROM connections WHERE review IN ('reviewed', 'canonical') AND asserted_by = 'llm' AND confidence_basis IS NULL", "connections")
+add("duplicate_claims", reports.duplicate_claims,
+    f"SELECT claim_signature, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT id, {SIGNATURE} AS claim_signature FROM connections WHERE coalesce(assertion_status, 'active') = 'active') GROUP BY claim_signature HAVING count(*) > 1", "connections")
+_TRIPLES = "SELECT source, relation, coalesce(target, 'VALUE:' || amount) AS object, count(*) AS n, count(DISTINCT review) AS n_reviews FROM connections GROUP BY source, relation, coalesce(target, 'VALUE:' || amount) HAVING count(*) > 1"
+add("duplicate_triples", reports.duplicate_triples, _TRIPLES, "connections")
+add("conflicting_review", reports.conflicting_review, _TRIPLES + " AND count(DISTINCT review) > 1", "connections")
+add("conflicts", reports.conflicts,
+    """SELECT subject, relation, object, count(*) AS n_claims, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, ',' ORDER BY value) AS competing, count(DISTINCT source_id) AS n_sources
+FROM claims WHERE value IS NOT NULL GROUP BY subject, relation, object HAVING count(DISTINCT value) > 1""", "claims")
+add("corroboration", reports.corroboration,
+    """SELECT claim_id, source_id, value, CASE WHEN n = 1 THEN 'single_source' WHEN nv < 2 THEN 'unrelated' WHEN lo = hi THEN 'agree' ELSE 'disagree' END AS agreement FROM (
+  SELECT *, count(*) OVER w AS n, count(value) OVER w AS nv, min(value) OVER w AS lo, max(value) OVER w AS hi FROM claims WINDOW w AS (PARTITION BY subject, relation, object))""", "claims")
+add("lexical_index", reports.lexical_index,
+    """SELECT token, count(*) AS n, min(id) AS first_id FROM (SELECT id, unnest(list_distinct([w FOR w IN regexp_split_to_array(lower(concat_ws(' ', name, definition, domain, type)), '[^a-z0-9]+') IF length(w) > 2])) AS token FROM entities) GROUP BY token""", "entities")
+add("citation_index", reports.citation_index, "SELECT source_ref, count(*) AS uses, count(DISTINCT connection_id) AS connections, count(*) FILTER (stance = 'refutes') AS refuting FROM evidence GROUP BY source_ref", "evidence")
+add("unresolved_sources", reports.unresolved_sources,
+    """SELECT pointer, kind, count(*) AS uses FROM (SELECT source_ref AS pointer, 'evidence' AS kind FROM evidence UNION ALL SELECT source_ref, 'provenance' FROM entities WHERE source_ref IS NOT NULL)
+WHERE pointer NOT IN (SELECT id FROM sources) AND pointer NOT IN (SELECT title FROM sources) GROUP BY pointer, kind""", "entities", "evidence", "sources")
+add("affected_by_source", reports.affected_by_source,
+    """SELECT DISTINCT source_ref, 'connection' AS kind, connection_id AS id FROM evidence WHERE source_ref IN (SELECT id FROM sources) UNION ALL SELECT source_ref, 'entity', id FROM entities WHERE source_ref IN (SELECT id FROM sources)""", "entities", "evidence", "sources")
+add("review_progress", reports.review_progress,
+    "SELECT domain, count(*) FILTER (status IN ('canonical', 'human_reviewed')) AS reviewed, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (status IN ('canonical', 'human_reviewed')) / count(*), 1) AS percent FROM entities GROUP BY domain", "entities")
+add("isolated_entities", reports.isolated_entities, "SELECT id FROM entities WHERE id NOT IN (SELECT source FROM connections) AND id NOT IN (SELECT target FROM connections WHERE target IS NOT NULL)", "entities", "connections")
+PRIORITY = ["requires", "depends_on", "causes", "applies_to", "derived_from"]
+add("relation_triage", lambda kg: reports.relation_triage(kg, PRIORITY),
+    f"""WITH c AS (SELECT *, least(source, target) || '|' || greatest(source, target) AS pair FROM connections WHERE target IS NOT NULL),
+fits AS (SELECT name, list_position(['requires', 'depends_on', 'causes', 'applies_to', 'derived_from'], name) AS p, string_split(domain, ',') AS d, string_split(range_, ',') AS r FROM relations WHERE name IN ('requires', 'depends_on', 'causes', 'applies_to', 'derived_from') AND family <> 'associative'),
+j AS (SELECT c.id, c.pair IN (SELECT pair FROM c WHERE relation <> 'related_to') AS has, (SELECT min_by(name, p) FROM fits WHERE list_contains(d, s.type) AND list_contains(r, t.type)) AS best
+  FROM c LEFT JOIN entities s ON s.id = source LEFT JOIN entities t ON t.id = target WHERE relation = 'related_to' AND {ACTIVE})
+SELECT id, CASE WHEN has THEN 'already_specific' WHEN best IS NOT NULL THEN 'candidate' ELSE 'none' END AS verdict, CASE WHEN NOT has THEN best END AS suggested FROM j""", "entities", "connections", "relations")
+add("source_trust", lambda kg: reports.source_trust(kg, 2026),
+    """WITH d AS (SELECT id, CASE WHEN regexp_matches(lower(publisher), 'nist|ieee|iso|iupac|who|unesco|nasa') THEN 1.0 WHEN regexp_matches(lower(publisher), 'university|press') THEN 0.9 WHEN type = 'standard' THEN 1.0 WHEN type = 'textbook' THEN 0.8 ELSE 0.5 END::DOUBLE AS institutional_authority,
+  CASE type WHEN 'academic-paper' THEN 1.0 WHEN 'standard' THEN 1.0 WHEN 'textbook' THEN 1.0 WHEN 'web' THEN 0.3 ELSE 0.5 END::DOUBLE AS peer_review_status, CASE type WHEN 'dataset' THEN 0.9 WHEN 'academic-paper' THEN 0.9 WHEN 'standard' THEN 1.0 WHEN 'textbook' THEN 0.7 ELSE 0.5 END::DOUBLE AS methodological_strength,
+  CASE WHEN 2026 - year <= 2 THEN 1.0 WHEN 2026 - year <= 5 THEN 0.8 WHEN 2026 - year <= 10 THEN 0.6 WHEN 2026 - year <= 20 THEN 0.4 ELSE 0.2 END::DOUBLE AS recency, CASE type WHEN 'textbook' THEN 1.0 WHEN 'standard' THEN 1.0 WHEN 'academic-paper' THEN 0.7 ELSE 0.5 END::DOUBLE AS consensus_alignment,
+  CASE type WHEN 'dataset' THEN 0.9 WHEN 'standard' THEN 1.0 WHEN 'academic-paper' THEN 0.6 ELSE 0.5 END::DOUBLE AS reproducibility, CASE WHEN regexp_matches(lower(publisher), 'industry|corporate') THEN 0.5 WHEN regexp_matches(lower(publisher), 'government|nist') THEN 0.9 ELSE 0.7 END::DOUBLE AS independence, 0.8::DOUBLE AS domain_relevance FROM sources)
+SELECT *, round(0.0::DOUBLE + institutional_authority * 0.2::DOUBLE + peer_review_status * 0.15::DOUBLE + methodological_strength * 0.15::DOUBLE + recency * 0.1::DOUBLE + consensus_alignment * 0.15::DOUBLE + reproducibility * 0.1::DOUBLE + independence * 0.1::DOUBLE + domain_relevance * 0.05::DOUBLE, 3) AS composite FROM d""", "sources")
+add("evidence_quality", reports.evidence_quality,
+    """SELECT connection_id, source_ref, CASE type WHEN 'experiment' THEN 1.0 WHEN 'textbook' THEN 0.9 WHEN 'observation' THEN 0.7 ELSE 0.5 END::DOUBLE AS type_strength, CASE WHEN stance <> 'supports' THEN 1.0 ELSE 0.8 END::DOUBLE AS stance_clarity,
+  CASE WHEN locator IS NULL THEN 0.0 ELSE 0.3333 END::DOUBLE AS locator_completeness FROM evidence""", "evidence")
+add("source_slug", reports.source_slug,
+    r"""WITH s AS (SELECT id, substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40) || '-' || CAST(year AS STRING) AS slug FROM sources)
+SELECT id, slug, count(*) OVER (PARTITION BY slug) > 1 AS duplicate FROM s""", "sources")
+add("relations", lambda kg: kg.relations.select("name", "family", "inverse", "transitive", "symmetric", "status"), "SELECT name, family, inverse, transitive, \"symmetric\", status FROM relations", "relations")
+add("vocabularies", lambda kg: kg.entities.groupBy("domain", "subdomain").agg(F.count("*").alias("n")), "SELECT domain, subdomain, count(*) AS n FROM entities GROUP BY domain, subdomain", "entities")
+
+# histories
+
+_LAGGED = "SELECT id, stage, lag(stage) OVER w AS before, date_diff('day', lag(\"at\") OVER w, \"at\") AS days FROM promotions WINDOW w AS (PARTITION BY id ORDER BY \"at\", CASE stage WHEN 'editor' THEN 1 WHEN 'domain_expert' THEN 2 ELSE 3 END)"
+add("stage_gap_violations", lambda kg: history.stage_gap_violations(kg, 3), f"SELECT id, before, stage, CAST(days AS INTEGER) AS days FROM ({_LAGGED}) WHERE before IS NOT NULL AND days < 3", "promotions")
+_PLACE = "CASE stage WHEN 'editor' THEN 1 WHEN 'domain_expert' THEN 2 ELSE 3 END"
+add("stage_independence", history.stage_independence,
+    f"""WITH p AS (SELECT id, stage, max_by(actor, "at") AS actor, bool_or(waiver) AS waiver, max({_PLACE}) AS place FROM promotions GROUP BY id, stage),
+q AS (SELECT *, lag(actor) OVER w AS other, place - lag(place) OVER w AS gap, bool_or(waiver) OVER (PARTITION BY id) AS waived FROM p WINDOW w AS (PARTITION BY id ORDER BY place))
+SELECT id, stage, actor FROM q WHERE gap = 1 AND other = actor AND NOT waived""", "promotions")
+add("stage_order", history.stage_order,
+    f"""SELECT id, string_agg(stage, ',' ORDER BY "at", {_PLACE}) AS stages, string_agg(stage, ',' ORDER BY "at", {_PLACE}) = 'editor,domain_expert,board' AS in_order FROM promotions GROUP BY id""", "promotions")
+for _key in ("last_stage", "next_stage"):
+    add(_key, (lambda c: lambda kg: history.stage_of(kg).select("id", c))(_key),
+        f"SELECT id, ['editor', 'domain_expert', 'board'][max({_PLACE}) + {int(_key == 'next_stage')}] AS {_key} FROM promotions GROUP BY id", "promotions")
+add("id_reassigned", history.id_reassigned,
+    """WITH s AS (SELECT id, name || '/' || domain AS stamp, min(seq) AS seq FROM entity_versions GROUP BY id, name, domain), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM s)
+SELECT a.id, a.stamp AS first_stamp, b.stamp AS second_stamp FROM r a JOIN r b ON a.id = b.id AND a.rn = 1 AND b.rn = 2""", "entity_versions")
+_LIVE_USERS = lambda kg, p: kg.entity_versions.where("status = 'draft' and seq % 5 = 0").select(F.regexp_replace("id", "^user", p).alias("id")).distinct()
+add("id_deleted", lambda kg: history.id_deleted(kg, _LIVE_USERS(kg, "user")),
+    "SELECT id, max_by(status, seq) AS last_status FROM entity_versions WHERE id NOT IN (SELECT id FROM entity_versions WHERE status = 'draft' AND seq % 5 = 0) GROUP BY id HAVING max_by(status, seq) <> 'deprecated'", "entity_versions")
+add("triple_changed", history.triple_changed,
+    """WITH v AS (SELECT id, seq, source || '|' || relation || '|' || target AS triple FROM connection_versions WHERE target IS NOT NULL), l AS (SELECT *, lag(triple) OVER (PARTITION BY id ORDER BY seq) AS before FROM v),
+c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM l WHERE before <> triple)
+SELECT id, seq, before, triple AS after FROM c WHERE rn = 1""", "connection_versions")
+add("triple_deleted", lambda kg: history.triple_deleted(kg, _LIVE_USERS(kg, "use")),
+    """SELECT id, max_by(status, seq) AS last_status FROM connection_versions WHERE id NOT IN (SELECT replace(id, 'user', 'use') FROM entity_versions WHERE status = 'draft' AND seq % 5 = 0)
+GROUP BY id HAVING max_by(status, seq) NOT IN ('superseded', 'deprecated') AND max(replaced_by) IS NULL""", "entity_versions", "connection_versions")
+add("alias_invalid", history.alias_invalid, "SELECT id, deprecated_by AS pointer FROM entities WHERE deprecated_by IS NOT NULL AND deprecated_by NOT IN (SELECT id FROM entities) AND deprecated_by NOT IN (SELECT id FROM entity_versions)", "entities", "entity_versions")
+
+
+def _degrees(kg):
+    """Degree as the rank, exact in any engine."""
+    c = graph.centrality(kg, rounds=0)
+    return c.withColumn("rank", F.col("in_degree") * 0.01)
+
+
+_DEG = "d AS (SELECT id, (SELECT count(*) FROM connections c WHERE c.target = entities.id) AS in_degree, (SELECT count(*) FROM connections c WHERE c.source = entities.id AND c.target IS NOT NULL) AS out_degree FROM entities)"
+add("review_batches_entities", lambda kg: history.review_batches_entities(kg, _degrees(kg)),
+    f"""WITH {_DEG}, s AS (SELECT e.id, domain, round(in_degree * 0.01::DOUBLE + 0.001::DOUBLE * (in_degree + out_degree), 6) AS score FROM entities e JOIN d ON d.id = e.id WHERE status = 'draft'),
+n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, id) AS k FROM s)
+SELECT id, domain, score, CAST(0 AS BIGINT) AS batch FROM n WHERE k <= 5 UNION ALL SELECT id, domain, score, CAST(floor((row_number() OVER (ORDER BY score DESC, id) - 1) / 40.0) + 1 AS BIGINT) FROM n WHERE k > 5""", "entities", "connections")
+add("review_batches_edges", lambda kg: history.review_batches_edges(kg, _degrees(kg)),
+    f"""WITH {_DEG}, s AS (SELECT c.id, round(a.in_degree * 0.01::DOUBLE + b.in_degree * 0.01::DOUBLE + 0.02::DOUBLE * b.in_degree + CASE WHEN e.type IN ('law', 'equation') THEN 0.05 ELSE 0.0 END::DOUBLE, 6) AS score
+  FROM connections c JOIN d a ON a.id = source JOIN d b ON b.id = target JOIN entities e ON e.id = source WHERE review = 'unreviewed' AND relation IN (SELECT name FROM relations WHERE family = 'dependency'))
+SELECT id, score, CAST(floor((row_number() OVER (ORDER BY score DESC, id) - 1) / 50.0) + 1 AS BIGINT) AS batch FROM s""", "entities", "connections", "relations")
+add("edge_prechecks", history.edge_prechecks,
+    """SELECT c.id, list_contains(string_split(r.domain, ','), s.type) AND list_contains(string_split(range_, ','), t.type) AS legal, coalesce(contains(lower(s.definition), lower(t.name)), false) AS named
+FROM connections c JOIN relations r ON r.name = relation AND family = 'dependency' JOIN entities s ON s.id = source JOIN entities t ON t.id = target""", "entities", "connections", "relations")
+add("proposal_ids", lambda kg: history.proposal_ids(kg.claims), "SELECT claim_id, 'proposal-' || lpad(CAST(row_number() OVER (ORDER BY claim_id) AS STRING), 6, '0') AS proposal_id FROM claims", "claims")
+add("manifest_drift", lambda kg: history.drift(history.manifest(kg), history.manifest(kg.with_(entities=kg.entities.where("id not like '%7'").withColumn("name", F.when(F.col("id").endswith("11"), F.upper("name")).otherwise(F.col("name")))))),
+    """SELECT id, CASE WHEN id LIKE '%7' THEN 'removed' ELSE 'changed' END AS change FROM entities WHERE status IN ('canonical', 'human_reviewed') AND (id LIKE '%7' OR (id LIKE '%11' AND name <> upper(name)))""", "entities")
+add("source_drift", lambda kg: history.drift(history.source_digest(kg.sources.where("year <> 2000")), history.source_digest(kg.sources.withColumn("lifecycle", F.when(F.col("year") == 2001, "retracted").otherwise(F.col("lifecycle"))))),
+    "SELECT id, CASE WHEN year = 2000 THEN 'added' ELSE 'changed' END AS change FROM sources WHERE year = 2000 OR (year = 2001 AND lifecycle <> 'retracted')", "sources")
+
+
+def _ledger(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.coalesce("props", F.lit("")).alias("props"))
+    return history.ledger_append(e, "user_id", ["event_id"], ["event_id", "event_type", "props"])
+
+
+add_raw("ledger_append", _ledger)
+add_raw("ledger_verify", lambda spark, d: history.ledger_verify(_ledger(spark, d).withColumn("props", F.when(F.col("event_id") % 97 == 0, "forged").otherwise(F.col("props"))), "user_id", ["event_id"], ["event_id", "event_type", "props"]))
+add_raw("ledger_query", lambda spark, d: read(spark, d, "events").where("event_type = 'click'").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id"),
+        "SELECT event_id, user_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 50")
+add("ledger_lineage", lambda kg: kg.claims.select("claim_id", F.col("source_id")).join(kg.sources.select(F.col("id").alias("source_id"), "lifecycle"), "source_id").join(kg.evidence.select(F.col("source_ref").alias("source_id"), "connection_id").distinct().groupBy("source_id").agg(F.count("*").alias("n_connections")), "source_id").select("claim_id", "source_id", "lifecycle", "n_connections"),
+    "SELECT claim_id, source_id, lifecycle, n AS n_connections FROM claims JOIN sources s ON s.id = source_id JOIN (SELECT source_ref, count(DISTINCT connection_id) AS n FROM evidence GROUP BY source_ref) e ON e.source_ref = source_id", "claims", "sources", "evidence")
+
+# quality
+
+_DQ = {
+    "dq_required": ("""SELECT 'dq_required' AS rule, 'error' AS severity, id AS focus, 'missing url' AS message FROM sources WHERE url IS NULL""", ["sources"]),
+    "dq_quantity_fields": ("SELECT 'dq_quantity_fields' AS rule, 'error' AS severity, id AS focus, 'quantity without symbol' AS message FROM entities WHERE type = 'quantity' AND symbol IS NULL", ["entities"]),
+    "dq_provenance_shape": ("SELECT 'dq_provenance_shape' AS rule, 'warning' AS severity, id AS focus, 'reviewed record without source' AS message FROM entities WHERE status IN ('canonical', 'human_reviewed') AND source_ref IS NULL", ["entities"]),
+    "dq_target_xor_value": ("SELECT 'dq_target_xor_value' AS rule, 'error' AS severity, id AS focus, 'x' AS message FROM connections WHERE (target IS NULL) = (amount IS NULL)", ["connections"]),
+    "dq_relation_known": ("SELECT 'dq_relation_known' AS rule, 'error' AS severity, id AS focus, 'unknown relation ' || relation AS message FROM connections WHERE relation NOT IN (SELECT name FROM relations)", ["connections", "relations"]),
+    "dq_domain_range": ("""SELECT 'dq_domain_range' AS rule, 'error' AS severity, c.id AS focus, 'types do not fit ' || relation AS message FROM connections c JOIN relations r ON r.name = relation JOIN entities s ON s.id = source LEFT JOIN entities t ON t.id = target
+WHERE (r.domain <> '' AND NOT list_contains(string_split(r.domain, ','), s.type)) OR (range_ <> '' AND t.type IS NOT NULL AND NOT list_contains(string_split(range_, ','), t.type))""", ["entities", "connections", "relations"]),
+    "dq_reviewed_endpoints": ("""SELECT 'dq_reviewed_endpoints' AS rule, 'warning' AS severity, id AS focus, 'canonical connection cites an entity that is not reviewed' AS message FROM connections
+WHERE review = 'canonical' AND (source IN (SELECT id FROM entities WHERE status NOT IN ('canonical', 'human_reviewed')) OR target IN (SELECT id FROM entities WHERE status NOT IN ('canonical', 'human_reviewed')))""", ["entities", "connections"]),
+    "dq_epistemics": ("SELECT 'dq_epistemics' AS rule, 'warning' AS severity, id AS focus, 'confidence and its basis go together' AS message FROM connections WHERE (confidence IS NULL) <> (confidence_basis IS NULL)", ["connections"]),
+    "dq_rejected_reason": ("SELECT 'dq_rejected_reason' AS rule, 'error' AS severity, id AS focus, 'rejected without a written reason' AS message FROM connections WHERE review = 'rejected' AND reason IS NULL", ["connections"]),
+    "dq_evidence": (f"SELECT 'dq_evidence' AS rule, CASE WHEN review = 'canonical' THEN 'error' ELSE 'warning' END AS severity, id AS focus, 'no evidence' AS message FROM connections WHERE {ACTIVE} AND id NOT IN (SELECT connection_id FROM evidence)", ["connections", "evidence"]),
+    "dq_contradiction": ("""SELECT 'dq_contradiction' AS rule, 'warning' AS severity, pair AS focus, 'contradicted and asserted' AS message FROM (SELECT least(source, target) || '|' || greatest(source, target) AS pair, relation FROM connections WHERE target IS NOT NULL)
+GROUP BY pair HAVING count(*) FILTER (relation = 'contradicts') > 0 AND count(*) FILTER (relation IN ('causes', 'requires', 'mathematically_requires', 'logically_requires', 'applies_to', 'related_to')) > 0""", ["connections"]),
+    "dq_agents": ("""SELECT 'dq_agents' AS rule, 'error' AS severity, p.id AS focus, CASE WHEN class IS NULL THEN 'unknown agent' WHEN class <> 'human' THEN 'promoted by a machine' ELSE 'agent is retired' END || ' ' || actor AS message
+FROM (SELECT DISTINCT id, actor FROM promotions) p LEFT JOIN agents a ON a.id = actor WHERE class IS NULL OR class <> 'human' OR status <> 'active'""", ["promotions", "agents"]),
+    "dq_profile": ("SELECT 'dq_profile' AS rule, 'error' AS severity, id AS focus, 'source cannot be verified' AS message FROM sources WHERE url IS NULL AND type NOT IN ('academic-paper', 'textbook', 'standard')", ["sources"]),
+    "dq_shape": ("SELECT 'dq_shape' AS rule, 'warning' AS severity, id AS focus, 'law without an edge' AS message FROM entities WHERE type = 'law' AND id NOT IN (SELECT source FROM connections)", ["entities", "connections"]),
+    "dq_external_ids": ("""SELECT 'dq_external_ids' AS rule, 'error' AS severity, entity_id AS focus, scheme || ' has a wrong format' AS message FROM external_ids
+WHERE NOT CASE scheme WHEN 'sku' THEN regexp_matches(value, '^SKU[0-9]+$') WHEN 'ledger' THEN regexp_matches(value, '^[0-9]+$') ELSE regexp_matches(value, '^Brand#[0-9]+-[0-9]+$') END
+UNION ALL SELECT 'dq_external_ids', 'warning', min(entity_id), 'shared: ' || scheme || ' ' || value FROM external_ids GROUP BY scheme, value HAVING count(*) > 1""", ["external_ids"]),
+    "dq_retired_pointer": ("SELECT 'dq_retired_pointer' AS rule, 'error' AS severity, id AS focus, 'x' AS message FROM entities WHERE false", ["entities"]),
+    "dq_unique_ids": ("SELECT 'dq_unique_ids' AS rule, 'error' AS severity, id AS focus, CAST(count(*) AS STRING) || ' records' AS message FROM (SELECT id FROM entities UNION ALL SELECT id FROM connections UNION ALL SELECT id FROM sources) GROUP BY id HAVING count(*) > 1", ["entities", "connections", "sources"]),
+    "dq_domain_identity": ("SELECT 'dq_domain_identity' AS rule, 'error' AS severity, id AS focus, 'id prefix and domain differ' AS message FROM entities WHERE split_part(id, '.', 1) <> domain", ["entities"]),
+    "dq_id_format": (r"SELECT 'dq_id_format' AS rule, 'error' AS severity, id AS focus, 'id does not fit its pattern' AS message FROM (SELECT id FROM entities UNION ALL SELECT id FROM connections UNION ALL SELECT id FROM sources) WHERE NOT regexp_matches(id, '^[a-z]+\.[a-z]*[0-9]+$')", ["entities", "connections", "sources"]),
+    "dq_enum": ("SELECT 'dq_enum' AS rule, 'error' AS severity, id AS focus, 'x' AS message FROM entities WHERE false", ["entities"]),
+}
+for _key, _rule in quality.RULES.items():
+    _sql, _tables = _DQ.get(_key, (None, []))
+    add(_key, _rule, _sql, *_tables)
+add("validate", quality.conforms)
+add("severity_counts", quality.severity_counts)
+add("anomalies", quality.anomalies)
+
+# state changes
+
+
+def _requests(kg):
+    c = kg.connections
+    to = F.when(F.col("review") == "reviewed", "canonical").when(F.col("review") == "rejected", "canonical").when(F.col("review") == "canonical", "deprecated").otherwise("reviewed")
+    return c.select("id", F.col("review").alias("from_review"), to.alias("to_review"), F.when(F.col("asserted_by") == "human", "org.s1").alias("reviewer"), "reason")
+
+
+add("validate_transitions", lambda kg: curate.validate_transitions(_requests(kg)).select("id", "to_review", "error"),
+    """SELECT id, CASE review WHEN 'reviewed' THEN 'canonical' WHEN 'rejected' THEN 'canonical' WHEN 'canonical' THEN 'deprecated' ELSE 'reviewed' END AS to_review,
+  CASE WHEN review IN ('rejected', 'unreviewed') THEN 'forbidden' WHEN review = 'reviewed' AND asserted_by <> 'human' THEN 'reviewer needed' END AS error FROM connections""", "connections")
+add("apply_review_decisions", lambda kg: curate.apply_review_decisions(kg, kg.connections.where("relation = 'causes'").select("id", "source", "relation", "target", F.lit("reviewed").alias("decision"), F.lit("org.s1").alias("reviewer"), F.lit("seen").alias("reason"))).where("applied").select("id", "review", "reason"),
+    "SELECT id, 'reviewed' AS review, 'seen' AS reason FROM connections WHERE relation = 'causes'", "connections")
+add("promote_batch", lambda kg: curate.promote_batch(kg, kg.promotions.groupBy("id").agg(F.max("at").alias("last")).select("id", F.lit("org.s1").alias("actor"), F.date_add("last", 1).alias("at"))),
+    f"""SELECT id, ['editor', 'domain_expert', 'board'][max({_PLACE}) + 1] AS stage, CASE WHEN max({_PLACE}) = 3 THEN 'complete' WHEN max_by(actor, "at") = 'org.s1' THEN 'same actor' ELSE 'ok' END AS verdict FROM promotions GROUP BY id""", "promotions")
+add("propagate", lambda kg: curate.propagate(kg, kg.sources.where("lifecycle <> 'active'").select(F.col("id").alias("source_ref"), F.col("lifecycle").alias("change"))),
+    """WITH ch AS (SELECT id AS source_ref, lifecycle FROM sources WHERE lifecycle <> 'active'), per AS (SELECT connection_id, count(DISTINCT source_ref) AS n FROM evidence GROUP BY connection_id)
+SELECT DISTINCT ev.source_ref, 'connection' AS kind, ev.connection_id AS id, CASE lifecycle WHEN 'retracted' THEN CASE WHEN n > 1 THEN 'qualify' ELSE 'deprecate' END WHEN 'corrected' THEN 'review' ELSE 'migrate_evidence' END AS action
+FROM evidence ev JOIN ch USING (source_ref) JOIN per USING (connection_id) UNION ALL SELECT e.source_ref, 'entity', id, 'review' FROM entities e JOIN ch ON ch.source_ref = e.source_ref WHERE lifecycle = 'retracted'""", "entities", "evidence", "sources")
+
+
+def _gates():
+    return {"relation": F.col("relation").isNotNull(), "evidence": F.col("confidence").isNotNull(), "active": F.col("assertion_status") == "active", "human": F.col("asserted_by") == "human"}
+
+
+add("curation_decisions", lambda kg: curate.curation_decisions(kg.connections, _gates()).select("id", "decision"),
+    """SELECT id, CASE WHEN n = 0 THEN 'request_review' WHEN n = 1 AND confidence IS NULL THEN 'hold' WHEN n = 1 THEN 'propose' ELSE 'reject' END AS decision FROM (
+  SELECT *, CAST(confidence IS NULL AS INT) + CAST(assertion_status <> 'active' AS INT) + CAST(asserted_by <> 'human' AS INT) AS n FROM connections)""", "connections")
+add("set_debt", lambda kg: curate.set_debt(kg.sources.select("id", F.lit("outstanding").alias("status"), F.lit(None).cast("string").alias("by"), F.lit(None).cast("string").alias("at")),
+                                          kg.sources.select("id", F.when(F.col("year") % 2 == 0, "cleared").otherwise("deferred").alias("to"), F.lit("org.s1").alias("by"), F.lit("2026-01-01").alias("at"), "url").withColumnRenamed("url", "evidence")),
+    """SELECT id, CASE WHEN ok THEN CASE WHEN year % 2 = 0 THEN 'cleared' ELSE 'deferred' END ELSE 'outstanding' END AS status, CASE WHEN ok THEN 'org.s1' END AS by, CASE WHEN ok THEN '2026-01-01' END AS "at" FROM (SELECT *, year % 2 = 1 OR url IS NOT NULL AS ok FROM sources)""", "sources")
+
+# matching and mining
+
+add("match_symbol", match.match_symbol,
+    "WITH s AS (SELECT id, lower(trim(symbol)) AS k FROM entities WHERE symbol IS NOT NULL), f AS (SELECT k, min(id) AS first FROM s GROUP BY k HAVING count(*) > 1) SELECT first AS a, id AS b FROM s JOIN f USING (k) WHERE id <> first", "entities")
+add("match_alias", match.match_alias, "SELECT DISTINCT a.id AS a, b.id AS b FROM entities a JOIN entities b ON lower(a.subdomain) = lower(b.name) WHERE a.id <> b.id", "entities")
+add("match_cross_domain", match.match_cross_domain, "SELECT lower(name) AS name, count(DISTINCT domain) AS n_domains, count(*) AS n, min(id) AS first_id FROM entities GROUP BY lower(name) HAVING count(DISTINCT domain) > 1", "entities")
+add("match_equation", lambda kg: match.match_equation(kg.with_(entities=kg.entities.withColumn("equation", F.concat(F.lit("Y = "), "definition", F.lit(" × t"))))),
+    "WITH s AS (SELECT id, replace(replace(lower('Y = ' || definition || ' × t'), ' ', ''), '×', '*') AS k FROM entities WHERE definition IS NOT NULL), f AS (SELECT k, min(id) AS first FROM s GROUP BY k HAVING count(*) > 1) SELECT first AS a, id AS b FROM s JOIN f USING (k) WHERE id <> first", "entities")
+add("match_name", lambda kg: match.match_name(kg.with_(entities=kg.entities.where("domain = 'geo'"))))
+add("match_all", lambda kg: match.match_all(kg.with_(entities=kg.entities.where("domain = 'geo'"))))
+add("resolve_claim_entities", lambda kg: match.resolve_claim_entities(kg.claims, kg.with_(entities=kg.entities.where("domain <> 'org'"))).select("claim_id", "subject", "method"))
+add("claim_provenance", lambda kg: match.claim_provenance(kg.claims),
+    "SELECT claim_id, sha256(document_id) AS document_hash, sha256(concat_ws(chr(31), subject, relation, object, coalesce(value, ''), coalesce(unit, ''))) AS content_hash FROM claims", "claims")
+add("verify_claims", lambda kg: match.verify_claims(kg.claims, kg),
+    """SELECT claim_id, 'relation' AS failed, 'supported' AS support, 'failed' AS status FROM claims""", "claims")
+add("proposals", match.proposals,
+    """WITH k AS (SELECT subject, relation, object, count(DISTINCT value) > 1 AS conflict FROM claims WHERE value IS NOT NULL GROUP BY ALL)
+SELECT claim_id, subject, relation, object, coalesce(conflict, false) AS conflict, 'proposed' AS review, CASE WHEN value IS NULL THEN 'value' ELSE '' END AS gaps FROM claims LEFT JOIN k USING (subject, relation, object)""", "claims")
+add("proposal_evidence_gate", lambda kg: match.proposals(kg).where("gaps <> ''").select("claim_id", "gaps"), "SELECT claim_id, 'value' AS gaps FROM claims WHERE value IS NULL", "claims")
+_DOCS = lambda spark, d: read(spark, d, "documents")
+add_raw("evidence_windows", lambda spark, d: match.evidence_windows(_DOCS(spark, d)).select("doc_id", "sentence_id", "start", "end", F.length("text_span").cast("long").alias("n")))
+RELATION_NAMES = ["depends_on", "causes", "related_to"]
+add_raw("extract_claims", lambda spark, d: match.extract_claims(match.evidence_windows(_DOCS(spark, d)), RELATION_NAMES))
+
+
+def _rules(spark):
+    return spark.createDataFrame([("email", "[a-z0-9]+@mail[0-9]", "contact"), ("licence", "Licensed under", "law"), ("token", "token = ", "secret"), ("phone", r"\+1 \([0-9]{3}\)", "contact")], "rule string, pattern string, domain string")
+
+
+add_raw("rule_entities", lambda spark, d: match.rule_entities(_DOCS(spark, d), _rules(spark)).select("doc_id", "rule", "domain", F.col("hits").cast("long").alias("hits")),
+        r"""SELECT doc_id, rule, domain, CAST(len(regexp_extract_all(text, pattern)) AS BIGINT) AS hits FROM documents CROSS JOIN (VALUES ('email', '[a-z0-9]+@mail[0-9]', 'contact'), ('licence', 'Licensed under', 'law'), ('token', 'token = ', 'secret'), ('phone', '\+1 \([0-9]{3}\)', 'contact')) r(rule, pattern, domain) WHERE regexp_matches(text, pattern)""")
+add("search", lambda kg: match.search(kg, "steel"),
+    rf"""SELECT id, name, CAST(CASE WHEN n LIKE 'steel%' THEN 0 WHEN n LIKE '%steel%' THEN 1 ELSE 2 END AS INTEGER) AS rank FROM (SELECT id, name, array_to_string(regexp_extract_all(lower(name), '[a-z0-9]+'), ' ') AS n, array_to_string(regexp_extract_all(lower(definition), '[a-z0-9]+'), ' ') AS d FROM entities WHERE {LIVE})
+WHERE n LIKE '%steel%' OR d LIKE '%steel%'""", "entities")
+add("grounding_topk", lambda kg: match.grounding_topk(kg, "tell me about the nation of France and Europe", 10),
+    """WITH t AS (SELECT unnest(['nation', 'france', 'europe']) AS t), e AS (SELECT 'entity' AS kind, id, sum(CASE WHEN lower(name) = t THEN 10 WHEN contains(lower(name), t) THEN 6 ELSE 0 END + CASE WHEN contains(lower(id), t) THEN 5 ELSE 0 END + CASE WHEN contains(lower(definition), t) THEN 2 ELSE 0 END
+  + CASE WHEN lower(coalesce(symbol, '')) = t THEN 6 ELSE 0 END + CASE WHEN domain = t THEN 3 ELSE 0 END) AS score FROM entities, t GROUP BY id),
+c AS (SELECT 'connection' AS kind, c.id, sum(CASE WHEN contains(lower(concat_ws(' ', relation, s.name, g.name, c.id)), t) THEN 4 ELSE 0 END) AS score FROM connections c LEFT JOIN entities s ON s.id = source LEFT JOIN entities g ON g.id = target, t GROUP BY c.id)
+SELECT kind, id, CAST(score AS INTEGER) AS score FROM (SELECT * FROM e UNION ALL SELECT * FROM c) WHERE score > 0 ORDER BY score DESC, id LIMIT 10""", "entities", "connections")
+add_raw("scoping_claims", lambda spark, d: match.scoping_claims(_DOCS(spark, d), ["the", "and", "with"]))
+add_raw("stale_counts", lambda spark, d: match.stale_counts(_DOCS(spark, d), 9, "the"),
+        r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, n AS said FROM (SELECT doc_id, i, regexp_extract(l[i], '([0-9]+) the', 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE n <> '' AND TRY_CAST(n AS BIGINT) <> 9""")
+add_raw("secret_scan", lambda spark, d: match.secret_scan(_DOCS(spark, d)),
+        r"""SELECT doc_id FROM documents WHERE regexp_matches(text, 'AKIA[A-Z0-9]{16}|(?i:(password|secret|token|api_?key)\s*[:=]\s*["''][^"'']{8,})') AND NOT contains(lower(text), 'example')""")
+add_raw("embedding_leak_scan", lambda spark, d: match.embedding_leak_scan(_DOCS(spark, d)),
+        r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '\[\s*-?[0-9]+\.[0-9]+(\s*,\s*-?[0-9]+\.[0-9]+){7,}')""")
+
+# vectors
+
+_VEC = lambda spark, d: read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+add_raw("vector_topk", lambda spark, d: vector.vector_topk(_VEC(spark, d), _VEC(spark, d).where("id = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10),
+        """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM embeddings, q)
+SELECT CAST(0 AS BIGINT) AS query_id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s ORDER BY score DESC, id LIMIT 10""")
+add_raw("embeddings_preview", lambda spark, d: vector.embeddings_preview(_VEC(spark, d)), "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dimensions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+_CHUNK = "concat_ws(chr(10), 'Name: ' || name, 'Type: ' || type, 'Domain: ' || domain, 'Definition: ' || definition, 'Symbol: ' || symbol)"
+add("chunk_entities", vector.chunk_entities, f"SELECT id, {_CHUNK} AS content FROM entities", "entities")
+add("embedding_hash", lambda kg: vector.embedding_hash(vector.chunk_entities(kg), "m1", "h"), f"SELECT id, substr(sha256({_CHUNK} || '|m1|h'), 1, 16) AS hash FROM entities", "entities")
+add("placeholder_embed", lambda kg: vector.placeholder_embed(vector.chunk_entities(kg)).select("id", F.round(F.get("vector", F.lit(0)), 6).alias("first"), "placeholder"),
+    f"SELECT id, round(CAST('0x' || substr(sha256({_CHUNK}), 1, 4) AS INT)::DOUBLE / 65535 * 2 - 1, 6) AS first, true AS placeholder FROM entities", "entities")
+
+
+def _hits(kg):
+    return match.search(kg, "steel", limit=5).select(F.lit(0).cast("long").alias("query_id"), F.row_number().over(Window.orderBy("rank", "id")).alias("rank"), "id")
+
+
+add("rag_context", lambda kg: vector.rag_context(_hits(kg), vector.chunk_entities(kg)).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.array_join("citations", ",").alias("citations")))
+add("citations_grounded", lambda kg: vector.citations_grounded(vector.rag_context(_hits(kg), vector.chunk_entities(kg)).select("query_id", F.lit(False).alias("refused"), F.col("citations").alias("cited")), _hits(kg), kg))
+
+# sources and streams
+
+add("payload_sha256", lambda kg: files.tree_hash(kg.entities.select("id", "name", "status")))
+add("content_hash", lambda kg: files.tree_hash(kg.connections))
+add_raw("stream_audit_counts", lambda spark, d: jobs.run(jobs.audit_counts(jobs.source(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))), "complete"),
+        "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+add_raw("stream_duplicate_claims", lambda spark, d: jobs.run(jobs.repeated_claims(jobs.source(spark, d, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("signature"), F.col("event_id").alias("claim_id")))).groupBy("signature").agg(F.count("*").alias("n")),
+        "SELECT CAST(user_id AS STRING) || '|' || event_type AS signature, count(*) - 1 AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+add_raw("stream_conflicts", lambda spark, d: jobs.run(jobs.conflicts(jobs.source(spark, d, "events").select(F.col("user_id").cast("string").alias("triple"), F.col("event_type").alias("value")))).groupBy("triple").agg(F.max("n_values").alias("n_values")),
+        "SELECT CAST(user_id AS STRING) AS triple, count(DISTINCT event_type) AS n_values FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+add_raw("stream_human_edits", lambda spark, d: jobs.run(jobs.human_edits(jobs.source(spark, d, "events").select("event_id", F.concat(F.lit("org.s"), F.col("user_id").cast("string")).alias("agent")), testgraph.table(spark, d, "agents"))),
+        ctes("agents") + "\nSELECT event_id, 'org.s' || CAST(user_id AS STRING) AS agent FROM events WHERE 'org.s' || CAST(user_id AS STRING) IN (SELECT id FROM agents WHERE class = 'human' AND status = 'active')")
+add_raw("stream_ledger_verify", lambda spark, d: jobs.run(jobs.ledger_verify(_ledger_stream(spark, d))).groupBy("hash_ok", "link_ok").agg(F.count("*").alias("n")), None)
+
+
+def _ledger_stream(spark, sf_dir):
+    """The ledger is written once to the checkpoint folder and read as a stream."""
+    import uuid
+
+    from weftgraph.runtime import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ledger-{uuid.uuid4().hex}"
+    rows = _ledger(spark, sf_dir).select(F.col("user_id").cast("string").alias("stream"), F.col("event_id").alias("seq"), "prev_hash", "hash", F.concat_ws("|", "event_id", "event_type", "props").alias("body"))
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
