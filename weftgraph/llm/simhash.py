@@ -9,8 +9,8 @@ shared bytes on, and verified by the number of differing bits.
 
 Cases: null and empty texts have no words and the fingerprint zero; texts of under four words hash the whole
 sequence; copies share a fingerprint and never become pairs; an empty table gives no rows; extra columns are
-ignored by fingerprints() and kept by keep_one(). A null doc_id is kept as a row of its own with a null
-component, and neither links nor labels anything.
+ignored by fingerprints() and kept by keep_one(). Rows of one doc_id with different texts are labelled each by its own
+text. A null doc_id is kept as a row of its own with a null component, and neither links nor labels anything.
 """
 
 from __future__ import annotations
@@ -79,13 +79,17 @@ def text_fingerprints(texts: list[bytes | None], shingle: int = 4) -> np.ndarray
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long)."""
+    """(doc_id, h, fp): h tells rows of one doc_id apart, the hash of the text as it is."""
 
     def run(batches):
-        for ids, texts in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(text_fingerprints(texts, shingle).view(np.int64))], names=["doc_id", "fp"])
+        for b in batches:
+            done = 0
+            for ids, texts in text_chunks([b]):
+                h = b.column(2).slice(done, len(ids))
+                done += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), h, pa.array(text_fingerprints(texts, shingle).view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _shared(a, b):
@@ -143,19 +147,28 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, itself included."""
+    """(doc_id, h, fp, component_id): component_id is the smallest doc_id reachable over links, itself included."""
     prints = cut(fingerprints(docs, shingle))
-    fps = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    label = label_components(links(fps, max_bits))
-    merged = fps.join(label, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(merged, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    fps = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    # a smallest doc_id may stand for several fingerprints where rows repeat it, so nodes are fingerprints' places
+    fps = cut(fps.withColumn("node", F.struct("doc_id", "fp")))
+    if fps.groupBy("doc_id").count().where("count > 1").isEmpty():
+        label = label_components(links(fps.select("fp", F.col("doc_id").alias("node")), max_bits))
+        merged = fps.join(label, fps["doc_id"] == label["node"], "left").select("fp", F.coalesce("component", "doc_id").alias("component_id"))
+    else:
+        pairs = links(fps.select("fp", F.col("fp").alias("node")), max_bits)
+        place = lambda c: fps.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
+        edges = pairs.join(place("src"), "src").join(place("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+        label = label_components(edges)
+        merged = fps.join(label, "node", "left").select("fp", F.coalesce("component.doc_id", "doc_id").alias("component_id"))
+    return prints.join(merged, "fp", "left").select("doc_id", "h", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The documents whose doc_id labels their group, all columns kept; of repeated rows of one doc_id all stay; null ids stay."""
+    """The rows whose doc_id labels their group, all columns kept; equal rows of one doc_id all stay, and so do null ids."""
     found = near_duplicates(docs, shingle, max_bits)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__g")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__g")), "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:
