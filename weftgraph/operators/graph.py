@@ -12,7 +12,7 @@ from weftgraph.runtime import cut
 from weftgraph.schema import KnowledgeSet
 
 
-def resolve(kg: KnowledgeSet, max_rounds: int = 40) -> DataFrame:
+def resolve(kg: KnowledgeSet) -> DataFrame:
     """Every entity's final id along deprecated_by: (id, resolved, hops, verdict ok | cycle | dangling).
 
     Pointer doubling: after n rounds a pointer spans 2**n hops, so depth costs its logarithm in joins.
@@ -27,14 +27,13 @@ def resolve(kg: KnowledgeSet, max_rounds: int = 40) -> DataFrame:
         (F.col("next").isNotNull() & F.col("known").isNull()).alias("dangling"),
     ))
     ends = state.where("hops = 0").select(F.col("id").alias("at"), F.col("dangling").alias("end_dangling"))
-    for _ in range(max_rounds):
+    moved = state.agg(F.sum("hops"), F.count("*")).first()
+    for _ in range(int(moved[1] or 0).bit_length()):  # no chain is longer than the table
         far = state.select(F.col("id").alias("at"), F.col("at").alias("to"), F.col("hops").alias("more"))
         nxt = cut(state.join(far, "at").select("id", F.col("to").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), "dangling"))
-        moved = nxt.agg(F.sum("hops")).first()[0]
-        if moved == state.agg(F.sum("hops")).first()[0] or nxt.agg(F.max("hops")).first()[0] > 1 << 40:
-            state = nxt
+        state, before, moved = nxt, moved, nxt.agg(F.sum("hops"), F.count("*")).first()
+        if moved == before:
             break
-        state = nxt
     out = state.select("id", "at", "hops").join(ends, "at", "left")
     verdict = F.when(F.col("end_dangling").isNull(), "cycle").when(F.col("end_dangling"), "dangling").otherwise("ok")
     return out.select("id", F.when(verdict != "cycle", F.col("at")).alias("resolved"), F.when(verdict != "cycle", F.col("hops")).alias("hops"), verdict.alias("verdict"))
