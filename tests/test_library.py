@@ -237,7 +237,7 @@ def test_vectors(spark):
     ship(spark)
     v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)] + [(9, [0.0, 0.0])], "id long, vector array<double>")
     q = spark.createDataFrame([("q", [1.0, 2.0])], "query_id string, query array<double>")
-    assert [r.id for r in vector.vector_topk(v, q, 3).orderBy("rank").collect()] == [2, 3, 1]
+    assert [r.id for r in vector.vector_topk(v, q, 3).orderBy("rank").collect()] == [2, 3, 4]
     out = vector.embed_with(spark.createDataFrame([("a", "xy")], "id string, content string"), lambda texts: [[float(len(t))] for t in texts], "len").first()
     assert out.vector == [2.0] and out.model == "len"
 
