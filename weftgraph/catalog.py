@@ -198,8 +198,8 @@ r{i} AS (SELECT id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(got, 0) AS rank F
     return out + "\n"
 
 
-add("centrality", lambda kg: graph.centrality(kg).withColumn("rank", F.round("rank", 5)),
-    _rank_sql() + "SELECT id, in_degree, out_degree, in_degree + out_degree AS degree, round(round(rank, 6), 5) AS rank FROM nodes JOIN r5 USING (id)", "entities", "connections")
+add("centrality", graph.centrality,
+    _rank_sql() + "SELECT id, in_degree, out_degree, in_degree + out_degree AS degree, round(rank, 6) AS rank FROM nodes JOIN r5 USING (id)", "entities", "connections")
 add("centrality_top", lambda kg: graph.centrality_top(kg).select("id", "degree"), _rank_sql() + "SELECT id, in_degree + out_degree AS degree FROM nodes JOIN r5 USING (id) ORDER BY round(rank, 6) DESC, id LIMIT 20", "entities", "connections")
 add("cross_domain_pathways", graph.cross_domain_pathways,
     "SELECT c.id, source, s.domain AS source_domain, target, t.domain AS target_domain FROM connections c LEFT JOIN entities s ON s.id = source LEFT JOIN entities t ON t.id = target WHERE relation = 'bridges' AND target IS NOT NULL", "entities", "connections")
