@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.words import RangeHash, Words, mix, text_chunks, word_hashes
+from weftgraph.runtime import cut
 
 GRAM = 5
 _A, _B, _G = 0xD6E8FEB86659FD93, 0xCA5A826395121157, 0xA0761D6478BD642F
@@ -100,11 +101,12 @@ def _seeds(threshold: int, gram: int):
     return run
 
 
-def _windows(threshold: int, gram: int):
-    """doc_id, text, runs -> the windows of those runs: (h1, h2, again, doc_id, run)."""
+def _windows(threshold: int):
+    """doc_id, text, runs (null: none) -> the windows of those runs: (two hashes, doc_id, run)."""
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
             if not batch.num_rows:
                 continue
             runs = batch.column(2).to_pylist()
@@ -147,31 +149,39 @@ def covered(text: bytes | None, runs, threshold: int) -> np.ndarray:
     return np.cumsum(mark)[:n] > 0
 
 
-def repeats(docs: DataFrame, threshold: int = 13, gram: int = GRAM) -> DataFrame:
-    """(doc_id, runs array<long>): packed runs of windows whose words also start in a document with a smaller doc_id."""
-    gram = min(max(gram, threshold - 14), threshold)  # a run of windows has to fit in four bits
+def _marks(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
+    """(doc_id, __runs, __open): runs known to be repeats, and runs that have to be extended window by window."""
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     seeds = base.mapInArrow(_seeds(threshold, gram), "a long, b long, again boolean, doc_id long, run long")
     by_anchor, by_block = Window.partitionBy("a", "again"), Window.partitionBy("a", "again", "b")
     judged = seeds.withColumns({
         "low": F.min("b").over(by_anchor), "high": F.max("b").over(by_anchor), "least": F.min("doc_id").over(by_block),
     })
-    whole = judged.where(F.col("again") | (F.col("doc_id") > F.col("least"))).select("doc_id", "run")
-    open_ = judged.where(~F.col("again") & (F.col("doc_id") == F.col("least")) & (F.col("low") < F.col("high")))
-    open_ = open_.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    singles = base.join(open_, "doc_id").select("doc_id", "text", "runs").mapInArrow(_windows(threshold, gram), "a long, b long, doc_id long, run long")
-    least = singles.withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b")))
-    part = least.where(F.col("doc_id") > F.col("least")).select("doc_id", "run")
-    return whole.unionByName(part).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    whole = F.col("again") | (F.col("doc_id") > F.col("least"))
+    judged = judged.where(whole | (F.col("low") < F.col("high"))).select("doc_id", F.when(whole, F.col("run")).alias("whole"), F.when(~whole, F.col("run")).alias("open"))
+    return cut(judged.groupBy("doc_id").agg(F.collect_list("whole").alias("__runs"), F.collect_list("open").alias("__open")))
 
 
-def _with_runs(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
-    return docs.join(repeats(docs, threshold, gram), "doc_id", "left")
+def repeats(docs: DataFrame, threshold: int = 13, gram: int = GRAM) -> DataFrame:
+    """docs with `__runs` array<long>: packed runs of windows whose words also start in a document with a smaller doc_id.
+
+    Both joins deal out documents alike, so that their texts are shuffled once.
+    """
+    gram = min(max(gram, threshold - 14), threshold)  # a run of windows has to fit in four bits
+    marks = _marks(docs, threshold, gram)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    asked = marks.where(F.size("__open") > 0).select("doc_id", "__open")
+    singles = docs.join(asked, "doc_id", "left").select("doc_id", "text", "__open", *rest).mapInArrow(_windows(threshold), "a long, b long, doc_id long, run long")
+    singles = singles.withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b")))
+    part = singles.where(F.col("doc_id") > F.col("least")).select("doc_id", "run")
+    known = marks.select("doc_id", F.explode("__runs").alias("run"))
+    runs = known.unionByName(part).groupBy("doc_id").agg(F.collect_list("run").alias("__runs"))
+    return docs.join(runs, "doc_id", "left")
 
 
 def summary(docs: DataFrame, threshold: int = 13, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row."""
-    found = _with_runs(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), threshold, gram)
+    found = repeats(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), threshold, gram)
 
     def run(batches):
         for b in batches:
@@ -185,7 +195,7 @@ def summary(docs: DataFrame, threshold: int = 13, gram: int = GRAM) -> DataFrame
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return found.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.select("doc_id", "text", "__runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_text(text: str, gone: np.ndarray) -> str:
@@ -202,7 +212,7 @@ def cut_text(text: str, gone: np.ndarray) -> str:
 
 def removal(docs: DataFrame, threshold: int = 13, gram: int = GRAM) -> DataFrame:
     """The documents with all their columns, repeats cut out of `text`; `n_chars`, if there, follows."""
-    found = _with_runs(docs, threshold, gram)
+    found = repeats(docs, threshold, gram)
 
     @F.pandas_udf("string")
     def shorter(texts, runs):
@@ -210,8 +220,8 @@ def removal(docs: DataFrame, threshold: int = 13, gram: int = GRAM) -> DataFrame
 
         return pd.Series([t if t is None or r is None else cut_text(t, covered(t.encode(), r, threshold)) for t, r in zip(texts, runs, strict=True)], dtype=object)
 
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(shorter("text", "runs"))
+    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(shorter("text", "__runs"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
