@@ -1,8 +1,9 @@
 """Quality classifier: hierarchical empirical Bayes over documents, sites and paths.
 
 1. Evidence: for each target (bad quality; toxic), naive Bayes over hashed words, seen in a text or not, and the binned
-   statistics of the text; the model is a table of a fixed number of buckets, counted over all labelled documents by
-   grouped aggregation.
+   statistics of the text; the model is a table of a fixed number of buckets, counted by grouped aggregation over at
+   most SAMPLE labelled documents (those whose id hashes lowest). So bounded, the labels go to the texts, not
+   the texts to the labels. All else, sites included, covers all documents.
 2. Sites: a document's evidence becomes a probability; hosts and paths sum it (partial aggregation). The global
    mean is the prior of hosts, a host's posterior mean is the prior of its paths; the strength of each prior (a Beta's
    size) is estimated from the spread between its children by moments, so sparse sites shrink to what is above them.
@@ -28,6 +29,8 @@ from weftgraph.runtime import cut
 
 BITS = 16
 SITE, MARGIN = 0.5, 0.6
+#: Bound on the labelled rows that the model is fitted on.
+SAMPLE = 50_000
 TARGETS = ["bad", "toxic"]
 _UPPER = bytes(range(65, 91))
 
@@ -99,8 +102,9 @@ class Model:
         return {t: np.clip(self.prior[t] + np.bincount(doc, self.weight[t][bucket], len(texts)), -12, 12) for t in TARGETS}
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    known = labels.where("quality is not null and toxic is not null").select("doc_id", (1 - F.col("quality")).cast("double").alias("bad"), F.col("toxic").cast("double").alias("toxic"))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", (1 - F.col("quality")).cast("double").alias("bad"), F.col("toxic").cast("double").alias("toxic"))
+    known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "bad", "toxic").limit(sample))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id").select("doc_id", "text", *TARGETS)
     return Model(_counted(rows).collect())
 
