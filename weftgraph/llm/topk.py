@@ -36,31 +36,49 @@ def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 class SortedLists:
+    """A block's vectors and, for each dimension, their places in order of that component."""
+
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
-        self.up = np.argsort(self.rows, axis=0, kind="stable")
+        most = int(np.abs(rows).max(initial=0))
+        # sums of products that stay under 2**53 are exact in floating point, and much faster
+        self.exact = self.rows.astype(np.float64) if most * most * max(rows.shape[1], 1) < 1 << 52 else self.rows
+        self.up = np.ascontiguousarray(np.argsort(self.rows, axis=0, kind="stable").T)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, by score downward, then id."""
-        n = len(self.ids)
-        seen = self.ids == own
+        """(ids, scores) of the k best, by score downward, then id.
+
+        Depth doubles from step to step. Once half of the block has been met without the bound being reached, the rest is
+        scored in one go instead of being read through its lists.
+        """
+        n, q = len(self.ids), query.astype(self.exact.dtype)
+        done = self.ids == own
         lists = np.flatnonzero(query)
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth, step = 0, max(1, 2 * k)
+        depth, step = 0, 2 * k
         while depth < n:
             upto = min(n, depth + step)
-            read = np.where(query[lists] > 0, self.up[::-1][depth:upto][:, lists], self.up[depth:upto][:, lists]) if len(lists) else np.arange(depth, upto)[:, None]
-            fresh = np.unique(read)
-            fresh = fresh[~seen[fresh]]
-            seen[fresh] = True
-            ids, scores = np.append(ids, self.ids[fresh]), np.append(scores, self.rows[fresh] @ query)
+            met = np.zeros(n, dtype=bool)
+            for d in lists:
+                met[self.up[d, n - upto : n - depth] if query[d] > 0 else self.up[d, depth:upto]] = True
+            fresh = np.flatnonzero(met & ~done)
+            done[fresh] = True
+            rest = not len(lists) or 2 * np.count_nonzero(done) > n
+            if rest:
+                fresh = np.append(fresh, np.flatnonzero(~done))
+            ids, scores = np.append(ids, self.ids[fresh]), np.append(scores, (self.exact[fresh] @ q).astype(np.int64))
+            if len(ids) > k:
+                near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                ids, scores = ids[near], scores[near]
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
+            if rest:
+                break
             depth, step = upto, step * 2
-            if len(ids) == k and len(lists):
-                last = read[-1]
-                if scores[-1] > int((self.rows[last, lists] * query[lists]).sum()):
+            if len(ids) == k:
+                last = [self.rows[self.up[d, n - depth] if query[d] > 0 else self.up[d, depth - 1], d] for d in lists]
+                if scores[-1] > int(np.dot(last, query[lists])):
                     break
         return ids, scores
 
