@@ -77,26 +77,41 @@ def _pack(crc, at, count):
     return (crc << 32) | (at << 4) | count
 
 
+#: Blocks of so many are combined before they leave a task.
+COMBINE = 300_000
+
+
 def _seeds(threshold: int, gram: int):
+    def combined(parts):
+        anchor, body, owner, run_ = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((owner, body, anchor))
+        an, bo, ow = anchor[order], body[order], owner[order]
+        new = np.append(True, (an[1:] != an[:-1]) | (bo[1:] != bo[:-1]))[: len(an)]
+        least = ow[new][np.cumsum(new) - 1] if len(an) else ow
+        # of the least document's own copies of a block all are sent on: each may be a repeat of another batch's
+        again = ow > least
+        key = np.where(again, mix(an + np.arange(len(an), dtype=np.uint64)), an)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(bo.view(np.int64)), pa.array(again), pa.array(ow), pa.array(run_[order])],
+            names=["a", "b", "again", "doc_id", "run"],
+        )
+
     def run(batches):
-        for ids, texts in text_chunks(batches, 8 << 20):
+        held, size = [], 0
+        for ids, texts in text_chunks(batches):
             ids, texts, crc = _rows(ids, texts)
             a = Anchored(texts, threshold, gram)
             begin, count, anchor, body = a.blocks(threshold)
+            if not len(begin):
+                continue
             doc = a.doc_of[begin]
-            owner, place = ids[doc] if len(doc) else doc, begin - a.words.first[:-1][doc] if len(doc) else doc
-            run_ = _pack(crc[doc] if len(doc) else doc, place, count)
-            order = np.lexsort((owner, body, anchor))
-            an, bo, ow = anchor[order], body[order], owner[order]
-            new = np.append(True, (an[1:] != an[:-1]) | (bo[1:] != bo[:-1]))[: len(an)]
-            least = ow[new][np.cumsum(new) - 1] if len(an) else ow
-            again = ow > least
-            # of the least document's own copies of a block all are sent on: each may be a repeat of another batch's
-            key = np.where(again, mix(an + np.arange(len(an), dtype=np.uint64)), an)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(bo.view(np.int64)), pa.array(again), pa.array(ow), pa.array(run_[order])],
-                names=["a", "b", "again", "doc_id", "run"],
-            )
+            held.append((anchor, body, ids[doc], _pack(crc[doc], begin - a.words.first[:-1][doc], count)))
+            size += len(begin)
+            if size >= COMBINE:
+                yield combined(held)
+                held, size = [], 0
+        if held:
+            yield combined(held)
 
     return run
 
@@ -111,7 +126,7 @@ def _windows(threshold: int):
                 continue
             runs = batch.column(2).to_pylist()
             done = 0
-            for ids, texts in text_chunks([batch], 4 << 20):
+            for ids, texts in text_chunks([batch]):
                 own = runs[done : done + len(ids)]
                 done += len(ids)
                 w = Words(texts)
