@@ -36,22 +36,24 @@ WEIGHTS = {
     "encryption key": 3.0, "auth": 1.5, "authorization": 2.0, "bearer": 2.5, "jwt": 2.5, "cookie": 1.5, "session key": 2.5,
     "connection string": 2.5, "dsn": 1.5, "salt": 1.5, "pin": 1.0, "key": 1.0,
 }
-_SENSITIVE = re.compile(r"passw|pwd|passphrase|secret|credential|token|key|auth|bearer|jwt|cookie|connection|dsn|salt", re.IGNORECASE | re.ASCII)
+#: The longest word of each entry: a text without any of them has no name of weight.
+_SENSITIVE = re.compile("|".join(sorted({max(k.split(), key=len) for k in WEIGHTS})), re.IGNORECASE | re.ASCII)
 #: Words after a name word that make it harmless (token_count, key_name, password_policy).
 HARMLESS = {"count", "name", "length", "len", "policy", "type", "id", "hint", "field", "label", "file", "path", "url", "size", "limit", "index", "expiry", "ttl"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|changeme|example|placeholder|your.*|<.*>|\$\{.*\}|%.*%|todo|redacted|undefined)$")
 THRESHOLD = 4.0
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
+#: Runs are possessive: nothing after them could take back a part, and their length has no limit.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_QUOTED = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
 _PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])(?:["'](?P<q>{_NAME})["']|(?P<n>{_NAME}))[\x20\t]*(?::=|=>|[:=])(?!=)[\x20\t]*"""
-    r"""(?P<value>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`|[A-Za-z0-9_+/.@$%!\#^&*~=-]+)"""
-    r"""(?P<more>(?:[\x20\t]*\+[\x20\t]*(?:"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|[A-Za-z_][A-Za-z0-9_.]{0,80})){0,16})"""
-    rf"""|<(?P<tag>{_NAME})>(?P<inner>[^<>\n]{{1,4096}})</(?P=tag)>""",
+    rf"""(?<![A-Za-z0-9_.\-])(?:["'](?P<q>{_NAME})["']|(?P<n>{_NAME}))[\x20\t]*+(?::=|=>|[:=])(?!=)[\x20\t]*+"""
+    rf"""(?P<value>{_QUOTED}|`[^`\n]*+`|[A-Za-z0-9_+/.@$%!\#^&*~=-]++)"""
+    rf"""(?P<more>(?:[\x20\t]*+\+[\x20\t]*+(?:{_QUOTED}|[A-Za-z_][A-Za-z0-9_.]*+))*+)"""
+    rf"""|<(?P<tag>{_NAME})>(?P<inner>[^<>\n]++)</(?P=tag)>""",
     re.ASCII,
 )
 _ATOM = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s+"'`]+""")
-_IDENT = re.compile(rf"^{_NAME}$", re.ASCII)
 
 
 def name_weight(name: str) -> float:
@@ -65,35 +67,73 @@ def name_weight(name: str) -> float:
     return best
 
 
-def literal_score(literal: str) -> float:
-    if len(literal) < 6 or PLACEHOLDER.match(literal) or " " in literal:
+def _score(n: int, counts: Counter, harmless: bool) -> float:
+    if n < 6 or harmless or " " in counts:
         return -4.0
-    n = len(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, n / 16) + (kinds - 1) * 0.5 + (0.5 if entropy >= 3 else 0.0)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    chars = "".join(counts)
+    kinds = sum(bool(re.search(p, chars)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(1.0, n / 16 if n < 16 else 1.0) + (kinds - 1) * 0.5 + (0.5 if entropy >= 3 else 0.0)
+
+
+def literal_score(literal: str) -> float:
+    return _score(len(literal), Counter(literal), bool(PLACEHOLDER.match(literal)))
+
+
+class Value:
+    """A literal at its place, or a sum of values. Sums share their parts, so a constant used often is held once.
+
+    A sum's text may be far longer than the source; its score needs the length, counts of characters and both ends.
+    """
+
+    __slots__ = ("at", "counts", "end", "head", "n", "parts", "tail")
+
+    def __init__(self, literal: str = "", at: int = 0, parts: tuple = ()):
+        self.at, self.end, self.parts, self.counts = at, at + len(literal), parts, None
+        self.n, self.head, self.tail = len(literal), literal, literal[-1:]
+        if parts:
+            self.counts, self.n = Counter(), sum(p.n for p in parts)
+            self.head = ""
+            for p in parts:
+                self.counts.update(p.characters())
+                self.head += p.head[:16] if len(self.head) < 16 else ""
+                self.tail = p.tail or self.tail
+
+    def characters(self) -> Counter:
+        if self.counts is None:
+            self.counts = Counter(self.head)
+        return self.counts
+
+    def score(self) -> float:
+        if not self.parts:
+            return literal_score(self.head)
+        if self.n <= 16:
+            return literal_score(self.head)
+        head, chars = self.head.lower(), {c.lower() for c in self.counts}
+        ends = any(head.startswith(a) and self.tail == b for a, b in (("<", ">"), ("${", "}"), ("%", "%")))
+        return _score(self.n, self.counts, ends or head.startswith("your") or chars in ({"x"}, {"*"}, {"."}))
 
 
 def pairs(text: str):
-    """(name, [(literal, start, end)]) for each assignment, constants propagated in the order of the text."""
-    known: dict[str, list] = {}
+    """(name, value) for each assignment, constants propagated in the order of the text."""
+    known: dict[str, Value] = {}
     for m in _PAIR.finditer(text):
         name = m["q"] or m["n"] or m["tag"]
         if m["tag"]:
-            found = [(m["inner"], m.start("inner"), m.end("inner"))]
+            found = [Value(m["inner"], m.start("inner"))]
         else:
             base, source, found = m.start("value"), m["value"] + m["more"], []
             for a in _ATOM.finditer(source) if m["more"] or m["value"][0] in "\"'`" else [re.match(r"(?s).*", source)]:
                 atom, at = a.group(), base + a.start()
                 if atom[:1] in "\"'`":
-                    found.append((atom[1:-1], at + 1, at + len(atom) - 1))
+                    found.append(Value(atom[1:-1], at + 1))
                 elif atom in known:
-                    found += known[atom]
+                    found.append(known[atom])
                 elif not m["more"]:
-                    found.append((atom, at, at + len(atom)))
-        if _IDENT.match(name):
-            known[name] = found[:16]
-        yield name, found
+                    found.append(Value(atom, at))
+        value = found[0] if len(found) == 1 else Value(parts=tuple(found))
+        known[name] = value
+        yield name, value
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -104,14 +144,22 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    more = set()
+    more, told_of = set(), set()
     if _SENSITIVE.search(text):
-        for name, literals in pairs(text):
+        held = []  # keeps values alive while their ids stand for them
+        for name, value in pairs(text):
             weight = name_weight(name)
-            if weight and sum(len(x[0]) for x in literals) >= 6:
-                whole = "".join(x[0] for x in literals)
-                if weight + literal_score(whole) >= THRESHOLD:
-                    more |= {(a, b, "literal") for _, a, b in literals if b > a and not any(s <= a and b <= e for s, e, _ in base)}
+            if weight and value.n >= 6 and weight + value.score() >= THRESHOLD:
+                held.append(value)
+                todo = [value]
+                while todo:
+                    v = todo.pop()
+                    if id(v) in told_of:
+                        continue
+                    told_of.add(id(v))
+                    todo += v.parts
+                    if not v.parts and v.end > v.at and not any(s <= v.at and v.end <= e for s, e, _ in base):
+                        more.add((v.at, v.end, "literal"))
     return sorted(base + list(more), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
