@@ -481,6 +481,7 @@ _VEC = lambda spark, d: read(spark, d, "embeddings").select(F.col("vec_id").alia
 add_raw("vector_topk", lambda spark, d: vector.vector_topk(_VEC(spark, d), _VEC(spark, d).where("id = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10),
         """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM embeddings, q)
 SELECT CAST(0 AS BIGINT) AS query_id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s ORDER BY score DESC, id LIMIT 10""")
+add_raw("vector_topk_all", lambda spark, d: vector.vector_topk(_VEC(spark, d), _VEC(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10))
 add_raw("embeddings_preview", lambda spark, d: vector.embeddings_preview(_VEC(spark, d)), "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dimensions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
 _CHUNK = "concat_ws(chr(10), 'Name: ' || name, 'Type: ' || type, 'Domain: ' || domain, 'Definition: ' || definition, 'Symbol: ' || symbol)"
 add("chunk_entities", vector.chunk_entities, f"SELECT id, {_CHUNK} AS content FROM entities", "entities")

@@ -42,18 +42,67 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, max_queries: int = 1000) -> DataFrame:
+def _plain(name: str) -> Column:
+    """A vector without nulls as doubles; with nulls it has no cosine, and is empty."""
+    return F.when(F.coalesce(F.exists(name, lambda x: x.isNull()), F.lit(True)), F.array().cast("array<double>")).otherwise(F.col(name).cast("array<double>")).alias(name)
+
+
+def _local_best(k: int):
+    """A block of queries against a block of vectors: what can be among the k best of the block after rounding.
+
+    Sums go dimension by dimension, as cosine() adds. Of equal scores the k smallest ids stay; apart from those, what is
+    under the k-th by more than rounding can close goes.
+    """
+
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = []
+        vectors = vectors.sort_values("id", kind="stable")
+        ids, sizes, wanted = vectors["id"].to_numpy(), vectors["vector"].map(len).to_numpy(), queries["query"].map(len).to_numpy()
+        for size in np.unique(wanted):
+            own = queries[wanted == size]
+            q = np.array(own["query"].tolist(), dtype=np.float64).reshape(len(own), size)
+            same = sizes == size
+            v = np.array(vectors["vector"][same].tolist(), dtype=np.float64).reshape(int(same.sum()), size)
+            dots, qq, vv = np.zeros((len(q), len(v))), np.zeros(len(q)), np.zeros(len(v))
+            with np.errstate(all="ignore"):
+                for d in range(size):
+                    dots += np.multiply.outer(q[:, d], v[:, d])
+                    qq += q[:, d] * q[:, d]
+                    vv += v[:, d] * v[:, d]
+                norm = np.multiply.outer(np.sqrt(qq), np.sqrt(vv))
+                score = np.zeros((len(q), len(ids)))
+                score[:, same] = np.where(norm == 0, 0.0, dots / norm)
+            rank = np.where(np.isnan(score), 9.0, score)  # Spark sorts NaN above all numbers
+            for i, name in enumerate(own["query_id"]):
+                r = rank[i]
+                at = np.flatnonzero(r >= np.partition(r, len(r) - k)[len(r) - k] - 2e-6) if len(r) > k else np.arange(len(r))
+                at = at[np.argsort(-r[at], kind="stable")]
+                run_start = np.flatnonzero(np.diff(r[at], prepend=np.inf))
+                at = at[np.arange(len(at)) - np.repeat(run_start, np.diff(np.append(run_start, len(at)))) < k]
+                out.append(pd.DataFrame({"query_id": name, "id": ids[at], "score": score[i, at]}))
+        return pd.concat(out)
+
+    return run
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048, query_block: int = 512) -> DataFrame:
     """vectors(id, vector), queries(query_id, query) -> (query_id, rank, id, score), ties to the smaller id.
 
-    A handful of queries is broadcast, its number being checked; each partition keeps its own k best before the shuffle.
+    Any number of queries: each block of queries meets each block of vectors by key and keeps its own k best.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search in blocks instead")
-    j = vectors.join(F.broadcast(queries), how="cross").select("query_id", "id", F.round(cosine(F.col("query"), F.col("vector")), 6).alias("score"))
-    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
-    local = j.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rn", best("query_id", "part")).where(F.col("rn") <= k)
-    return local.withColumn("rank", best("query_id")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((vectors, block), (queries, query_block)))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    own = lambda name, count: F.pmod(F.xxhash64(name), F.lit(count)).cast("int")
+    v = vectors.select("id", _plain("vector"), own("id", n).alias("vb")).withColumn("qb", every(m))
+    q = queries.select("query_id", _plain("query"), own("query_id", m).alias("qb")).withColumn("vb", every(n))
+    types = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
+    met = v.groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb"))
+    run = _local_best(k)
+    j = met.applyInPandas(lambda a, b: run(a, b) if len(a) and len(b) else pd.DataFrame({"query_id": [], "id": [], "score": []}), f"query_id {types['query_id']}, id {types['id']}, score double")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return j.withColumn("score", F.round("score", 6)).withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def embeddings_preview(vectors: DataFrame) -> DataFrame:
