@@ -44,20 +44,24 @@ def _grams(name: Column, n: int) -> Column:
     return F.when(F.length(name) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = RATIO, salt: int = 8) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = RATIO, salt: int = 8, ordered: bool = False) -> DataFrame:
     """left(a, name), right(b, name), distinct names -> (a, b, ratio) with difflib's ratio at least the threshold (0.85 or more).
 
     Lossless blocking: at 0.85 two names share a 3-gram, or a 2-gram if their lengths sum to at most 16, or are
-    equal; and the shorter has at least 0.739 of the longer's length. A frequent gram's block is split by a salt on the
-    right side. Only survivors reach difflib, in Arrow batches.
+    equal; and the shorter has at least 0.739 of the longer's length. A frequent gram's block is split by a salt on either
+    side. Only survivors reach difflib, in Arrow batches, and its ratio is taken where its own upper bounds allow.
+    With `ordered`, only pairs with a < b.
     """
     if threshold < RATIO:
         raise ValueError(f"blocking is proven from {RATIO} on")
     keys = lambda df: df.select("*", F.explode(F.concat(F.transform(_grams(F.col("name"), 3), lambda g: F.concat(F.lit("3"), g)), F.when(F.length("name") <= 15, F.transform(_grams(F.col("name"), 2), lambda g: F.concat(F.lit("2"), g))).otherwise(F.array().cast("array<string>")))).alias("gram"))
-    a = keys(left.select("a", F.lower("name").alias("name"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    b = keys(right.select("b", F.lower("name").alias("name"))).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salt)).cast("int"))
-    b = b.select("b", F.col("name").alias("other"), "gram", "salt")
-    j = a.join(b, ["gram", "salt"])
+    every, own = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))), lambda c: F.pmod(F.xxhash64(c), F.lit(salt)).cast("int")
+    a = keys(left.select("a", F.lower("name").alias("name"))).withColumn("row", own("a")).withColumn("column", every)
+    b = keys(right.select("b", F.lower("name").alias("name"))).withColumn("column", own("b")).withColumn("row", every)
+    b = b.select("b", F.col("name").alias("other"), "gram", "row", "column")
+    j = a.join(b, ["gram", "row", "column"])
+    if ordered:
+        j = j.where("a < b")
     n, m = F.length("name"), F.length("other")
     j = j.where((F.least(n, m) >= 0.739 * F.greatest(n, m)) & (F.col("gram").startswith("3") | (n + m <= 16))).select("a", "b", "name", "other").distinct()
 
@@ -65,7 +69,11 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = RATIO, s
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)])
+        out = []
+        for p, q in zip(x, y, strict=True):
+            m = SequenceMatcher(None, p, q)
+            out.append(m.ratio() if m.quick_ratio() >= threshold else 0.0)
+        return pd.Series(out, dtype="float64")
 
     near = j.select("a", "b", ratio("name", "other").alias("ratio"))
     same = left.select("a", F.lower("name").alias("name")).join(right.select("b", F.lower("name").alias("name")), "name").select("a", "b", F.lit(1.0).alias("ratio"))
@@ -75,7 +83,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = RATIO, s
 def match_name(kg: KnowledgeSet, threshold: float = RATIO) -> DataFrame:
     """Pairs of different names that are alike; entities of one name meet under its smallest id."""
     names = kg.entities.where("name is not null").groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("id"))
-    pairs = similar_pairs(names.select(F.col("id").alias("a"), "name"), names.select(F.col("id").alias("b"), "name"), threshold)
+    pairs = similar_pairs(names.select(F.col("id").alias("a"), "name"), names.select(F.col("id").alias("b"), "name"), threshold, ordered=True)
     return pairs.where("a < b")
 
 
