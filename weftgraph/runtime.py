@@ -32,9 +32,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if jsc.getCheckpointDir().isDefined():
         return
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
 
 
+def unused(columns, *wanted: str) -> list[str]:
+    """Names like those wanted that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for w in wanted:
+        name = f"__{w}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Run the plan now and go on from a reliable copy in the checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
