@@ -1,17 +1,24 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base spans (email, ip, card, phone) come from fixed patterns. The method then goes on from them:
-  1. instances: tokens with a digit (or an @) and their contexts, the one and two words before them, as
-     lexical patterns; a token that overlaps a base span is a seed of that span's kind;
-  2. the pattern-instance graph (pattern, shape of instance, kind) is scored in rounds: a pattern's confidence
-     in a kind is the smoothed share of its instances that are believed to be of that kind; an instance
-     that is no seed is believed when a pattern with enough confidence and enough different seeds precedes it;
-  3. believed instances of a shape with enough digits are spans of kind `context`.
-Patterns are grouped with partial aggregation, so a frequent pattern is no hot group, and joined back by key.
-
-Cases: null and empty texts have no spans; very long texts are matched whole, by patterns without
-backtracking; repeated rows each get a row; a null doc_id stays null; an empty table gives no rows; columns
-other than doc_id and text are ignored by find() and kept by redaction(). Starts and ends are code points, ends exclusive.
+  1. occurrences: phone and card numbers, and tokens with a digit or an @, each with its lexical patterns (the one
+     and the two words before it); an occurrence that is personal data by its own text is a seed of that kind;
+  2. the graph has patterns on one side and instances (the lower-cased texts of occurrences) on the other, one edge for
+     each two that meet, however often they do. In rounds, a pattern's confidence in a kind is the share of its
+     instances that are believed to be of that kind, smoothed by half an instance that is not; with MIN_CONFIDENCE and
+     MIN_SEEDS different believed instances it is accepted, and instances that it precedes are believed from then on,
+     so they lend confidence to further patterns. Rounds end when nothing new is believed;
+  3. every occurrence of a believed instance is a span of kind `context`, wherever it stands.
+Instances of under MIN_DIGITS digits and without an @ (years, counts, rooms) are counted but never believed.
+
+Confidence only grows from round to round, so there is one fixpoint. Edges are grouped with partial aggregation, so a
+frequent pattern, or a text copied many times, is no hot group.
+
+Cases: null and empty texts have no spans; very long texts are handled whole: places of matches come from running sums
+of the lengths between them, in blocks of the square root of their number, so nothing is scanned from the front again;
+repeated rows each get a row and count as one instance; a null doc_id stays null; an empty table gives no rows; columns
+other than doc_id and text are ignored by find() and kept by redaction(), whatever their names. Starts and ends are
+code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.runtime import cut
+from weftgraph.runtime import cut, unused
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 
@@ -36,10 +43,57 @@ PATTERNS = {
 #: Cheap tests that every match's text passes.
 SIGNS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?){11}[0-9]", "phone": r"\+[0-9][\x20().0-9-]"}
 
-#: A token that may identify someone: has a digit, no white space.
-TOKEN = r"(?<![A-Za-z0-9@+#._%-])(?=[A-Za-z@+#._%-]*+[0-9])[A-Za-z0-9@+#._%-]++"
+#: What may identify someone: a phone number, a card number in groups, or a token with a digit or an @.
+OCCURRENCE = (
+    r"\+[0-9][\x20().0-9-]+[0-9]|(?<![A-Za-z0-9@+#._%-])[0-9]{4}(?:[\x20-][0-9]{3,6}){2,4}(?![A-Za-z0-9@])"
+    r"|(?<![A-Za-z0-9@+#._%-])(?=[A-Za-z+#._%-]*+[0-9@])[A-Za-z0-9@+#._%-]*+[A-Za-z0-9]"
+    r"|(?<![A-Za-z0-9@+#._%-])(?=[A-Za-z+#._%-]*+[0-9@])[A-Za-z0-9@+#._%-]++"
+)
 
-MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 3, 0.8, 2
+MIN_DIGITS, MIN_SEEDS, MIN_CONFIDENCE = 5, 3, 0.8
+
+SPAN = "struct<start: long, end: long, kind: string>"
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(n: Column, join=lambda p, q: p + q) -> Column:
+    """Of array<long> n: 0 joined with all before each element, and the whole at the end, in O(n ** 1.5) steps at most."""
+    none = F.array().cast("array<long>")
+    grow = lambda a, x: F.struct(join(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    start = lambda at: F.struct(at.alias("at"), none.alias("out"))
+    whole = lambda x: F.aggregate(x, F.lit(0).cast("long"), join)
+
+    def of(v):
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v).cast("double")))).cast("int")
+        return _once(size, lambda b: _once(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / b).cast("int")), lambda k: F.slice(v, (k * b + 1).cast("int"), b)), blocks))
+
+    def blocks(parts):
+        before = F.aggregate(F.transform(parts, whole), start(F.lit(0).cast("long")), grow, lambda a: F.concat(a["out"], F.array(a["at"])))
+        inner = lambda at: F.flatten(F.transform(F.arrays_zip(parts.alias("p"), F.slice(at, 1, F.size(parts)).alias("o")), lambda x: F.aggregate(x["p"], start(x["o"]), grow, lambda a: a["out"])))
+        return _once(before, lambda at: F.concat(inner(at), F.slice(at, -1, 1)))
+
+    return F.when(F.size(n) == 0, F.array(F.lit(0).cast("long"))).otherwise(_once(n, of))
+
+
+MATCH = "array<struct<gap: string, m: string, start: long, end: long>>"
+
+
+def matches(text: Column, pattern: str, sign: str | None = None) -> Column:
+    """array<struct<gap, m, start, end>>: matches, the text between each and the one before, and their places."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def placed(x):
+        pairs = F.arrays_zip(x["gap"], x["m"])
+        sizes = F.flatten(F.transform(pairs, lambda p: F.array(F.length(p["gap"]).cast("long"), F.length(p["m"]).cast("long"))))
+        # places 2k + 1 and 2k + 2 of the running sums are the start and the end of match k
+        return _once(_running(sizes), lambda at: F.transform(pairs, lambda p, k: F.struct(p["gap"].alias("gap"), p["m"].alias("m"), F.get(at, 2 * k + 1).alias("start"), F.get(at, 2 * k + 2).alias("end"))))
+
+    cut_up = lambda m: F.struct(F.slice(F.split(text, pattern, -1), 1, F.size(m)).alias("gap"), m.alias("m"))
+    return F.when(text.rlike(sign or pattern), _once(_once(found, cut_up), placed)).otherwise(F.array().cast(MATCH))
 
 
 def _digits(m: Column) -> Column:
@@ -68,26 +122,6 @@ def _ok(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "struct<start: long, end: long, kind: string>"
-
-
-def matches(text: Column, pattern: str, sign: str | None = None) -> Column:
-    """array<struct<m, start, end>>: the text between matches gives their places."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("gap"), found.alias("m"))
-    empty = F.array().cast("array<struct<m: string, start: long, end: long>>")
-    placed = F.aggregate(
-        both,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(x["m"].alias("m"), (a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(sign or pattern), placed).otherwise(empty)
-
-
 def _checker(kind: str):
     return lambda x: _ok(kind, x["m"])
 
@@ -111,53 +145,65 @@ def in_order(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
-def instances(text: Column, spans: Column) -> Column:
-    """array<struct<start, end, shape, digits, kind, contexts>> of a text's tokens with digits."""
-    found = matches(text, TOKEN, "[0-9]")
+def kind_of(m: Column) -> Column:
+    """The kind that a text is by itself: it holds a match of a fixed pattern that passes its check."""
+    holds = lambda kind: m.rlike(SIGNS[kind]) & F.exists(F.regexp_extract_all(m, F.lit(PATTERNS[kind]), F.lit(0)), lambda x: _ok(kind, x))
+    out = F.when(m.contains("@"), F.when(m.rlike(PATTERNS["email"]), "email"))
+    others = F.when(F.length(m) > 6, F.when(holds("phone"), "phone").when(holds("ip"), "ip").when(holds("card"), "card"))
+    return F.coalesce(out, others)
+
+
+def occurrences(text: Column) -> Column:
+    """array<struct<start, end, inst, kind, open, patterns>> of a text; open: the instance may become believed."""
 
     def one(x):
-        hit = F.filter(spans, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
-        before = F.rtrim(F.substring(text, F.greatest(x["start"] - 60, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(60).cast("long")).cast("int")))
-        words = F.split(F.lower(before), r"[\x20\x09-\x0D]+")
-        n = F.size(words)
-        last = F.element_at(words, -1)
-        two = F.when(n > 1, F.concat_ws(" ", F.element_at(words, F.when(n > 1, -2).otherwise(-1)), last))
-        contexts = F.filter(F.array(F.concat(F.lit("1 "), last), F.concat(F.lit("2 "), two)), lambda c: c.isNotNull() & ~c.rlike("^[12] $") & ~c.rlike("[0-9]{2}"))
+        words = F.filter(F.split(F.lower(x["gap"]), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+        # another occurrence right before counts as the word #
+        last, first = F.get(words, F.size(words) - 1), F.coalesce(F.get(words, F.size(words) - 2), F.lit("#"))
+        patterns = F.when(last.isNotNull(), F.array(F.concat(F.lit("1 "), last), F.concat(F.lit("2 "), first, F.lit(" "), last)))
+        handle = x["m"].rlike(r"[A-Za-z0-9]@[A-Za-z0-9]")
         return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), _shape(x["m"]).alias("shape"), F.length(_digits(x["m"])).alias("digits"),
-            F.when(F.size(hit) > 0, hit[0]["kind"]).alias("kind"), contexts.alias("contexts"),
+            x["start"].alias("start"), x["end"].alias("end"), F.lower(x["m"]).alias("inst"), kind_of(x["m"]).alias("kind"),
+            ((F.length(_digits(x["m"])) >= F.lit(MIN_DIGITS)) | handle).alias("open"), F.coalesce(patterns, F.array().cast("array<string>")).alias("patterns"),
         )
 
-    return F.transform(found, one)
-
+    return F.transform(matches(text, OCCURRENCE, "[0-9@]"), one)
 
-def _shape(m: Column) -> Column:
-    """Runs of letters as a, of digits as 9, other characters kept."""
-    return F.regexp_replace(F.regexp_replace(m, "[A-Za-z]+", "a"), "[0-9]+", "9")
 
+def believe(edges: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(pattern, inst, kind or null for no seed, open) -> (inst, kind): the instances that are no seeds and are believed in the end.
 
-def find(docs: DataFrame, min_digits: int = 5, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS, keys: tuple = ("doc_id",)) -> DataFrame:
+    An instance that is a seed of some kind is never believed to be of another.
+    """
+    edges = cut(edges.groupBy("pattern", "inst").agg(F.min("kind").alias("seed"), F.max("open").alias("open")))
+    width = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    known = edges.where("seed is not null").select("inst", F.col("seed").alias("kind")).distinct()
+    waiting = cut(edges.where("seed is null and open").select("pattern", "inst"))
+    found, size = None, 0
+    while True:
+        share = edges.select("pattern", "inst").join(known, "inst").groupBy("pattern", "kind").agg(F.count("*").alias("good")).where(F.col("good") >= min_seeds)
+        accepted = share.join(width, "pattern").where(F.col("good") / (F.col("n") + 0.5) >= min_confidence).select("pattern", "kind", (F.col("good") / (F.col("n") + 0.5)).alias("confidence"))
+        # of several kinds, that of the surest pattern
+        each = waiting.join(accepted, "pattern").groupBy("inst").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+        found = cut(each.select("inst", F.col("best.kind").alias("kind")))
+        now = found.count()
+        if now == size:
+            return found
+        size, known = now, known.where("kind is not null").select("inst", "kind").unionByName(found).groupBy("inst").agg(F.min("kind").alias("kind"))
+
+
+def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, keys: tuple = ("doc_id",)) -> DataFrame:
     """(keys, spans array<struct<start, end, kind>>) of each row, in order of start, then of kind as listed."""
+    whole, row, base, occ = unused(keys, "whole", "row", "base", "occ")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    scanned = docs.select(*keys, text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    scanned = scanned.select(*keys, "base", F.when(F.col("text").rlike("[0-9]"), instances(F.col("text"), F.col("base"))).alias("tokens"))
-    scanned = cut(scanned.withColumn("row", F.monotonically_increasing_id()))
-
-    token = scanned.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
-    edges = token.select("row", "start", "end", "shape", "digits", "kind", F.explode("contexts").alias("pattern")).where(F.col("kind").isNotNull() | (F.col("digits") >= min_digits))
-    believed = edges.where("kind is not null").select("row", "start", "kind").distinct().withColumn("weight", F.lit(1.0))
-    found = None
-    for _ in range(rounds):
-        # a pattern's share of instances that are believed, smoothed by two that are not
-        judged = edges.select("row", "start", "pattern", "shape", "kind").join(believed.select("row", "start", F.col("weight")), ["row", "start"], "left")
-        scored = judged.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("weight", F.lit(0.0))).alias("good"), F.count("kind").alias("seeds"))
-        scored = scored.where((F.col("seeds") >= min_seeds) & (F.col("good") / (F.col("n") + 0.5) >= min_confidence)).select("pattern", (F.col("good") / (F.col("n") + 0.5)).alias("confidence"))
-        fresh = edges.where("kind is null").join(scored, "pattern").groupBy("row", "start", "end").agg(F.max("confidence").alias("weight"))
-        found = cut(fresh)
-        believed = believed.select("row", "start", "weight").unionByName(found.select("row", "start", "weight"))
-    more = found.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("context").alias("kind"))).alias("more"))
-    out = scanned.select("row", *keys, "base").join(more, "row", "left")
-    return out.select(*keys, in_order(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
+    scanned = docs.select(*keys, text.alias(whole)).select(*keys, base_spans(F.col(whole)).alias(base), occurrences(F.col(whole)).alias(occ))
+    scanned = cut(scanned.withColumn(row, F.monotonically_increasing_id()))
+    each = scanned.select(F.col(row).alias("row"), F.explode(occ).alias("o")).select("row", "o.*")
+    found = believe(each.select(F.explode("patterns").alias("pattern"), "inst", "kind", "open"), min_seeds, min_confidence)
+    hits = each.where("kind is null and open").join(found.select("inst"), "inst")
+    more = hits.groupBy("row").agg(F.collect_set(F.struct("start", "end", F.lit("context").alias("kind"))).alias("more")).withColumnRenamed("row", f"{row}_")
+    out = scanned.select(row, *keys, base).join(more, F.col(row) == F.col(f"{row}_"), "left")
+    return out.select(*keys, in_order(F.concat(F.col(base), F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
 
 
 def join_spans(spans: Column) -> Column:
@@ -170,24 +216,35 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[n(k).alias(f"n_{k}") for k in KINDS], F.sha2(join_spans(base), 256).alias("base_sha256"), join_spans(F.col("spans")).alias("spans"))
 
 
+#: Texts are cut into pieces of so many characters to take parts out of them without counting from the front.
+PIECE = 512
+
+
+def _redacted(text: Column, spans: Column) -> Column:
+    """The text, spans (in order of start) replaced by [kind]; a span that begins inside an earlier one goes with it."""
+
+    def part(pieces, a, b):
+        lo, hi = F.floor(a / PIECE), F.floor((b - 1) / PIECE)
+        return F.when(b > a, F.substring(F.array_join(F.slice(pieces, (lo + 1).cast("int"), (hi - lo + 1).cast("int")), ""), (a - lo * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    def build(pieces, upto):
+        # upto: the furthest end before each span; a span that begins from there on is preceded by the text between
+        each = F.transform(F.arrays_zip(spans.alias("s"), F.slice(upto, 1, F.size(spans)).alias("u")), lambda x: F.when(x["s"]["start"] >= x["u"], F.concat(part(pieces, x["u"], x["s"]["start"]), F.lit("["), x["s"]["kind"], F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(each, ""), part(pieces, F.element_at(upto, -1), F.length(text).cast("long")))
+
+    return _once(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: _once(_running(spans["end"], lambda p, q: F.greatest(p, q)), lambda upto: build(pieces, upto)))
+
+
 def redaction(docs: DataFrame) -> DataFrame:
     """The documents, spans replaced by [kind], all columns kept; `n_chars`, if there, follows.
 
     Spans go back to documents by doc_id (null equal to null) and the text's hash, so repeated ids do no harm.
     """
-    own = docs.withColumn("__h", F.xxhash64("text"))
-    found = find(own.select(F.col("doc_id").alias("__id"), "__h", "text"), keys=("__id", "__h")).where("size(spans) > 0")
-    found = found.groupBy("__id", "__h").agg(F.first("spans").alias("__spans")).withColumnRenamed("__h", "__g")
-    joined = own.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g")), "left")
-    text = F.col("text")
-    cut_out = F.aggregate(
-        F.col("__spans"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out")))
-        .otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    out = joined.withColumn("text", F.when(F.col("__spans").isNotNull(), cut_out).otherwise(text))
+    i, h, i2, h2, s = unused(docs.columns, "id", "hash", "found_id", "found_hash", "spans")
+    own = docs.withColumns({i: F.col("doc_id"), h: F.xxhash64("text")})
+    found = find(own.select(i, h, "text"), keys=(i, h)).where("size(spans) > 0").groupBy(i, h).agg(F.first("spans").alias(s)).withColumnsRenamed({i: i2, h: h2})
+    joined = own.join(found, F.col(i).eqNullSafe(F.col(i2)) & (F.col(h) == F.col(h2)), "left")
+    out = joined.withColumn("text", F.when(F.col(s).isNotNull(), _redacted(F.col("text"), F.col(s))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(s).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
