@@ -1,15 +1,19 @@
 """Secret scan by assignment-aware lexing of source and configuration text.
 
-Base spans (assign, access, hex) come from three fixed patterns. The method then lexes a text into
-name-literal pairs: `name = "literal"`, `name: literal`, `NAME=literal`, `"name": "literal"`, `<name>literal</name>`,
-`name := "a" + other`, with names in dotted, dashed, snake or camel form. Names defined earlier in the text are
-constants; a value that is a name, or a sum of literals and names, is propagated, and the literals it is made of
-are scored by the sensitive name they reach. A pair's score adds the weight of the target name's words and the
-literal's shape (length, mixed alphabets, entropy) and takes off for placeholders; from THRESHOLD on the literal
-is a span of kind `literal`, unless a base span covers it.
-
-Cases: null and empty texts have no spans; very long texts are scanned whole, in time linear in their length;
-repeated rows each get a row; a null doc_id stays null; an empty table gives no rows; columns other than doc_id
+Base spans (assign, access, hex) come from three fixed patterns. The method then goes through a text in three steps:
+  1. a lexer: comments, strings (single, double, back-quoted and triple-quoted, with escapes), names (dotted, dashed, snake
+     or camel), operators, brackets, tags, line ends with their indent; each token is matched once, at the place where the
+     one before ended, so a text is lexed in time linear in its length and no token has a length limit;
+  2. a parser of assignments: `name = value`, `name: value`, `name := value`, `name => value`, `"name": value`, keyword
+     arguments, `<name>value</name>`, and YAML block scalars (`name: |`). A value is a sum of strings, bare words and names;
+  3. propagation: names assigned in an open scope (a bracket, or an indented block) are constants there and in scopes
+     inside it; a value that names one takes its literals over, and literals are scored by the sensitive name they reach.
+A pair's score adds the weight of the target name's words and the literal's shape (length, mixed alphabets, entropy) and
+takes off for placeholders; from THRESHOLD on its literals are spans of kind `literal`, unless a base span covers them.
+
+Cases: null and empty texts have no spans; very long texts are scanned whole; literals, names and sums have no limit;
+a string that is not closed on its line is lexed as a mark alone; an unclosed comment or triple quote goes to the end of the
+text; repeated rows each get a row; a null doc_id stays null; an empty table gives no rows; columns other than doc_id
 and text are ignored. Starts and ends are code points, ends exclusive.
 """
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -43,17 +48,23 @@ HARMLESS = {"count", "name", "length", "len", "policy", "type", "id", "hint", "f
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|changeme|example|placeholder|your.*|<.*>|\$\{.*\}|%.*%|todo|redacted|undefined)$")
 THRESHOLD = 4.0
 
-#: Runs are possessive: nothing after them could take back a part, and their length has no limit.
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
-_QUOTED = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
-_PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])(?:["'](?P<q>{_NAME})["']|(?P<n>{_NAME}))[\x20\t]*+(?::=|=>|[:=])(?!=)[\x20\t]*+"""
-    rf"""(?P<value>{_QUOTED}|`[^`\n]*+`|[A-Za-z0-9_+/.@$%!\#^&*~=-]++)"""
-    rf"""(?P<more>(?:[\x20\t]*+\+[\x20\t]*+(?:{_QUOTED}|[A-Za-z_][A-Za-z0-9_.]*+))*+)"""
-    rf"""|<(?P<tag>{_NAME})>(?P<inner>[^<>\n]++)</(?P=tag)>""",
-    re.ASCII,
+#: Runs are possessive: nothing after them could take back a part.
+_TOKEN = re.compile(
+    r'''(?P<triple>"""(?:[^"\\]|\\.|"(?!""))*+(?:"""|\Z)|\'\'\'(?:[^'\\]|\\.|'(?!\'\'))*+(?:\'\'\'|\Z))'''
+    r'''|(?P<string>"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*+`)'''
+    r"""|(?P<comment>/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)|<!--(?:[^-]|-(?!->))*+(?:-->|\Z)|(?<![^\s;{}])(?://|\#|--)[^\n]*+)"""
+    r"""|(?P<line>\n[\x20\t]*+)"""
+    r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]*+)>"""
+    r"""|(?P<end></[A-Za-z_][A-Za-z0-9_.\-]*+>)"""
+    r"""|(?P<op>:=|=>|==+|!=|<=|>=|[:=+])"""
+    r"""|(?P<open>[(\[{])|(?P<close>[)\]}])"""
+    r"""|(?P<name>[A-Za-z_$@%/][A-Za-z0-9_.$@%/~^&*!\#\-]*+)|(?P<bare>[A-Za-z0-9_.$@%/~^&*!\#\-]++)"""
+    r"""|(?P<space>[\x20\t\r]++)|(?P<other>.)""",
+    re.ASCII | re.DOTALL,
 )
-_ATOM = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s+"'`]+""")
+#: Bare values go on over = and + (base64 padding and the like) up to white space, quotes, brackets and separators.
+_BARE = re.compile(r"""[A-Za-z0-9_+/.@$%!\#^&*~=\-]++(?:\{[^\s{}"']*+\})?""", re.ASCII)
+_PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*+", re.ASCII)
 
 
 def name_weight(name: str) -> float:
@@ -114,26 +125,171 @@ class Value:
         return _score(self.n, self.counts, ends or head.startswith("your") or chars in ({"x"}, {"*"}, {"."}))
 
 
+class Scopes:
+    """Constants by name, innermost scope first. A scope opens with a bracket, or with a deeper indent, and ends with it."""
+
+    def __init__(self):
+        self.names: dict[str, list] = {}
+        self.stack: list[tuple[int | None, list[str]]] = [(0, [])]
+
+    def open(self, indent: int | None = None):
+        self.stack.append((indent, []))
+
+    def _leave(self):
+        for name in self.stack.pop()[1]:
+            self.names[name].pop()
+
+    def close(self):
+        """A closing bracket ends indented blocks inside it, and the bracket's scope; one that none opened ends nothing."""
+        if any(i is None for i, _ in self.stack):
+            while self.stack[-1][0] is not None:
+                self._leave()
+            self._leave()
+
+    def line(self, indent: int):
+        top = self.stack[-1][0]
+        if top is None or indent == top:
+            return
+        if indent > top:
+            return self.open(indent)
+        while len(self.stack) > 1 and self.stack[-1][0] is not None and self.stack[-1][0] > indent:
+            self._leave()
+
+    def put(self, name: str, value: Value):
+        own, held = self.stack[-1][1], self.names.setdefault(name, [])
+        if held and held[-1][0] == len(self.stack):
+            held[-1] = (len(self.stack), value)
+        else:
+            own.append(name)
+            held.append((len(self.stack), value))
+
+    def get(self, name: str) -> Value | None:
+        held = self.names.get(name)
+        return held[-1][1] if held else None
+
+
+class Parser:
+    """Name-value pairs of a text, constants propagated in its order."""
+
+    def __init__(self, text: str):
+        self.text, self.scopes, self.bracket, self.indent = text, Scopes(), 0, 0
+
+    def token(self, at: int):
+        return _TOKEN.match(self.text, at)
+
+    def skip(self, at: int) -> int:
+        """Past blanks, not past line ends."""
+        text, n = self.text, len(self.text)
+        while at < n and text[at] in " \t\r":
+            at += 1
+        return at
+
+    def pairs(self):
+        text, n, at, subject = self.text, len(self.text), 0, None
+        while at < n:
+            m = self.token(at)
+            kind, at = m.lastgroup, m.end()
+            if kind == "line":
+                subject, blank = None, at >= n or text[at] == "\n"
+                if not blank and not self.bracket:
+                    self.indent = at - m.start() - 1
+                    self.scopes.line(self.indent)
+            elif kind in ("name", "string"):
+                subject = m.group() if kind == "name" else m.group()[1:-1]
+                subject = subject if (own := _PLAIN_NAME.match(subject)) and own.end() == len(subject) else None
+            elif kind == "op" and subject and m.group() in (":", "=", ":=", "=>"):
+                value, at = self.block(at) if m.group() == ":" else (None, at)
+                if value is None:
+                    value, at = self.value(self.skip(at))
+                if value is not None:
+                    self.scopes.put(subject, value)
+                    yield subject, value
+                subject = None
+            elif kind == "tag":
+                close = text.find("<", at)
+                if close >= 0 and text.startswith(f"</{m['tag']}>", close) and close > at:
+                    value = Value(text[at:close], at)
+                    self.scopes.put(m["tag"], value)
+                    yield m["tag"], value
+                    at = close
+                subject = None
+            elif kind == "open":
+                self.bracket += 1
+                self.scopes.open()
+                subject = None
+            elif kind == "close":
+                self.bracket = max(0, self.bracket - 1)
+                self.scopes.close()
+                subject = None
+            elif kind not in ("space", "comment"):
+                subject = None
+
+    def block(self, at: int) -> tuple[Value | None, int]:
+        """A YAML block scalar: lines indented deeper than the name, after | or >; each line's text is a part."""
+        head = re.compile(r"[\x20\t]*+[|>][+-]?[\x20\t]*+\n").match(self.text, at)
+        if not head:
+            return None, at
+        at, parts = head.end(), []
+        row = re.compile(r"([\x20\t]*+)([^\n]*+)(\n|\Z)")
+        while at < len(self.text):
+            m = row.match(self.text, at)
+            if m[2] and len(m[1]) <= self.indent:
+                break
+            if m[2].rstrip():
+                parts.append(Value(m[2].rstrip(), m.start(2)))
+            at = m.end()
+        # the line end before the next line stays, so that its indent is seen
+        return (parts[0] if len(parts) == 1 else Value(parts=tuple(parts))) if parts else None, at - (at > head.end() and self.text[at - 1] == "\n")
+
+    def value(self, at: int) -> tuple[Value | None, int]:
+        """A sum of strings, names and bare words; None if there is none."""
+        text, parts, begin = self.text, [], at
+        while at < len(text):
+            m = self.token(at)
+            kind = m.lastgroup
+            if kind == "string":
+                parts.append(Value(m.group()[1:-1], at + 1))
+                at = m.end()
+            elif kind == "triple":
+                shut = 3 if len(m.group()) >= 6 and m.group()[-3:] == m.group()[:3] else 0
+                parts.append(Value(m.group()[3 : len(m.group()) - shut], at + 3))
+                at = m.end()
+            elif kind in ("name", "bare", "op") and (bare := _BARE.match(text, at)):
+                word = bare.group()
+                known = self.scopes.get(word)
+                follows = text[bare.end() : bare.end() + 1]
+                if known is not None:
+                    parts.append(known)
+                elif text[self.skip(bare.end()) :][:1] == "+" and kind == "name":
+                    pass  # an unknown name in a sum
+                elif follows == "(" or (parts and kind == "name"):
+                    pass  # a call, or a name of a sum that is not known
+                elif not parts and kind != "op" or kind == "bare":
+                    plus = text.find("+", at, bare.end())
+                    own = self.scopes.get(word[: plus - at]) if plus > at else None
+                    if own is not None:  # name+"literal", written together
+                        parts.append(own)
+                        at = plus
+                        nxt = self.skip(at + 1)
+                        at = nxt
+                        continue
+                    parts.append(Value(word, at))
+                at = bare.end()
+            else:
+                break
+            nxt = self.skip(at)
+            if text[nxt : nxt + 1] == "+" and text[nxt + 1 : nxt + 2] != "=":
+                at = self.skip(nxt + 1)
+                continue
+            break
+        if not parts:
+            return None, begin
+        return parts[0] if len(parts) == 1 else Value(parts=tuple(parts)), at
+
+
 def pairs(text: str):
     """(name, value) for each assignment, constants propagated in the order of the text."""
-    known: dict[str, Value] = {}
-    for m in _PAIR.finditer(text):
-        name = m["q"] or m["n"] or m["tag"]
-        if m["tag"]:
-            found = [Value(m["inner"], m.start("inner"))]
-        else:
-            base, source, found = m.start("value"), m["value"] + m["more"], []
-            for a in _ATOM.finditer(source) if m["more"] or m["value"][0] in "\"'`" else [re.match(r"(?s).*", source)]:
-                atom, at = a.group(), base + a.start()
-                if atom[:1] in "\"'`":
-                    found.append(Value(atom[1:-1], at + 1))
-                elif atom in known:
-                    found.append(known[atom])
-                elif not m["more"]:
-                    found.append(Value(atom, at))
-        value = found[0] if len(found) == 1 else Value(parts=tuple(found))
-        known[name] = value
-        yield name, value
+    return Parser(text).pairs()
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -145,7 +301,10 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     more, told_of = set(), set()
-    if _SENSITIVE.search(text):
+    if _SENSITIVE.search(text) and ("=" in text or ":" in text or "</" in text):
+        # base spans of one kind do not overlap, so of each kind only the last that begins by a place can cover it
+        by_kind = [[s for s in base if s[2] == k] for k in KINDS[:3]]
+        starts = [[s[0] for s in own] for own in by_kind]
         held = []  # keeps values alive while their ids stand for them
         for name, value in pairs(text):
             weight = name_weight(name)
@@ -158,8 +317,10 @@ def scan(text: str) -> list[tuple[int, int, str]]:
                         continue
                     told_of.add(id(v))
                     todo += v.parts
-                    if not v.parts and v.end > v.at and not any(s <= v.at and v.end <= e for s, e, _ in base):
-                        more.add((v.at, v.end, "literal"))
+                    if not v.parts and v.end > v.at:
+                        last = [own[i - 1] for own, at in zip(by_kind, starts, strict=True) if (i := bisect_right(at, v.at))]
+                        if not any(v.end <= s[1] for s in last):
+                            more.add((v.at, v.end, "literal"))
     return sorted(base + list(more), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -179,16 +340,6 @@ def secrets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spans array<struct<start: long, end: long, kind: string>>")
 
 
-def redact(text: str, mark: str = "[secret]") -> str:
-    """The text with spans, joined where they overlap, replaced."""
-    out, at = [], 0
-    for a, b, _ in scan(text):
-        if b > at:
-            out += [text[at:a], mark] if a >= at else []
-            at = b
-    return "".join([*out, text[at:]])
-
-
 def join_spans(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
