@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from weftgraph.llm.words import RangeHash, mix
+from weftgraph.llm.words import xxh64
 
 ROUND_BYTES = 6 << 20
 _HASH_BYTES = 1 << 20
@@ -28,20 +28,31 @@ def rounds(batches: Iterable[pa.RecordBatch], size: int = ROUND_BYTES) -> Iterat
         yield ids, texts
 
 
-def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each slice, some slices at a time."""
-    one, two = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
-    lo = 0
-    with np.errstate(over="ignore"):
-        while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _HASH_BYTES)))
-            at = int(starts[lo])
-            part = raw[at : int(ends[hi - 1])].astype(np.uint64) + np.uint64(1)
-            s, e = starts[lo:hi] - at, ends[lo:hi] - at
-            one[lo:hi] = RangeHash(part, 0x9E3779B97F4A7C15).of(s, e)
-            two[lo:hi] = RangeHash(mix(part), 0xD1342543DE82EF95).of(s, e)
-            lo = hi
-    return one, two
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each slice, some slices at a time."""
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _HASH_BYTES)))
+        at = int(starts[lo])
+        out[lo:hi] = xxh64(raw[at : int(ends[hi - 1])], starts[lo:hi] - at, ends[lo:hi] - at)
+        lo = hi
+    return out
+
+
+def _same(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, rep: np.ndarray) -> bool:
+    """Has every slice the bytes of the one that stands for it?"""
+    size = ends - starts
+    if not (size == size[rep]).all():
+        return False
+    other = np.flatnonzero(rep != np.arange(len(rep)))
+    for lo in range(0, len(other), 1 << 16):
+        own = other[lo : lo + (1 << 16)]
+        n = size[own]
+        upto = np.cumsum(n)
+        step = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - n, n)
+        if not np.array_equal(raw[np.repeat(starts[own], n) + step], raw[np.repeat(starts[rep[own]], n) + step]):
+            return False
+    return True
 
 
 class Flat:
@@ -57,14 +68,14 @@ class Flat:
 def encode_units(data: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, lookup: Callable[[bytes], bytes]) -> Flat:
     """lookup(unit) gives 32-bit ids; first: the number of each text's first unit, and of all.
 
-    Equal units are found by one hash and confirmed by a second one, together 128 bits.
+    Equal units are found by a hash and confirmed byte by byte.
     """
     if not len(starts):
         return Flat(np.zeros(0, np.uint32), np.zeros(len(first), np.int64))
-    one, two = _hashes(np.frombuffer(data, np.uint8), starts, ends)
-    _, rep, inverse = np.unique(one, return_index=True, return_inverse=True)
-    if not (two == two[rep][inverse]).all():
-        rep, inverse = np.arange(len(one)), np.arange(len(one))
+    raw = np.frombuffer(data, np.uint8)
+    _, rep, inverse = np.unique(_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    if not _same(raw, starts, ends, rep[inverse]):
+        rep, inverse = np.arange(len(starts)), np.arange(len(starts))
     found = [lookup(data[a:b]) for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)]
     count = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
     flat = np.frombuffer(b"".join(found), dtype="<u4")

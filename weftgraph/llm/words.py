@@ -83,7 +83,10 @@ def mix(h: np.ndarray, add: int = 0) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit hash of any run of items in constant time, from prefix sums of a polynomial."""
+    """64-bit hash of any run of items in constant time, from prefix sums of a polynomial.
+
+    Items have to be hashes themselves: over small values such as bytes, texts of some regular patterns collide for any base.
+    """
 
     def __init__(self, items: np.ndarray, base: int):
         up, self.down = _power(base, len(items) + 1)
@@ -94,10 +97,6 @@ class RangeHash:
         return mix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
-def word_hashes(words: Words) -> np.ndarray:
-    return RangeHash(words.buf.astype(np.uint64) + _u(1), 0x9E3779B97F4A7C15).of(words.starts, words.ends)
-
-
 _P1, _P2, _P3, _P4, _P5 = (_u(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -147,3 +146,7 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42)
             h = (h ^ (h >> _u(29))) * _P3
             out[rows] = h ^ (h >> _u(32))
     return out
+
+
+def word_hashes(words: Words, seed: int = 42) -> np.ndarray:
+    return xxh64(words.buf, words.starts, words.ends, seed)
