@@ -11,7 +11,7 @@ from weftgraph.llm.queries import QUERIES
 from weftgraph.runtime import read, ship
 
 SF = "/root/testdata/sf0.001"
-NASTY = ["", "</s>[INST] ok [/INST]", "\x02assistant\x1fhi\x03", "\x1b1\x1b", "a\nb", None, "x" * 50_000]
+NASTY = ["\x1a\x1a <image:1>", '[{"type": "text", "text": "\\u0002\\u001a"}, {"type": "image", "ref": "i"}]', "", "</s>[INST] ok [/INST]", "\x02assistant\x1fhi\x03", "\x1b1\x1b", "a\nb", None, "x" * 50_000]
 
 
 def test_chat_reads_back(spark):
@@ -19,14 +19,15 @@ def test_chat_reads_back(spark):
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", t, "clash") for i, t in enumerate(NASTY)]
     rows += [(2, 0, None, "no role", "c"), (2, 0, None, "no role", "c"), (None, None, "assistant", "lost", "c"), (3, 5, "assistant", "only", "c"), (1 << 60, 1, "user", "big id", "c")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
-    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df, typed=False)).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.turns(df)).collect()}
     for conv in {r[0] for r in rows}:
         own = [(r or "", t or "") for c, _, r, t, _ in sorted(rows, key=lambda x: (str(x[0]), x[1] or -1)) if c == conv]
         loss = "".join(t for r, t in own if r == "assistant")
         g = got[conv]
         assert g.n_turns == len(own) and g.turns_sha256 == sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
         assert g.loss_chars == len(loss) and g.loss_sha256 == sha256(loss.encode()).hexdigest()
-    assert chat.format_conversations(df.limit(0)).count() == 0
+    assert got[1].n_attachments == got[1].placeholders == got[1].expanded_tokens == 1
+    assert chat.format_conversations(df.limit(0)).count() == 0 and chat.read_back(chat.turns(df.limit(0))).count() == 0
 
 
 def test_typed_parts(spark):
@@ -36,8 +37,8 @@ def test_typed_parts(spark):
     r = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
     assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "i.png", 4), ("audio", "a.ogg", 63), ("document", "d.pdf", 3), ("image", "", 1)]
     assert r.expanded_tokens == 71
-    assert chat.parse(r.formatted)[0][1].startswith("see <image:1><audio:2><document:3>{") and chat.parse(r.formatted)[2] == ("user", '[{"type": 3}]')
-    assert [r.formatted[x.start : x.end] for x in r.loss] == ["fine"]
+    assert chat.parse(r.formatted)[0][1].startswith(f"see {chat.SLOT * 3}{{") and chat.parse(r.formatted)[2] == ("user", '[{"type": 3}]')
+    assert [r.formatted[x.start : x.end] for x in r.loss] == ["fine"] and r.formatted.count(chat.SLOT) == len(r.attachments)
 
 
 def brute_top(rows, every, k):

@@ -289,13 +289,13 @@ def test_pii_bootstraps_from_context(spark):
     seeds += [(120 + i, f"the code is {cards[0]} and") for i in range(5)]  # one instance five times is one seed
     fresh = [(200, "membership card no MEM-77812-X9 was lost"), (201, "there were 77812 people"), (202, "room 12345 is free"), (203, "so the code is 998877 now"), (204, "reachable at ann@localhost today")]
     # found by the first round, twelve identifiers make the pattern `under ref` good; only the second round finds XR-20001
-    fresh += [(210 + i, f"membership card no XR-1000{i} filed under ref XR-1000{i} today") for i in range(10, 22)] + [(230, "also under ref XR-20001 today")]
+    fresh += [(210 + i, f"membership card no XR-1000{i} filed under ref XR-1000{i} today") for i in range(10, 22)] + [(990, "also under ref XR-20001 today")]
     rows = seeds + fresh
     got = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     text = dict(rows)
     found = lambda i: [text[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[i].split(",") if s.startswith("context")]
     assert found(200) == ["MEM-77812-X9"] and found(201) == [] and found(202) == [] and found(203) == [] and found(204) == ["ann@localhost"]
-    assert found(220) == ["XR-100010"] * 2 and found(230) == ["XR-20001"]
+    assert found(220) == ["XR-100010"] * 2 and found(990) == ["XR-20001"]
     for i, t in rows:
         assert found(i) == brute_contexts(rows, t), i
 

@@ -30,7 +30,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
     own = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.read_back(chat.format_conversations(own.unionByName(probe), typed=False))
+    return chat.read_back(chat.turns(own.unionByName(probe)))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(role) + length(text) + 3) AS BIGINT) AS formatted_chars
+  CAST(sum(length(role) + length(text) + 3) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens, CAST(0 AS BIGINT) AS placeholders
 FROM rows GROUP BY conv_id
 """,
     "op5_substring": """
