@@ -5,12 +5,13 @@ Lists are joined to text, so that results compare across engines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators import curate, graph, history, lookup, match, quality, reports, vector, views
+from weftgraph.operators import curate, graph, history, lookup, match, quality, records, reports, vector, views
 from weftgraph.plans import testgraph
 from weftgraph.plans.testgraph import ctes, knowledge
 from weftgraph.runtime import read, ship
@@ -36,6 +37,19 @@ def add(name: str, f: Callable, sql: str | None = None, *tables: str) -> None:
         ORACLE[name] = head + (", " + sql.strip()[5:] if sql.strip().startswith("WITH ") else "\n" + sql)
 
 
+def add_rough(name: str, f: Callable, sql: str | None = None, *tables: str) -> None:
+    """The same over the records as a careless hand would leave them, so that there is something to find."""
+    def query(spark, sf_dir):
+        ship(spark)
+        return f(knowledge(spark, sf_dir).with_(entities=testgraph.table(spark, sf_dir, "rough_entities"), connections=testgraph.table(spark, sf_dir, "rough_connections")))
+
+    QUERIES[name] = query
+    if sql is not None:
+        rough = [f"rough_{t}" if t in ("entities", "connections") else t for t in tables]
+        sql = re.sub(r"\b(entities|connections)\b", r"rough_\1", sql)
+        ORACLE[name] = ctes(*rough) + (", " + sql.strip()[5:] if sql.strip().startswith("WITH ") else "\n" + sql)
+
+
 def add_raw(name: str, f: Query, sql: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: (ship(spark), f(spark, sf_dir))[1]
     if sql is not None:
@@ -86,7 +100,7 @@ FROM connections c LEFT JOIN relations r ON r.name = c.relation WHERE NOT coales
 add("node_projection", lookup.node_projection,
     """WITH e AS (SELECT source, target FROM connections WHERE NOT coalesce(assertion_status IN ('deprecated', 'superseded'), false) AND source IN (SELECT id FROM entities) AND target IN (SELECT id FROM entities)),
 d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id)
-SELECT n.id, type, CASE WHEN h LIKE '%region%' THEN 'region' WHEN h LIKE '%nation%' THEN 'nation' WHEN h LIKE '%customer%' THEN 'customer' WHEN h LIKE '%supplier%' THEN 'supplier' WHEN h LIKE '%steel%' THEN 'steel'
+SELECT n.id, type, CASE WHEN h LIKE '%region%' THEN 'region' WHEN h LIKE '%nation%' THEN 'nation' WHEN h LIKE '%customer%' THEN 'customer' WHEN h LIKE '%supplier%' THEN 'supplier' WHEN h LIKE '%widget%' THEN 'widget'
   WHEN h LIKE '%brass%' THEN 'brass' WHEN h LIKE '%copper%' THEN 'copper' WHEN h LIKE '%tin%' THEN 'tin' WHEN h LIKE '%nickel%' THEN 'nickel' ELSE 'other' END AS cluster,
   coalesce(degree, 0) AS degree, CAST(least(4 + coalesce(degree, 0), CASE WHEN type = 'law' THEN 30 ELSE 20 END) AS BIGINT) AS size
 FROM (SELECT *, lower(concat_ws(' ', name, subdomain)) AS h FROM entities) n LEFT JOIN d ON d.id = n.id""", "entities", "connections")
@@ -147,7 +161,9 @@ add("consumer_preview", lambda kg: views.consumer_preview(kg, "org", ["canonical
 add("jsonld_nodes", views.jsonld_nodes,
     f"""SELECT id AS node_id, upper(substr(type, 1, 1)) || substr(type, 2) AS node_type, name AS label, CAST(NULL AS STRING) AS source, CAST(NULL AS STRING) AS target FROM entities WHERE status = 'canonical'
 UNION ALL SELECT id, 'Assertion', relation, source, target FROM connections WHERE {ACTIVE} AND review = 'canonical'""", "entities", "connections")
-add("projection_mismatch", views.projection_mismatch, "SELECT id, '' AS side FROM entities WHERE false", "entities", "connections")
+_NODES = lambda kg: views.jsonld_nodes(kg.with_(entities=kg.entities.where("id not like '%70'").withColumn("status", F.when(F.col("id").like("%23"), "canonical").otherwise(F.col("status")))))
+add("projection_mismatch", lambda kg: views.projection_mismatch(kg, _NODES(kg)),
+    "SELECT id, 'missing' AS side FROM entities WHERE status = 'canonical' AND id LIKE '%70' UNION ALL SELECT id, 'extra' FROM entities WHERE status <> 'canonical' AND id LIKE '%23'", "entities")
 
 # graph
 
@@ -158,16 +174,16 @@ last AS (SELECT id, max(hops) AS hops, max_by(pos, hops) AS pos FROM walk GROUP
 SELECT l.id, pos AS resolved, CAST(hops AS BIGINT) AS hops, CASE WHEN e.deprecated_by IS NOT NULL THEN 'dangling' ELSE 'ok' END AS verdict FROM last l JOIN entities e ON e.id = l.pos""".replace("WITH RECURSIVE", "WITH"), "entities")
 ORACLE["resolve"] = ORACLE["resolve"].replace("WITH entities", "WITH RECURSIVE entities", 1)
 _NEED = "relation IN ('mathematically_requires', 'requires', 'logically_requires', 'depends_on')"
-add("prerequisites", lambda kg: graph.prerequisites(kg, kg.entities.where("domain = 'prod' and subdomain = 'brand#11'").select("id"), policy="reviewed").select("id", "prerequisite"),
+add("prerequisites", lambda kg: graph.prerequisites(kg, kg.entities.select("id"), policy="reviewed").select("id", "prerequisite"),
     f"""WITH shown AS (SELECT * FROM entities WHERE {LIVE}), edges AS (SELECT DISTINCT source, target FROM connections WHERE {_NEED} AND target IN (SELECT id FROM shown) AND {_POLICY_SQL['reviewed']}),
-reach AS (SELECT id, id AS node FROM shown WHERE domain = 'prod' AND subdomain = 'brand#11' UNION SELECT r.id, e.target FROM reach r JOIN edges e ON e.source = r.node)
+reach AS (SELECT id, id AS node FROM shown UNION SELECT r.id, e.target FROM reach r JOIN edges e ON e.source = r.node)
 SELECT id, node AS prerequisite FROM reach WHERE id <> node""", "entities", "connections")
 ORACLE["prerequisites"] = ORACLE["prerequisites"].replace("WITH entities", "WITH RECURSIVE entities", 1)
-add("transitive_closure", lambda kg: graph.transitive_closure(kg, ["part_of", "logically_requires"]).select("relation", "source", "target", F.array_join("path", " > ").alias("path")),
-    """WITH edges AS (SELECT DISTINCT relation, source, target FROM connections WHERE relation IN ('part_of', 'logically_requires') AND target IS NOT NULL AND source <> target),
+add("transitive_closure", lambda kg: graph.transitive_closure(kg).select("relation", "source", "target", F.array_join("path", " > ").alias("path")),
+    """WITH edges AS (SELECT DISTINCT relation, source, target FROM connections WHERE relation IN (SELECT name FROM relations WHERE transitive) AND target IS NOT NULL AND source <> target),
 walk AS (SELECT relation, source, target, source || ' > ' || target AS path, 1 AS n FROM edges UNION ALL
   SELECT w.relation, w.source, e.target, path || ' > ' || e.target, n + 1 FROM walk w JOIN edges e ON e.relation = w.relation AND e.source = w.target WHERE n < 40)
-SELECT relation, source, target, min(path) AS path FROM walk w WHERE n = (SELECT min(n) FROM walk v WHERE v.relation = w.relation AND v.source = w.source AND v.target = w.target) AND n > 1 GROUP BY relation, source, target""", "connections")
+SELECT relation, source, target, min(path) AS path FROM walk w WHERE n = (SELECT min(n) FROM walk v WHERE v.relation = w.relation AND v.source = w.source AND v.target = w.target) AND n > 1 GROUP BY relation, source, target""", "connections", "relations")
 ORACLE["transitive_closure"] = ORACLE["transitive_closure"].replace("WITH pairs", "WITH RECURSIVE pairs", 1)
 add("prerequisite_chains", graph.prerequisite_chains,
     f"""WITH edges AS (SELECT DISTINCT source, target FROM connections WHERE {ACTIVE} AND target IS NOT NULL AND relation IN ('mathematically_requires', 'logically_requires')),
@@ -175,7 +191,9 @@ starts AS (SELECT DISTINCT source FROM edges ORDER BY source LIMIT 20),
 walk AS (SELECT [source, target] AS p FROM edges WHERE source IN (SELECT source FROM starts) AND source <> target UNION ALL SELECT list_append(p, target) FROM walk JOIN edges ON source = p[-1] WHERE len(p) < 5 AND NOT list_contains(p, target))
 SELECT array_to_string(p, ' > ') AS path, CAST(len(p) - 1 AS INTEGER) AS length FROM walk""", "connections")
 ORACLE["prerequisite_chains"] = ORACLE["prerequisite_chains"].replace("WITH pairs", "WITH RECURSIVE pairs", 1)
-add("relationship_cycles", graph.relationship_cycles, "SELECT relation, source AS cycle FROM connections WHERE false", "connections")
+add_rough("relationship_cycles", graph.relationship_cycles,
+    f"""WITH e AS (SELECT DISTINCT relation, source, target FROM connections WHERE {ACTIVE} AND target IS NOT NULL AND relation IN (SELECT name FROM relations WHERE transitive AND NOT "symmetric"))
+SELECT a.relation, a.source || ' > ' || a.target || ' > ' || a.source AS cycle FROM e a JOIN e b ON a.relation = b.relation AND a.source = b.target AND a.target = b.source WHERE a.source < a.target""", "connections", "relations")
 add("connected_components", graph.connected_components,
     """WITH edges AS (SELECT source AS a, target AS b FROM connections WHERE target IS NOT NULL UNION SELECT target, source FROM connections WHERE target IS NOT NULL),
 near AS (SELECT id, least(id, coalesce(min(b), id)) AS low FROM entities LEFT JOIN edges ON a = id GROUP BY id),
@@ -205,10 +223,12 @@ add("cross_domain_pathways", graph.cross_domain_pathways,
     "SELECT c.id, source, s.domain AS source_domain, target, t.domain AS target_domain FROM connections c LEFT JOIN entities s ON s.id = source LEFT JOIN entities t ON t.id = target WHERE relation = 'bridges' AND target IS NOT NULL", "entities", "connections")
 for _key, _rel in (("analogy_pairs", "analogous_to"), ("approximation_chains", "approximates")):
     add(_key, (lambda r: lambda kg: graph.pairs_by_relation(kg, r))(_rel), f"SELECT id, source, target, review FROM connections WHERE relation = '{_rel}'", "connections")
-add("edge_union", lambda kg: graph.edge_union(kg.with_(connections=kg.connections.where("relation in ('part_of', 'applies_to')"))),
-    """WITH c AS (SELECT * FROM connections WHERE relation IN ('part_of', 'applies_to') AND target IS NOT NULL)
+add("edge_union", graph.edge_union,
+    """WITH c AS (SELECT * FROM connections WHERE target IS NOT NULL), d AS (SELECT DISTINCT relation, source, target FROM c WHERE relation IN (SELECT name FROM relations WHERE transitive) AND source <> target),
+walk AS (SELECT * FROM d UNION SELECT w.relation, w.source, d.target FROM walk w JOIN d ON d.relation = w.relation AND d.source = w.target WHERE w.source <> d.target)
 SELECT source, relation, target, false AS derived, 'explicit' AS method FROM c UNION ALL SELECT target, inverse, source, true, 'inverse' FROM c JOIN relations ON name = relation WHERE inverse IS NOT NULL UNION ALL
-SELECT DISTINCT a.source, a.relation, b.target, true, 'closure' FROM c a JOIN c b ON a.target = b.source AND a.relation = b.relation WHERE a.relation = 'part_of'""", "connections", "relations")
+SELECT source, relation, target, true, 'closure' FROM (SELECT relation, source, target FROM walk EXCEPT SELECT * FROM d)""", "connections", "relations")
+ORACLE["edge_union"] = ORACLE["edge_union"].replace("WITH pairs", "WITH RECURSIVE pairs", 1)
 add("dangling_endpoints", graph.dangling_endpoints,
     """SELECT 'source' AS kind, id AS record, source AS pointer FROM connections WHERE source NOT IN (SELECT id FROM entities) UNION ALL
 SELECT 'target', id, target FROM connections WHERE target IS NOT NULL AND target NOT IN (SELECT id FROM entities) UNION ALL
@@ -250,8 +270,8 @@ add("provenance_gaps", reports.provenance_gaps, "SELECT id, review FROM connecti
 add("duplicate_claims", reports.duplicate_claims,
     f"SELECT claim_signature, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT id, {SIGNATURE} AS claim_signature FROM connections WHERE coalesce(assertion_status, 'active') = 'active') GROUP BY claim_signature HAVING count(*) > 1", "connections")
 _TRIPLES = "SELECT source, relation, coalesce(target, 'VALUE:' || amount) AS object, count(*) AS n, count(DISTINCT review) AS n_reviews FROM connections GROUP BY source, relation, coalesce(target, 'VALUE:' || amount) HAVING count(*) > 1"
-add("duplicate_triples", reports.duplicate_triples, _TRIPLES, "connections")
-add("conflicting_review", reports.conflicting_review, _TRIPLES + " AND count(DISTINCT review) > 1", "connections")
+add_rough("duplicate_triples", reports.duplicate_triples, _TRIPLES, "connections")
+add_rough("conflicting_review", reports.conflicting_review, _TRIPLES + " AND count(DISTINCT review) > 1", "connections")
 add("conflicts", reports.conflicts,
     """SELECT subject, relation, object, count(*) AS n_claims, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, ',' ORDER BY value) AS competing, count(DISTINCT source_id) AS n_sources
 FROM claims WHERE value IS NOT NULL GROUP BY subject, relation, object HAVING count(DISTINCT value) > 1""", "claims")
@@ -268,7 +288,7 @@ add("affected_by_source", reports.affected_by_source,
     """SELECT DISTINCT source_ref, 'connection' AS kind, connection_id AS id FROM evidence WHERE source_ref IN (SELECT id FROM sources) UNION ALL SELECT source_ref, 'entity', id FROM entities WHERE source_ref IN (SELECT id FROM sources)""", "entities", "evidence", "sources")
 add("review_progress", reports.review_progress,
     "SELECT domain, count(*) FILTER (status IN ('canonical', 'human_reviewed')) AS reviewed, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (status IN ('canonical', 'human_reviewed')) / count(*), 1) AS percent FROM entities GROUP BY domain", "entities")
-add("isolated_entities", reports.isolated_entities, "SELECT id FROM entities WHERE id NOT IN (SELECT source FROM connections) AND id NOT IN (SELECT target FROM connections WHERE target IS NOT NULL)", "entities", "connections")
+add_rough("isolated_entities", reports.isolated_entities, "SELECT id FROM entities WHERE id NOT IN (SELECT source FROM connections) AND id NOT IN (SELECT target FROM connections WHERE target IS NOT NULL)", "entities", "connections")
 PRIORITY = ["requires", "depends_on", "causes", "applies_to", "derived_from"]
 add("relation_triage", lambda kg: reports.relation_triage(kg, PRIORITY),
     f"""WITH c AS (SELECT *, least(source, target) || '|' || greatest(source, target) AS pair FROM connections WHERE target IS NOT NULL),
@@ -308,17 +328,18 @@ for _key in ("last_stage", "next_stage"):
 add("id_reassigned", history.id_reassigned,
     """WITH s AS (SELECT id, name || '/' || domain AS stamp, min(seq) AS seq FROM entity_versions GROUP BY id, name, domain), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM s)
 SELECT a.id, a.stamp AS first_stamp, b.stamp AS second_stamp FROM r a JOIN r b ON a.id = b.id AND a.rn = 1 AND b.rn = 2""", "entity_versions")
-_LIVE_USERS = lambda kg, p: kg.entity_versions.where("status = 'draft' and seq % 5 = 0").select(F.regexp_replace("id", "^user", p).alias("id")).distinct()
+_GONE = "CAST(split_part(id, '.', 2) AS BIGINT) % 7 = 0"
+_LIVE_USERS = lambda kg, p: kg.entity_versions.where(f"NOT {_GONE}").select(F.regexp_replace("id", "^user", p).alias("id")).distinct()
 add("id_deleted", lambda kg: history.id_deleted(kg, _LIVE_USERS(kg, "user")),
-    "SELECT id, max_by(status, seq) AS last_status FROM entity_versions WHERE id NOT IN (SELECT id FROM entity_versions WHERE status = 'draft' AND seq % 5 = 0) GROUP BY id HAVING max_by(status, seq) <> 'deprecated'", "entity_versions")
+    f"SELECT id, max_by(status, seq) AS last_status FROM entity_versions WHERE {_GONE} GROUP BY id HAVING max_by(status, seq) <> 'deprecated'", "entity_versions")
 add("triple_changed", history.triple_changed,
     """WITH v AS (SELECT id, seq, source || '|' || relation || '|' || target AS triple FROM connection_versions WHERE target IS NOT NULL), l AS (SELECT *, lag(triple) OVER (PARTITION BY id ORDER BY seq) AS before FROM v),
 c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM l WHERE before <> triple)
 SELECT id, seq, before, triple AS after FROM c WHERE rn = 1""", "connection_versions")
 add("triple_deleted", lambda kg: history.triple_deleted(kg, _LIVE_USERS(kg, "use")),
-    """SELECT id, max_by(status, seq) AS last_status FROM connection_versions WHERE id NOT IN (SELECT replace(id, 'user', 'use') FROM entity_versions WHERE status = 'draft' AND seq % 5 = 0)
-GROUP BY id HAVING max_by(status, seq) NOT IN ('superseded', 'deprecated') AND max(replaced_by) IS NULL""", "entity_versions", "connection_versions")
-add("alias_invalid", history.alias_invalid, "SELECT id, deprecated_by AS pointer FROM entities WHERE deprecated_by IS NOT NULL AND deprecated_by NOT IN (SELECT id FROM entities) AND deprecated_by NOT IN (SELECT id FROM entity_versions)", "entities", "entity_versions")
+    f"""SELECT id, max_by(status, seq) AS last_status FROM connection_versions WHERE {_GONE}
+GROUP BY id HAVING max_by(status, seq) NOT IN ('superseded', 'deprecated') AND max(replaced_by) IS NULL""", "connection_versions")
+add_rough("alias_invalid", history.alias_invalid, "SELECT id, deprecated_by AS pointer FROM entities WHERE deprecated_by IS NOT NULL AND deprecated_by NOT IN (SELECT id FROM entities) AND deprecated_by NOT IN (SELECT id FROM entity_versions)", "entities", "entity_versions")
 
 
 def _degrees(kg):
@@ -364,7 +385,8 @@ _DQ = {
     "dq_required": ("""SELECT 'dq_required' AS rule, 'error' AS severity, id AS focus, 'missing url' AS message FROM sources WHERE url IS NULL""", ["sources"]),
     "dq_quantity_fields": ("SELECT 'dq_quantity_fields' AS rule, 'error' AS severity, id AS focus, 'quantity without symbol' AS message FROM entities WHERE type = 'quantity' AND symbol IS NULL", ["entities"]),
     "dq_provenance_shape": ("SELECT 'dq_provenance_shape' AS rule, 'warning' AS severity, id AS focus, 'reviewed record without source' AS message FROM entities WHERE status IN ('canonical', 'human_reviewed') AND source_ref IS NULL", ["entities"]),
-    "dq_target_xor_value": ("SELECT 'dq_target_xor_value' AS rule, 'error' AS severity, id AS focus, 'x' AS message FROM connections WHERE (target IS NULL) = (amount IS NULL)", ["connections"]),
+    "dq_target_xor_value": (r"""SELECT 'dq_target_xor_value' AS rule, 'error' AS severity, id AS focus, 'exactly one of target and value is needed' AS message FROM connections WHERE (target IS NULL) = (amount IS NULL)
+UNION ALL SELECT 'dq_target_xor_value', 'error', id, 'amount is not a decimal' FROM connections WHERE NOT regexp_matches(amount, '^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$')""", ["connections"]),
     "dq_relation_known": ("SELECT 'dq_relation_known' AS rule, 'error' AS severity, id AS focus, 'unknown relation ' || relation AS message FROM connections WHERE relation NOT IN (SELECT name FROM relations)", ["connections", "relations"]),
     "dq_domain_range": ("""SELECT 'dq_domain_range' AS rule, 'error' AS severity, c.id AS focus, 'types do not fit ' || relation AS message FROM connections c JOIN relations r ON r.name = relation JOIN entities s ON s.id = source LEFT JOIN entities t ON t.id = target
 WHERE (r.domain <> '' AND NOT list_contains(string_split(r.domain, ','), s.type)) OR (range_ <> '' AND t.type IS NOT NULL AND NOT list_contains(string_split(range_, ','), t.type))""", ["entities", "connections", "relations"]),
@@ -374,7 +396,7 @@ WHERE review = 'canonical' AND (source IN (SELECT id FROM entities WHERE status
     "dq_rejected_reason": ("SELECT 'dq_rejected_reason' AS rule, 'error' AS severity, id AS focus, 'rejected without a written reason' AS message FROM connections WHERE review = 'rejected' AND reason IS NULL", ["connections"]),
     "dq_evidence": (f"SELECT 'dq_evidence' AS rule, CASE WHEN review = 'canonical' THEN 'error' ELSE 'warning' END AS severity, id AS focus, 'no evidence' AS message FROM connections WHERE {ACTIVE} AND id NOT IN (SELECT connection_id FROM evidence)", ["connections", "evidence"]),
     "dq_contradiction": ("""SELECT 'dq_contradiction' AS rule, 'warning' AS severity, pair AS focus, 'contradicted and asserted' AS message FROM (SELECT least(source, target) || '|' || greatest(source, target) AS pair, relation FROM connections WHERE target IS NOT NULL)
-GROUP BY pair HAVING count(*) FILTER (relation = 'contradicts') > 0 AND count(*) FILTER (relation IN ('causes', 'requires', 'mathematically_requires', 'logically_requires', 'applies_to', 'related_to')) > 0""", ["connections"]),
+GROUP BY pair HAVING count(*) FILTER (relation = 'contradicts') > 0 AND count(*) FILTER (relation IN ('causes', 'requires', 'mathematically_requires', 'logically_requires')) > 0""", ["connections"]),
     "dq_agents": ("""SELECT 'dq_agents' AS rule, 'error' AS severity, p.id AS focus, CASE WHEN class IS NULL THEN 'unknown agent' WHEN class <> 'human' THEN 'promoted by a machine' ELSE 'agent is retired' END || ' ' || actor AS message
 FROM (SELECT DISTINCT id, actor FROM promotions) p LEFT JOIN agents a ON a.id = actor WHERE class IS NULL OR class <> 'human' OR status <> 'active'""", ["promotions", "agents"]),
     "dq_profile": ("SELECT 'dq_profile' AS rule, 'error' AS severity, id AS focus, 'source cannot be verified' AS message FROM sources WHERE url IS NULL AND type NOT IN ('academic-paper', 'textbook', 'standard')", ["sources"]),
@@ -382,18 +404,69 @@ FROM (SELECT DISTINCT id, actor FROM promotions) p LEFT JOIN agents a ON a.id =
     "dq_external_ids": ("""SELECT 'dq_external_ids' AS rule, 'error' AS severity, entity_id AS focus, scheme || ' has a wrong format' AS message FROM external_ids
 WHERE NOT CASE scheme WHEN 'sku' THEN regexp_matches(value, '^SKU[0-9]+$') WHEN 'ledger' THEN regexp_matches(value, '^[0-9]+$') ELSE regexp_matches(value, '^Brand#[0-9]+-[0-9]+$') END
 UNION ALL SELECT 'dq_external_ids', 'warning', min(entity_id), 'shared: ' || scheme || ' ' || value FROM external_ids GROUP BY scheme, value HAVING count(*) > 1""", ["external_ids"]),
-    "dq_retired_pointer": ("SELECT 'dq_retired_pointer' AS rule, 'error' AS severity, id AS focus, 'x' AS message FROM entities WHERE false", ["entities"]),
+    "dq_retired_pointer": (f"""SELECT 'dq_retired_pointer' AS rule, 'error' AS severity, id AS focus, 'retired record does not say what replaces it' AS message FROM entities WHERE NOT {LIVE} AND (deprecated_by IS NULL OR deprecated_by = id)
+UNION ALL SELECT 'dq_retired_pointer', 'error', id, 'live record says it is replaced' FROM entities WHERE {LIVE} AND deprecated_by IS NOT NULL""", ["entities"]),
     "dq_unique_ids": ("SELECT 'dq_unique_ids' AS rule, 'error' AS severity, id AS focus, CAST(count(*) AS STRING) || ' records' AS message FROM (SELECT id FROM entities UNION ALL SELECT id FROM connections UNION ALL SELECT id FROM sources) GROUP BY id HAVING count(*) > 1", ["entities", "connections", "sources"]),
     "dq_domain_identity": ("SELECT 'dq_domain_identity' AS rule, 'error' AS severity, id AS focus, 'id prefix and domain differ' AS message FROM entities WHERE split_part(id, '.', 1) <> domain", ["entities"]),
     "dq_id_format": (r"SELECT 'dq_id_format' AS rule, 'error' AS severity, id AS focus, 'id does not fit its pattern' AS message FROM (SELECT id FROM entities UNION ALL SELECT id FROM connections UNION ALL SELECT id FROM sources) WHERE NOT regexp_matches(id, '^[a-z]+\.[a-z]*[0-9]+$')", ["entities", "connections", "sources"]),
-    "dq_enum": ("SELECT 'dq_enum' AS rule, 'error' AS severity, id AS focus, 'x' AS message FROM entities WHERE false", ["entities"]),
+    "dq_enum": ("""SELECT 'dq_enum' AS rule, 'error' AS severity, id AS focus, 'not in vocabulary: type ' || type AS message FROM entities WHERE type NOT IN ('concept', 'quantity', 'law', 'equation', 'model', 'phenomenon', 'unit', 'experiment', 'method')
+UNION ALL SELECT 'dq_enum', 'error', id, 'not in vocabulary: status ' || status FROM entities WHERE status NOT IN ('draft', 'proposed', 'ai_reviewed', 'human_reviewed', 'reviewed', 'canonical', 'deprecated', 'superseded', 'rejected')""", ["entities"]),
 }
+_ROUGH = {"dq_id_format", "dq_enum", "dq_quantity_fields", "dq_retired_pointer", "dq_unique_ids", "dq_domain_identity", "dq_target_xor_value", "dq_relation_known", "dq_domain_range", "dq_contradiction", "dq_shape"}
 for _key, _rule in quality.RULES.items():
     _sql, _tables = _DQ.get(_key, (None, []))
-    add(_key, _rule, _sql, *_tables)
+    (add_rough if _key in _ROUGH else add)(_key, _rule, _sql, *_tables)
 add("validate", quality.conforms)
 add("severity_counts", quality.severity_counts)
-add("anomalies", quality.anomalies)
+add_rough("anomalies", quality.anomalies)
+
+# rules over the nested blocks of records
+
+_V = lambda rule, message, rest, severity="error", focus="id": f"SELECT '{rule}' AS rule, '{severity}' AS severity, {focus} AS focus, {message} AS message {rest}"
+_BLOCK = lambda b: f"FROM blocks WHERE block = '{b}'"
+_PIVOT = lambda b, *keys: f"(SELECT id, {', '.join(f'max(value) FILTER (key = {chr(39)}{k}{chr(39)}) AS {k}' for k in keys)} {_BLOCK(b)} GROUP BY id)"
+_HUMANS = "(SELECT id FROM agents WHERE class = 'human')"
+_RECORD_SQL = {
+    "dq_extensions": (f"""WITH known AS (SELECT * FROM (VALUES ('segment', 'quantity', '^[a-z]+$'), ('balance', 'quantity', '^[0-9.]+$'), ('priority', 'unit', '^(high|low)$')) k(key, applies, pattern)),
+x AS (SELECT b.id, b.key, CASE WHEN applies IS NULL THEN 'unregistered key' WHEN applies <> type THEN 'does not apply' WHEN NOT regexp_matches(value, pattern) THEN 'bad value' END AS why
+  FROM blocks b JOIN entities e ON e.id = b.id LEFT JOIN known k ON k.key = b.key WHERE block = 'extension')
+{_V("dq_extensions", "key || ': ' || why", "FROM x WHERE why IS NOT NULL")}""", ["blocks", "entities"]),
+    "dq_historical": (" UNION ALL ".join([
+        _V("dq_historical", "'unknown member ' || key", _BLOCK("historical") + " AND key NOT IN ('stated_by', 'year', 'where', 'context', 'note')"),
+        _V("dq_historical", "'year is no number'", _BLOCK("historical") + " AND key = 'year' AND NOT regexp_matches(value, '^-?[0-9]{1,4}$')"),
+        _V("dq_historical", "'missing stated_by'", "FROM " + _PIVOT("historical", "stated_by") + " WHERE stated_by IS NULL")]), ["blocks"]),
+    "dq_adopted_from": (" UNION ALL ".join([
+        _V("dq_adopted_from", "'unknown member ' || key", _BLOCK("adopted_from") + " AND key NOT IN ('external_id', 'relation', 'authority', 'note', 'adopted_at')"),
+        _V("dq_adopted_from", "'relation ' || value", _BLOCK("adopted_from") + " AND key = 'relation' AND value NOT IN ('exact', 'close', 'broad')"),
+        *[_V("dq_adopted_from", f"'missing {k}'", "FROM " + _PIVOT("adopted_from", k) + f" WHERE {k} IS NULL") for k in ("external_id", "relation", "authority")]]), ["blocks"]),
+    "dq_debt": (f"""WITH d AS (SELECT d.*, e.status AS own FROM {_PIVOT("debt", "status", "cleared_by", "cleared_at", "deferred_by", "deferred_until")} d LEFT JOIN entities e ON e.id = d.id),
+x AS (SELECT id, CASE WHEN status = 'outstanding' AND own IN ('canonical', 'human_reviewed') THEN 'outstanding debt of a reviewed record' WHEN status = 'cleared' AND (cleared_by IS NULL OR cleared_at IS NULL) THEN 'cleared by nobody'
+  WHEN status = 'deferred' AND (deferred_by IS NULL OR deferred_until IS NULL) THEN 'deferred without an end' END AS why FROM d)
+{_V("dq_debt", "why", "FROM x WHERE why IS NOT NULL")}""", ["blocks", "entities"]),
+    "dq_human_review": (f"""WITH said AS (SELECT * FROM blocks WHERE block IN ('provenance', 'edit') AND value IN {_HUMANS}),
+x AS (SELECT id, CASE WHEN id NOT IN (SELECT id FROM said WHERE key = 'writer') THEN 'no registered human writer' WHEN id NOT IN (SELECT id FROM said WHERE block = 'edit' OR key = 'reviewer') THEN 'no edit and no declared review' END AS why
+  FROM entities WHERE status IN ('canonical', 'human_reviewed'))
+{_V("dq_human_review", "why", "FROM x WHERE why IS NOT NULL")}""", ["blocks", "entities", "agents"]),
+    "dq_context_vocab": (_V("dq_context_vocab", "key || ' ' || value", _BLOCK("context") + " AND NOT CASE key WHEN 'domain' THEN value IN ('geo', 'org', 'prod') WHEN 'scale' THEN value IN ('micro', 'macro') ELSE false END"), ["blocks"]),
+    "dq_node_projection": (_V("dq_node_projection", "'assertion without both ends'", f"FROM connections WHERE {ACTIVE} AND review = 'canonical' AND target IS NULL"), ["connections"]),
+    "dq_legacy_prefix": (_V("dq_legacy_prefix", "value", "FROM blocks WHERE contains(value, 'legacy:')"), ["blocks"]),
+    "dq_inline_relationships": (_V("dq_inline_relationships", "'relationships stand on the entity'", "FROM (SELECT DISTINCT id " + _BLOCK("relationships") + ")"), ["blocks"]),
+}
+_GOVERN = f"""WITH x AS (SELECT b.id, value, CASE WHEN b.id = value THEN 'governs itself' WHEN e.id IS NULL THEN 'unknown law' WHEN e.type <> 'law' THEN 'no law' END AS why FROM blocks b LEFT JOIN entities e ON e.id = value WHERE block = 'governed_by')
+{_V("dq_governing", "value || ': ' || why", "FROM x WHERE why IS NOT NULL")} UNION ALL {_V("dq_governing", "'core law is not there'", "FROM (VALUES ('org.s1'), ('org.s777777')) c(id) WHERE id NOT IN (SELECT id FROM entities WHERE type = 'law')")}"""
+for _key, _rule in records.RECORD_RULES.items():
+    if _key != "dq_governing":
+        add(_key, _rule, _RECORD_SQL[_key][0], *_RECORD_SQL[_key][1])
+add("dq_governing", lambda kg: records.dq_governing(kg, ("org.s1", "org.s777777")), _GOVERN, "blocks", "entities")
+_CANDIDATE = " UNION ALL ".join(f"SELECT 'dq_candidate' AS rule, severity, focus, rule || ': ' || message AS message FROM ({_DQ[k][0]})" for k in records.CANDIDATE_RULES)
+add_rough("dq_candidate", lambda kg: records.dq_candidate(kg, kg.entities.where("status = 'draft'"), kg.connections.where("review = 'unreviewed'")),
+          re.sub(r"FROM entities", "FROM (SELECT * FROM entities WHERE status = 'draft')", re.sub(r"FROM connections", "FROM (SELECT * FROM connections WHERE review = 'unreviewed')", _CANDIDATE)), "entities", "connections", "relations")
+add("dq_live_counts", lambda kg: records.dq_live_counts(kg, kg.entities.where("id not like '%12'").groupBy(F.col("status").alias("name")).agg(F.count("*").alias("n"))),
+    """WITH r AS (SELECT status AS name, count(*) AS n FROM entities WHERE id NOT LIKE '%12' GROUP BY status), l AS (SELECT status, count(*) AS live FROM entities GROUP BY status)
+SELECT 'dq_live_counts' AS rule, 'error' AS severity, coalesce(name, status) AS focus, 'recorded ' || CAST(coalesce(n, 0) AS STRING) || ' live ' || CAST(coalesce(live, 0) AS STRING) AS message FROM r FULL JOIN l ON name = status WHERE n IS DISTINCT FROM live""", "entities")
+add("scoping_keys", lambda kg: records.scoping_keys(kg.blocks), "SELECT DISTINCT id, key FROM blocks WHERE key = 'gradeLevel'", "blocks")
+add("relation", lambda kg: lookup.relation(kg, kg.connections.select("relation").distinct()),
+    'SELECT r.name, family, inverse, transitive, "symmetric", r.status FROM relations r WHERE r.name IN (SELECT relation FROM connections)', "relations", "connections")
 
 # state changes
 
@@ -417,6 +490,11 @@ SELECT DISTINCT ev.source_ref, 'connection' AS kind, ev.connection_id AS id, CAS
 FROM evidence ev JOIN ch USING (source_ref) JOIN per USING (connection_id) UNION ALL SELECT e.source_ref, 'entity', id, 'review' FROM entities e JOIN ch ON ch.source_ref = e.source_ref WHERE lifecycle = 'retracted'""", "entities", "evidence", "sources")
 
 
+for _change, _key in (("retracted", "retraction"), ("corrected", "correction"), ("superseded", "supersession")):
+    add(f"propagate_{_key}", (lambda c: lambda kg: curate.propagate(kg, kg.sources.where(F.col("lifecycle") == c).select(F.col("id").alias("source_ref"), F.col("lifecycle").alias("change"))))(_change))
+    ORACLE[f"propagate_{_key}"] = ORACLE["propagate"].replace("FROM sources WHERE lifecycle <> 'active'", f"FROM sources WHERE lifecycle = '{_change}'")
+
+
 def _gates():
     return {"relation": F.col("relation").isNotNull(), "evidence": F.col("confidence").isNotNull(), "active": F.col("assertion_status") == "active", "human": F.col("asserted_by") == "human"}
 
@@ -428,12 +506,19 @@ add("set_debt", lambda kg: curate.set_debt(kg.sources.select("id", F.lit("outsta
                                           kg.sources.select("id", F.when(F.col("year") % 2 == 0, "cleared").otherwise("deferred").alias("to"), F.lit("org.s1").alias("by"), F.lit("2026-01-01").alias("at"), "url").withColumnRenamed("url", "evidence")),
     """SELECT id, CASE WHEN ok THEN CASE WHEN year % 2 = 0 THEN 'cleared' ELSE 'deferred' END ELSE 'outstanding' END AS status, CASE WHEN ok THEN 'org.s1' END AS by, CASE WHEN ok THEN '2026-01-01' END AS "at" FROM (SELECT *, year % 2 = 1 OR url IS NOT NULL AS ok FROM sources)""", "sources")
 
+_NONE = lambda: F.lit(None).cast("string")
+for _key, _to, _rest in (("clear_debt", "cleared", 0), ("defer_debt", "deferred", 1)):
+    add(_key, (lambda to, rest: lambda kg: curate.set_debt(
+        kg.sources.where(F.col("year") % 2 == rest).select("id", F.lit("outstanding").alias("status"), _NONE().alias("by"), _NONE().alias("at")),
+        kg.sources.where(F.col("year") % 2 == rest).select("id", F.lit(to).alias("to"), F.lit("org.s1").alias("by"), F.lit("2026-01-01").alias("at"), F.col("url").alias("evidence"))))(_to, _rest),
+        f"""SELECT id, CASE WHEN ok THEN '{_to}' ELSE 'outstanding' END AS status, CASE WHEN ok THEN 'org.s1' END AS by, CASE WHEN ok THEN '2026-01-01' END AS "at" FROM (SELECT *, year % 2 = 1 OR url IS NOT NULL AS ok FROM sources) WHERE year % 2 = {_rest}""", "sources")
+
 # matching and mining
 
 add("match_symbol", match.match_symbol,
     "WITH s AS (SELECT id, lower(trim(symbol)) AS k FROM entities WHERE symbol IS NOT NULL), f AS (SELECT k, min(id) AS first FROM s GROUP BY k HAVING count(*) > 1) SELECT first AS a, id AS b FROM s JOIN f USING (k) WHERE id <> first", "entities")
-add("match_alias", match.match_alias, "SELECT DISTINCT a.id AS a, b.id AS b FROM entities a JOIN entities b ON lower(a.subdomain) = lower(b.name) WHERE a.id <> b.id", "entities")
-add("match_cross_domain", match.match_cross_domain, "SELECT lower(name) AS name, count(DISTINCT domain) AS n_domains, count(*) AS n, min(id) AS first_id FROM entities GROUP BY lower(name) HAVING count(DISTINCT domain) > 1", "entities")
+add_rough("match_alias", match.match_alias, "SELECT DISTINCT a.id AS a, b.id AS b FROM entities a JOIN entities b ON lower(a.subdomain) = lower(b.name) WHERE a.id <> b.id", "entities")
+add_rough("match_cross_domain", match.match_cross_domain, "SELECT lower(name) AS name, count(DISTINCT domain) AS n_domains, count(*) AS n, min(id) AS first_id FROM entities GROUP BY lower(name) HAVING count(DISTINCT domain) > 1", "entities")
 add("match_equation", lambda kg: match.match_equation(kg.with_(entities=kg.entities.withColumn("equation", F.concat(F.lit("Y = "), "definition", F.lit(" × t"))))),
     "WITH s AS (SELECT id, replace(replace(lower('Y = ' || definition || ' × t'), ' ', ''), '×', '*') AS k FROM entities WHERE definition IS NOT NULL), f AS (SELECT k, min(id) AS first FROM s GROUP BY k HAVING count(*) > 1) SELECT first AS a, id AS b FROM s JOIN f USING (k) WHERE id <> first", "entities")
 add("match_name", match.match_name)
@@ -459,9 +544,9 @@ def _rules(spark):
 
 add_raw("rule_entities", lambda spark, d: match.rule_entities(_DOCS(spark, d), _rules(spark)).select("doc_id", "rule", "domain", F.col("hits").cast("long").alias("hits")),
         r"""SELECT doc_id, rule, domain, CAST(len(regexp_extract_all(text, pattern)) AS BIGINT) AS hits FROM documents CROSS JOIN (VALUES ('email', '[a-z0-9]+@mail[0-9]', 'contact'), ('licence', 'Licensed under', 'law'), ('token', 'token = ', 'secret'), ('phone', '\+1 \([0-9]{3}\)', 'contact')) r(rule, pattern, domain) WHERE regexp_matches(text, pattern)""")
-add("search", lambda kg: match.search(kg, "steel"),
-    rf"""SELECT id, name, CAST(CASE WHEN n LIKE 'steel%' THEN 0 WHEN n LIKE '%steel%' THEN 1 ELSE 2 END AS INTEGER) AS rank FROM (SELECT id, name, array_to_string(regexp_extract_all(lower(name), '[a-z0-9]+'), ' ') AS n, array_to_string(regexp_extract_all(lower(definition), '[a-z0-9]+'), ' ') AS d FROM entities WHERE {LIVE})
-WHERE n LIKE '%steel%' OR d LIKE '%steel%'""", "entities")
+add("search", lambda kg: match.search(kg, "widget"),
+    rf"""SELECT id, name, CAST(CASE WHEN n LIKE 'widget%' THEN 0 WHEN n LIKE '%widget%' THEN 1 ELSE 2 END AS INTEGER) AS rank FROM (SELECT id, name, array_to_string(regexp_extract_all(lower(name), '[a-z0-9]+'), ' ') AS n, array_to_string(regexp_extract_all(lower(definition), '[a-z0-9]+'), ' ') AS d FROM entities WHERE {LIVE})
+WHERE n LIKE '%widget%' OR d LIKE '%widget%'""", "entities")
 add("grounding_topk", lambda kg: match.grounding_topk(kg, "tell me about the nation of France and Europe", 10),
     """WITH t AS (SELECT unnest(['nation', 'france', 'europe']) AS t), e AS (SELECT 'entity' AS kind, id, sum(CASE WHEN lower(name) = t THEN 10 WHEN contains(lower(name), t) THEN 6 ELSE 0 END + CASE WHEN contains(lower(id), t) THEN 5 ELSE 0 END + CASE WHEN contains(lower(definition), t) THEN 2 ELSE 0 END
   + CASE WHEN lower(coalesce(symbol, '')) = t THEN 6 ELSE 0 END + CASE WHEN domain = t THEN 3 ELSE 0 END) AS score FROM entities, t GROUP BY id),
@@ -472,8 +557,15 @@ add_raw("stale_counts", lambda spark, d: match.stale_counts(_DOCS(spark, d), 9,
         r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, n AS said FROM (SELECT doc_id, i, regexp_extract(l[i], '([0-9]+) the', 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE n <> '' AND TRY_CAST(n AS BIGINT) <> 9""")
 add_raw("secret_scan", lambda spark, d: match.secret_scan(_DOCS(spark, d)),
         r"""SELECT doc_id FROM documents WHERE regexp_matches(text, 'AKIA[A-Z0-9]{16}|(?i:(password|secret|token|api_?key)\s*[:=]\s*["''][^"'']{8,})') AND NOT contains(lower(text), 'example')""")
-add_raw("embedding_leak_scan", lambda spark, d: match.embedding_leak_scan(_DOCS(spark, d)),
-        r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '\[\s*-?[0-9]+\.[0-9]+(\s*,\s*-?[0-9]+\.[0-9]+){7,}')""")
+
+
+def _leaks(spark, sf_dir):
+    """Every third vector as a text that shows it."""
+    digits = F.transform("embedding", lambda x: F.concat(F.when(x < 0, "-0.").otherwise("0."), F.lpad((F.abs(x) * 1000).cast("int").cast("string"), 4, "0")))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("[ "), F.array_join(digits, ", "))).otherwise("[0.5, 1]").alias("text"))
+
+
+add_raw("embedding_leak_scan", lambda spark, d: match.embedding_leak_scan(_leaks(spark, d)), "SELECT vec_id AS doc_id FROM embeddings WHERE vec_id % 3 = 0")
 
 # vectors
 
@@ -491,7 +583,7 @@ add("placeholder_embed", lambda kg: vector.placeholder_embed(vector.chunk_entiti
 
 
 def _hits(kg):
-    return match.search(kg, "steel", limit=5).select(F.lit(0).cast("long").alias("query_id"), F.row_number().over(Window.orderBy("rank", "id")).alias("rank"), "id")
+    return match.search(kg, "widget", limit=5).select(F.lit(0).cast("long").alias("query_id"), F.row_number().over(Window.orderBy("rank", "id")).alias("rank"), "id")
 
 
 add("rag_context", lambda kg: vector.rag_context(_hits(kg), vector.chunk_entities(kg)).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.array_join("citations", ",").alias("citations")))
@@ -501,6 +593,71 @@ add("citations_grounded", lambda kg: vector.citations_grounded(vector.rag_contex
 
 add("payload_sha256", lambda kg: files.tree_hash(kg.entities.select("id", "name", "status")))
 add("content_hash", lambda kg: files.tree_hash(kg.connections))
+
+
+def _shared(spark, name):
+    """A new folder among those that all executors share."""
+    import uuid
+
+    from weftgraph.runtime import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def _vectors(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings")
+    return v.select(F.concat(F.lit("v."), F.col("vec_id").cast("string")).alias("entity_id"), F.lit("m1").alias("model"), F.lit(False).alias("placeholder"), F.size("embedding").alias("dimensions"), F.col("embedding").alias("vector"))
+
+
+def _reread_vectors(spark, sf_dir):
+    path = _shared(spark, "vectors")
+    files.write_embeddings(_vectors(spark, sf_dir), path, "m1")
+    return files.load_embeddings(spark, path).select("entity_id", "model", "dimensions", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+add_raw("write_embeddings", lambda spark, d: files.write_embeddings(_vectors(spark, d), _shared(spark, "vectors"), "m1"),
+        "SELECT 'm1' AS model, count(*) AS count, CAST(max(len(embedding)) AS INTEGER) AS dimensions, 'cosine' AS metric FROM embeddings")
+add_raw("load_embeddings", _reread_vectors, "SELECT 'v.' || CAST(vec_id AS STRING) AS entity_id, 'm1' AS model, CAST(len(embedding) AS INTEGER) AS dimensions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+
+
+def _reread_views(spark, sf_dir):
+    kg, path = knowledge(spark, sf_dir), _shared(spark, "views")
+    files.write_views({"live": kg.entities.where(~F.coalesce(F.col("status").isin("deprecated", "superseded"), F.lit(False))), "canonical": kg.entities.where("status = 'canonical'")}, path)
+    return spark.read.parquet(path).groupBy("view", "domain").agg(F.count("*").alias("n"))
+
+
+add_raw("write_views", _reread_views, ctes("entities") + f"""
+SELECT 'live' AS view, domain, count(*) AS n FROM entities WHERE {LIVE} GROUP BY domain UNION ALL SELECT 'canonical', domain, count(*) FROM entities WHERE status = 'canonical' GROUP BY domain""")
+
+
+def _bundles(spark, sf_dir):
+    """Two copies of a bundle of as many text files as there are domains and statuses; the second lacks one folder and has another one's content changed."""
+    e, path = knowledge(spark, sf_dir).entities, _shared(spark, "bundle")
+    rows = e.select("domain", "status", F.concat_ws("|", "id", "name").alias("line")).repartition("domain", "status").sortWithinPartitions("line")
+    rows.write.partitionBy("domain", "status").text(f"{path}/a")
+    late = rows.where("not (domain = 'org' and status = 'draft')").withColumn("line", F.when(F.col("status") == "canonical", F.upper("line")).otherwise(F.col("line")))
+    late.write.partitionBy("domain", "status").text(f"{path}/b")
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    return [files.bundle_manifest(spark, f"{path}/{x}").where("file like '%.txt'").withColumn("file", folder) for x in "ab"]
+
+
+add_raw("bundle_manifest", lambda spark, d: _bundles(spark, d)[0].select("file", F.col("bytes").cast("long").alias("bytes")),
+        ctes("entities") + "\nSELECT 'domain=' || domain || '/status=' || status AS file, CAST(sum(strlen(id) + strlen(name) + 2) AS BIGINT) AS bytes FROM entities GROUP BY domain, status")
+add_raw("bundle_verify", lambda spark, d: files.bundle_verify(*_bundles(spark, d)),
+        ctes("entities") + """
+SELECT 'domain=' || domain || '/status=' || status AS file, CASE WHEN domain = 'org' AND status = 'draft' THEN 'missing' ELSE 'mismatch' END AS problem FROM entities WHERE (domain = 'org' AND status = 'draft') OR status = 'canonical' GROUP BY domain, status""")
+
+
+def _audit(spark, sf_dir):
+    path = _shared(spark, "audit")
+    rows = read(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("doc_id"), F.col("props").alias("detail"))
+    rows.write.json(path)
+    return files.audit_read(spark, path, 100).select("timestamp", "event", "doc_id")
+
+
+add_raw("audit_read", _audit, "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS event, CAST(event_id AS STRING) AS doc_id FROM events ORDER BY 1 DESC, 2, CAST(event_id AS STRING) LIMIT 100")
+
 add_raw("stream_audit_counts", lambda spark, d: jobs.run(jobs.audit_counts(jobs.source(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))), "complete"),
         "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 add_raw("stream_duplicate_claims", lambda spark, d: jobs.run(jobs.repeated_claims(jobs.source(spark, d, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("signature"), F.col("event_id").alias("claim_id")))).groupBy("signature").agg(F.count("*").alias("n")),

@@ -50,9 +50,9 @@ def prerequisites(kg: KnowledgeSet, starts: DataFrame, policy: str | None = None
         step = front.join(edges, front["node"] == edges["source"]).select("id", F.col("target").alias("node")).distinct()
         front = cut(step.join(seen, ["id", "node"], "left_anti"))
         if front.isEmpty():
-            break
+            return seen.where("level > 0").select("id", F.col("node").alias("prerequisite"), "level")
         seen = cut(seen.unionByName(front.withColumn("level", F.lit(level))))
-    return seen.where("level > 0").select("id", F.col("node").alias("prerequisite"), "level")
+    raise RuntimeError(f"there are prerequisites beyond {max_levels} levels")
 
 
 def transitive_closure(kg: KnowledgeSet, relations: list[str] | None = None, max_levels: int = 200) -> DataFrame:
@@ -74,6 +74,8 @@ def transitive_closure(kg: KnowledgeSet, relations: list[str] | None = None, max
             break
         parts.append(front)
         seen = cut(seen.unionByName(front.select("relation", "source", "target")))
+    else:
+        raise RuntimeError(f"there are paths of over {max_levels} edges")
     if not parts:
         return edges.limit(0).withColumn("path", F.array("source"))
     out = parts[0]
@@ -106,21 +108,23 @@ def cycle_core(kg: KnowledgeSet, max_rounds: int = 500) -> DataFrame:
         edges = cut(edges.join(outs, ["relation", "target"], "left_semi").join(ins, ["relation", "source"], "left_semi").select("relation", "source", "target"))
         m = edges.count()
         if m == n or not m:
-            break
+            return edges
         n = m
-    return edges
+    raise RuntimeError(f"edges were not trimmed to cycles in {max_rounds} rounds")
 
 
-def relationship_cycles(kg: KnowledgeSet, max_length: int = 6) -> DataFrame:
-    """Cycles of up to max_length edges, each once, from its smallest id: (relation, cycle)."""
+def relationship_cycles(kg: KnowledgeSet, max_length: int = 64) -> DataFrame:
+    """Cycles, each once, from its smallest id: (relation, cycle). Paths that are still open at max_length edges raise an error."""
     core = cycle_core(kg)
-    paths = core.where("source <> target").select("relation", F.array("source", "target").alias("path"))
+    paths = core.where("source < target").select("relation", F.array("source", "target").alias("path"))
     found = core.where("source = target").select("relation", F.array("source", "target").alias("path"))
-    for _ in range(max_length - 1):
-        step = paths.withColumn("source", F.element_at("path", -1)).join(core, ["relation", "source"])
+    for _ in range(max_length):
+        if paths.isEmpty():
+            return found.select("relation", F.array_join("path", " > ").alias("cycle")).distinct()
+        step = cut(paths.withColumn("source", F.element_at("path", -1)).join(core, ["relation", "source"]))
         found = found.unionByName(step.where(F.col("target") == F.get("path", F.lit(0))).select("relation", F.array_append("path", F.col("target")).alias("path")))
         paths = step.where((F.col("target") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("target"))).select("relation", F.array_append("path", F.col("target")).alias("path"))
-    return found.select("relation", F.array_join("path", " > ").alias("cycle")).distinct()
+    raise RuntimeError(f"there may be cycles of over {max_length} edges")
 
 
 def connected_components(kg: KnowledgeSet) -> DataFrame:

@@ -155,3 +155,8 @@ def inverse_edges(kg: KnowledgeSet) -> DataFrame:
 
 def prerequisite_relations(c: DataFrame) -> DataFrame:
     return c.where(F.col("relation").isin(PREREQUISITE_RELATIONS) & F.col("target").isNotNull())
+
+
+def relation(kg: KnowledgeSet, asked: DataFrame) -> DataFrame:
+    """asked(relation) -> its row of the registry; a relation that the registry lacks has none."""
+    return kg.relations.join(asked.select(F.col("relation").alias("name")).distinct(), "name", "left_semi").select("name", "family", "inverse", "transitive", "symmetric", "status")

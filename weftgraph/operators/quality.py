@@ -160,7 +160,7 @@ def dq_contradiction(kg):
     """Pairs that are both contradicted and caused or required, in either direction."""
     pair = F.array_join(F.array_sort(F.array("source", "target")), "|")
     c = kg.connections.where("target is not null").select(pair.alias("pair"), "relation")
-    g = c.groupBy("pair").agg(F.count_if(F.col("relation") == "contradicts").alias("n"), F.count_if(F.col("relation").isin("causes", "requires", "mathematically_requires", "logically_requires", "applies_to", "related_to")).alias("m"))
+    g = c.groupBy("pair").agg(F.count_if(F.col("relation") == "contradicts").alias("n"), F.count_if(F.col("relation").isin("causes", "requires", "mathematically_requires", "logically_requires")).alias("m"))
     return _rows(g.where("n > 0 and m > 0"), "dq_contradiction", "contradicted and asserted", "warning", "pair")
 
 

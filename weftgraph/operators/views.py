@@ -81,9 +81,9 @@ def jsonld_nodes(kg: KnowledgeSet) -> DataFrame:
     return e.unionByName(c)
 
 
-def projection_mismatch(kg: KnowledgeSet) -> DataFrame:
-    """Ids in the node table or among the canonical records but not in both: (id, side)."""
+def projection_mismatch(kg: KnowledgeSet, nodes: DataFrame | None = None) -> DataFrame:
+    """Ids in a published node table (default: the one made now) or among the canonical records but not in both: (id, side)."""
     ids = kg.entities.where("status = 'canonical'").select("id").unionByName(kg.connections.where(active() & (F.col("review") == "canonical")).select("id"))
-    nodes = jsonld_nodes(kg).select(F.col("node_id"))
+    nodes = (jsonld_nodes(kg) if nodes is None else nodes).select("node_id")
     out = ids.join(nodes, F.col("id") == F.col("node_id"), "full")
     return out.where("id is null or node_id is null").select(F.coalesce("id", "node_id").alias("id"), F.when(F.col("id").isNull(), "extra").otherwise("missing").alias("side"))

@@ -79,8 +79,49 @@ UNION ALL SELECT 'prod.p' || CAST(p_partkey AS STRING), 'sku', CASE WHEN p_partk
 UNION ALL SELECT 'org.c' || CAST(c_custkey AS STRING), 'ledger', CAST(c_custkey AS STRING) FROM customer""",
 }
 
+
+def _block(kind: str, key: str, value: str, record: str, table: str, where: str) -> str:
+    return f"SELECT {record} AS id, '{kind}' AS block, {key} AS key, {value} AS value FROM {table} WHERE {where}"
+
+
+_C, _P, _S = ("'org.c' || CAST(c_custkey AS STRING)", "'prod.p' || CAST(p_partkey AS STRING)", "'org.s' || CAST({} AS STRING)")
+GRAPH["blocks"] = "\nUNION ALL ".join([
+    _block("extension", "CASE c_custkey % 5 WHEN 0 THEN 'segment' WHEN 1 THEN 'gradeLevel' WHEN 2 THEN 'balance' ELSE 'priority' END", "CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN 'high' ELSE CAST(c_custkey AS STRING) END", _C, "customer", "c_custkey % 4 = 0"),
+    _block("historical", "'stated_by'", "p_name", _P, "part", "p_partkey % 20 = 1"),
+    _block("historical", "'year'", "CASE WHEN p_partkey % 30 = 1 THEN 'about 1900' ELSE '1900' END", _P, "part", "p_partkey % 10 = 1"),
+    _block("historical", "'motto'", "p_name", _P, "part", "p_partkey % 50 = 1"),
+    _block("adopted_from", "'external_id'", "'X' || CAST(p_partkey AS STRING)", _P, "part", "p_partkey % 10 = 5"),
+    _block("adopted_from", "'relation'", "CASE p_partkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'close' ELSE 'same' END", _P, "part", "p_partkey % 10 = 5"),
+    _block("adopted_from", "'authority'", "'board'", _P, "part", "p_partkey % 20 = 5"),
+    _block("debt", "'status'", "CASE c_custkey % 3 WHEN 0 THEN 'outstanding' WHEN 1 THEN 'cleared' ELSE 'deferred' END", _C, "customer", "c_custkey % 10 < 3"),
+    _block("debt", "'cleared_by'", "'org.s1'", _C, "customer", "c_custkey % 10 < 3 AND c_custkey % 3 = 1"),
+    _block("debt", "'cleared_at'", "'2026-01-01'", _C, "customer", "c_custkey % 20 < 3 AND c_custkey % 3 = 1"),
+    _block("debt", "'deferred_by'", "'org.s2'", _C, "customer", "c_custkey % 10 < 3 AND c_custkey % 3 = 2"),
+    _block("debt", "'deferred_until'", "'2027-01-01'", _C, "customer", "c_custkey % 20 < 3 AND c_custkey % 3 = 2"),
+    _block("provenance", "'writer'", "CASE WHEN c_custkey % 30 = 10 THEN 'legacy:' ELSE '' END || " + _S.format("c_custkey % 12"), _C, "customer", "c_custkey % 10 < 2"),
+    _block("provenance", "'reviewer'", _S.format("c_custkey % 7"), _C, "customer", "c_custkey % 20 = 0"),
+    _block("edit", "'by'", _S.format("c_custkey % 5"), _C, "customer", "c_custkey % 30 = 1"),
+    _block("governed_by", "'law'", "CASE WHEN p_partkey % 36 = 0 THEN 'prod.p1' WHEN p_partkey % 18 = 0 THEN 'prod.p' || CAST(p_partkey AS STRING) WHEN p_partkey % 12 = 0 THEN 'org.s999999999' ELSE 'org.s' || CAST(p_partkey % 10 AS STRING) END", _P, "part", "p_partkey % 6 = 0"),
+    _block("context", "'domain'", "CASE c_custkey % 3 WHEN 0 THEN 'org' WHEN 1 THEN 'geo' ELSE 'moon' END", "'e.c' || CAST(c_custkey AS STRING)", "customer", "c_custkey % 8 = 0"),
+    _block("context", "'scale'", "CASE WHEN c_custkey % 5 = 0 THEN 'cosmic' ELSE 'macro' END", "'e.c' || CAST(c_custkey AS STRING)", "customer", "c_custkey % 8 = 0"),
+    _block("relationships", "'requires'", "'prod.p1'", _C, "customer", "c_custkey % 101 = 0"),
+])
+
+#: The graph's records as a careless hand would leave them, for the rules to find: k is the number in the id.
+_K = "CAST(regexp_extract(id, '([0-9]+)', 1) AS BIGINT)"
+GRAPH["rough_entities"] = f"""SELECT CASE WHEN k % 41 = 0 THEN upper(id) ELSE id END AS id, CASE WHEN k % 37 = 0 THEN 'thing' ELSE type END AS type, CASE WHEN k % 83 = 0 THEN lower(subdomain) ELSE name END AS name,
+  CASE WHEN k % 43 = 0 THEN 'misc' ELSE domain END AS domain, subdomain, CASE WHEN k % 47 = 0 THEN 'unknown' ELSE status END AS status, definition, CASE WHEN k % 13 = 0 THEN CAST(NULL AS STRING) ELSE symbol END AS symbol, unit, equation,
+  CASE WHEN k % 29 = 2 THEN CAST(NULL AS STRING) WHEN k % 31 = 0 THEN id WHEN k % 89 = 0 THEN 'prod.p999999999' ELSE deprecated_by END AS deprecated_by, source_ref FROM (SELECT *, {_K} AS k FROM entities) e
+UNION ALL SELECT id, type, name, domain, subdomain, status, definition, symbol, unit, equation, deprecated_by, source_ref FROM entities WHERE {_K} % 53 = 0"""
+_EDGE = "asserted_by, confidence, confidence_basis, reason, replaced_by"
+GRAPH["rough_connections"] = f"""SELECT id, source, CASE WHEN k % 59 = 0 THEN 'unheard_of' WHEN k % 61 = 0 THEN 'requires' WHEN k % 7 = 3 AND relation IN ('applies_to', 'related_to') THEN 'contradicts' ELSE relation END AS relation, CASE WHEN k % 71 = 0 THEN CAST(NULL AS STRING) ELSE target END AS target,
+  CASE WHEN k % 71 = 1 THEN '1.5e' ELSE amount END AS amount, unit, assertion_status, assertion_type, review, {_EDGE} FROM (SELECT *, {_K} AS k FROM connections) c
+UNION ALL SELECT id || '0000000000', source, relation, target, amount, unit, 'active', assertion_type, CASE WHEN {_K} % 2 = 0 THEN 'canonical' ELSE review END, {_EDGE} FROM connections WHERE {_K} % 73 = 0
+UNION ALL SELECT id || '1000000000', target, relation, source, amount, unit, 'active', assertion_type, review, {_EDGE} FROM connections WHERE relation = 'logically_requires' AND {_K} % 5 = 0 AND {_K} % 7 > 0
+UNION ALL SELECT id || '2000000000', source, 'causes', target, amount, unit, 'active', assertion_type, review, {_EDGE} FROM connections WHERE relation IN ('applies_to', 'related_to') AND {_K} % 14 = 3"""
+
 #: Tables that each graph table is made of, besides the driver's.
-_USES = {"connections": ["pairs"], "evidence": ["pairs"]}
+_USES = {"connections": ["pairs"], "evidence": ["pairs"], "rough_entities": ["entities"], "rough_connections": ["pairs", "connections"]}
 
 
 def _registry_rows() -> str:
@@ -119,5 +160,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def knowledge(spark: SparkSession, sf_dir: str) -> KnowledgeSet:
     """Lazy: a table that an operator does not use is never read."""
-    own = {n: table(spark, sf_dir, n) for n in GRAPH if n != "pairs"}
+    own = {n: table(spark, sf_dir, n) for n in GRAPH if n != "pairs" and not n.startswith("rough")}
     return KnowledgeSet(**own, relations=relations(spark))

@@ -21,6 +21,9 @@ CONNECTION_VERSIONS = "id string, seq long, source string, relation string, targ
 AGENTS = "id string, class string, status string"
 EXTERNAL_IDS = "entity_id string, scheme string, value string"
 
+BLOCKS = "id string, block string, key string, value string"
+
+#: Fixed values.
 RETIRED = ["deprecated", "superseded"]
 
 #: The four relations of a prerequisite.
@@ -64,6 +67,7 @@ class KnowledgeSet:
     connection_versions: DataFrame | None = None
     agents: DataFrame | None = None
     external_ids: DataFrame | None = None
+    blocks: DataFrame | None = None
 
     def with_(self, **tables: DataFrame) -> KnowledgeSet:
         return replace(self, **tables)

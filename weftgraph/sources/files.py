@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,9 +149,10 @@ def write_views(views: dict[str, DataFrame], path: str) -> None:
 
 
 def bundle_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, bytes) of every file of a bundle."""
+    """(file, sha256, bytes) of every file of a bundle; file is the path from its root, so folders may hold equal names."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return f.select(F.regexp_replace("path", "^.*/", "").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    root = re.escape(re.sub("^[a-z][a-z0-9+.-]*:/*", "/", path).rstrip("/"))
+    return f.select(F.regexp_replace("path", f"^.*?{root}/", "").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def bundle_id(manifest: DataFrame) -> DataFrame:
