@@ -1,7 +1,8 @@
+import re
 from difflib import SequenceMatcher
 
 from weftgraph.catalog import QUERIES
-from weftgraph.operators.match import RATIO
+from weftgraph.operators.match import RATIO, match_name
 from weftgraph.plans import testgraph
 
 SF = "/root/testdata/sf0.001"
@@ -20,8 +21,18 @@ def test_names_of_all_domains_are_matched(spark):
             m = SequenceMatcher(None, x, y)
             if m.real_quick_ratio() >= RATIO and m.quick_ratio() >= RATIO and m.ratio() >= RATIO:
                 want.add((a, b))
-    got = {(r.a, r.b) for r in QUERIES["match_name"](spark, SF).collect()}
+    got = {(r.a, r.b) for r in match_name(testgraph.knowledge(spark, SF)).collect()}
     geo = {r.id for r in rows if r.domain == "geo"}
     assert got == want and any(a not in geo and b not in geo for a, b in got)
+    # classes: names but for their numbers
+    pattern, members = {}, {}
+    for r in rows:
+        p = re.sub("[0-9]+", "0", r.name.lower())
+        pattern[p] = min(pattern.get(p, r.id), r.id)
+        members[p] = members.get(p, 0) + 1
+    heads = sorted((i, p) for p, i in pattern.items())
+    pairs = {(a, b, members[x], members[y]) for k, (a, x) in enumerate(heads) for b, y in heads[k + 1 :] if SequenceMatcher(None, x, y).ratio() >= RATIO}
+    found = {(r.a, r.b, r.n_a, r.n_b) for r in QUERIES["match_name"](spark, SF).collect()}
+    assert found == pairs | {(i, i, members[p], members[p]) for p, i in pattern.items() if members[p] > 1}
     every = {(r.a, r.b) for r in QUERIES["match_all"](spark, SF).select("a", "b").collect()}
-    assert got <= every
+    assert {(a, b) for a, b, _, _ in pairs} <= every

@@ -521,7 +521,8 @@ add_rough("match_alias", match.match_alias, "SELECT DISTINCT a.id AS a, b.id AS
 add_rough("match_cross_domain", match.match_cross_domain, "SELECT lower(name) AS name, count(DISTINCT domain) AS n_domains, count(*) AS n, min(id) AS first_id FROM entities GROUP BY lower(name) HAVING count(DISTINCT domain) > 1", "entities")
 add("match_equation", lambda kg: match.match_equation(kg.with_(entities=kg.entities.withColumn("equation", F.concat(F.lit("Y = "), "definition", F.lit(" × t"))))),
     "WITH s AS (SELECT id, replace(replace(lower('Y = ' || definition || ' × t'), ' ', ''), '×', '*') AS k FROM entities WHERE definition IS NOT NULL), f AS (SELECT k, min(id) AS first FROM s GROUP BY k HAVING count(*) > 1) SELECT first AS a, id AS b FROM s JOIN f USING (k) WHERE id <> first", "entities")
-add("match_name", match.match_name)
+add("match_name", match.match_name_classes)
+add("name_classes", match.name_classes, "SELECT id, min(id) OVER (PARTITION BY regexp_replace(lower(name), '[0-9]+', '0', 'g')) AS class_id FROM entities WHERE name IS NOT NULL", "entities")
 add("match_all", match.match_all)
 add("resolve_claim_entities", lambda kg: match.resolve_claim_entities(kg.claims, kg).select("claim_id", "subject", "method"))
 add("claim_provenance", lambda kg: match.claim_provenance(kg.claims),

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.arrays import once, running
+from weftgraph.runtime import cut
 from weftgraph.schema import KnowledgeSet
 
 RATIO = 0.85
@@ -87,9 +89,36 @@ def match_name(kg: KnowledgeSet, threshold: float = RATIO) -> DataFrame:
     return pairs.where("a < b")
 
 
+def name_pattern(name: Column) -> Column:
+    """What a name is but for its numbers: members of a numbered family have one pattern."""
+    return F.regexp_replace(F.lower(name), "[0-9]+", "0")
+
+
+def name_classes(kg: KnowledgeSet) -> DataFrame:
+    """(id, class_id): the smallest id of the entities whose names have one pattern."""
+    e = kg.entities.where("name is not null").select("id", name_pattern(F.col("name")).alias("pattern"))
+    return e.join(e.groupBy("pattern").agg(F.min("id").alias("class_id")), "pattern").select("id", "class_id")
+
+
+def match_name_classes(kg: KnowledgeSet, threshold: float = RATIO) -> DataFrame:
+    """(a, b, ratio, n_a, n_b): classes of names that are alike, by their patterns; a class of several names meets itself (a = b).
+
+    Numbered names are alike in all pairs, so pairs of names grow with the square of a family; pairs of classes, with
+    name_classes() as their members, do not.
+    """
+    c = kg.entities.where("name is not null").groupBy(name_pattern(F.col("name")).alias("name")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    c = cut(c)
+    pairs = similar_pairs(c.select(F.col("id").alias("a"), "name"), c.select(F.col("id").alias("b"), "name"), threshold, ordered=True).where("a < b")
+    size = lambda x: c.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
+    own = c.where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    return pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", "ratio", "n_a", "n_b").unionByName(own)
+
+
 def match_all(kg: KnowledgeSet) -> DataFrame:
-    """The first kind of match for each unordered pair."""
-    kinds = [("symbol", match_symbol(kg)), ("name", match_name(kg).select("a", "b")), ("alias", match_alias(kg)), ("equation", match_equation(kg))]
+    """The first kind of match for each unordered pair; names by their classes, one name in several domains by its first id."""
+    low = kg.entities.select("id", F.lower("name").alias("name"))
+    across = match_cross_domain(kg).select("name", F.col("first_id").alias("a")).join(low.select("name", F.col("id").alias("b")), "name").where("a <> b").select("a", "b")
+    kinds = [("symbol", match_symbol(kg)), ("name", match_name_classes(kg).where("a <> b").select("a", "b")), ("alias", match_alias(kg)), ("equation", match_equation(kg)), ("cross_domain", across)]
     out = None
     for i, (name, df) in enumerate(kinds):
         df = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.struct(F.lit(i).alias("order"), F.lit(name).alias("kind")).alias("m"))
@@ -112,16 +141,23 @@ def resolve_claim_entities(claims: DataFrame, kg: KnowledgeSet, threshold: float
 
 
 def evidence_windows(docs: DataFrame, size: int = 3) -> DataFrame:
-    """Sentences with places and context: (doc_id, sentence_id, text_span, start, end, section, context)."""
+    """Sentences with places and context: (doc_id, sentence_id, text_span, start, end, section, context).
+
+    A text's sentences, places and contexts are made before they become rows, so nothing is shuffled.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    parts, gaps = F.split(text, r"(?U)(?<=[.!?])\s+"), F.regexp_extract_all(text, F.lit(r"(?U)(?<=[.!?])\s+"), F.lit(0))
-    s = docs.select("doc_id", parts.alias("parts"), F.transform(F.arrays_zip(parts.alias("p"), gaps.alias("g")), lambda x: F.length(x["p"]) + F.coalesce(F.length(x["g"]), F.lit(0))).alias("sizes"))
-    s = s.select("doc_id", "parts", F.posexplode(F.arrays_zip("parts", "sizes")).alias("i", "x"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("x.sizes").over(before), F.lit(0)).cast("long")
-    own = F.col("x.parts")
-    context = F.concat_ws(" ", F.array_join(F.slice("parts", F.greatest(F.col("i") - size, F.lit(0)) + 1, F.least(F.col("i"), F.lit(size))), " "), own, F.array_join(F.slice("parts", F.col("i") + 2, F.lit(size)), " "))
-    out = s.select("doc_id", F.col("i").alias("sentence_id"), F.trim(own).alias("text_span"), start.alias("start"), (start + F.length(own)).alias("end"), F.concat(F.lit("section-"), F.floor(F.col("i") / 5).cast("string")).alias("section"), F.trim(context).alias("context"))
+    gap = r"(?U)(?<=[.!?])\s+"
+
+    def told(x):
+        parts = x["parts"]
+        sizes = F.transform(F.arrays_zip(parts.alias("p"), x["gaps"].alias("g")), lambda y: (F.length(y["p"]) + F.coalesce(F.length(y["g"]), F.lit(0))).cast("long"))
+        around = lambda i: F.array_join(F.slice(parts, F.greatest(i - size, F.lit(0)) + 1, F.least(i, F.lit(size)) + 1 + size), " ")
+        one = lambda at: F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("own"), F.get(at, i).alias("start"), around(i).alias("context")))
+        return once(running(sizes), one)
+
+    cut_up = F.struct(F.split(text, gap).alias("parts"), F.regexp_extract_all(text, F.lit(gap), F.lit(0)).alias("gaps"))
+    s = docs.select("doc_id", F.explode(once(cut_up, told)).alias("s")).select("doc_id", "s.*")
+    out = s.select("doc_id", F.col("i").alias("sentence_id"), F.trim("own").alias("text_span"), "start", (F.col("start") + F.length("own")).alias("end"), F.concat(F.lit("section-"), F.floor(F.col("i") / 5).cast("string")).alias("section"), F.trim("context").alias("context"))
     return out.where(F.col("text_span") != "")
 
 
@@ -167,6 +203,10 @@ def claim_provenance(claims: DataFrame) -> DataFrame:
     return claims.select("claim_id", F.sha2("document_id", 256).alias("document_hash"), F.sha2(text, 256).alias("content_hash"))
 
 
+#: Relations that a claim may state besides those of the registry and the phrases.
+CLAIM_RELATIONS = ["composed_of", "measured_by", "has_unit", "requires", "produces", "transforms_into"]
+
+
 def verify_claims(claims: DataFrame, kg: KnowledgeSet) -> DataFrame:
     """(claim_id, failed, support, status): checks of text, unit, number, entity and relation, and what the text says for itself."""
     known = F.broadcast(kg.relations.select(F.col("name").alias("relation"), F.lit(True).alias("known")))
@@ -180,7 +220,7 @@ def verify_claims(claims: DataFrame, kg: KnowledgeSet) -> DataFrame:
         ("unit", F.col("unit").isNull() | ((F.length("unit") < 20) & F.col("unit").rlike(r"^[A-Za-zΩ]+$|[/^°]"))),
         ("number", F.col("value").isNull() | F.col("value").try_cast("double").isNotNull()),
         ("entity", ~F.col("subject").rlike(r"^(geo|org|prod)\.") | F.col("there").isNotNull()),
-        ("relation", F.col("known").isNotNull() | F.col("relation").isin([r for _, r in PHRASES] + ["composed_of", "measured_by", "has_unit", "requires", "produces", "transforms_into"])),
+        ("relation", F.col("known").isNotNull() | F.col("relation").isin([r for _, r in PHRASES] + CLAIM_RELATIONS)),
     ]
     failed = F.array_join(F.filter(F.array(*[F.when(~F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests]), lambda x: x.isNotNull()), ",")
     support = F.when(named, "supported").when(F.length("text_span") > 30, "uncertain").otherwise("unsupported")
@@ -226,14 +266,19 @@ def search(kg: KnowledgeSet, query: str, domain=None, include_retired: bool = Fa
     return limited(e.select("id", "name", rank.alias("rank")).where("rank is not null"), limit, "rank", "id")
 
 
-STOP = "a an and are as at be by do does for from how in is it of on or that the this to was what when where which who why with tell me about explain describe give can you i we they".split()
+#: Words of a question that say nothing about its subject.
+STOP = [
+    "a", "about", "an", "and", "any", "are", "at", "be", "between", "by", "can", "could", "describe", "did", "do", "does", "explain", "for", "from", "give", "has", "have", "how", "i", "if", "in", "is", "it",
+    "its", "list", "me", "my", "of", "on", "or", "our", "please", "show", "so", "some", "tell", "that", "the", "their", "them", "there", "they", "this", "to", "us", "was", "we", "what", "when", "where",
+    "which", "who", "why", "will", "with", "would", "you", "your",
+]
 
 
-def grounding_topk(kg: KnowledgeSet, question: str, k: int = 5) -> DataFrame:
+def grounding_topk(kg: KnowledgeSet, question: str, k: int = 5, stop: list[str] = STOP) -> DataFrame:
     """The k records with the best additive score over entity fields and connection texts."""
     import re
 
-    terms = [t for t in re.sub(r"[^a-z0-9\s._-]", " ", question.lower()).split() if len(t) > 1 and t not in STOP]
+    terms = [t for t in re.sub(r"[^a-z0-9\s._-]", " ", question.lower()).split() if len(t) > 1 and t not in stop]
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     when = lambda test, n: F.when(test, n).otherwise(0)
     e = c = F.lit(0)

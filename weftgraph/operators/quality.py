@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.policy import active, retired
 from weftgraph.operators import history, reports
 from weftgraph.operators.graph import dangling_endpoints
+from weftgraph.runtime import cut
 from weftgraph.schema import KnowledgeSet
 
 ENTITY_TYPES = ["concept", "quantity", "law", "equation", "model", "phenomenon", "unit", "experiment", "method"]
@@ -205,8 +206,8 @@ def dq_triage_advisory(kg):
 
 
 def validate(kg: KnowledgeSet, only: list[str] | None = None) -> DataFrame:
-    """All violations. Each rule is a plan of its own; rules over one table share its scan by exchange reuse."""
-    out = None
+    """All violations. The tables that most rules read are made once, whatever they come from; each rule then scans its columns of them."""
+    kg, out = kg.with_(entities=cut(kg.entities), connections=cut(kg.connections)), None
     for name, f in RULES.items():
         if only is None or name in only:
             out = f(kg) if out is None else out.unionByName(f(kg))
