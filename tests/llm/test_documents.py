@@ -102,6 +102,54 @@ def test_packer_limits():
     assert got == Counter({e: n for e, (n, _) in want.items()})
     for own in seqs.values():
         assert sum(n for _, _, n, _ in own) <= 100 and len(own) <= 3
+        # of example e the last `loss` ids bear loss
+        assert sum(max(0, start + n - max(start, want[e][0] - want[e][1])) for e, start, n, _ in own) <= 40
+    assert sum(loss for _, loss in want.values()) > 30 * len(seqs)
+
+
+def test_packing_with_prompts(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(i, f"question {i} é: " + "why so " * (i % 9) + "| answer " + "word " * (i % 50), 14 + 7 * (i % 9)) for i in range(200)] + [(500, "no loss at all " * 30, None), (501, "", 0), (502, None, None), (503, "all of it", -3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, begins int").coalesce(1)
+    got = packing.pack(df, max_tokens=128, max_segments=8, max_loss=40, loss_from="begins").collect()
+    loss, total = {}, Counter()
+    for i, t, begin in rows:
+        e = tok.encode(t or "", add_special_tokens=False)
+        loss[i] = [begin is not None and a >= max(begin, 0) for a, _ in e.offsets] + [False]
+        total[i] = len(e.ids) + 1
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append(r)
+        total[r.doc_id] -= r.length
+    assert not any(total.values())
+    sums = [sum(sum(loss[r.doc_id][r.start : r.start + r.length]) for r in own) for own in seqs.values()]
+    assert max(sums) <= 40 and sum(x > 35 for x in sums) > len(sums) / 2
+    assert all(sum(r.length for r in own) <= 128 and len(own) <= 8 for own in seqs.values())
+
+
+def test_regular_texts_do_not_collide(spark):
+    """Thue-Morse words and their complements, which collide under any polynomial modulo 2**64."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    ship(spark)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    word, swap = "a", str.maketrans("ab", "ba")
+    for _ in range(12):
+        word += word.translate(swap)
+    head, tail = (" ".join(f"{c}{i}" for i in range(6)) for c in "ht")
+    for n in (1024, 2048, 4096):
+        t, u = word[:n], word[:n].translate(swap)
+        df = spark.createDataFrame([(1, t), (2, u)], "doc_id long, text string").coalesce(1)
+        ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(df, max_tokens=1 << 16).collect()}
+        assert ids == {i: [*tok.encode(x, add_special_tokens=False).ids, 0] for i, x in ((1, t), (2, u))}
+        assert {r.doc_id: r.ids for r in pieces.encode(df).collect()} == {1: sp.encode(t), 2: sp.encode(u)}
+        both = spark.createDataFrame([(1, f"{head} {t} {tail}"), (2, f"{head} {u} {tail}")], "doc_id long, text string")
+        assert [r.n_removed for r in substring.summary(both).collect()] == [0, 0]
+        assert len(set(bayes._features([t.encode()])[1]) ^ set(bayes._features([u.encode()])[1])) >= 2
 
 
 def fingerprint(text):
@@ -407,3 +455,36 @@ def test_sparse_sites_shrink(spark):
     rows = [(i, "big", "a", 3.0 if i % 2 else -3.0, -6.0) for i in range(400)] + [(1000 + i, "poor", "a", 4.0, -6.0) for i in range(300)] + [(9999, "tiny", "a", 4.0, -6.0)]
     out = {(r.host): r.path_bad for r in bayes.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, bad double, toxic double")).collect()}
     assert out["big"] < out["tiny"] < out["poor"] and out["tiny"] < 0.98
+
+
+def test_posteriors_against_brute_force(spark):
+    import math
+
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 11 == 0 else f"h{i % 7}", None if i % 13 == 0 else f"p{i % 3}", float(rng.normal(-1 + (i % 7 == 2) * 3, 2)), float(rng.normal(-3, 1))) for i in range(600)] + [(None, "solo", "p", 2.0, -2.0), (5, "h1", "p1", 1.0, 1.0)] * 2
+    share = lambda x: 1 / (1 + math.exp(-x))
+    odds = lambda p: math.log(p / (1 - p))
+    expected = {}
+    for k, t in enumerate(bayes.TARGETS):
+        x = [share(r[3 + k]) for r in rows]
+        hosts, paths = {}, {}
+        for r, v in zip(rows, x, strict=True):
+            hosts.setdefault(r[1], []).append(v)
+            paths.setdefault((r[1], r[2]), []).append(v)
+        prior = sum(x) / len(x)
+
+        def strength(groups, means):
+            n = sum(len(g) for g in groups)
+            ss = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in zip(groups, means, strict=True)) - sum(m * (1 - m) for m in means)
+            return min(max(sum(len(g) * m * (1 - m) for g, m in zip(groups, means, strict=True)) / n / max(ss / n, 1e-6) - 1, 1.0), 1e4)
+
+        top = strength(hosts.values(), [prior] * len(hosts))
+        host = {h: (sum(g) + top * prior) / (len(g) + top) for h, g in hosts.items()}
+        low = strength(paths.values(), [host[h] for h, _ in paths])
+        for i, (r, v) in enumerate(zip(rows, x, strict=True)):
+            g, m = paths[r[1], r[2]], host[r[1]]
+            others = (sum(g) - v + low * m) / (len(g) - 1 + low)
+            expected.setdefault(i, []).extend([m, (sum(g) + low * m) / (len(g) + low), share(r[3 + k] + bayes.SITE * (odds(others) - odds(prior)))])
+    out = bayes.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, bad double, toxic double"))
+    got = [tuple(round(r[c], 9) for c in ("bad", "toxic", "host_bad", "path_bad", "p_bad", "host_toxic", "path_toxic", "p_toxic")) for r in out.collect()]
+    same(got, [tuple(round(v, 9) for v in (r[3], r[4], *expected[i])) for i, r in enumerate(rows)])

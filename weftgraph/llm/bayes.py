@@ -6,8 +6,10 @@
    the texts to the labels. All else, sites included, covers all documents.
 2. Sites: a document's evidence becomes a probability; hosts and paths sum it (partial aggregation). The global
    mean is the prior of hosts, a host's posterior mean is the prior of its paths; the strength of each prior (a Beta's
-   size) is estimated from the spread between its children by moments, so sparse sites shrink to what is above them.
-3. A document's posterior odds are its own odds times the odds of its path against the global prior, tempered by SITE.
+   size) is estimated by moments from the spread of children around their own parent's mean, so sparse sites shrink to what
+   is above them, and paths of an unusual host are not taken for unusual paths.
+3. A document's posterior odds are its own odds times those of the other documents of its path (shrunk to the host in the
+   same way) against the global prior, tempered by SITE.
 
 A document is kept if neither bad nor toxic is more likely than not, with MARGIN for doubt.
 
@@ -129,13 +131,14 @@ def _share(odds: str) -> Column:
     return 1 / (1 + F.exp(-F.col(odds)))
 
 
-def _strength(rows: DataFrame, target: str, mean: float) -> float:
-    """The size of the Beta prior that gives the spread of the children's means, from weighted moments."""
-    r = rows.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col(target) / F.col("n") - mean, 2)).alias("ss"), F.count("*").alias("k")).first()
+def _strength(rows: DataFrame, target: str, mean: Column | float) -> float:
+    """The size of the Beta prior that gives the spread of children around their parents' means, from weighted moments."""
+    m = F.lit(mean) if isinstance(mean, float) else mean
+    r = rows.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col(target) / F.col("n") - m, 2)).alias("ss"), F.sum(m * (1 - m)).alias("noise"), F.sum(F.col("n") * m * (1 - m)).alias("within"), F.count("*").alias("k")).first()
     if not r["n"] or r["k"] < 2:
         return 10.0
-    between = r["ss"] / r["n"] - mean * (1 - mean) * r["k"] / r["n"]
-    return float(min(max(mean * (1 - mean) / max(between, 1e-6) - 1, 1.0), 1e4))
+    between, within = (r["ss"] - r["noise"]) / r["n"], r["within"] / r["n"]
+    return float(min(max(within / max(between, 1e-6) - 1, 1.0), 1e4))
 
 
 def posteriors(found: DataFrame) -> DataFrame:
@@ -146,14 +149,17 @@ def posteriors(found: DataFrame) -> DataFrame:
     total = hosts.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
     prior = {t: min(max((total[t] or 0.0) / (total["n"] or 1.0), 1e-4), 1 - 1e-4) for t in TARGETS}
     top = {t: _strength(hosts, t, prior[t]) for t in TARGETS}
-    low = {t: _strength(paths, t, prior[t]) for t in TARGETS}
     hosts = hosts.select(F.col("host").alias("__host"), *[((F.col(t) + top[t] * prior[t]) / (F.col("n") + top[t])).alias(f"host_{t}") for t in TARGETS])
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("__host")))
-    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), *[f"host_{t}" for t in TARGETS], *[((F.col(t) + low[t] * F.col(f"host_{t}")) / (F.col("n") + low[t])).alias(f"path_{t}") for t in TARGETS])
+    sites = cut(paths.join(hosts, F.col("host").eqNullSafe(F.col("__host"))))
+    low = {t: _strength(sites, t, F.col(f"host_{t}")) for t in TARGETS}
+    sums = [x for t in TARGETS for x in (F.col(t).alias(f"__sum_{t}"), F.col(f"host_{t}"), ((F.col(t) + low[t] * F.col(f"host_{t}")) / (F.col("n") + low[t])).alias(f"path_{t}"))]
+    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("n").alias("__n"), *sums)
     out = found.join(sites, F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p")))
     odds = lambda c: F.log(c / (1 - c))
     for t in TARGETS:
-        out = out.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(t) + SITE * (odds(F.col(f"path_{t}")) - float(np.log(prior[t] / (1 - prior[t]))))))))
+        # what the other documents of the path say: the document's own share is taken out again
+        others = (F.greatest(F.col(f"__sum_{t}") - _share(t), F.lit(0.0)) + low[t] * F.col(f"host_{t}")) / (F.col("__n") - 1 + low[t])
+        out = out.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(t) + SITE * (odds(others) - float(np.log(prior[t] / (1 - prior[t]))))))))
     return out
 
 

@@ -6,12 +6,16 @@ dimension, the one with the largest dot product of its demand and the bin's rest
 limits, goes in. Whole multiples of the token limit are cut off an example first; where nothing that waits
 fits as a whole, an example is cut to fill the bin, so at most one sequence of a task is padded.
 
+Loss-bearing are the ids that begin at or after `loss_from` characters of the text (0: all; null: none), so prompts of
+instruction data take tokens and a segment but no loss; the end token bears none. With max_loss under max_tokens the
+third limit binds: a bin whose loss is full goes on with prompts and loss-free pieces alone.
+
 Each task packs its own partition: no shuffle, a pool of at most POOL waiting examples, and the same output
 if a lost executor's task is run again. sequence_id is partition << 33 | number.
 
 Cases: null and empty texts are their end token alone; very long texts become many pieces; repeated rows are
 packed as often as they occur; a null doc_id is kept as null; an empty table gives no rows; other columns than
-doc_id, text (and loss_from, if it is asked for) are ignored.
+doc_id, text (and the column named by loss_from, if one is) are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +57,9 @@ class ByteBpe:
         ranks = {bytes(letters[c] for c in word): i for word, i in vocab.items() if word != END}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.ranks = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.wide = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for word, i in vocab.items():
+            self.wide[i] = len(word)  # a letter of the file's alphabet is a byte
         self.memo = Memo(lambda unit: np.array(self.ranks.encode_ordinary(unit.decode()), dtype="<u4").tobytes(), 150_000)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -75,6 +82,14 @@ class ByteBpe:
         ]
 
 
+    def ids_before(self, text: bytes, ids: bytes, chars: int) -> int:
+        """How many of a text's ids begin before so many of its characters."""
+        at = len(text.decode()[:chars].encode())
+        own = np.frombuffer(ids, dtype="<u4")
+        begin = np.cumsum(self.wide[own]) - self.wide[own]
+        return int(np.searchsorted(begin, at))
+
+
 #: Bytes that may follow a space where a unit begins: none that are, or may begin, white space.
 _OPENS = np.array([not (b <= 32 or b in (0xC2, 0xE1, 0xE2, 0xE3)) for b in range(256)])
 
@@ -90,13 +105,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def lossy(start: int, n: int, loss_from: int, loss_to: int) -> int:
+    """How many of the ids start:start + n lie in loss_from:loss_to."""
+    return max(0, min(start + n, loss_to) - max(start, loss_from))
+
+
 class Packer:
     """Waiting examples as rows of a demand matrix; emits (example, start, length, sequence, offset, segment)."""
 
     def __init__(self, limits: tuple[int, int, int], first: int):
         self.limits = np.array(limits, dtype=np.float64)
         self.sequence = first
-        self.waiting: list[tuple[object, int, int, int]] = []  # example, start, tokens, loss tokens
+        self.waiting: list[tuple[object, int, int, int, int]] = []  # example, start, tokens, where its loss begins and ends
         self.open()
 
     def open(self):
@@ -110,25 +130,24 @@ class Packer:
         return out
 
     def add(self, example, tokens: int, loss_from: int, loss_to: int):
-        """Pieces of the whole token limit go out at once, if the loss limit lets them; the rest waits."""
+        """Pieces of the whole token limit go out at once, if the loss limit lets them; the rest waits. Ids loss_from:loss_to bear loss."""
         size, start = int(self.limits[0]), 0
-        lossy = lambda a, b: max(0, min(b, loss_to) - max(a, loss_from))
         while tokens - start > 0:
             n = min(size, tokens - start)
-            while lossy(start, start + n) > self.limits[2]:
-                n -= lossy(start, start + n) - int(self.limits[2])
+            while (over := lossy(start, n, loss_from, loss_to) - int(self.limits[2])) > 0:
+                n -= over
             if n == size:
                 yield (example, start, n, self.sequence, 0)
                 self.sequence += 1
             else:
-                self.waiting.append((example, start, n, lossy(start, start + n)))
+                self.waiting.append((example, start, n, loss_from, loss_to))
             start += n
 
     def drain(self, keep: int):
         """Fill bins until at most `keep` examples wait."""
         if len(self.waiting) <= keep:
             return
-        demand = np.array([(n, 1, loss) for _, _, n, loss in self.waiting], dtype=np.float64)
+        demand = np.array([(n, 1, lossy(start, n, a, b)) for _, start, n, a, b in self.waiting], dtype=np.float64)
         alive = np.ones(len(demand), dtype=bool)
         left = len(demand)
         while left > keep or (keep == 0 and left):
@@ -144,37 +163,36 @@ class Packer:
             elif self.rest[1] < 1 or self.rest[0] < 1 or self.rest[2] < 1 and (d[:, 2] > 0).all():
                 yield from self.close()
             else:
-                # cut the largest example that has no more loss a token than the bin has left
+                # cut the largest example where the bin is full of tokens or of loss
                 i = live[np.argmax(d[:, 0])]
-                example, start, n, loss = self.waiting[i]
+                example, start, n, a, b = self.waiting[i]
                 take = int(min(self.rest[0], n - 1))
-                part = min(loss, take)
-                if part > self.rest[2]:
-                    take = part = int(self.rest[2])
+                if lossy(start, take, a, b) > self.rest[2]:
+                    take = max(a - start, 0) + int(self.rest[2])
                 if take < 1:
                     yield from self.close()
                     continue
-                self._place((example, start, take, part))
-                self.waiting[i] = (example, start + take, n - take, max(0, loss - part))
-                demand[i] = (n - take, 1, max(0, loss - part))
+                self._place((example, start, take, a, b))
+                self.waiting[i] = (example, start + take, n - take, a, b)
+                demand[i] = (n - take, 1, lossy(start + take, n - take, a, b))
             if self.rest[0] < 1:
                 yield from self.close()
         self.waiting = [w for w, a in zip(self.waiting, alive.tolist(), strict=True) if a]
 
     def _place(self, w):
-        example, start, n, loss = w
+        example, start, n, a, b = w
         self.placed.append((example, start, n, int(self.limits[0] - self.rest[0])))
-        self.rest -= (n, 1, loss)
+        self.rest -= (n, 1, lossy(start, n, a, b))
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = 1024, max_segments: int = 256, max_loss: int | None = None, end_id: int = 0, sink=None, schema: str = SCHEMA) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = 1024, max_segments: int = 256, max_loss: int | None = None, end_id: int = 0, sink=None, schema: str = SCHEMA, loss_from: str | None = None) -> DataFrame:
     """Pieces of all documents with their ids, sequences and offsets.
 
-    Loss-bearing are a document's own ids, not its end token; max_loss defaults to max_tokens. sink turns the
-    seven columns into others inside the task (for digests, so that ids need not leave it).
+    max_loss defaults to max_tokens; loss_from names a column of character places, or none for 0 everywhere. sink turns
+    the seven columns into others inside the task (for digests, so that ids need not leave it).
     """
     path = tokenizer or default_tokenizer()
     limits = (max_tokens, max_segments, max_loss or max_tokens)
@@ -195,11 +213,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = 1024,
         bpe = byte_bpe(path)
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         out = []
-        for docs_, texts in rounds(batches):
-            for doc, ids in zip(docs_, bpe.encode(texts), strict=True):
+        for keys, texts in rounds(batches):
+            for key, text, ids in zip(keys, texts, bpe.encode(texts), strict=True):
+                doc, begin = (key["d"], key["b"]) if loss_from else (key, 0)
+                scored = len(ids) // 4
+                first = scored if begin is None else bpe.ids_before(text, ids, begin) if begin > 0 else 0
                 ids += end
-                n = len(ids) // 4
-                out += packer.add((doc, ids, n), n, 0, n - 1)
+                n = scored + 1
+                out += packer.add((doc, ids, n), n, first, scored)
                 if len(packer.waiting) >= POOL:
                     out += packer.drain(POOL // 2)
                 if len(out) >= 2000:
@@ -209,7 +230,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = 1024,
         out += packer.close()
         yield batch(out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    doc = F.col("doc_id").cast("long")
+    key = F.struct(doc.alias("d"), F.col(loss_from).cast("long").alias("b")) if loss_from else doc
+    return docs.select(key.alias("key"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def with_checksums(cols: list[list]) -> list[list]:

@@ -28,6 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.arrays import once, running
 from weftgraph.runtime import cut, unused
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -55,30 +56,6 @@ MIN_DIGITS, MIN_SEEDS, MIN_CONFIDENCE = 5, 3, 0.8
 SPAN = "struct<start: long, end: long, kind: string>"
 
 
-def _once(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
-def _running(n: Column, join=lambda p, q: p + q) -> Column:
-    """Of array<long> n: 0 joined with all before each element, and the whole at the end, in O(n ** 1.5) steps at most."""
-    none = F.array().cast("array<long>")
-    grow = lambda a, x: F.struct(join(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-    start = lambda at: F.struct(at.alias("at"), none.alias("out"))
-    whole = lambda x: F.aggregate(x, F.lit(0).cast("long"), join)
-
-    def of(v):
-        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v).cast("double")))).cast("int")
-        return _once(size, lambda b: _once(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / b).cast("int")), lambda k: F.slice(v, (k * b + 1).cast("int"), b)), blocks))
-
-    def blocks(parts):
-        before = F.aggregate(F.transform(parts, whole), start(F.lit(0).cast("long")), grow, lambda a: F.concat(a["out"], F.array(a["at"])))
-        inner = lambda at: F.flatten(F.transform(F.arrays_zip(parts.alias("p"), F.slice(at, 1, F.size(parts)).alias("o")), lambda x: F.aggregate(x["p"], start(x["o"]), grow, lambda a: a["out"])))
-        return _once(before, lambda at: F.concat(inner(at), F.slice(at, -1, 1)))
-
-    return F.when(F.size(n) == 0, F.array(F.lit(0).cast("long"))).otherwise(_once(n, of))
-
-
 MATCH = "array<struct<gap: string, m: string, start: long, end: long>>"
 
 
@@ -90,10 +67,10 @@ def matches(text: Column, pattern: str, sign: str | None = None) -> Column:
         pairs = F.arrays_zip(x["gap"], x["m"])
         sizes = F.flatten(F.transform(pairs, lambda p: F.array(F.length(p["gap"]).cast("long"), F.length(p["m"]).cast("long"))))
         # places 2k + 1 and 2k + 2 of the running sums are the start and the end of match k
-        return _once(_running(sizes), lambda at: F.transform(pairs, lambda p, k: F.struct(p["gap"].alias("gap"), p["m"].alias("m"), F.get(at, 2 * k + 1).alias("start"), F.get(at, 2 * k + 2).alias("end"))))
+        return once(running(sizes), lambda at: F.transform(pairs, lambda p, k: F.struct(p["gap"].alias("gap"), p["m"].alias("m"), F.get(at, 2 * k + 1).alias("start"), F.get(at, 2 * k + 2).alias("end"))))
 
     cut_up = lambda m: F.struct(F.slice(F.split(text, pattern, -1), 1, F.size(m)).alias("gap"), m.alias("m"))
-    return F.when(text.rlike(sign or pattern), _once(_once(found, cut_up), placed)).otherwise(F.array().cast(MATCH))
+    return F.when(text.rlike(sign or pattern), once(once(found, cut_up), placed)).otherwise(F.array().cast(MATCH))
 
 
 def _digits(m: Column) -> Column:
@@ -232,7 +209,7 @@ def _redacted(text: Column, spans: Column) -> Column:
         each = F.transform(F.arrays_zip(spans.alias("s"), F.slice(upto, 1, F.size(spans)).alias("u")), lambda x: F.when(x["s"]["start"] >= x["u"], F.concat(part(pieces, x["u"], x["s"]["start"]), F.lit("["), x["s"]["kind"], F.lit("]"))).otherwise(""))
         return F.concat(F.array_join(each, ""), part(pieces, F.element_at(upto, -1), F.length(text).cast("long")))
 
-    return _once(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: _once(_running(spans["end"], lambda p, q: F.greatest(p, q)), lambda upto: build(pieces, upto)))
+    return once(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: once(running(spans["end"], lambda p, q: F.greatest(p, q)), lambda upto: build(pieces, upto)))
 
 
 def redaction(docs: DataFrame) -> DataFrame:

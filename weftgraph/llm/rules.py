@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.runtime import cut
+from weftgraph.runtime import cut, unused
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -118,7 +118,7 @@ def _counts(rows: DataFrame, conditions: dict[str, list[float]]) -> tuple[tuple[
     return total, out
 
 
-def learn(labelled: DataFrame, max_rules: int = MAX_RULES, min_precision: float = MIN_PRECISION) -> list[list[Condition]]:
+def learn(labelled: DataFrame, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, min_precision: float = MIN_PRECISION) -> list[list[Condition]]:
     """Rules from rows with FEATURES, bad (1: reject, 0: keep) and fold (0 and 1: grow, 2: prune)."""
     conditions = _cuts(labelled)
     conditions = {f: cs for f, cs in conditions.items() if cs}
@@ -129,7 +129,7 @@ def learn(labelled: DataFrame, max_rules: int = MAX_RULES, min_precision: float
     for _ in range(max_rules):
         rule: list[Condition] = []
         rows = left.where("fold < 2")
-        while len(rule) < MAX_CONDITIONS:
+        while len(rule) < max_conditions:
             (p, n), found = _counts(rows, conditions)
             if not p or not n:
                 break
@@ -163,17 +163,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def train(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
+def train(stats: DataFrame, labels: DataFrame, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, min_precision: float = MIN_PRECISION) -> list[list[Condition]]:
     """The list for the rows that the base rule lets through, from their labels (quality 0: reject)."""
     known = labels.where("quality is not null").select("doc_id", (1 - F.col("quality").cast("int")).alias("bad"))
     rows = stats.where(~base_failed()).join(known, "doc_id").select(*FEATURES, "bad", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold"))
-    return learn(cut(rows))
+    return learn(cut(rows), max_rules, max_conditions, min_precision)
 
 
-def judge(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
-    """Each row's counts, base_failed and kept, with the features they rest on."""
+def judge(docs: DataFrame, labels: DataFrame, *keep: str, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, min_precision: float = MIN_PRECISION) -> DataFrame:
+    """Each row's counts, base_failed and kept, with the features they rest on.
+
+    Covering stops at max_rules rules of at most max_conditions conditions, or earlier, where no rule is precise enough.
+    """
     stats = cut(statistics(docs, *keep))
-    rules = train(stats, labels)
+    rules = train(stats, labels, max_rules, max_conditions, min_precision)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
@@ -183,6 +186,7 @@ def digest(judged: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, all columns. Rows are told apart by doc_id and their text's hash."""
-    own = docs.withColumn("__h", F.xxhash64("text"))
-    gone = judge(own, labels, "__h").where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g")).distinct()
-    return own.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g")), "left_anti").drop("__h")
+    h, i, g = unused(docs.columns, "hash", "id", "found")
+    own = docs.withColumn(h, F.xxhash64("text"))
+    gone = judge(own, labels, h).where(~F.col("kept")).select(F.col("doc_id").alias(i), F.col(h).alias(g)).distinct()
+    return own.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(g)), "left_anti").drop(h)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.words import TO_LOWER_SPACE, Words, text_chunks, xxh64
 from weftgraph.operators.components import label_components
-from weftgraph.runtime import cut
+from weftgraph.runtime import cut, unused
 
 #: Groups of over so many fingerprints under one key are compared block by block in numpy.
 BLOCK = 512
@@ -167,8 +167,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows whose doc_id labels their group, all columns kept; equal rows of one doc_id all stay, and so do null ids."""
     found = near_duplicates(docs, shingle, max_bits)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__g")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__g")), "left_anti")
+    i, g = unused(docs.columns, "id", "hash")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(i), F.col("h").alias(g)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(i)) & (F.xxhash64("text") == F.col(g)), "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ so equal windows have equal anchors. Consecutive windows with one anchor form a
 ways as far as its windows go. Documents are joined on anchors by hash partitioning, never pair by pair:
   1. blocks that are equal as a whole go to the smallest doc_id; in every other document they are repeats;
   2. where an anchor has several different blocks, one of each is extended window by window.
-Windows found either way are merged into maximal repeats, the spans of words that are removed.
+Windows found either way are merged into maximal repeats (rows of maximal_repeats()), the spans of words that are removed.
 
 Hot passages are combined before the shuffle: of equal blocks in a batch only the smallest doc_id goes on as
 a seed, the others are known repeats at once. No group is collected; groups are read as a sorted stream.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.words import RangeHash, Words, mix, text_chunks, word_hashes
-from weftgraph.runtime import cut
+from weftgraph.runtime import cut, unused
 
 GRAM = 5
 _A, _B, _G = 0xD6E8FEB86659FD93, 0xCA5A826395121157, 0xA0761D6478BD642F
@@ -225,9 +225,27 @@ def cut_text(text: str, gone: np.ndarray) -> str:
     return "".join([*out, text[at:]])
 
 
+def maximal_repeats(docs: DataFrame, threshold: int = 13, gram: int = GRAM) -> DataFrame:
+    """(doc_id, begin, end): words begin:end of a document, each stretch of repeats that touch or overlap extended both ways as far as it goes."""
+    found = repeats(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), threshold, gram)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, text, runs in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], covered(text, runs, threshold), [False]]).astype(np.int8)))
+                rows += [(doc, int(x), int(y)) for x, y in zip(edge[0::2], edge[1::2], strict=True)]
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "begin", "end"])
+
+    return found.where("__runs is not null").select("doc_id", "text", "__runs").mapInArrow(run, "doc_id long, begin long, end long")
+
+
 def removal(docs: DataFrame, threshold: int = 13, gram: int = GRAM) -> DataFrame:
     """The documents with all their columns, repeats cut out of `text`; `n_chars`, if there, follows."""
-    found = repeats(docs, threshold, gram)
+    # a caller's own columns stay apart from those that repeats() adds
+    names = {c: n for c, n in zip(docs.columns, unused([*docs.columns, "__runs", "__open"], *[f"own_{i}" for i in range(len(docs.columns))]), strict=True) if c not in ("doc_id", "text")}
+    found = repeats(docs.withColumnsRenamed(names), threshold, gram)
 
     @F.pandas_udf("string")
     def shorter(texts, runs):
@@ -235,8 +253,7 @@ def removal(docs: DataFrame, threshold: int = 13, gram: int = GRAM) -> DataFrame
 
         return pd.Series([t if t is None or r is None else cut_text(t, covered(t.encode(), r, threshold)) for t, r in zip(texts, runs, strict=True)], dtype=object)
 
-    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(shorter("text", "__runs"))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    out = found.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(shorter("text", "__runs")))
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.when(F.col("__runs").isNull(), F.col(names["n_chars"])).otherwise(F.length("text").cast("long")))
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ met is scored in full; the threshold of a depth is the score of an imagined vect
 that depth in all lists. Once the query's kth score in the block exceeds the threshold, nothing unread can
 be among the k best (or tie with them) and the block is left. The k best of each block meet in one window over the queries.
 
-Vectors are taken as floor(scale * x); scores are exact integers (sums are kept in 64 bits).
+Vectors are taken as floor(scale * x); scores are exact integers; vectors so long that a sum might not fit in 64 bits raise an error.
 
 Cases: a vector that is null or has a null or non-finite component takes no part, nor does one of another
 length than the most frequent (the larger, of several) length; ties go to the smaller id; a query has no
@@ -86,7 +86,9 @@ class SortedLists:
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the vectors whose id is divisible by `every`, candidates all."""
     own = cut(integers(vectors, scale))
-    n = own.count()
+    n, most = own.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
+    if (most or 0.0) >= 2.0**62:  # no inner product exceeds the largest squared length
+        raise ValueError("components are too large for sums in 64 bits")
     blocks, groups = max(1, -(-n // block)), max(1, -(-n // (every * group)))
     packed = own.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
     packed = packed.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), "vec_id", "v", F.lit(False).alias("query"))
