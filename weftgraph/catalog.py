@@ -420,6 +420,30 @@ add("validate", quality.conforms)
 add("severity_counts", quality.severity_counts)
 add_rough("anomalies", quality.anomalies)
 
+_from = lambda key: f"FROM ({ORACLE[key]}) x"
+_say = lambda rule, severity, focus, message, rest: f"SELECT '{rule}' AS rule, '{severity}' AS severity, {focus} AS focus, {message} AS message {rest}"
+ORACLE["dq_promotion"] = " UNION ALL ".join([
+    _say("dq_promotion", "error", "id", "'too soon: ' || before || ' ' || stage", _from("stage_gap_violations") + " WHERE days < 1"),
+    _say("dq_promotion", "error", "id", "'same actor at ' || stage", _from("stage_independence")),
+    _say("dq_promotion", "warning", "id", "'chain is ' || stages", _from("stage_order") + " WHERE NOT in_order"),
+    _say("dq_promotion", "error", "id", "'humans on the board: ' || CAST(n AS STRING)", f"""FROM ({ctes("promotions", "agents")}
+SELECT p.id, count(DISTINCT actor) FILTER (class = 'human') AS n FROM promotions p LEFT JOIN agents a ON a.id = actor WHERE stage = 'board' GROUP BY p.id HAVING n < 2 AND NOT bool_or(waiver)) x"""),
+])
+ORACLE["dq_pointers"] = _say("dq_pointers", "error", "record", "kind || ' points to ' || pointer", _from("dangling_endpoints"))
+_LONG = "'mathematically_requires', 'requires', 'logically_requires', 'depends_on', 'causes', 'applies_to', 'derived_from'"
+ORACLE["dq_triage_advisory"] = _say("dq_triage_advisory", "info", "id", "'may be ' || suggested", "FROM (" + ORACLE["relation_triage"].replace("'requires', 'depends_on', 'causes', 'applies_to', 'derived_from'", _LONG) + ") x WHERE verdict = 'candidate'")
+_PLAIN = [ctes(*_DQ[k][1]) + "\n" + _DQ[k][0] if k in _DQ else ORACLE[k] for k in quality.RULES if k in _DQ or k in ORACLE]
+_ALL = " UNION ALL ".join(f"SELECT rule, severity, focus, message FROM ({q}) x" for q in _PLAIN)
+ORACLE["severity_counts"] = f"SELECT rule, severity, count(*) AS n FROM ({_ALL}) y GROUP BY rule, severity"
+ORACLE["validate"] = f"SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS conforms FROM ({_ALL}) y"
+_KEY = "concat_ws('|', source, relation, object)"
+ORACLE["anomalies"] = " UNION ALL ".join([
+    _say("duplicate_triple", "low", _KEY, "CAST(n AS STRING) || ' times'", _from("duplicate_triples")),
+    _say("conflicting_review", "high", _KEY, "CAST(n_reviews AS STRING) || ' reviews'", _from("conflicting_review")),
+    _say("isolated_entity", "low", "id", "'no connection'", _from("isolated_entities")),
+    "SELECT rule, 'high' AS severity, focus, message " + _from("dq_contradiction"),
+])
+
 # rules over the nested blocks of records
 
 _V = lambda rule, message, rest, severity="error", focus="id": f"SELECT '{rule}' AS rule, '{severity}' AS severity, {focus} AS focus, {message} AS message {rest}"

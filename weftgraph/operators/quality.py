@@ -21,6 +21,9 @@ SCHEMES = {"sku": "^SKU[0-9]+$", "ledger": "^[0-9]+$", "brand": "^Brand#[0-9]+-[
 DECIMAL = r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 ID = r"^[a-z]+\.[a-z]*[0-9]+$"
 
+#: Different humans that a board stage needs, unless it is waived.
+BOARD = 2
+
 Rule = Callable[[KnowledgeSet], DataFrame]
 RULES: dict[str, Rule] = {}
 
@@ -177,6 +180,9 @@ def dq_agents(kg):
 @rule
 def dq_promotion(kg):
     out = _rows(history.stage_gap_violations(kg, 1), "dq_promotion", F.concat_ws(" ", F.lit("too soon:"), "before", "stage"))
+    human = kg.agents.where("class = 'human'").select(F.col("id").alias("actor"), F.lit(True).alias("human"))
+    board = kg.promotions.where("stage = 'board'").join(human, "actor", "left").groupBy("id").agg(F.count_distinct(F.when(F.col("human"), F.col("actor"))).alias("n"), F.max("waiver").alias("waiver"))
+    out = out.unionByName(_rows(board.where((F.col("n") < BOARD) & ~F.coalesce("waiver", F.lit(False))), "dq_promotion", F.concat(F.lit("humans on the board: "), F.col("n").cast("string"))))
     out = out.unionByName(_rows(history.stage_independence(kg), "dq_promotion", F.concat_ws(" ", F.lit("same actor at"), "stage")))
     return out.unionByName(_rows(history.stage_order(kg).where(~F.col("in_order")), "dq_promotion", F.concat_ws(" ", F.lit("chain is"), "stages"), "warning"))
 
