@@ -281,6 +281,10 @@ add("corroboration", reports.corroboration,
 add("lexical_index", reports.lexical_index,
     """SELECT token, count(*) AS n, min(id) AS first_id FROM (SELECT id, unnest(list_distinct([w FOR w IN regexp_split_to_array(lower(concat_ws(' ', name, definition, domain, type)), '[^a-z0-9]+') IF length(w) > 2])) AS token FROM entities) GROUP BY token""", "entities")
 add("citation_index", reports.citation_index, "SELECT source_ref, count(*) AS uses, count(DISTINCT connection_id) AS connections, count(*) FILTER (stance = 'refutes') AS refuting FROM evidence GROUP BY source_ref", "evidence")
+add("citation_uses", reports.citation_uses,
+    "SELECT source_ref, 'evidence' AS kind, connection_id AS id, stance FROM evidence UNION ALL SELECT source_ref, 'provenance', id, NULL FROM entities WHERE source_ref IS NOT NULL", "evidence", "entities")
+add("lexical_postings", reports.lexical_postings,
+    """SELECT DISTINCT token, id FROM (SELECT id, unnest([w FOR w IN regexp_split_to_array(lower(concat_ws(' ', name, definition, domain, type)), '[^a-z0-9]+') IF length(w) > 2]) AS token FROM entities)""", "entities")
 add("unresolved_sources", reports.unresolved_sources,
     """SELECT pointer, kind, count(*) AS uses FROM (SELECT source_ref AS pointer, 'evidence' AS kind FROM evidence UNION ALL SELECT source_ref, 'provenance' FROM entities WHERE source_ref IS NOT NULL)
 WHERE pointer NOT IN (SELECT id FROM sources) AND pointer NOT IN (SELECT title FROM sources) GROUP BY pointer, kind""", "entities", "evidence", "sources")
@@ -309,7 +313,9 @@ add("source_slug", reports.source_slug,
     r"""WITH s AS (SELECT id, substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40) || '-' || CAST(year AS STRING) AS slug FROM sources)
 SELECT id, slug, count(*) OVER (PARTITION BY slug) > 1 AS duplicate FROM s""", "sources")
 add("relations", lambda kg: kg.relations.select("name", "family", "inverse", "transitive", "symmetric", "status"), "SELECT name, family, inverse, transitive, \"symmetric\", status FROM relations", "relations")
-add("vocabularies", lambda kg: kg.entities.groupBy("domain", "subdomain").agg(F.count("*").alias("n")), "SELECT domain, subdomain, count(*) AS n FROM entities GROUP BY domain, subdomain", "entities")
+add("vocabularies", lookup.vocabularies,
+    """SELECT vocabulary, term, count(*) AS n FROM (SELECT 'domain' AS vocabulary, domain AS term FROM entities UNION ALL SELECT 'subdomain', domain || '/' || subdomain FROM entities UNION ALL SELECT 'type', type FROM entities UNION ALL SELECT 'status', status FROM entities
+UNION ALL SELECT 'relation', relation FROM connections UNION ALL SELECT 'review', review FROM connections UNION ALL SELECT 'source type', type FROM sources) WHERE term IS NOT NULL GROUP BY vocabulary, term""", "entities", "connections", "sources")
 
 # histories
 
@@ -397,10 +403,17 @@ WHERE review = 'canonical' AND (source IN (SELECT id FROM entities WHERE status
     "dq_evidence": (f"SELECT 'dq_evidence' AS rule, CASE WHEN review = 'canonical' THEN 'error' ELSE 'warning' END AS severity, id AS focus, 'no evidence' AS message FROM connections WHERE {ACTIVE} AND id NOT IN (SELECT connection_id FROM evidence)", ["connections", "evidence"]),
     "dq_contradiction": ("""SELECT 'dq_contradiction' AS rule, 'warning' AS severity, pair AS focus, 'contradicted and asserted' AS message FROM (SELECT least(source, target) || '|' || greatest(source, target) AS pair, relation FROM connections WHERE target IS NOT NULL)
 GROUP BY pair HAVING count(*) FILTER (relation = 'contradicts') > 0 AND count(*) FILTER (relation IN ('causes', 'requires', 'mathematically_requires', 'logically_requires')) > 0""", ["connections"]),
-    "dq_agents": ("""SELECT 'dq_agents' AS rule, 'error' AS severity, p.id AS focus, CASE WHEN class IS NULL THEN 'unknown agent' WHEN class <> 'human' THEN 'promoted by a machine' ELSE 'agent is retired' END || ' ' || actor AS message
-FROM (SELECT DISTINCT id, actor FROM promotions) p LEFT JOIN agents a ON a.id = actor WHERE class IS NULL OR class <> 'human' OR status <> 'active'""", ["promotions", "agents"]),
-    "dq_profile": ("SELECT 'dq_profile' AS rule, 'error' AS severity, id AS focus, 'source cannot be verified' AS message FROM sources WHERE url IS NULL AND type NOT IN ('academic-paper', 'textbook', 'standard')", ["sources"]),
-    "dq_shape": ("SELECT 'dq_shape' AS rule, 'warning' AS severity, id AS focus, 'law without an edge' AS message FROM entities WHERE type = 'law' AND id NOT IN (SELECT source FROM connections)", ["entities", "connections"]),
+    "dq_agents": ("""SELECT 'dq_agents' AS rule, 'error' AS severity, p.id AS focus, why || ' ' || p.agent AS message FROM (SELECT p.id, p.agent, CASE WHEN class IS NULL THEN 'unknown agent' WHEN class <> 'human' AND role <> 'written' THEN role || ' by a machine'
+  WHEN status <> 'active' AND role = 'promoted' THEN 'agent is retired' END AS why FROM (SELECT id, actor AS agent, 'promoted' AS role FROM promotions UNION SELECT id, value, CASE WHEN key = 'reviewer' THEN 'reviewed' ELSE 'written' END FROM blocks WHERE block = 'provenance') p
+  LEFT JOIN agents a ON a.id = agent) p WHERE why IS NOT NULL""", ["promotions", "agents", "blocks"]),
+    "dq_profile": ("""SELECT 'dq_profile' AS rule, 'error' AS severity, id AS focus, 'source cannot be verified' AS message FROM sources WHERE url IS NULL AND type NOT IN ('academic-paper', 'textbook', 'standard')
+UNION ALL SELECT 'dq_profile', 'error', id, 'link has another form' FROM sources WHERE NOT regexp_matches(url, '^https://[a-z0-9.-]+/')
+UNION ALL SELECT 'dq_profile', 'error', id, 'not in the profile: ' || relation FROM connections WHERE relation NOT IN ('part_of', 'mathematically_requires', 'logically_requires', 'has_price', 'applies_to', 'related_to', 'causes')
+UNION ALL SELECT 'dq_profile', 'error', connection_id, 'evidence without a place' FROM evidence WHERE type IN ('experiment', 'textbook') AND locator IS NULL""", ["sources", "connections", "evidence"]),
+    "dq_shape": ("""SELECT 'dq_shape' AS rule, 'warning' AS severity, id AS focus, type || ' has ' || CAST(n AS STRING) || ' ' || property AS message FROM (
+  SELECT e.id, type, 'edges' AS property, coalesce(k, 0) AS n FROM entities e LEFT JOIN (SELECT source, count(*) AS k FROM connections GROUP BY source) c ON source = e.id UNION ALL SELECT id, type, 'symbol', CAST(symbol IS NOT NULL AS BIGINT) FROM entities
+  UNION ALL SELECT id, type, 'source_ref', CAST(source_ref IS NOT NULL AS BIGINT) FROM entities UNION ALL SELECT id, type, 'definition', CAST(definition IS NOT NULL AS BIGINT) FROM entities) v
+JOIN (VALUES ('law', 'edges', 1, 1000000000), ('unit', 'symbol', 1, 1), ('quantity', 'symbol', 1, 1), ('concept', 'source_ref', 0, 1), ('unit', 'definition', 1, 1)) s(t, p, least, most) ON t = type AND p = property WHERE n < least OR n > most""", ["entities", "connections"]),
     "dq_external_ids": ("""SELECT 'dq_external_ids' AS rule, 'error' AS severity, entity_id AS focus, scheme || ' has a wrong format' AS message FROM external_ids
 WHERE NOT CASE scheme WHEN 'sku' THEN regexp_matches(value, '^SKU[0-9]+$') WHEN 'ledger' THEN regexp_matches(value, '^[0-9]+$') ELSE regexp_matches(value, '^Brand#[0-9]+-[0-9]+$') END
 UNION ALL SELECT 'dq_external_ids', 'warning', min(entity_id), 'shared: ' || scheme || ' ' || value FROM external_ids GROUP BY scheme, value HAVING count(*) > 1""", ["external_ids"]),

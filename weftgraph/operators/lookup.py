@@ -160,3 +160,12 @@ def prerequisite_relations(c: DataFrame) -> DataFrame:
 def relation(kg: KnowledgeSet, asked: DataFrame) -> DataFrame:
     """asked(relation) -> its row of the registry; a relation that the registry lacks has none."""
     return kg.relations.join(asked.select(F.col("relation").alias("name")).distinct(), "name", "left_semi").select("name", "family", "inverse", "transitive", "symmetric", "status")
+
+
+def vocabularies(kg: KnowledgeSet) -> DataFrame:
+    """(vocabulary, term, n): the terms in use, each table scanned once."""
+    pair = lambda name, c: F.struct(F.lit(name).alias("vocabulary"), c.alias("term"))
+    e = kg.entities.select(F.explode(F.array(pair("domain", F.col("domain")), pair("subdomain", F.concat("domain", F.lit("/"), "subdomain")), pair("type", F.col("type")), pair("status", F.col("status")))).alias("x"))
+    c = kg.connections.select(F.explode(F.array(pair("relation", F.col("relation")), pair("review", F.col("review")))).alias("x"))
+    both = e.unionByName(c).unionByName(kg.sources.select(pair("source type", F.col("type")).alias("x"))).select("x.*")
+    return both.where("term is not null").groupBy("vocabulary", "term").agg(F.count("*").alias("n"))

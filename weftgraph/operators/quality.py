@@ -170,10 +170,14 @@ def dq_contradiction(kg):
 
 @rule
 def dq_agents(kg):
-    p = kg.promotions.select("id", F.col("actor").alias("agent")).distinct()
+    """Every agent resolves; promotions and reviews are by humans, whoever drafted; retired agents promote nothing."""
+    p = kg.promotions.select("id", F.col("actor").alias("agent"), F.lit("promoted").alias("role"))
+    if kg.blocks is not None:
+        said = kg.blocks.where("block = 'provenance'")
+        p = p.unionByName(said.select("id", F.col("value").alias("agent"), F.when(F.col("key") == "reviewer", "reviewed").otherwise("written").alias("role")))
     a = F.col("class")
-    j = p.join(kg.agents.select(F.col("id").alias("agent"), "class", "status"), "agent", "left")
-    why = F.when(a.isNull(), "unknown agent").when(a != "human", "promoted by a machine").when(F.col("status") != "active", "agent is retired")
+    j = p.distinct().join(kg.agents.select(F.col("id").alias("agent"), "class", "status"), "agent", "left")
+    why = F.when(a.isNull(), "unknown agent").when((a != "human") & (F.col("role") != "written"), F.concat("role", F.lit(" by a machine"))).when((F.col("status") != "active") & (F.col("role") == "promoted"), "agent is retired")
     return _rows(j.withColumn("why", why).where("why is not null"), "dq_agents", F.concat_ws(" ", "why", "agent"))
 
 
@@ -192,17 +196,39 @@ def dq_pointers(kg):
     return _rows(dangling_endpoints(kg), "dq_pointers", F.concat_ws(" ", "kind", F.lit("points to"), "pointer"), focus="record")
 
 
+#: The profile: relations it has, types of sources that need no link, form of links, types of evidence that need a place in their source.
+PROFILE = {
+    "relations": ["part_of", "mathematically_requires", "logically_requires", "has_price", "applies_to", "related_to", "causes"],
+    "libraries": ["academic-paper", "textbook", "standard"], "link": "^https://[a-z0-9.-]+/", "placed": ["experiment", "textbook"],
+}
+
+
 @rule
 def dq_profile(kg):
-    """A source has to be verifiable: a link, or a kind that is kept in libraries."""
-    return _rows(kg.sources.where(_blank("url") & ~F.col("type").isin("academic-paper", "textbook", "standard")), "dq_profile", "source cannot be verified")
+    """Sources have a link of a known form or are kept in libraries; evidence has its place; relations are those of the profile."""
+    out = _rows(kg.sources.where(_blank("url") & ~F.col("type").isin(PROFILE["libraries"])), "dq_profile", "source cannot be verified")
+    out = out.unionByName(_rows(kg.sources.where(~_blank("url") & ~F.col("url").rlike(PROFILE["link"])), "dq_profile", "link has another form"))
+    out = out.unionByName(_rows(kg.connections.where(~F.col("relation").isin(PROFILE["relations"])), "dq_profile", F.concat(F.lit("not in the profile: "), F.col("relation"))))
+    return out.unionByName(_rows(kg.evidence.where(F.col("type").isin(PROFILE["placed"]) & _blank("locator")), "dq_profile", "evidence without a place", focus="connection_id"))
+
+
+#: Limits on the number of values of a property, by type: (type, property, least, most).
+SHAPES = [("law", "edges", 1, None), ("unit", "symbol", 1, 1), ("quantity", "symbol", 1, 1), ("concept", "source_ref", 0, 1), ("unit", "definition", 1, 1)]
+
+
+def shape_violations(kg: KnowledgeSet, shapes: list[tuple]) -> DataFrame:
+    """(id, type, property, n) of each entity with fewer or more values than a shape lets it have."""
+    edges = kg.connections.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("edges"))
+    count = lambda c: F.when(_blank(c), 0).otherwise(1).cast("long")
+    each = F.array(F.struct(F.lit("edges").alias("property"), F.coalesce("edges", F.lit(0)).alias("n")), *[F.struct(F.lit(c).alias("property"), count(c).alias("n")) for c in ("symbol", "source_ref", "definition")])
+    v = kg.entities.join(edges, "id", "left").select("id", "type", F.explode(each).alias("x")).select("id", "type", "x.*")
+    limits = F.broadcast(kg.entities.sparkSession.createDataFrame(shapes, "type string, property string, least long, most long"))
+    return v.join(limits, ["type", "property"]).where("n < least or n > most").select("id", "type", "property", "n")
 
 
 @rule
 def dq_shape(kg):
-    """Limits on the number of values of a property: at most one source reference kind, at least one edge of a law."""
-    edges = kg.connections.select(F.col("source").alias("id")).distinct()
-    return _rows(kg.entities.where("type = 'law'").join(edges, "id", "left_anti"), "dq_shape", "law without an edge", "warning")
+    return _rows(shape_violations(kg, SHAPES), "dq_shape", F.concat_ws(" ", "type", F.lit("has"), F.col("n").cast("string"), "property"), "warning")
 
 
 @rule

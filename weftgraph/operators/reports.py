@@ -102,6 +102,18 @@ def lexical_index(kg: KnowledgeSet) -> DataFrame:
     return kg.entities.select("id", F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
+def lexical_postings(kg: KnowledgeSet) -> DataFrame:
+    """(token, id): the index itself, a row a posting, so that no list grows with a token's frequency."""
+    words = F.filter(F.split(F.lower(F.concat_ws(" ", "name", "definition", "domain", "type")), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
+    return kg.entities.select(F.explode(words).alias("token"), "id").distinct()
+
+
+def citation_uses(kg: KnowledgeSet) -> DataFrame:
+    """(source_ref, kind, id, stance): every use of a source, as evidence or as provenance."""
+    ev = kg.evidence.select("source_ref", F.lit("evidence").alias("kind"), F.col("connection_id").alias("id"), "stance")
+    return ev.unionByName(kg.entities.where("source_ref is not null").select("source_ref", F.lit("provenance").alias("kind"), "id", F.lit(None).cast("string").alias("stance")))
+
+
 def citation_index(kg: KnowledgeSet) -> DataFrame:
     return kg.evidence.groupBy("source_ref").agg(F.count("*").alias("uses"), F.count_distinct("connection_id").alias("connections"), F.count_if(F.col("stance") == "refutes").alias("refuting"))
 
