@@ -64,6 +64,13 @@ def test_topk(spark, block):
     assert topk.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_sums_that_would_wrap_are_refused(spark):
+    ship(spark)
+    df = spark.createDataFrame([(50, [1e9, 1e9]), (51, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError):
+        topk.exact_top_k(df)
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     rows = np.zeros((5000, 8), dtype=np.int64)

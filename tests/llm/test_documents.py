@@ -244,6 +244,21 @@ def test_substring(docs, rows, none, threshold):
         assert substring.summary(none).count() == 0
 
 
+def test_maximal_repeats_reach_as_far_as_they_go(spark):
+    ship(spark)
+    a, b = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(["x", *a[10:90], "y", *b[:12], "z", *b[50:63], *a[:13]])), (4, None), (None, " ".join(a))]
+    got = substring.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got.collect(), [(3, 1, 81), (3, 95, 121)])  # the last two stretches touch, so they are one
+
+
+def test_clashing_names_in_substring(spark):
+    ship(spark)
+    passage = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, passage, "r", "o", 3), (2, "x " + passage, "r", "o", 4)], "doc_id long, text string, __runs string, __open string, n_chars long")
+    same(substring.removal(df).collect(), [(1, passage, "r", "o", 3), (2, "x ", "r", "o", 2)])
+
+
 def test_pieces(docs, rows, none):
     import sentencepiece
 
