@@ -286,7 +286,7 @@ def test_plans(spark):
 
 QUICK = ["neighbors", "values", "review_views", "consumer_bundle", "stats", "curation_status", "duplicate_claims", "conflicts", "dangling_endpoints", "stage_order", "id_reassigned", "propagate", "proposals", "grounding_topk",
          "dq_extensions", "dq_historical", "dq_adopted_from", "dq_debt", "dq_human_review", "dq_governing", "dq_context_vocab", "dq_node_projection", "dq_legacy_prefix", "dq_inline_relationships", "dq_candidate", "dq_live_counts", "scoping_keys", "relation",
-         "duplicate_triples", "conflicting_review", "isolated_entities", "projection_mismatch", "relationship_cycles", "dq_enum", "dq_retired_pointer", "dq_target_xor_value", "dq_contradiction", "id_deleted", "prerequisites", "transitive_closure", "edge_union"]
+         "duplicate_triples", "conflicting_review", "isolated_entities", "projection_mismatch", "relationship_cycles", "dq_enum", "dq_retired_pointer", "dq_target_xor_value", "dq_contradiction", "id_deleted", "prerequisites", "transitive_closure", "edge_union", "node_projection", "dq_provenance_shape", "dq_registry_coherence", "verify_claims"]
 
 
 @pytest.mark.parametrize("name", QUICK)

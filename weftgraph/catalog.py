@@ -390,7 +390,11 @@ add("ledger_lineage", lambda kg: kg.claims.select("claim_id", F.col("source_id")
 _DQ = {
     "dq_required": ("""SELECT 'dq_required' AS rule, 'error' AS severity, id AS focus, 'missing url' AS message FROM sources WHERE url IS NULL""", ["sources"]),
     "dq_quantity_fields": ("SELECT 'dq_quantity_fields' AS rule, 'error' AS severity, id AS focus, 'quantity without symbol' AS message FROM entities WHERE type = 'quantity' AND symbol IS NULL", ["entities"]),
-    "dq_provenance_shape": ("SELECT 'dq_provenance_shape' AS rule, 'warning' AS severity, id AS focus, 'reviewed record without source' AS message FROM entities WHERE status IN ('canonical', 'human_reviewed') AND source_ref IS NULL", ["entities"]),
+    "dq_provenance_shape": ("""SELECT 'dq_provenance_shape' AS rule, 'warning' AS severity, id AS focus, 'reviewed record without source' AS message FROM entities WHERE status IN ('canonical', 'human_reviewed') AND source_ref IS NULL
+UNION ALL SELECT 'dq_provenance_shape', 'error', id, 'ai_drafted is not true or false' FROM blocks WHERE block = 'origin' AND key = 'ai_drafted' AND value NOT IN ('true', 'false')
+UNION ALL SELECT 'dq_provenance_shape', 'error', id, 'source_kind ' || value FROM blocks WHERE block = 'origin' AND key = 'source_kind' AND value NOT IN ('paper', 'textbook', 'standard', 'dataset', 'expert')
+UNION ALL SELECT 'dq_provenance_shape', 'error', id, 'neither source nor reviewer' FROM blocks WHERE block = 'origin' AND key = 'ai_drafted' AND value = 'false'
+  AND id NOT IN (SELECT id FROM entities WHERE source_ref IS NOT NULL UNION SELECT id FROM blocks WHERE block = 'provenance' AND key = 'reviewer')""", ["entities", "blocks"]),
     "dq_target_xor_value": (r"""SELECT 'dq_target_xor_value' AS rule, 'error' AS severity, id AS focus, 'exactly one of target and value is needed' AS message FROM connections WHERE (target IS NULL) = (amount IS NULL)
 UNION ALL SELECT 'dq_target_xor_value', 'error', id, 'amount is not a decimal' FROM connections WHERE NOT regexp_matches(amount, '^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$')""", ["connections"]),
     "dq_relation_known": ("SELECT 'dq_relation_known' AS rule, 'error' AS severity, id AS focus, 'unknown relation ' || relation AS message FROM connections WHERE relation NOT IN (SELECT name FROM relations)", ["connections", "relations"]),
@@ -429,6 +433,20 @@ _ROUGH = {"dq_id_format", "dq_enum", "dq_quantity_fields", "dq_retired_pointer",
 for _key, _rule in quality.RULES.items():
     _sql, _tables = _DQ.get(_key, (None, []))
     (add_rough if _key in _ROUGH else add)(_key, _rule, _sql, *_tables)
+
+
+def _ill_registry(spark, sf_dir):
+    pairs = testgraph.table(spark, sf_dir, "rough_relations")
+    return pairs.withColumns({c: F.split(c, ",") for c in ("domain", "range")})
+
+
+add_raw("dq_registry_coherence", lambda spark, d: quality.dq_registry_coherence(knowledge(spark, d).with_(relations=_ill_registry(spark, d))),
+    ctes("rough_relations") + """, r AS (SELECT name, inverse, "symmetric", list_sort(string_split(domain, ',')) AS d, list_sort(string_split("range", ',')) AS r FROM rough_relations),
+j AS (SELECT a.*, b.name AS found, b.inverse AS back, b.d AS bd, b.r AS br FROM r a LEFT JOIN r b ON b.name = a.inverse),
+w AS (SELECT name, 'symmetric relation with inverse' AS message FROM j WHERE "symmetric" AND inverse IS NOT NULL UNION ALL SELECT name, 'inverse is not defined' FROM j WHERE inverse IS NOT NULL AND found IS NULL
+  UNION ALL SELECT name, 'inverse is not mutual' FROM j WHERE found IS NOT NULL AND back IS DISTINCT FROM name UNION ALL SELECT name, 'domain does not mirror the inverse' FROM j WHERE d <> br
+  UNION ALL SELECT name, 'range does not mirror the inverse' FROM j WHERE r <> bd UNION ALL SELECT name, 'unknown type in domain' FROM j WHERE list_contains(d, 'gizmo') UNION ALL SELECT name, 'unknown type in range' FROM j WHERE list_contains(r, 'gadget'))
+SELECT 'dq_registry_coherence' AS rule, 'error' AS severity, name AS focus, message FROM w""")
 add("validate", quality.conforms)
 add("severity_counts", quality.severity_counts)
 add_rough("anomalies", quality.anomalies)
@@ -445,7 +463,7 @@ SELECT p.id, count(DISTINCT actor) FILTER (class = 'human') AS n FROM promotions
 ORACLE["dq_pointers"] = _say("dq_pointers", "error", "record", "kind || ' points to ' || pointer", _from("dangling_endpoints"))
 _LONG = "'mathematically_requires', 'requires', 'logically_requires', 'depends_on', 'causes', 'applies_to', 'derived_from'"
 ORACLE["dq_triage_advisory"] = _say("dq_triage_advisory", "info", "id", "'may be ' || suggested", "FROM (" + ORACLE["relation_triage"].replace("'requires', 'depends_on', 'causes', 'applies_to', 'derived_from'", _LONG) + ") x WHERE verdict = 'candidate'")
-_PLAIN = [ctes(*_DQ[k][1]) + "\n" + _DQ[k][0] if k in _DQ else ORACLE[k] for k in quality.RULES if k in _DQ or k in ORACLE]
+_PLAIN = [ctes(*_DQ[k][1]) + "\n" + _DQ[k][0] if k in _DQ else ORACLE[k] for k in quality.RULES if k != "dq_registry_coherence" and (k in _DQ or k in ORACLE)]  # the library's own registry has no faults
 _ALL = " UNION ALL ".join(f"SELECT rule, severity, focus, message FROM ({q}) x" for q in _PLAIN)
 ORACLE["severity_counts"] = f"SELECT rule, severity, count(*) AS n FROM ({_ALL}) y GROUP BY rule, severity"
 ORACLE["validate"] = f"SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS conforms FROM ({_ALL}) y"
@@ -564,8 +582,14 @@ add("match_all", match.match_all)
 add("resolve_claim_entities", lambda kg: match.resolve_claim_entities(kg.claims, kg).select("claim_id", "subject", "method"))
 add("claim_provenance", lambda kg: match.claim_provenance(kg.claims),
     "SELECT claim_id, sha256(document_id) AS document_hash, sha256(concat_ws(chr(31), subject, relation, object, coalesce(value, ''), coalesce(unit, ''))) AS content_hash FROM claims", "claims")
-add("verify_claims", lambda kg: match.verify_claims(kg.claims, kg),
-    """SELECT claim_id, 'relation' AS failed, 'supported' AS support, 'failed' AS status FROM claims""", "claims")
+_UNITS = {"has_unit": ["usd", "cent"]}
+add_raw("verify_claims", lambda spark, d: match.verify_claims(testgraph.table(spark, d, "rough_claims"), knowledge(spark, d), _UNITS),
+    ctes("rough_claims", "entities", "relations") + """, t AS (SELECT *, contains(lower(text_span), lower(replace(subject, '_', ' '))) OR contains(lower(text_span), lower(replace(object, '_', ' '))) AS named FROM rough_claims),
+f AS (SELECT claim_id, CASE WHEN named THEN 'supported' WHEN length(text_span) > 30 THEN 'uncertain' ELSE 'unsupported' END AS support, concat_ws(',', CASE WHEN NOT named AND length(text_span) <= 20 THEN 'cited_text' END,
+  CASE WHEN length(unit) >= 20 OR NOT regexp_matches(unit, '^[A-Za-zΩ]+$|[/^°]') THEN 'unit' END, CASE WHEN value IS NOT NULL AND TRY_CAST(value AS DOUBLE) IS NULL THEN 'number' END,
+  CASE WHEN subject LIKE 'prod.%' AND subject NOT IN (SELECT id FROM entities) THEN 'entity' END, CASE WHEN relation NOT IN (SELECT name FROM relations) AND relation <> 'has_unit' THEN 'relation' END,
+  CASE WHEN relation = 'has_unit' AND unit NOT IN ('usd', 'cent') THEN 'dimension' END, CASE WHEN NOT contains(equation, '=') THEN 'equation' END) AS failed FROM t)
+SELECT claim_id, failed, support, CASE WHEN failed <> '' THEN 'failed' WHEN support = 'supported' THEN 'verified' ELSE 'needs_review' END AS status FROM f""")
 add("proposals", match.proposals,
     """WITH k AS (SELECT subject, relation, object, count(DISTINCT value) > 1 AS conflict FROM claims WHERE value IS NOT NULL GROUP BY ALL)
 SELECT claim_id, subject, relation, object, coalesce(conflict, false) AS conflict, 'proposed' AS review, CASE WHEN value IS NULL THEN 'value' ELSE '' END AS gaps FROM claims LEFT JOIN k USING (subject, relation, object)""", "claims")

@@ -135,11 +135,15 @@ def edge_projection(kg: KnowledgeSet, domain=None, relation=None) -> DataFrame:
     return c.join(family, "relation", "left").select("id", "source", "target", "relation", trust.alias("trust"), F.round(style * scale, 3).alias("width"))
 
 
-def node_projection(kg: KnowledgeSet) -> DataFrame:
+#: Keywords that name a cluster, the first that a node's text holds.
+CLUSTERS = ["region", "nation", "customer", "supplier", "widget", "brass", "copper", "tin", "nickel"]
+
+
+def node_projection(kg: KnowledgeSet, clusters: list[str] = CLUSTERS) -> DataFrame:
     """Nodes with cluster (first keyword in the slug), degree and a size clamped by type."""
     edges = edge_projection(kg)
     degree = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    words = F.array(*[F.lit(w) for w in ("region", "nation", "customer", "supplier", "steel", "brass", "copper", "tin", "nickel")])
+    words = F.array(*[F.lit(w) for w in clusters])
     hay = F.lower(F.concat_ws(" ", "name", "subdomain"))
     cluster = F.coalesce(F.get(F.filter(words, lambda w: F.contains(hay, w)), F.lit(0)), F.lit("other"))
     most = F.when(F.col("type") == "law", 30).otherwise(20)

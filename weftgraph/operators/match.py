@@ -207,8 +207,11 @@ def claim_provenance(claims: DataFrame) -> DataFrame:
 CLAIM_RELATIONS = ["composed_of", "measured_by", "has_unit", "requires", "produces", "transforms_into"]
 
 
-def verify_claims(claims: DataFrame, kg: KnowledgeSet) -> DataFrame:
-    """(claim_id, failed, support, status): checks of text, unit, number, entity and relation, and what the text says for itself."""
+def verify_claims(claims: DataFrame, kg: KnowledgeSet, units: dict[str, list[str]] | None = None) -> DataFrame:
+    """(claim_id, failed, support, status): checks of text, unit, number, entity, relation, equation (a column that claims may have) and dimension, and what the text says for itself.
+
+    `units` names the units of a relation's dimension; a unit of a relation that it does not name fits.
+    """
     known = F.broadcast(kg.relations.select(F.col("name").alias("relation"), F.lit(True).alias("known")))
     there = kg.entities.select(F.col("id").alias("subject"), F.lit(True).alias("there"))
     c = claims.join(known, "relation", "left").join(there, "subject", "left")
@@ -221,7 +224,10 @@ def verify_claims(claims: DataFrame, kg: KnowledgeSet) -> DataFrame:
         ("number", F.col("value").isNull() | F.col("value").try_cast("double").isNotNull()),
         ("entity", ~F.col("subject").rlike(r"^(geo|org|prod)\.") | F.col("there").isNotNull()),
         ("relation", F.col("known").isNotNull() | F.col("relation").isin([r for _, r in PHRASES] + CLAIM_RELATIONS)),
+        ("dimension", F.col("unit").isNull() | F.coalesce(*[F.when(F.col("relation") == r, F.col("unit").isin(u)) for r, u in (units or {}).items()], F.lit(True))),
     ]
+    if "equation" in claims.columns:
+        tests.append(("equation", F.col("equation").isNull() | (F.contains("equation", F.lit("=")) & (F.length("equation") < 500))))
     failed = F.array_join(F.filter(F.array(*[F.when(~F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests]), lambda x: x.isNotNull()), ",")
     support = F.when(named, "supported").when(F.length("text_span") > 30, "uncertain").otherwise("unsupported")
     return c.select("claim_id", failed.alias("failed"), support.alias("support")).withColumn("status", F.when(F.col("failed") != "", "failed").when(F.col("support") == "supported", "verified").otherwise("needs_review"))

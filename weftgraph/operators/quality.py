@@ -15,6 +15,8 @@ from weftgraph.schema import KnowledgeSet
 
 ENTITY_TYPES = ["concept", "quantity", "law", "equation", "model", "phenomenon", "unit", "experiment", "method"]
 ENTITY_STATUSES = ["draft", "proposed", "ai_reviewed", "human_reviewed", "reviewed", "canonical", "deprecated", "superseded", "rejected"]
+#: Kinds of source that the origin of a record may have.
+SOURCE_KINDS = ["paper", "textbook", "standard", "dataset", "expert"]
 SOURCE_TYPES = ["academic-paper", "textbook", "standard", "dataset", "web"]
 #: Formats of external ids by scheme.
 SCHEMES = {"sku": "^SKU[0-9]+$", "ledger": "^[0-9]+$", "brand": "^Brand#[0-9]+-[0-9]+$"}
@@ -73,7 +75,16 @@ def dq_quantity_fields(kg):
 
 @rule
 def dq_provenance_shape(kg):
-    return _rows(kg.entities.where(F.col("status").isin("canonical", "human_reviewed") & _blank("source_ref")), "dq_provenance_shape", "reviewed record without source", "warning")
+    """Reviewed records have a source; the origin says by true or false whether a machine drafted the record, and its kind of source is known; what no machine drafted has a source or a reviewer."""
+    out = _rows(kg.entities.where(F.col("status").isin("canonical", "human_reviewed") & _blank("source_ref")), "dq_provenance_shape", "reviewed record without source", "warning")
+    if kg.blocks is None:
+        return out
+    o = kg.blocks.where("block = 'origin'")
+    out = out.unionByName(_rows(o.where((F.col("key") == "ai_drafted") & ~F.coalesce(F.col("value").isin("true", "false"), F.lit(False))), "dq_provenance_shape", "ai_drafted is not true or false"))
+    out = out.unionByName(_rows(o.where((F.col("key") == "source_kind") & ~F.col("value").isin(SOURCE_KINDS)), "dq_provenance_shape", F.concat(F.lit("source_kind "), F.col("value"))))
+    named = kg.entities.where(~_blank("source_ref")).select("id").unionByName(kg.blocks.where("block = 'provenance' and key = 'reviewer'").select("id"))
+    alone = o.where("key = 'ai_drafted' and value = 'false'").select("id").distinct().join(named, "id", "left_anti")
+    return out.unionByName(_rows(alone, "dq_provenance_shape", "neither source nor reviewer"))
 
 
 @rule
@@ -134,10 +145,22 @@ def dq_reviewed_endpoints(kg):
 
 @rule
 def dq_registry_coherence(kg):
-    a = kg.relations.select("name", "inverse", "symmetric")
-    b = a.select(F.col("name").alias("inverse"), F.col("inverse").alias("back"))
-    pairs = a.where("inverse is not null").join(b, "inverse", "left").where(~F.col("back").eqNullSafe(F.col("name")))
-    return _rows(pairs, "dq_registry_coherence", "inverse is not mutual", focus="name").unionByName(_rows(a.where("symmetric and inverse is not null"), "dq_registry_coherence", "symmetric relation with inverse", focus="name"))
+    """Inverses are defined, mutual and mirror domain and range; symmetric relations have none; types are known."""
+    a = kg.relations.select("name", "inverse", "symmetric", *[F.array_sort(F.coalesce(s, F.array().cast("array<string>"))).alias(s) for s in ("domain", "range")])
+    b = a.select(F.col("name").alias("inverse"), F.col("name").alias("found"), F.col("inverse").alias("back"), F.col("domain").alias("back_domain"), F.col("range").alias("back_range"))
+    j, other = a.join(b, "inverse", "left"), F.col("inverse").isNotNull()
+    known = F.array(*[F.lit(t) for t in ENTITY_TYPES])
+    tests = [
+        (F.col("symmetric") & other, "symmetric relation with inverse"),
+        (other & F.col("found").isNull(), "inverse is not defined"),
+        (F.col("found").isNotNull() & ~F.col("back").eqNullSafe(F.col("name")), "inverse is not mutual"),
+        (F.col("found").isNotNull() & (F.col("domain") != F.col("back_range")), "domain does not mirror the inverse"),
+        (F.col("found").isNotNull() & (F.col("range") != F.col("back_domain")), "range does not mirror the inverse"),
+        (F.size(F.array_except("domain", known)) > 0, "unknown type in domain"),
+        (F.size(F.array_except("range", known)) > 0, "unknown type in range"),
+    ]
+    why = F.filter(F.array(*[F.when(t, F.lit(m)) for t, m in tests]), lambda x: x.isNotNull())
+    return _rows(j.select("name", F.explode(why).alias("why")), "dq_registry_coherence", F.col("why"), focus="name")
 
 
 @rule

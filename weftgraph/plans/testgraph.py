@@ -104,6 +104,8 @@ GRAPH["blocks"] = "\nUNION ALL ".join([
     _block("governed_by", "'law'", "CASE WHEN p_partkey % 36 = 0 THEN 'prod.p1' WHEN p_partkey % 18 = 0 THEN 'prod.p' || CAST(p_partkey AS STRING) WHEN p_partkey % 12 = 0 THEN 'org.s999999999' ELSE 'org.s' || CAST(p_partkey % 10 AS STRING) END", _P, "part", "p_partkey % 6 = 0"),
     _block("context", "'domain'", "CASE c_custkey % 3 WHEN 0 THEN 'org' WHEN 1 THEN 'geo' ELSE 'moon' END", "'e.c' || CAST(c_custkey AS STRING)", "customer", "c_custkey % 8 = 0"),
     _block("context", "'scale'", "CASE WHEN c_custkey % 5 = 0 THEN 'cosmic' ELSE 'macro' END", "'e.c' || CAST(c_custkey AS STRING)", "customer", "c_custkey % 8 = 0"),
+    _block("origin", "'ai_drafted'", "CASE c_custkey % 5 WHEN 0 THEN 'false' WHEN 1 THEN 'maybe' ELSE 'true' END", _C, "customer", "c_custkey % 12 < 3"),
+    _block("origin", "'source_kind'", "CASE c_custkey % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'rumour' ELSE 'expert' END", _C, "customer", "c_custkey % 12 < 2"),
     _block("relationships", "'requires'", "'prod.p1'", _C, "customer", "c_custkey % 101 = 0"),
 ])
 
@@ -120,8 +122,19 @@ UNION ALL SELECT id || '0000000000', source, relation, target, amount, unit, 'ac
 UNION ALL SELECT id || '1000000000', target, relation, source, amount, unit, 'active', assertion_type, review, {_EDGE} FROM connections WHERE relation = 'logically_requires' AND {_K} % 5 = 0 AND {_K} % 7 > 0
 UNION ALL SELECT id || '2000000000', source, 'causes', target, amount, unit, 'active', assertion_type, review, {_EDGE} FROM connections WHERE relation IN ('applies_to', 'related_to') AND {_K} % 14 = 3"""
 
+#: A registry of one relation a part, in pairs of inverses, some of them ill made; domain and range are comma-separated.
+_R = "'rel' || CAST({} AS STRING)"
+GRAPH["rough_relations"] = f"""SELECT {_R.format("k")} AS name, CASE WHEN k % 28 = 2 THEN 'rel999999999' WHEN k % 20 = 1 THEN {_R.format("k + 4")} WHEN k % 4 = 0 THEN {_R.format("k + 1")} WHEN k % 4 = 1 THEN {_R.format("k - 1")} END AS inverse,
+  k % 6 = 0 AS symmetric, CASE WHEN k % 35 = 0 THEN 'gizmo' WHEN k % 4 = 0 THEN 'law,unit' WHEN k % 4 = 1 THEN 'quantity' ELSE 'concept' END AS domain,
+  CASE WHEN k % 4 = 0 THEN 'quantity' WHEN k % 12 = 1 THEN 'law' WHEN k % 4 = 1 THEN 'unit,law' WHEN k % 51 = 2 THEN 'gadget' ELSE 'concept' END AS range FROM (SELECT p_partkey AS k FROM part) p"""
+#: Claims of several relations, with units, numbers, texts, subjects and equations some of which fail.
+GRAPH["rough_claims"] = """SELECT claim_id, document_id, source_id, CASE WHEN k % 11 = 0 THEN 'prod.p999999999' ELSE subject END AS subject, CASE WHEN k % 4 = 0 THEN relation WHEN k % 4 = 1 THEN 'depends_on' WHEN k % 4 = 2 THEN 'has_unit' ELSE 'causes' END AS relation, object,
+  CASE WHEN k % 7 = 0 THEN 'about ' || value ELSE value END AS value, CASE WHEN k % 6 = 1 THEN 'usd for 100' WHEN k % 6 = 2 THEN 'm/s' WHEN k % 6 = 3 THEN CAST(NULL AS STRING) ELSE unit END AS unit,
+  CASE WHEN k % 9 = 0 THEN 'short' WHEN k % 9 = 1 THEN 'a longer text which names nobody at all' ELSE text_span END AS text_span, CASE WHEN k % 5 = 0 THEN 'p = c * d' WHEN k % 5 = 1 THEN 'p c d' END AS equation
+  FROM (SELECT *, CAST(split_part(claim_id, '.', 2) AS BIGINT) AS k FROM claims) c"""
+
 #: Tables that each graph table is made of, besides the driver's.
-_USES = {"connections": ["pairs"], "evidence": ["pairs"], "rough_entities": ["entities"], "rough_connections": ["pairs", "connections"]}
+_USES = {"connections": ["pairs"], "evidence": ["pairs"], "rough_entities": ["entities"], "rough_connections": ["pairs", "connections"], "rough_claims": ["claims"]}
 
 
 def _registry_rows() -> str:
