@@ -64,6 +64,38 @@ def test_topk(spark, block):
     assert topk.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_topk_over_classes_of_length(spark):
+    """Lengths from tiny to large, repeated ids with other vectors, a hot class, ties: all blocks share floors and lose nothing."""
+    ship(spark)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * 10.0 ** (i % 5 - 2)]) for i in range(400)]
+    rows += [(50, [3.0, -1.0, 0.0, 2.0, 0.0, 1.0]), (50, [0.01] * 6), (100, [0.0] * 6)] + [(1000 + i, [1.0, 2.0, 3.0, 0.0, 0.0, 0.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q in {r[0] for r in rows if r[0] % 50 == 0}:
+        whole = [(s, c) for r in rows if r[0] == q for s, c in _scored(r, rows)]
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(sorted(whole)[:5])]
+    for block, group in ((16, 2), (None, None)):
+        assert Counter(map(tuple, topk.exact_top_k(df, block=block, group=group).collect())) == Counter(want)
+
+
+def _scored(query, rows):
+    ints = lambda v: np.floor(256 * np.array(v)).astype(np.int64)
+    return [(-int(ints(query[1]) @ ints(v)), c) for c, v in rows if c != query[0]]
+
+
+def test_floor_leaves_blocks_unread():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(-50, 50, (300, 4))
+    lists, q = topk.SortedLists(np.arange(300), rows), np.array([3, -2, 0, 1])
+    ids, scores = lists.top(q, -1, 5)
+    for floor in (int(scores[0]), int(scores[4]), int(scores[4]) + 1, -10**6):
+        got = lists.top(q, -1, 5, floor)
+        assert got[0].tolist() == ids[scores >= floor].tolist() and got[1].tolist() == scores[scores >= floor].tolist()
+    lists.exact = np.zeros((0, 4))  # nothing can be scored
+    assert len(lists.top(q, -1, 5, 10**6)[0]) == 0
+
+
 def test_sums_that_would_wrap_are_refused(spark):
     ship(spark)
     df = spark.createDataFrame([(50, [1e9, 1e9]), (51, [1.0, 1.0])], "vec_id long, embedding array<float>")
