@@ -268,6 +268,30 @@ def test_streams(spark):
     assert got.count() == events.count() - n
 
 
+def test_ledger_of_one_long_stream(spark):
+    """A hot stream of many batches, streams without rows of their own, a null stream and clashing names are chained in order."""
+    ship(spark)
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"s{i % 7}", i, None if i % 11 == 0 else f"b{i}") for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {r.i: (r.prev_hash, r.hash) for r in history.ledger_append(spark.createDataFrame(rows, "__text string, i long, b string").repartition(7), "__text", ["i"], ["i", "b"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {}
+    for s, i, b in rows:
+        before = last.get(s, "0" * 64)
+        last[s] = sha256("|".join([before, *([str(i)] if b is None else [str(i), b])]).encode()).hexdigest()
+        assert got[i] == ((before, sha256((f"{before}|{i}" + ("" if b is None else f"|{b}")).encode()).hexdigest()))
+
+
+def test_registry_of_rules_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    rules = spark.range(20).select(F.col("id").cast("string").alias("rule"), F.lit("a").alias("pattern"), F.lit("d").alias("domain"))
+    assert match.rule_entities(docs, rules).count() == 20
+    with pytest.raises(ValueError):
+        match.rule_entities(docs, rules, max_rules=19)
+
+
 def test_rules_find_what_is_planted(tiny, spark):
     bad = tiny.with_(connections=frame(spark, [edge("e.1", "root", "made_up", "alpha"), edge("e.2", "root", "requires", None), edge("e.3", "root", "causes", "beta", review="rejected"), edge("e.4", "beta", "contradicts", "root")], schema.CONNECTIONS))
     assert [r.focus for r in quality.dq_relation_known(bad).collect()] == ["e.1"]
@@ -286,7 +310,8 @@ def test_plans(spark):
 
 QUICK = ["neighbors", "values", "review_views", "consumer_bundle", "stats", "curation_status", "duplicate_claims", "conflicts", "dangling_endpoints", "stage_order", "id_reassigned", "propagate", "proposals", "grounding_topk",
          "dq_extensions", "dq_historical", "dq_adopted_from", "dq_debt", "dq_human_review", "dq_governing", "dq_context_vocab", "dq_node_projection", "dq_legacy_prefix", "dq_inline_relationships", "dq_candidate", "dq_live_counts", "scoping_keys", "relation",
-         "duplicate_triples", "conflicting_review", "isolated_entities", "projection_mismatch", "relationship_cycles", "dq_enum", "dq_retired_pointer", "dq_target_xor_value", "dq_contradiction", "id_deleted", "prerequisites", "transitive_closure", "edge_union", "node_projection", "dq_provenance_shape", "dq_registry_coherence", "verify_claims"]
+         "duplicate_triples", "conflicting_review", "isolated_entities", "projection_mismatch", "relationship_cycles", "dq_enum", "dq_retired_pointer", "dq_target_xor_value", "dq_contradiction", "id_deleted", "prerequisites", "transitive_closure", "edge_union", "node_projection", "dq_provenance_shape", "dq_registry_coherence", "verify_claims",
+         "ledger_append", "ledger_verify", "vector_topk_all", "rag_context", "citations_grounded", "scoping_claims", "payload_sha256", "content_hash"]
 
 
 @pytest.mark.parametrize("name", QUICK)

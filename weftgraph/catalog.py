@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph import schema
 from weftgraph.operators import curate, graph, history, lookup, match, quality, records, reports, vector, views
 from weftgraph.plans import testgraph
 from weftgraph.plans.testgraph import ctes, knowledge
@@ -378,8 +379,14 @@ def _ledger(spark, sf_dir):
     return history.ledger_append(e, "user_id", ["event_id"], ["event_id", "event_type", "props"])
 
 
-add_raw("ledger_append", _ledger)
-add_raw("ledger_verify", lambda spark, d: history.ledger_verify(_ledger(spark, d).withColumn("props", F.when(F.col("event_id") % 97 == 0, "forged").otherwise(F.col("props"))), "user_id", ["event_id"], ["event_id", "event_type", "props"]))
+_BODY = "concat_ws('|', {}, event_id, event_type, {})"
+_CHAIN = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, coalesce(props, '') AS props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (SELECT *, repeat('0', 64) AS prev_hash, sha256({_BODY.format("repeat('0', 64)", "props")}) AS hash FROM e WHERE n = 1
+  UNION ALL SELECT e.*, c.hash, sha256(concat_ws('|', c.hash, e.event_id, e.event_type, e.props)) FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)"""
+add_raw("ledger_append", _ledger, f"{_CHAIN} SELECT user_id, event_id, event_type, props, prev_hash, hash FROM c")
+add_raw("ledger_verify", lambda spark, d: history.ledger_verify(_ledger(spark, d).withColumn("props", F.when(F.col("event_id") % 97 == 0, "forged").otherwise(F.col("props"))), "user_id", ["event_id"], ["event_id", "event_type", "props"]),
+        f"""{_CHAIN}, g AS (SELECT *, {_BODY.format("prev_hash", "CASE WHEN event_id % 97 = 0 THEN 'forged' ELSE props END")} AS said FROM c), h AS (SELECT *, sha256(said) = hash AS hash_ok FROM g)
+SELECT user_id, event_id, hash_ok, prev_hash = coalesce(last_value(CASE WHEN hash_ok THEN hash END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), repeat('0', 64)) AS link_ok FROM h""")
 add_raw("ledger_query", lambda spark, d: read(spark, d, "events").where("event_type = 'click'").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id"),
         "SELECT event_id, user_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 50")
 add("ledger_lineage", lambda kg: kg.claims.select("claim_id", F.col("source_id")).join(kg.sources.select(F.col("id").alias("source_id"), "lifecycle"), "source_id").join(kg.evidence.select(F.col("source_ref").alias("source_id"), "connection_id").distinct().groupBy("source_id").agg(F.count("*").alias("n_connections")), "source_id").select("claim_id", "source_id", "lifecycle", "n_connections"),
@@ -614,7 +621,9 @@ add("grounding_topk", lambda kg: match.grounding_topk(kg, "tell me about the nat
   + CASE WHEN lower(coalesce(symbol, '')) = t THEN 6 ELSE 0 END + CASE WHEN domain = t THEN 3 ELSE 0 END) AS score FROM entities, t GROUP BY id),
 c AS (SELECT 'connection' AS kind, c.id, sum(CASE WHEN contains(lower(concat_ws(' ', relation, s.name, g.name, c.id)), t) THEN 4 ELSE 0 END) AS score FROM connections c LEFT JOIN entities s ON s.id = source LEFT JOIN entities g ON g.id = target, t GROUP BY c.id)
 SELECT kind, id, CAST(score AS INTEGER) AS score FROM (SELECT * FROM e UNION ALL SELECT * FROM c) WHERE score > 0 ORDER BY score DESC, id LIMIT 10""", "entities", "connections")
-add_raw("scoping_claims", lambda spark, d: match.scoping_claims(_DOCS(spark, d), ["the", "and", "with"]))
+add_raw("scoping_claims", lambda spark, d: match.scoping_claims(_DOCS(spark, d), ["the", "and", "with"]),
+        """WITH t AS (SELECT doc_id, [w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+') IF w <> ''] AS t FROM documents)
+SELECT doc_id FROM t WHERE len([i FOR i IN range(1, len(t) + 1) IF len(list_distinct(list_intersect(t[i : i + 2], ['the', 'and', 'with']))) >= 2]) > 0""")
 add_raw("stale_counts", lambda spark, d: match.stale_counts(_DOCS(spark, d), 9, "the"),
         r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, n AS said FROM (SELECT doc_id, i, regexp_extract(l[i], '([0-9]+) the', 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE n <> '' AND TRY_CAST(n AS BIGINT) <> 9""")
 add_raw("secret_scan", lambda spark, d: match.secret_scan(_DOCS(spark, d)),
@@ -635,7 +644,10 @@ _VEC = lambda spark, d: read(spark, d, "embeddings").select(F.col("vec_id").alia
 add_raw("vector_topk", lambda spark, d: vector.vector_topk(_VEC(spark, d), _VEC(spark, d).where("id = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10),
         """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM embeddings, q)
 SELECT CAST(0 AS BIGINT) AS query_id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s ORDER BY score DESC, id LIMIT 10""")
-add_raw("vector_topk_all", lambda spark, d: vector.vector_topk(_VEC(spark, d), _VEC(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10))
+add_raw("vector_topk_all", lambda spark, d: vector.vector_topk(_VEC(spark, d), _VEC(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10),
+        """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.e, v.e) / (q.norm * v.norm), 6) AS score FROM v q, v WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s QUALIFY rank <= 10""")
 add_raw("embeddings_preview", lambda spark, d: vector.embeddings_preview(_VEC(spark, d)), "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dimensions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
 _CHUNK = "concat_ws(chr(10), 'Name: ' || name, 'Type: ' || type, 'Domain: ' || domain, 'Definition: ' || definition, 'Symbol: ' || symbol)"
 add("chunk_entities", vector.chunk_entities, f"SELECT id, {_CHUNK} AS content FROM entities", "entities")
@@ -648,13 +660,29 @@ def _hits(kg):
     return match.search(kg, "widget", limit=5).select(F.lit(0).cast("long").alias("query_id"), F.row_number().over(Window.orderBy("rank", "id")).alias("rank"), "id")
 
 
-add("rag_context", lambda kg: vector.rag_context(_hits(kg), vector.chunk_entities(kg)).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.array_join("citations", ",").alias("citations")))
-add("citations_grounded", lambda kg: vector.citations_grounded(vector.rag_context(_hits(kg), vector.chunk_entities(kg)).select("query_id", F.lit(False).alias("refused"), F.col("citations").alias("cited")), _hits(kg), kg))
+def _stray(kg):
+    """An answer for each supplier that cites what nothing retrieved, or is refused and cites nothing."""
+    k = F.split_part("id", F.lit("org.s"), F.lit(2)).cast("long")
+    return kg.entities.where("type = 'law'").select(k.alias("query_id"), (k % 2 == 0).alias("refused"), F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("id")).alias("cited"))
+
+
+add("rag_context", lambda kg: vector.rag_context(_hits(kg), vector.chunk_entities(kg)).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.array_join("citations", ",").alias("citations")),
+    f"""WITH h AS (SELECT id, row_number() OVER (ORDER BY rank, id) AS rank FROM ({ORACLE["search"]}) x QUALIFY row_number() OVER (ORDER BY rank, id) <= 5)
+SELECT CAST(0 AS BIGINT) AS query_id, sha256(string_agg('[' || rank || '] ' || id || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS context_sha256, string_agg(id, ',' ORDER BY rank) AS citations FROM h JOIN (SELECT id, {_CHUNK} AS content FROM entities) k USING (id)""", "entities")
+add("citations_grounded", lambda kg: vector.citations_grounded(vector.rag_context(_hits(kg), vector.chunk_entities(kg)).select("query_id", F.lit(False).alias("refused"), F.col("citations").alias("cited")).unionByName(_stray(kg)), _hits(kg), kg),
+    "SELECT CAST(0 AS BIGINT) AS query_id, true AS grounded UNION ALL SELECT CAST(substr(id, 6) AS BIGINT), CAST(substr(id, 6) AS BIGINT) % 3 = 0 FROM entities WHERE id LIKE 'org.s%'", "entities")
 
 # sources and streams
 
-add("payload_sha256", lambda kg: files.tree_hash(kg.entities.select("id", "name", "status")))
-add("content_hash", lambda kg: files.tree_hash(kg.connections))
+def _digest_sql(table: str, columns: list[str]) -> str:
+    sums = ", ':', ".join(f"sum(CAST('0x' || substr(h, {a}, 15) AS BIGINT)::HUGEINT)" for a in (4, 19, 34, 49))
+    return f"""WITH h AS (SELECT sha256(CAST(to_json(struct_pack({", ".join(f'"{c}" := "{c}"' for c in sorted(columns))})) AS STRING)) AS h FROM {table}),
+p AS (SELECT count(*) AS n, concat(substr(h, 1, 3), ':', count(*), ':', {sums}) AS line FROM h GROUP BY substr(h, 1, 3))
+SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM p"""
+
+
+add("payload_sha256", lambda kg: files.tree_hash(kg.entities.select("id", "name", "status")), _digest_sql("entities", ["id", "name", "status"]), "entities")
+add("content_hash", lambda kg: files.tree_hash(kg.connections), _digest_sql("connections", [c.split()[0] for c in schema.CONNECTIONS.split(", ")]), "connections")
 
 
 def _shared(spark, name):
@@ -728,7 +756,8 @@ add_raw("stream_conflicts", lambda spark, d: jobs.run(jobs.conflicts(jobs.source
         "SELECT CAST(user_id AS STRING) AS triple, count(DISTINCT event_type) AS n_values FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
 add_raw("stream_human_edits", lambda spark, d: jobs.run(jobs.human_edits(jobs.source(spark, d, "events").select("event_id", F.concat(F.lit("org.s"), F.col("user_id").cast("string")).alias("agent")), testgraph.table(spark, d, "agents"))),
         ctes("agents") + "\nSELECT event_id, 'org.s' || CAST(user_id AS STRING) AS agent FROM events WHERE 'org.s' || CAST(user_id AS STRING) IN (SELECT id FROM agents WHERE class = 'human' AND status = 'active')")
-add_raw("stream_ledger_verify", lambda spark, d: jobs.run(jobs.ledger_verify(_ledger_stream(spark, d))).groupBy("hash_ok", "link_ok").agg(F.count("*").alias("n")), None)
+add_raw("stream_ledger_verify", lambda spark, d: jobs.run(jobs.ledger_verify(_ledger_stream(spark, d))).groupBy("hash_ok", "link_ok").agg(F.count("*").alias("n")),
+        "SELECT true AS hash_ok, true AS link_ok, count(*) AS n FROM events")
 
 
 def _ledger_stream(spark, sf_dir):

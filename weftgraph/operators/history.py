@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.policy import active
 from weftgraph.operators.graph import ordinal
+from weftgraph.runtime import unused
 from weftgraph.schema import KnowledgeSet
 
 CHAIN = ["editor", "domain_expert", "board"]
@@ -122,27 +125,33 @@ def source_digest(sources: DataFrame) -> DataFrame:
 
 
 def ledger_append(events: DataFrame, stream: str, order: list[str], body: list[str]) -> DataFrame:
-    """Events chained by hash within each stream: hash = sha256(previous, body). The chain of a stream is sequential by nature."""
-    import pandas as pd
+    """Events chained by hash within each stream: hash = sha256(previous, body).
 
-    fields = ", ".join(f"{n} {t}" for n, t in events.select(stream, *order, *body).dtypes)
+    A chain is sequential by nature, but needs its last hash only: streams lie in order in their partitions and are read batch by
+    batch, so a long stream takes no more memory than a short one. Nulls come first; events without a stream are one stream.
+    """
+    names = list(dict.fromkeys([stream, *order, *body]))
+    (text,) = unused(names, "text")
+    rows = events.select(*names, F.concat_ws("|", *body).alias(text))
+    fields = [f"`{n}` {t}" for n, t in rows.dtypes if n != text] + ["prev_hash string", "hash string"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches: Iterator) -> Iterator:
         from hashlib import sha256
 
-        pdf = pdf.sort_values(order)
-        last, prev, own = "0" * 64, [], []
-        for text in pdf["body"]:
-            prev.append(last)
-            last = sha256(f"{last}|{text}".encode()).hexdigest()
-            own.append(last)
-        return pdf.drop(columns="body").assign(prev_hash=prev, hash=own)
-
-    rows = events.select(stream, *order, *[c for c in body if c not in order and c != stream], F.concat_ws("|", *body).alias("body"))
-    names = [c for c in rows.columns if c != "body"]
-    kinds = dict(rows.dtypes)
-    del fields
-    return rows.groupBy(stream).applyInPandas(fold, ", ".join(f"{n} {kinds[n]}" for n in names) + ", prev_hash string, hash string")
+        import pyarrow as pa
+
+        at, last = (), ""
+        for batch in batches:
+            prev, own = [], []
+            for key, said in zip(batch.column(stream).to_pylist(), batch.column(text).to_pylist(), strict=True):
+                if at != (key,):
+                    at, last = (key,), "0" * 64
+                prev.append(last)
+                last = sha256(f"{last}|{said}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(prev, pa.string()), pa.array(own, pa.string())], [*names, "prev_hash", "hash"])
+
+    return rows.repartition(stream).sortWithinPartitions(stream, *order).mapInArrow(fold, ", ".join(fields))
 
 
 def ledger_verify(ledger: DataFrame, stream: str, order: list[str], body: list[str]) -> DataFrame:

@@ -242,8 +242,10 @@ def proposals(kg: KnowledgeSet) -> DataFrame:
     return c.join(clash, triple, "left").select("claim_id", *triple, F.coalesce("conflict", F.lit(False)).alias("conflict"), F.lit("proposed").alias("review"), gaps.alias("gaps"))
 
 
-def rule_entities(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """rules(rule, pattern, domain), a bounded registry, against every text: (doc_id, rule, domain, hits, first_hit)."""
+def rule_entities(docs: DataFrame, rules: DataFrame, max_rules: int = 10_000) -> DataFrame:
+    """rules(rule, pattern, domain) against every text: (doc_id, rule, domain, hits, first_hit). The registry is a small table; a larger one raises."""
+    if rules.limit(max_rules + 1).count() > max_rules:
+        raise ValueError(f"over {max_rules} rules")
     j = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rules), how="cross")
     hits = F.expr("regexp_extract_all(text, pattern, 0)")
     return j.where("text rlike pattern").select("doc_id", "rule", "domain", F.size(hits).alias("hits"), F.get(hits, F.lit(0)).alias("first_hit"))
