@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bayes, chat, packing, pieces, pii, rules, secret_scan, simhash, substring, topk
+from weftgraph.llm import bayes, chat, langid, packing, pieces, pii, pivots, rules, secret_scan, simhash, spelling, substring, topk
 from weftgraph.runtime import read, ship
 
 
@@ -61,7 +61,22 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_secrets, op4_chat, op5_substring, op6_sentencepiece, op7_pii, op8_topk, op9_quality, op10_rules)}
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pivots.cluster(read(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_secrets, op4_chat, op5_substring, op6_sentencepiece, op7_pii, op8_topk, op9_quality, op10_rules, op11_langid, op12_clusters, op13_spelling)}
 
 ORACLE = {
     "op4_chat": """
@@ -96,4 +111,6 @@ SELECT docs.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
 FROM docs LEFT JOIN marks USING (doc_id)
 """,
     "op8_topk": topk.ORACLE,
+    "op12_clusters": pivots.oracle(),
+    "op13_spelling": spelling.oracle(),
 }
