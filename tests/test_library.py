@@ -82,7 +82,8 @@ def test_resolve(tiny):
 
 def test_cycles(tiny):
     cyclic = tiny.with_(connections=tiny.connections.withColumn("relation", F.when(F.col("id").isin("c1", "c2", "c3", "c4"), "requires").otherwise(F.col("relation"))))
-    assert [(r.relation, r.cycle) for r in graph.relationship_cycles(cyclic).collect()] == [("requires", "alpha > beta > gamma > root > alpha")]
+    rows = graph.relationship_cycles(cyclic).orderBy("position").collect()
+    assert [(r.relation, r.component, r.size, r.node) for r in rows] == [("requires", "alpha", 4, x) for x in ("alpha", "beta", "gamma", "root")]
     assert graph.relationship_cycles(tiny).count() == 0
 
 

@@ -193,8 +193,15 @@ walk AS (SELECT [source, target] AS p FROM edges WHERE source IN (SELECT source
 SELECT array_to_string(p, ' > ') AS path, CAST(len(p) - 1 AS INTEGER) AS length FROM walk""", "connections")
 ORACLE["prerequisite_chains"] = ORACLE["prerequisite_chains"].replace("WITH pairs", "WITH RECURSIVE pairs", 1)
 add_rough("relationship_cycles", graph.relationship_cycles,
-    f"""WITH e AS (SELECT DISTINCT relation, source, target FROM connections WHERE {ACTIVE} AND target IS NOT NULL AND relation IN (SELECT name FROM relations WHERE transitive AND NOT "symmetric"))
-SELECT a.relation, a.source || ' > ' || a.target || ' > ' || a.source AS cycle FROM e a JOIN e b ON a.relation = b.relation AND a.source = b.target AND a.target = b.source WHERE a.source < a.target""", "connections", "relations")
+    f"""WITH e AS (SELECT DISTINCT relation, source, target FROM connections WHERE {ACTIVE} AND target IS NOT NULL AND relation IN (SELECT name FROM relations WHERE transitive AND NOT "symmetric")),
+reach AS (SELECT relation, source AS a, target AS b FROM e UNION SELECT r.relation, r.a, e.target FROM reach r JOIN e ON e.relation = r.relation AND e.source = r.b),
+scc AS (SELECT x.relation, x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.relation = y.relation AND x.a = y.b AND x.b = y.a GROUP BY x.relation, x.a),
+f AS (SELECT e.relation, e.source AS node, min(e.target) AS onward FROM e JOIN scc s ON s.relation = e.relation AND s.node = e.source JOIN scc t ON t.relation = e.relation AND t.node = e.target AND t.component = s.component GROUP BY e.relation, e.source),
+walk AS (SELECT DISTINCT relation, component, [component] AS p FROM scc UNION ALL SELECT w.relation, w.component, list_append(p, onward) FROM walk w JOIN f ON f.relation = w.relation AND f.node = p[-1] WHERE NOT list_contains(p, onward)),
+ring AS (SELECT w.relation, component, p[list_position(p, onward) :] AS c FROM walk w JOIN f ON f.relation = w.relation AND f.node = p[-1] WHERE list_contains(p, onward)),
+turned AS (SELECT relation, component, list_concat(c[list_position(c, list_min(c)) :], c[: list_position(c, list_min(c)) - 1]) AS c FROM ring)
+SELECT relation, component, (SELECT count(*) FROM scc s WHERE s.relation = t.relation AND s.component = t.component) AS size, CAST(i - 1 AS BIGINT) AS position, c[i] AS node FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM turned) t""", "connections", "relations")
+ORACLE["relationship_cycles"] = "WITH RECURSIVE" + ORACLE["relationship_cycles"].removeprefix("WITH")
 add("connected_components", graph.connected_components,
     """WITH edges AS (SELECT source AS a, target AS b FROM connections WHERE target IS NOT NULL UNION SELECT target, source FROM connections WHERE target IS NOT NULL),
 near AS (SELECT id, least(id, coalesce(min(b), id)) AS low FROM entities LEFT JOIN edges ON a = id GROUP BY id),
@@ -583,8 +590,8 @@ add_rough("match_alias", match.match_alias, "SELECT DISTINCT a.id AS a, b.id AS
 add_rough("match_cross_domain", match.match_cross_domain, "SELECT lower(name) AS name, count(DISTINCT domain) AS n_domains, count(*) AS n, min(id) AS first_id FROM entities GROUP BY lower(name) HAVING count(DISTINCT domain) > 1", "entities")
 add("match_equation", lambda kg: match.match_equation(kg.with_(entities=kg.entities.withColumn("equation", F.concat(F.lit("Y = "), "definition", F.lit(" × t"))))),
     "WITH s AS (SELECT id, replace(replace(lower('Y = ' || definition || ' × t'), ' ', ''), '×', '*') AS k FROM entities WHERE definition IS NOT NULL), f AS (SELECT k, min(id) AS first FROM s GROUP BY k HAVING count(*) > 1) SELECT first AS a, id AS b FROM s JOIN f USING (k) WHERE id <> first", "entities")
-add("match_name", match.match_name_classes)
-add("name_classes", match.name_classes, "SELECT id, min(id) OVER (PARTITION BY regexp_replace(lower(name), '[0-9]+', '0', 'g')) AS class_id FROM entities WHERE name IS NOT NULL", "entities")
+add("match_name", match.match_name)
+add("name_classes", match.name_classes, "SELECT id, min(id) OVER (PARTITION BY regexp_replace(lower(name), '[0-9]', '0', 'g')) AS class_id FROM entities WHERE name IS NOT NULL", "entities")
 add("match_all", match.match_all)
 add("resolve_claim_entities", lambda kg: match.resolve_claim_entities(kg.claims, kg).select("claim_id", "subject", "method"))
 add("claim_provenance", lambda kg: match.claim_provenance(kg.claims),

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.policy import active, retired, visible
+from weftgraph.operators import cycles
 from weftgraph.operators.components import label_components
 from weftgraph.operators.lookup import inverse_edges, prerequisite_relations
-from weftgraph.runtime import cut
+from weftgraph.runtime import cut, stored
 from weftgraph.schema import KnowledgeSet
 
 
@@ -55,33 +56,28 @@ def prerequisites(kg: KnowledgeSet, starts: DataFrame, policy: str | None = None
     raise RuntimeError(f"there are prerequisites beyond {max_levels} levels")
 
 
-def transitive_closure(kg: KnowledgeSet, relations: list[str] | None = None, max_levels: int = 200) -> DataFrame:
-    """(relation, source, target, path): reachable pairs beyond the direct ones, with the first of the shortest paths."""
+def transitive_closure(kg: KnowledgeSet, relations: list[str] | None = None, with_path: bool = True) -> DataFrame:
+    """(relation, source, target, path): reachable pairs beyond the direct ones, with the first of the shortest paths.
+
+    Paths double: those of exactly the longest length known are joined with all known ones, so a chain of n edges takes log n rounds. The
+    first of the shortest paths is made of such, whichever place it is cut at.
+    """
     names = F.broadcast(kg.relations.where("transitive").select(F.col("name").alias("relation")))
     edges = kg.connections.where("target is not null and source <> target").join(names, "relation", "left_semi")
     if relations is not None:
         edges = edges.where(F.col("relation").isin(relations))
-    edges = cut(edges.select("relation", "source", "target").distinct())
-    hop = edges.select("relation", F.col("source").alias("mid"), F.col("target").alias("next"))
-    front = edges.withColumn("path", F.array("source", "target"))
-    seen = edges
-    parts = []
-    for _ in range(max_levels):
-        step = front.withColumnRenamed("target", "mid").join(hop, ["relation", "mid"]).where("next <> source")
-        step = step.groupBy("relation", "source", F.col("next").alias("target")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
-        front = cut(step.join(seen, ["relation", "source", "target"], "left_anti"))
-        if front.isEmpty():
-            break
-        parts.append(front)
-        seen = cut(seen.unionByName(front.select("relation", "source", "target")))
-    else:
-        raise RuntimeError(f"there are paths of over {max_levels} edges")
-    if not parts:
-        return edges.limit(0).withColumn("path", F.array("source"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("relation", "source", "target", "path")
+    pair = ["relation", "source", "target"]
+    known = stored(edges.select(*pair).distinct().withColumn("n", F.lit(1).cast("long")).withColumn("path", F.array("target") if with_path else F.lit(None).cast("array<string>")))
+    longest = 1
+    while True:
+        left = known.where(F.col("n") == longest).select("relation", "source", F.col("target").alias("mid"), F.col("path").alias("head"))
+        right = known.select("relation", F.col("source").alias("mid"), "target", "n", F.col("path").alias("tail"))
+        step = left.join(right, ["relation", "mid"]).where("target <> source").select(*pair, (F.col("n") + longest).alias("n"), F.concat("head", "tail").alias("path"))
+        fresh = stored(step.groupBy(*pair).agg(F.min(F.struct("n", "path")).alias("best")).select(*pair, "best.*").join(known.select(*pair), pair, "left_anti"))
+        if fresh.isEmpty():
+            out = known.where("n > 1")
+            return out.select(*pair, F.concat(F.array("source"), "path").alias("path")) if with_path else out.select(*pair)
+        known, longest = stored(known.unionByName(fresh)), 2 * longest
 
 
 def prerequisite_chains(kg: KnowledgeSet, n_starts: int = 20, max_edges: int = 4) -> DataFrame:
@@ -97,34 +93,13 @@ def prerequisite_chains(kg: KnowledgeSet, n_starts: int = 20, max_edges: int = 4
     return out.select(F.array_join("path", " > ").alias("path"), (F.size("path") - 1).alias("length"))
 
 
-def cycle_core(kg: KnowledgeSet, max_rounds: int = 500) -> DataFrame:
-    """Edges of active transitive, asymmetric relations that may lie on a cycle: ends without a way in or out are trimmed away."""
+def relationship_cycles(kg: KnowledgeSet) -> DataFrame:
+    """(relation, component, size, position, node): each strongly connected component of an active transitive, asymmetric relation, with one of its cycles, a row a node."""
     names = F.broadcast(kg.relations.where("transitive and not symmetric").select(F.col("name").alias("relation")))
     edges = cut(kg.connections.where(active() & F.col("target").isNotNull()).join(names, "relation", "left_semi").select("relation", "source", "target").distinct())
-    n = edges.count()
-    for _ in range(max_rounds):
-        outs = edges.select("relation", F.col("source").alias("target")).distinct()
-        ins = edges.select("relation", F.col("target").alias("source")).distinct()
-        edges = cut(edges.join(outs, ["relation", "target"], "left_semi").join(ins, ["relation", "source"], "left_semi").select("relation", "source", "target"))
-        m = edges.count()
-        if m == n or not m:
-            return edges
-        n = m
-    raise RuntimeError(f"edges were not trimmed to cycles in {max_rounds} rounds")
-
-
-def relationship_cycles(kg: KnowledgeSet, max_length: int = 64) -> DataFrame:
-    """Cycles, each once, from its smallest id: (relation, cycle). Paths that are still open at max_length edges raise an error."""
-    core = cycle_core(kg)
-    paths = core.where("source < target").select("relation", F.array("source", "target").alias("path"))
-    found = core.where("source = target").select("relation", F.array("source", "target").alias("path"))
-    for _ in range(max_length):
-        if paths.isEmpty():
-            return found.select("relation", F.array_join("path", " > ").alias("cycle")).distinct()
-        step = cut(paths.withColumn("source", F.element_at("path", -1)).join(core, ["relation", "source"]))
-        found = found.unionByName(step.where(F.col("target") == F.get("path", F.lit(0))).select("relation", F.array_append("path", F.col("target")).alias("path")))
-        paths = step.where((F.col("target") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("target"))).select("relation", F.array_append("path", F.col("target")).alias("path"))
-    raise RuntimeError(f"there may be cycles of over {max_length} edges")
+    label = cut(cycles.components(edges))
+    size = label.groupBy("relation", "component").agg(F.count("*").alias("size"))
+    return cycles.witnesses(edges, label).join(size, ["relation", "component"]).select("relation", "component", "size", "position", "node")
 
 
 def connected_components(kg: KnowledgeSet) -> DataFrame:
@@ -174,7 +149,7 @@ def edge_union(kg: KnowledgeSet, limit: int | None = None) -> DataFrame:
     """Explicit, inverse and closure edges with how they were derived."""
     explicit = kg.connections.where("target is not null").select("source", "relation", "target", F.lit(False).alias("derived"), F.lit("explicit").alias("method"))
     inverse = inverse_edges(kg).select("source", "relation", "target", F.lit(True).alias("derived"), F.lit("inverse").alias("method"))
-    closure = transitive_closure(kg).select("source", "relation", "target", F.lit(True).alias("derived"), F.lit("closure").alias("method"))
+    closure = transitive_closure(kg, with_path=False).select("source", "relation", "target", F.lit(True).alias("derived"), F.lit("closure").alias("method"))
     if limit is not None:
         inverse, closure = (x.orderBy("source", "relation", "target").limit(limit) for x in (inverse, closure))
     return explicit.unionByName(inverse).unionByName(closure)

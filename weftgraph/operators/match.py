@@ -7,11 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.arrays import once, running
-from weftgraph.runtime import cut
+from weftgraph.operators import names
+from weftgraph.operators.names import RATIO
 from weftgraph.schema import KnowledgeSet
 
-RATIO = 0.85
-
 
 def _first_of(df: DataFrame, key: str) -> DataFrame:
     """Rows that share a key with an earlier one: (first, id), first by id."""
@@ -83,42 +82,31 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = RATIO, s
 
 
 def match_name(kg: KnowledgeSet, threshold: float = RATIO) -> DataFrame:
-    """Pairs of different names that are alike; entities of one name meet under its smallest id."""
-    names = kg.entities.where("name is not null").groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("id"))
-    pairs = similar_pairs(names.select(F.col("id").alias("a"), "name"), names.select(F.col("id").alias("b"), "name"), threshold, ordered=True)
-    return pairs.where("a < b")
-
+    """(a, b, ratio, links): pairs of different names that are alike; entities of one name meet under its smallest id.
 
-def name_pattern(name: Column) -> Column:
-    """What a name is but for its numbers: members of a numbered family have one pattern."""
-    return F.regexp_replace(F.lower(name), "[0-9]+", "0")
+    A row of several links stands for all pairs between two classes of names (see names.alike and name_classes).
+    """
+    return names.alike(kg.entities.where("name is not null").groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("id")).select("id", "name"), threshold)
 
 
 def name_classes(kg: KnowledgeSet) -> DataFrame:
-    """(id, class_id): the smallest id of the entities whose names have one pattern."""
-    e = kg.entities.where("name is not null").select("id", name_pattern(F.col("name")).alias("pattern"))
+    """(id, class_id): the smallest id of the entities whose names differ in digits alone, digit by digit."""
+    e = kg.entities.where("name is not null").select("id", names.pattern(F.lower("name")).alias("pattern"))
     return e.join(e.groupBy("pattern").agg(F.min("id").alias("class_id")), "pattern").select("id", "class_id")
 
 
-def match_name_classes(kg: KnowledgeSet, threshold: float = RATIO) -> DataFrame:
-    """(a, b, ratio, n_a, n_b): classes of names that are alike, by their patterns; a class of several names meets itself (a = b).
+def match_all(kg: KnowledgeSet) -> DataFrame:
+    """(a, b, kind): the first kind of match for each unordered pair; one name in several domains by its first id.
 
-    Numbered names are alike in all pairs, so pairs of names grow with the square of a family; pairs of classes, with
-    name_classes() as their members, do not.
+    A row of kind name_class stands for the links between two classes of names, which match_name counts; a = b for a class with itself.
     """
-    c = kg.entities.where("name is not null").groupBy(name_pattern(F.col("name")).alias("name")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    c = cut(c)
-    pairs = similar_pairs(c.select(F.col("id").alias("a"), "name"), c.select(F.col("id").alias("b"), "name"), threshold, ordered=True).where("a < b")
-    size = lambda x: c.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
-    own = c.where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
-    return pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", "ratio", "n_a", "n_b").unionByName(own)
-
-
-def match_all(kg: KnowledgeSet) -> DataFrame:
-    """The first kind of match for each unordered pair; names by their classes, one name in several domains by its first id."""
     low = kg.entities.select("id", F.lower("name").alias("name"))
     across = match_cross_domain(kg).select("name", F.col("first_id").alias("a")).join(low.select("name", F.col("id").alias("b")), "name").where("a <> b").select("a", "b")
-    kinds = [("symbol", match_symbol(kg)), ("name", match_name_classes(kg).where("a <> b").select("a", "b")), ("alias", match_alias(kg)), ("equation", match_equation(kg)), ("cross_domain", across)]
+    alike = match_name(kg)
+    kinds = [
+        ("symbol", match_symbol(kg)), ("name", alike.where("links = 1").select("a", "b")), ("name_class", alike.where("links > 1").select("a", "b")), ("alias", match_alias(kg)),
+        ("equation", match_equation(kg)), ("cross_domain", across),
+    ]
     out = None
     for i, (name, df) in enumerate(kinds):
         df = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.struct(F.lit(i).alias("order"), F.lit(name).alias("kind")).alias("m"))
