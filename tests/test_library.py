@@ -222,9 +222,11 @@ def test_export_round_trip(spark, tmp_path):
            "connections": [{"id": "c", "source": "d.a", "relation": "requires", "target": "d.b", "assertion": {"status": "active", "review": {"status": "canonical"}}, "evidence": [{"type": "note", "source_ref": "s"}]}],
            "sources": [{"id": "s", "type": "web", "title": "T", "year": "2001-05"}]}
     (tmp_path / "e.json").write_text(json.dumps(doc, indent=1))
-    kg, meta = files.load_export(spark, str(tmp_path / "e.json"))
-    m = meta.first()
-    assert m.major_ok and m.entities_ok and m.connections_ok and not m.sources_ok
+    kg, head, records = files.load_export(spark, str(tmp_path / "e.json"), 64)
+    assert head["entity_count"] == 2 and head["entities"] == []
+    broken = {(r.section, r.focus, r.rule) for r in files.export_contract(spark, head, records).collect()}
+    assert {("export", "source_count", "count"), ("export", "export_version", "required"), ("export", "content_hash", "hash"), ("entities", "d.b", "required:provenance"), ("sources", "s", "required:citation")} <= broken
+    assert ("export", "entity_count", "count") not in broken and ("connections", "c", "target xor value") not in broken
     assert kg.connections.where(policy("trusted")).count() == 1 and kg.evidence.first().source_ref == "s" and kg.sources.first().year == 2001
 
 

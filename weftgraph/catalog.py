@@ -713,6 +713,102 @@ def _reread_vectors(spark, sf_dir):
     return files.load_embeddings(spark, path).select("entity_id", "model", "dimensions", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
 
 
+def _export(spark, sf_dir, entities="entities", connections="connections"):
+    """The graph as one published document in a shared folder; some counts and members of the rough one are wrong."""
+    rough = entities != "entities"
+    e, c, s = testgraph.table(spark, sf_dir, entities), testgraph.table(spark, sf_dir, connections), testgraph.table(spark, sf_dir, "sources")
+    raw = lambda df, *cols: df.select(F.to_json(F.struct(*cols)).alias("raw"))
+    lit = lambda x, n: F.lit(x).alias(n)
+    sections = {
+        "entities": raw(e, "id", "type", "name", "domain", "subdomain", "status", F.when((F.length("name") % 3 > 0) | F.lit(not rough), F.col("definition")).alias("definition"), "symbol", F.struct(F.col("source_ref").alias("source"), lit('a "quoted" {brace', "note")).alias("provenance")),
+        "connections": raw(c, "id", lit("connection", "type"), "source", "relation", "target", F.when(F.col("amount").isNotNull(), F.struct("amount", "unit")).alias("value"), F.struct(F.col("assertion_status").alias("status"), F.struct(F.col("review").alias("status")).alias("review")).alias("assertion"), F.struct(F.struct(F.col("asserted_by").alias("type")).alias("asserted_by")).alias("provenance")),
+        "sources": raw(s, "id", "type", F.col("title").alias("citation"), "title", "publisher", F.col("year").cast("string").alias("year"), "lifecycle"),
+    }
+    n = [e.count() + rough, c.count(), s.count()]
+    head = {"export_version": "2.2" if rough else "2.2.0", "schema_version": "1.3.0", "content_hash": "sha256:" + "0" * 64, "source": "driver's tables", "entity_count": n[0], "connection_count": n[1], "source_count": n[2]}
+    head |= {"relation_registry": {r[0]: dict(zip(("family", "inverse", "transitive", "symmetric", "domain", "range", "status"), r[1:], strict=True)) for r in schema.REGISTRY}}
+    path = _shared(spark, "export") + ".json"
+    files.write_export(spark, head, sections, path)
+    return path
+
+
+def _load_export(spark, sf_dir):
+    kg, _, _ = files.load_export(spark, _export(spark, sf_dir), 1 << 16)
+    part = lambda df, kind, *cols: df.select(F.lit(kind).alias("kind"), *[F.col(c).cast("string").alias(n) for n, c in zip("abcd", cols, strict=True)])
+    return part(kg.entities, "entity", "id", "name", "status", "source_ref").unionByName(part(kg.connections, "connection", "id", "relation", "target", "amount")).unionByName(part(kg.sources, "source", "id", "title", "publisher", "year")).unionByName(part(kg.relations, "relation", "name", "family", "inverse", "transitive"))
+
+
+add_raw("load_export", _load_export, ctes("entities", "connections", "sources", "relations") + """
+SELECT 'entity' AS kind, id AS a, name AS b, status AS c, source_ref AS d FROM entities UNION ALL SELECT 'connection', id, relation, target, amount FROM connections
+UNION ALL SELECT 'source', id, title, publisher, CAST(year AS STRING) FROM sources UNION ALL SELECT 'relation', name, family, inverse, CAST(transitive AS STRING) FROM relations""")
+
+
+def _export_contract(spark, sf_dir):
+    _, head, records = files.load_export(spark, _export(spark, sf_dir, "rough_entities", "rough_connections"), 1 << 16)
+    return files.export_contract(spark, head, records)
+
+
+add_raw("dq_export_contract", _export_contract, ctes("rough_entities", "rough_connections", "sources") + """
+SELECT 'entities' AS section, id AS focus, 'required:definition' AS rule FROM rough_entities WHERE length(name) % 3 = 0
+UNION ALL SELECT 'entities', id, 'duplicate id' FROM rough_entities GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'connections', id, 'duplicate id' FROM rough_connections GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'connections', id, 'target xor value' FROM rough_connections WHERE (target IS NULL) = (amount IS NULL)
+UNION ALL SELECT 'connections', id, 'decimal:amount' FROM rough_connections WHERE amount = '1.5e'
+UNION ALL SELECT 'export', 'export_version', 'version' UNION ALL SELECT 'export', 'entity_count', 'count'""")
+
+
+def _write_files(df, path):
+    """Rows (file, content): a file each, written by the tasks that hold them."""
+    def write(frames):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+        for pdf in frames:
+            for name, content in zip(pdf["file"], pdf["content"], strict=True):
+                store.create_dir(f"{at}/{name}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{at}/{name}") as out:
+                    out.write(content.encode())
+            yield pdf[["file"]]
+
+    df.mapInPandas(write, "file string").count()
+    return path
+
+
+def _corpus(spark, sf_dir):
+    """A file for each supplier (Markdown with front matter, some with repeated keys, some without) and nation (YAML)."""
+    s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
+    k = F.col("s_suppkey")
+    front = F.concat(F.lit("---\nid: org.s"), k.cast("string"), F.lit("\nname: "), F.col("s_name"), F.lit("\nprovenance:\n  writer: w"), (k % 5).cast("string"), F.when(k % 7 == 0, F.lit("\n  writer: again")).otherwise(""),
+                     F.lit("\n  at: [1, {page: 2}]"), F.when(k % 11 == 0, F.lit("\nname: twice")).otherwise(""), F.lit("\n---\nText.\n"))
+    md = s.select(F.concat(F.lit("org/s"), k.cast("string"), F.lit(".md")).alias("file"), F.when(k % 13 == 0, "no front matter").otherwise(front).alias("content"))
+    yml = n.select(F.concat(F.lit("geo/n"), F.col("n_nationkey").cast("string"), F.lit(".yaml")).alias("file"), F.concat(F.lit("name: "), F.col("n_name"), F.lit("\nregion: "), F.col("n_regionkey").cast("string"), F.lit("\nnote: null\n")).alias("content"))
+    return files.load_corpus(spark, _write_files(md.unionByName(yml), _shared(spark, "corpus")))
+
+
+_FILE = "element_at(split(path, '/'), -1) AS file"
+_NAMED = "'s' || CAST(s_suppkey AS STRING) || '.md'"
+add_raw("load_corpus", lambda spark, d: (lambda c: files.blocks(c).unionByName(c.where("error is not null").select("path", F.lit("error").alias("block"), F.lit("").alias("key"), F.col("error").alias("value"))))(_corpus(spark, d)).selectExpr(_FILE, "block", "key", "value"), f"""
+WITH s AS (SELECT s_suppkey AS k, s_name, {_NAMED} AS file FROM supplier WHERE s_suppkey % 13 > 0)
+SELECT file, 'id' AS block, '' AS key, 'org.s' || CAST(k AS STRING) AS value FROM s
+UNION ALL SELECT file, 'name', '', CASE WHEN k % 11 = 0 THEN 'twice' ELSE s_name END FROM s
+UNION ALL SELECT file, 'provenance', 'writer', CASE WHEN k % 7 = 0 THEN 'again' ELSE 'w' || CAST(k % 5 AS STRING) END FROM s
+UNION ALL SELECT file, 'provenance', 'at.0', '1' FROM s UNION ALL SELECT file, 'provenance', 'at.1.page', '2' FROM s
+UNION ALL SELECT {_NAMED}, 'error', '', 'no front matter' FROM supplier WHERE s_suppkey % 13 = 0
+UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING) || '.yaml', b, '', CASE b WHEN 'name' THEN n_name WHEN 'region' THEN CAST(n_regionkey AS STRING) END FROM nation, (SELECT unnest(['name', 'region', 'note']) AS b) x""")
+add_raw("duplicate_yaml_keys", lambda spark, d: files.duplicate_yaml_keys(_corpus(spark, d)).selectExpr(_FILE, "key"), f"""
+SELECT {_NAMED} AS file, 'provenance.writer' AS key FROM supplier WHERE s_suppkey % 7 = 0 AND s_suppkey % 13 > 0 UNION ALL SELECT {_NAMED}, 'name' FROM supplier WHERE s_suppkey % 11 = 0 AND s_suppkey % 13 > 0""")
+
+
+def _texts(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark")
+    ending = F.element_at(F.array(*map(F.lit, ("txt", "md", "html", "bin"))), (F.col("item_id") % 4 + 1).cast("int"))
+    rows = b.select(F.concat(F.lit("t"), F.col("item_id").cast("string"), F.lit("."), ending).alias("file"), F.coalesce("text", F.lit("")).alias("content"))
+    return files.ingest_text_documents(spark, _write_files(rows, _shared(spark, "texts")))
+
+
+add_raw("ingest_text_documents", lambda spark, d: _texts(spark, d).selectExpr(_FILE, "kind", "sha256", "length(preview) AS preview"), """
+SELECT 't' || CAST(item_id AS STRING) || '.' || ['txt', 'md', 'html'][item_id % 4 + 1] AS file, ['text', 'markdown', 'html'][item_id % 4 + 1] AS kind, sha256(coalesce(text, '')) AS sha256, CAST(least(length(coalesce(text, '')), 2000) AS INTEGER) AS preview
+FROM benchmark WHERE item_id % 4 < 3""")
 add_raw("write_embeddings", lambda spark, d: files.write_embeddings(_vectors(spark, d), _shared(spark, "vectors"), "m1"),
         "SELECT 'm1' AS model, count(*) AS count, CAST(max(len(embedding)) AS INTEGER) AS dimensions, 'cosine' AS metric FROM embeddings")
 add_raw("load_embeddings", _reread_vectors, "SELECT 'v.' || CAST(vec_id AS STRING) AS entity_id, 'm1' AS model, CAST(len(embedding) AS INTEGER) AS dimensions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import json
 import re
 
 import pandas as pd
@@ -9,16 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import schema
+from weftgraph.runtime import stored
+from weftgraph.sources import document
 from weftgraph.schema import KnowledgeSet
 
 _ASSERT = "assertion struct<status: string, type: string, polarity: string, review: struct<status: string>, confidence: double, confidence_basis: string>"
-EXPORT = (
-    "schema_version string, content_hash string, entity_count long, connection_count long, source_count long, "
-    "entities array<struct<id: string, type: string, name: string, domain: string, subdomain: string, status: string, definition: string, symbol: string, unit: string, equation: string, deprecated_by: string, aliases: array<string>, provenance: struct<source: string>>>, "
-    f"connections array<struct<id: string, source: string, relation: string, target: string, value: struct<amount: string, unit: string>, {_ASSERT.replace(' ', ': ', 1)}, lifecycle: struct<reason: string, replaced_by: string>, provenance: struct<asserted_by: struct<type: string>>, "
-    "evidence: array<struct<type: string, stance: string, source_ref: string, locator: string>>>>, "
-    "sources array<struct<id: string, type: string, title: string, publisher: string, year: string, url: string, lifecycle: string>>"
-)
 
 
 def _flat_connections(c: DataFrame) -> DataFrame:
@@ -30,47 +27,108 @@ def _flat_connections(c: DataFrame) -> DataFrame:
     )
 
 
-def load_export(spark: SparkSession, path: str) -> tuple[KnowledgeSet, DataFrame]:
-    """A published document -> its tables and one row of its contract: version, counts as stated and as found."""
-    doc = spark.read.schema(EXPORT).option("multiLine", True).json(path)
-    part = lambda c: doc.select(F.explode(c).alias("x")).select("x.*")
-    e = part("entities").withColumn("source_ref", F.col("provenance.source")).drop("provenance")
-    c = part("connections")
+#: Members that an export, and records in it, have to have; the forms of some.
+REQUIRED = {
+    "export": ["export_version", "schema_version", "content_hash", "source", "entity_count", "connection_count", "source_count", "entities", "connections", "sources"],
+    "entities": ["id", "type", "name", "domain", "status", "definition", "provenance"],
+    "connections": ["id", "type", "source", "relation", "assertion", "provenance"],
+    "sources": ["id", "type", "citation"],
+}
+VERSION, HASH, DECIMAL = r"^[0-9]+\.[0-9]+\.[0-9]+$", r"^sha256:[0-9a-f]{64}$", r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
+
+_ENTITY = "id string, type string, name string, domain string, subdomain string, status string, definition string, symbol string, unit string, equation string, deprecated_by string, aliases array<string>, provenance struct<source: string>"
+_CONNECTION = f"id string, source string, relation string, target string, value struct<amount: string, unit: string>, {_ASSERT}, lifecycle struct<reason: string, replaced_by: string>, provenance struct<asserted_by: struct<type: string>>, evidence array<struct<type: string, stance: string, source_ref: string, locator: string>>"
+_SOURCE = "id string, type string, title string, publisher string, year string, url string, lifecycle string"
+_RELATION = "family string, inverse string, transitive boolean, symmetric boolean, domain array<string>, range array<string>, status string"
+
+
+def load_export(spark: SparkSession, path: str, size: int = document.RANGE) -> tuple[KnowledgeSet, dict, DataFrame]:
+    """A published document -> its tables, its top-level members, and its records as (section, place, key, raw).
+
+    The document is read by byte ranges of `size` in parallel, however it is laid out; see sources/document.py. Its relation registry becomes `relations`.
+    """
+    head, records = document.read_document(spark, path, size)
+    part = lambda c, fields: records.where(F.col("section") == c).select("key", F.from_json("raw", fields).alias("x")).select("key", "x.*")
+    e = part("entities", _ENTITY).drop("key").withColumn("source_ref", F.col("provenance.source")).drop("provenance")
+    c = part("connections", _CONNECTION)
     ev = c.select(F.col("id").alias("connection_id"), F.explode("evidence").alias("x")).select("connection_id", "x.source_ref", "x.type", "x.stance", "x.locator")
-    s = part("sources").withColumn("year", F.substring("year", 1, 4).try_cast("int"))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    major = F.split_part("schema_version", F.lit("."), F.lit(1)) == "2"
-    meta = doc.select("schema_version", "content_hash", major.alias("major_ok"), *[(size(x) == F.col(n)).alias(f"{x}_ok") for x, n in (("entities", "entity_count"), ("connections", "connection_count"), ("sources", "source_count"))])
-    return KnowledgeSet(entities=e, connections=_flat_connections(c), sources=s, evidence=ev), meta
+    s = part("sources", _SOURCE).drop("key").withColumn("year", F.substring("year", 1, 4).try_cast("int"))
+    relations = part("relation_registry", _RELATION).withColumnRenamed("key", "name").fillna(False, ["transitive", "symmetric"])
+    return KnowledgeSet(entities=e, connections=_flat_connections(c), sources=s, evidence=ev, relations=relations), head, records
+
+
+def write_export(spark: SparkSession, head: dict, sections: dict[str, DataFrame], path: str) -> None:
+    """One JSON document of a head and named tables of records (a column raw): records are written in parallel, then put behind one another as they are read."""
+    from pyarrow import fs
+
+    for name, df in sections.items():
+        df.select("raw").write.text(f"{path}.parts/{name}")
+    store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    with store.open_output_stream(at) as out:
+        out.write(json.dumps(head, indent=2)[:-2].encode() if head else b"{")
+        for i, name in enumerate(sections):
+            out.write(f"{',' if i or head else ''}\n  {json.dumps(name)}: [".encode())
+            first = True
+            for f in sorted(store.get_file_info(fs.FileSelector(f"{at}.parts/{name}")), key=lambda f: f.path):
+                if f.base_name.startswith("part-"):
+                    with store.open_input_stream(f.path) as lines:
+                        for line in io.TextIOWrapper(lines, "utf-8", newline="\n"):
+                            out.write((b"\n    " if first else b",\n    ") + line.rstrip("\n").encode())
+                            first = False
+            out.write(b"\n  ]")
+        out.write(b"\n}\n")
+
+
+def export_contract(spark: SparkSession, head: dict, records: DataFrame) -> DataFrame:
+    """(section, focus, rule): what an export breaks of its contract; no rows if nothing."""
+    bad = [(m, "required") for m in REQUIRED["export"] if m not in head]
+    bad += [(m, "version") for m in ("export_version", "schema_version") if m in head and not re.match(VERSION, str(head[m]))]
+    if "content_hash" in head and not re.match(HASH, str(head["content_hash"])):
+        bad.append(("content_hash", "hash"))
+    of = F.parse_json("raw")
+    got = lambda m: F.try_variant_get("v", f"$.{m}", "string")
+    r = stored(records.where(F.col("section").isin("entities", "connections", "sources")).select("section", of.alias("v")).withColumn("focus", F.coalesce(got("id"), F.lit("?"))))
+    found = {x.section: x.n for x in r.groupBy("section").agg(F.count("*").alias("n")).collect()}
+    stated = {"entities": "entity_count", "connections": "connection_count", "sources": "source_count"}
+    bad += [(m, "count") for c, m in stated.items() if m in head and head[m] != found.get(c, 0)]
+    checks = [F.when((F.col("section") == c) & F.try_variant_get("v", f"$.{m}", "variant").isNull(), F.lit(f"required:{m}")) for c in stated for m in REQUIRED[c]]
+    edge = F.col("section") == "connections"
+    has = lambda m: (x := F.try_variant_get("v", f"$.{m}", "variant")).isNotNull() & ~F.is_variant_null(x)
+    checks.append(F.when(edge & (has("target") == has("value")), F.lit("target xor value")))
+    checks += [F.when(edge & got(f"value.{m}").isNotNull() & ~got(f"value.{m}").rlike(DECIMAL), F.lit(f"decimal:{m}")) for m in ("amount", "lowerBound", "upperBound")]
+    each = r.select("section", "focus", F.explode(F.array_compact(F.array(*checks))).alias("rule"))
+    twice = r.groupBy("section", "focus").agg(F.count("*").alias("n")).where("n > 1").select("section", "focus", F.lit("duplicate id").alias("rule"))
+    top = spark.createDataFrame([("export", m, rule) for m, rule in bad], "section string, focus string, rule string")
+    return each.unionByName(twice).unionByName(top)
 
 
 def load_corpus(spark: SparkSession, root: str) -> DataFrame:
     """A tree of Markdown files with YAML front matter and of plain YAML -> (path, kind, json, dup_keys, error).
 
-    Files are parsed in parallel, one row a file; one that cannot be parsed is an error row, repeated keys are
-    named. `json` is read further with from_json and a fixed schema.
+    Files are parsed in parallel, one row a file; one that cannot be parsed is an error row. `dup_keys` has the paths of repeated keys, such as
+    `provenance.writer` or `items.2.name`. `json` is read further with from_json and a fixed schema, or flattened whatever its shape is (see blocks).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
     files = files.where(F.col("path").rlike(r"\.(md|ya?ml)$"))
 
-    def parse(frames):
-        import json
-
+    def repeated(node, at=""):
         import yaml
 
-        class Loader(yaml.SafeLoader):
-            pass
-
-        def mapping(loader, node, deep=False):
+        if isinstance(node, yaml.MappingNode):
             seen = set()
-            for k, _ in node.value:
-                key = loader.construct_object(k, deep=True)
-                if key in seen:
-                    loader.repeated.append(str(key))
-                seen.add(key)
-            return yaml.SafeLoader.construct_mapping(loader, node, deep)
-
-        Loader.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, lambda loader, node: mapping(loader, node, True))
+            for k, v in node.value:
+                here = f"{at}{k.value if isinstance(k, yaml.ScalarNode) else '?'}"
+                if here in seen:
+                    yield here
+                seen.add(here)
+                yield from repeated(v, f"{here}.")
+        elif isinstance(node, yaml.SequenceNode):
+            for i, v in enumerate(node.value):
+                yield from repeated(v, f"{at}{i}.")
+
+    def parse(frames):
+        import yaml
+
         for pdf in frames:
             out = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
@@ -81,12 +139,12 @@ def load_corpus(spark: SparkSession, root: str) -> DataFrame:
                         if not text.startswith("---"):
                             raise ValueError("no front matter")
                         text = text.split("---", 2)[1]
-                    loader = Loader(text)
-                    loader.repeated = []
-                    data = loader.get_single_data()
+                    loader = yaml.SafeLoader(text)
+                    node = loader.get_single_node()
+                    data = None if node is None else loader.construct_document(node)
                     if not isinstance(data, dict):
                         raise ValueError("not a mapping")
-                    out.append((path, kind, json.dumps(data, default=str, sort_keys=True), sorted(set(loader.repeated)), None))
+                    out.append((path, kind, json.dumps(data, default=str, sort_keys=True), sorted(set(repeated(node))), None))
                 except Exception as e:  # any bad file is a row, not a failure
                     out.append((path, kind, None, [], str(e)[:300]))
             yield pd.DataFrame(out, columns=["path", "kind", "json", "dup_keys", "error"])
@@ -95,13 +153,33 @@ def load_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 
 def duplicate_yaml_keys(corpus: DataFrame) -> DataFrame:
-    return corpus.where(F.size("dup_keys") > 0).select("path", "dup_keys")
+    """(path, key): a row for each key path that a file repeats."""
+    return corpus.select("path", F.explode("dup_keys").alias("key"))
 
 
 def corpus_entities(corpus: DataFrame) -> DataFrame:
     return corpus.where("kind = 'entity' and json is not null").select("path", F.from_json("json", schema.ENTITIES).alias("x")).select("path", "x.*")
 
 
+def blocks(corpus: DataFrame) -> DataFrame:
+    """(path, block, key, value): every scalar of records of any shape, with its key path below the top-level key `block`; a level of nesting is one pass.
+
+    Scalars at the top level have an empty key; a null has a null value; elements of lists have their number, from 0, in the path; empty lists and mappings have no rows.
+    """
+    spark = corpus.sparkSession
+    level = corpus.where("json is not null").select("path", F.lit("").alias("at"), F.parse_json("json").alias("v"))
+    out = None
+    while True:
+        inner = spark.sql("SELECT path, concat_ws('.', nullif(at, ''), coalesce(x.key, CAST(x.pos AS STRING))) AS at, x.value AS v FROM {level}, LATERAL variant_explode(v) AS x", level=level)
+        kind = F.schema_of_variant("v")
+        inner = stored(inner.withColumn("nested", kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+        here = inner.where("not nested").select("path", "at", F.col("v").cast("string").alias("value"))
+        out = here if out is None else out.unionByName(here)
+        level = inner.where("nested").drop("nested")
+        if level.isEmpty():
+            return out.select("path", F.split_part("at", F.lit("."), F.lit(1)).alias("block"), F.regexp_replace("at", r"^[^.]*\.?", "").alias("key"), "value")
+
+
 TEXT_KINDS = {"txt": "text", "md": "markdown", "csv": "table", "json": "json", "yaml": "yaml", "yml": "yaml", "xml": "xml", "html": "html"}
 
 
