@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph import schema
-from weftgraph.operators import curate, graph, history, lookup, match, quality, records, reports, vector, views
+from weftgraph.operators import curate, graph, history, lookup, match, quality, records, reports, validation, vector, views
 from weftgraph.plans import testgraph
 from weftgraph.plans.testgraph import ctes, knowledge
 from weftgraph.runtime import read, ship
@@ -444,7 +444,8 @@ UNION ALL SELECT 'dq_retired_pointer', 'error', id, 'live record says it is repl
 UNION ALL SELECT 'dq_enum', 'error', id, 'not in vocabulary: status ' || status FROM entities WHERE status NOT IN ('draft', 'proposed', 'ai_reviewed', 'human_reviewed', 'reviewed', 'canonical', 'deprecated', 'superseded', 'rejected')""", ["entities"]),
 }
 _ROUGH = {"dq_id_format", "dq_enum", "dq_quantity_fields", "dq_retired_pointer", "dq_unique_ids", "dq_domain_identity", "dq_target_xor_value", "dq_relation_known", "dq_domain_range", "dq_contradiction", "dq_shape"}
-for _key, _rule in quality.RULES.items():
+for _key in [k for k in quality.RULES if k not in records.RECORD_RULES]:
+    _rule = quality.RULES[_key]
     _sql, _tables = _DQ.get(_key, (None, []))
     (add_rough if _key in _ROUGH else add)(_key, _rule, _sql, *_tables)
 
@@ -461,8 +462,6 @@ w AS (SELECT name, 'symmetric relation with inverse' AS message FROM j WHERE "sy
   UNION ALL SELECT name, 'inverse is not mutual' FROM j WHERE found IS NOT NULL AND back IS DISTINCT FROM name UNION ALL SELECT name, 'domain does not mirror the inverse' FROM j WHERE d <> br
   UNION ALL SELECT name, 'range does not mirror the inverse' FROM j WHERE r <> bd UNION ALL SELECT name, 'unknown type in domain' FROM j WHERE list_contains(d, 'gizmo') UNION ALL SELECT name, 'unknown type in range' FROM j WHERE list_contains(r, 'gadget'))
 SELECT 'dq_registry_coherence' AS rule, 'error' AS severity, name AS focus, message FROM w""")
-add("validate", quality.conforms)
-add("severity_counts", quality.severity_counts)
 add_rough("anomalies", quality.anomalies)
 
 _from = lambda key: f"FROM ({ORACLE[key]}) x"
@@ -477,10 +476,6 @@ SELECT p.id, count(DISTINCT actor) FILTER (class = 'human') AS n FROM promotions
 ORACLE["dq_pointers"] = _say("dq_pointers", "error", "record", "kind || ' points to ' || pointer", _from("dangling_endpoints"))
 _LONG = "'mathematically_requires', 'requires', 'logically_requires', 'depends_on', 'causes', 'applies_to', 'derived_from'"
 ORACLE["dq_triage_advisory"] = _say("dq_triage_advisory", "info", "id", "'may be ' || suggested", "FROM (" + ORACLE["relation_triage"].replace("'requires', 'depends_on', 'causes', 'applies_to', 'derived_from'", _LONG) + ") x WHERE verdict = 'candidate'")
-_PLAIN = [ctes(*_DQ[k][1]) + "\n" + _DQ[k][0] if k in _DQ else ORACLE[k] for k in quality.RULES if k != "dq_registry_coherence" and (k in _DQ or k in ORACLE)]  # the library's own registry has no faults
-_ALL = " UNION ALL ".join(f"SELECT rule, severity, focus, message FROM ({q}) x" for q in _PLAIN)
-ORACLE["severity_counts"] = f"SELECT rule, severity, count(*) AS n FROM ({_ALL}) y GROUP BY rule, severity"
-ORACLE["validate"] = f"SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS conforms FROM ({_ALL}) y"
 _KEY = "concat_ws('|', source, relation, object)"
 ORACLE["anomalies"] = " UNION ALL ".join([
     _say("duplicate_triple", "low", _KEY, "CAST(n AS STRING) || ' times'", _from("duplicate_triples")),
@@ -523,9 +518,9 @@ x AS (SELECT id, CASE WHEN id NOT IN (SELECT id FROM said WHERE key = 'writer')
 }
 _GOVERN = f"""WITH x AS (SELECT b.id, value, CASE WHEN b.id = value THEN 'governs itself' WHEN e.id IS NULL THEN 'unknown law' WHEN e.type <> 'law' THEN 'no law' END AS why FROM blocks b LEFT JOIN entities e ON e.id = value WHERE block = 'governed_by')
 {_V("dq_governing", "value || ': ' || why", "FROM x WHERE why IS NOT NULL")} UNION ALL {_V("dq_governing", "'core law is not there'", "FROM (VALUES ('org.s1'), ('org.s777777')) c(id) WHERE id NOT IN (SELECT id FROM entities WHERE type = 'law')")}"""
-for _key, _rule in records.RECORD_RULES.items():
+for _key in records.RECORD_RULES:
     if _key != "dq_governing":
-        add(_key, _rule, _RECORD_SQL[_key][0], *_RECORD_SQL[_key][1])
+        add(_key, quality.RULES[_key], _RECORD_SQL[_key][0], *_RECORD_SQL[_key][1])
 add("dq_governing", lambda kg: records.dq_governing(kg, ("org.s1", "org.s777777")), _GOVERN, "blocks", "entities")
 _CANDIDATE = " UNION ALL ".join(f"SELECT 'dq_candidate' AS rule, severity, focus, rule || ': ' || message AS message FROM ({_DQ[k][0]})" for k in records.CANDIDATE_RULES)
 add_rough("dq_candidate", lambda kg: records.dq_candidate(kg, kg.entities.where("status = 'draft'"), kg.connections.where("review = 'unreviewed'")),
@@ -537,6 +532,32 @@ add("scoping_keys", lambda kg: records.scoping_keys(kg.blocks), "SELECT DISTINCT
 add("relation", lambda kg: lookup.relation(kg, kg.connections.select("relation").distinct()),
     'SELECT r.name, family, inverse, transitive, "symmetric", r.status FROM relations r WHERE r.name IN (SELECT relation FROM connections)', "relations", "connections")
 
+
+def _recorded(kg):
+    return kg.entities.where("id not like '%12'").groupBy(F.col("status").alias("name")).agg(F.count("*").alias("n"))
+
+
+def _validated(result):
+    """All rules at once; the ill-made registry and records that wait to be staged are validated too."""
+    def query(spark, sf_dir):
+        ship(spark)
+        kg = knowledge(spark, sf_dir)
+        return result(kg, drafted=(kg.entities.where("status = 'draft'"), kg.connections.where("review = 'unreviewed'")), recorded=_recorded(kg), registry=_ill_registry(spark, sf_dir))
+
+    return query
+
+
+def _whole(sql, tables):
+    return ctes(*tables) + (", " + sql.strip()[5:] if sql.strip().startswith("WITH ") else "\n" + sql)
+
+
+_EVERY = {k: _whole(*v) for k, v in (_RECORD_SQL | {"dq_governing": (_GOVERN.split(" UNION ALL ")[0], ["blocks", "entities"])} | _DQ).items()}
+_EVERY["dq_candidate"] = _whole(re.sub(r"FROM entities", "FROM (SELECT * FROM entities WHERE status = 'draft')", re.sub(r"FROM connections", "FROM (SELECT * FROM connections WHERE review = 'unreviewed')", _CANDIDATE)), ["entities", "connections", "relations"])
+_ALL = " UNION ALL ".join(f"SELECT rule, severity, focus, message FROM ({_EVERY.get(k) or ORACLE[k]}) x" for k in [*quality.RULES, "dq_candidate", "dq_live_counts"])
+add_raw("validate", _validated(validation.conforms), f"SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS conforms FROM ({_ALL}) y")
+add_raw("severity_counts", _validated(validation.severity_counts), f"SELECT rule, severity, count(*) AS n FROM ({_ALL}) y GROUP BY rule, severity")
+
+
 # state changes
 
 

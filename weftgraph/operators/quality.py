@@ -1,8 +1,9 @@
-"""Quality rules: each gives violations (rule, severity, focus, message); validate() is their union."""
+"""Quality rules: each gives violations (rule, severity, focus, message). Checks of single rows are data, compiled into one scan a table; see validation.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from weftgraph.functions.policy import active, retired
 from weftgraph.operators import history, reports
 from weftgraph.operators.graph import dangling_endpoints
-from weftgraph.runtime import cut
 from weftgraph.schema import KnowledgeSet
 
 ENTITY_TYPES = ["concept", "quantity", "law", "equation", "model", "phenomenon", "unit", "experiment", "method"]
@@ -27,14 +27,57 @@ ID = r"^[a-z]+\.[a-z]*[0-9]+$"
 BOARD = 2
 
 Rule = Callable[[KnowledgeSet], DataFrame]
+#: Rules by name; each gives its violations alone.
 RULES: dict[str, Rule] = {}
+#: What rules need besides the row itself: joins and groups, by rule.
+JOINED: dict[str, Rule] = {}
+
+
+@dataclass(frozen=True)
+class Check:
+    """A constraint on single rows of a table: rows for which `test` holds break `rule`. Columns are made when the table is scanned."""
+
+    rule: str
+    table: str
+    test: Callable[[], Column]
+    message: Callable[[], Column]
+    severity: str = "error"
+    focus: str = "id"
+
+
+CHECKS: list[Check] = []
+
+
+def check(rule: str, table: str, test: Callable[[], Column], message: str | Callable[[], Column], severity: str = "error", focus: str = "id") -> None:
+    CHECKS.append(Check(rule, table, test, message if callable(message) else lambda: F.lit(message), severity, focus))
+    RULES.setdefault(rule, lambda kg: _of_rule(kg, rule))
 
 
 def rule(f: Rule) -> Rule:
-    RULES[f.__name__] = f
+    """Registers what a rule needs joins for; its checks of single rows are added."""
+    JOINED[f.__name__] = f
+    RULES[f.__name__] = lambda kg: _of_rule(kg, f.__name__)
     return f
 
 
+def row_violations(kg: KnowledgeSet, checks: list[Check]) -> DataFrame | None:
+    """All violations of checks of single rows: one scan a table, whatever the number of checks, its violations in one array that is exploded once."""
+    out, tables = None, kg.tables()
+    for table in dict.fromkeys(c.table for c in checks):
+        if table in tables:
+            # a when() in each place: a row has as many as it breaks
+            each = [F.when(c.test(), F.struct(F.lit(c.rule).alias("rule"), F.lit(c.severity).alias("severity"), F.col(c.focus).alias("focus"), c.message().alias("message"))) for c in checks if c.table == table]
+            found = tables[table].select(F.explode(F.array_compact(F.array(*each))).alias("v")).select("v.*")
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _of_rule(kg: KnowledgeSet, name: str) -> DataFrame:
+    own = row_violations(kg, [c for c in CHECKS if c.rule == name])
+    joined = JOINED[name](kg) if name in JOINED else None
+    return joined if own is None else own if joined is None else own.unionByName(joined)
+
+
 def _rows(df: DataFrame, name: str, message: Column | str, severity: str = "error", focus: str = "id") -> DataFrame:
     return df.select(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.col(focus).alias("focus"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
 
@@ -43,55 +86,41 @@ def _blank(c: str) -> Column:
     return F.col(c).isNull() | (F.trim(c) == "")
 
 
-def _missing(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """One row for each blank field, from one pass."""
-    gaps = F.filter(F.array(*[F.when(_blank(c), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
-    return _rows(df.select("id", F.explode(gaps).alias("field")), name, F.concat(F.lit("missing "), F.col("field")))
+def _required(rule: str, table: str, columns: list[str]) -> None:
+    for c in columns:
+        check(rule, table, lambda c=c: _blank(c), f"missing {c}")
 
 
-@rule
-def dq_required(kg):
-    out = _missing(kg.entities, ["type", "name", "domain", "status", "definition"], "dq_required")
-    out = out.unionByName(_missing(kg.connections, ["source", "relation", "assertion_status", "review"], "dq_required"))
-    return out.unionByName(_missing(kg.sources, ["type", "title", "url"], "dq_required"))
+_required("dq_required", "entities", ["type", "name", "domain", "status", "definition"])
+_required("dq_required", "connections", ["source", "relation", "assertion_status", "review"])
+_required("dq_required", "sources", ["type", "title", "url"])
 
+for _table in ("entities", "connections", "sources"):
+    check("dq_id_format", _table, lambda: ~F.col("id").rlike(ID), "id does not fit its pattern")
 
-@rule
-def dq_id_format(kg):
-    ids = kg.entities.select("id").unionByName(kg.connections.select("id")).unionByName(kg.sources.select("id"))
-    return _rows(ids.where(~F.col("id").rlike(ID)), "dq_id_format", "id does not fit its pattern")
-
-
-@rule
-def dq_enum(kg):
-    bad = F.filter(F.array(F.when(~F.col("type").isin(ENTITY_TYPES), F.concat(F.lit("type "), "type")), F.when(~F.col("status").isin(ENTITY_STATUSES), F.concat(F.lit("status "), "status"))), lambda x: x.isNotNull())
-    return _rows(kg.entities.select("id", F.explode(bad).alias("what")), "dq_enum", F.concat(F.lit("not in vocabulary: "), F.col("what")))
+check("dq_enum", "entities", lambda: ~F.col("type").isin(ENTITY_TYPES), lambda: F.concat(F.lit("not in vocabulary: type "), "type"))
+check("dq_enum", "entities", lambda: ~F.col("status").isin(ENTITY_STATUSES), lambda: F.concat(F.lit("not in vocabulary: status "), "status"))
 
+check("dq_quantity_fields", "entities", lambda: (F.col("type") == "quantity") & _blank("symbol"), "quantity without symbol")
 
-@rule
-def dq_quantity_fields(kg):
-    return _rows(kg.entities.where((F.col("type") == "quantity") & _blank("symbol")), "dq_quantity_fields", "quantity without symbol")
+_origin = lambda key: (F.col("block") == "origin") & (F.col("key") == key)
+check("dq_provenance_shape", "entities", lambda: F.col("status").isin("canonical", "human_reviewed") & _blank("source_ref"), "reviewed record without source", "warning")
+check("dq_provenance_shape", "blocks", lambda: _origin("ai_drafted") & ~F.coalesce(F.col("value").isin("true", "false"), F.lit(False)), "ai_drafted is not true or false")
+check("dq_provenance_shape", "blocks", lambda: _origin("source_kind") & ~F.col("value").isin(SOURCE_KINDS), lambda: F.concat(F.lit("source_kind "), F.col("value")))
 
 
 @rule
 def dq_provenance_shape(kg):
     """Reviewed records have a source; the origin says by true or false whether a machine drafted the record, and its kind of source is known; what no machine drafted has a source or a reviewer."""
-    out = _rows(kg.entities.where(F.col("status").isin("canonical", "human_reviewed") & _blank("source_ref")), "dq_provenance_shape", "reviewed record without source", "warning")
     if kg.blocks is None:
-        return out
-    o = kg.blocks.where("block = 'origin'")
-    out = out.unionByName(_rows(o.where((F.col("key") == "ai_drafted") & ~F.coalesce(F.col("value").isin("true", "false"), F.lit(False))), "dq_provenance_shape", "ai_drafted is not true or false"))
-    out = out.unionByName(_rows(o.where((F.col("key") == "source_kind") & ~F.col("value").isin(SOURCE_KINDS)), "dq_provenance_shape", F.concat(F.lit("source_kind "), F.col("value"))))
+        return None
     named = kg.entities.where(~_blank("source_ref")).select("id").unionByName(kg.blocks.where("block = 'provenance' and key = 'reviewer'").select("id"))
-    alone = o.where("key = 'ai_drafted' and value = 'false'").select("id").distinct().join(named, "id", "left_anti")
-    return out.unionByName(_rows(alone, "dq_provenance_shape", "neither source nor reviewer"))
+    alone = kg.blocks.where("block = 'origin' and key = 'ai_drafted' and value = 'false'").select("id").distinct().join(named, "id", "left_anti")
+    return _rows(alone, "dq_provenance_shape", "neither source nor reviewer")
 
 
-@rule
-def dq_retired_pointer(kg):
-    e = kg.entities
-    gone = e.where(retired() & (_blank("deprecated_by") | (F.col("deprecated_by") == F.col("id"))))
-    return _rows(gone, "dq_retired_pointer", "retired record does not say what replaces it").unionByName(_rows(e.where(~retired() & ~_blank("deprecated_by")), "dq_retired_pointer", "live record says it is replaced"))
+check("dq_retired_pointer", "entities", lambda: retired() & (_blank("deprecated_by") | (F.col("deprecated_by") == F.col("id"))), "retired record does not say what replaces it")
+check("dq_retired_pointer", "entities", lambda: ~retired() & ~_blank("deprecated_by"), "live record says it is replaced")
 
 
 @rule
@@ -100,25 +129,20 @@ def dq_unique_ids(kg):
     return _rows(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "dq_unique_ids", F.concat(F.col("n").cast("string"), F.lit(" records")))
 
 
-@rule
-def dq_domain_identity(kg):
-    return _rows(kg.entities.where(F.split_part("id", F.lit("."), F.lit(1)) != F.col("domain")), "dq_domain_identity", "id prefix and domain differ")
+check("dq_domain_identity", "entities", lambda: F.split_part("id", F.lit("."), F.lit(1)) != F.col("domain"), "id prefix and domain differ")
+
+_form = lambda: F.coalesce(*[F.when(F.col("scheme") == s, F.col("value").rlike(p)) for s, p in SCHEMES.items()], F.lit(False))
+check("dq_external_ids", "external_ids", lambda: ~_form(), lambda: F.concat(F.col("scheme"), F.lit(" has a wrong format")), focus="entity_id")
 
 
 @rule
 def dq_external_ids(kg):
-    x = kg.external_ids
-    form = F.coalesce(*[F.when(F.col("scheme") == s, F.col("value").rlike(p)) for s, p in SCHEMES.items()], F.lit(False))
-    bad = _rows(x.where(~form), "dq_external_ids", F.concat(F.col("scheme"), F.lit(" has a wrong format")), focus="entity_id")
-    twice = x.groupBy("scheme", "value").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id")).where("n > 1")
-    return bad.unionByName(_rows(twice, "dq_external_ids", F.concat_ws(" ", F.lit("shared:"), "scheme", "value"), "warning", "entity_id"))
+    twice = kg.external_ids.groupBy("scheme", "value").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id")).where("n > 1")
+    return _rows(twice, "dq_external_ids", F.concat_ws(" ", F.lit("shared:"), "scheme", "value"), "warning", "entity_id")
 
 
-@rule
-def dq_target_xor_value(kg):
-    c = kg.connections
-    both = c.where(F.col("target").isNull() == F.col("amount").isNull())
-    return _rows(both, "dq_target_xor_value", "exactly one of target and value is needed").unionByName(_rows(c.where(F.col("amount").isNotNull() & ~F.col("amount").rlike(DECIMAL)), "dq_target_xor_value", "amount is not a decimal"))
+check("dq_target_xor_value", "connections", lambda: F.col("target").isNull() == F.col("amount").isNull(), "exactly one of target and value is needed")
+check("dq_target_xor_value", "connections", lambda: F.col("amount").isNotNull() & ~F.col("amount").rlike(DECIMAL), "amount is not a decimal")
 
 
 @rule
@@ -127,20 +151,25 @@ def dq_relation_known(kg):
     return _rows(kg.connections.join(known, "relation", "left_anti"), "dq_relation_known", F.concat(F.lit("unknown relation "), F.col("relation")))
 
 
+def with_ends(kg: KnowledgeSet) -> DataFrame:
+    """Connections with the type and status of both ends, and whether they are there; rules on ends share it."""
+    end = lambda p: kg.entities.select(F.col("id").alias(p), F.col("type").alias(f"{p}_type"), F.col("status").alias(f"{p}_status"), F.lit(True).alias(f"{p}_there"))
+    return kg.connections.select("id", "source", "relation", "target", "review").join(end("source"), "source", "left").join(end("target"), "target", "left")
+
+
 @rule
-def dq_domain_range(kg):
+def dq_domain_range(kg, ends: DataFrame | None = None):
     reg = F.broadcast(kg.relations.select(F.col("name").alias("relation"), "domain", "range"))
-    end = lambda p: kg.entities.select(F.col("id").alias(p), F.col("type").alias(f"{p}_type"))
-    c = kg.connections.join(reg, "relation").join(end("source"), "source").join(end("target"), "target", "left")
+    c = (with_ends(kg) if ends is None else ends).where("source_there").join(reg, "relation")
     bad = ((F.size("domain") > 0) & ~F.array_contains("domain", F.col("source_type"))) | ((F.size("range") > 0) & F.col("target_type").isNotNull() & ~F.array_contains("range", F.col("target_type")))
     return _rows(c.where(bad), "dq_domain_range", F.concat_ws(" ", F.lit("types do not fit"), "relation"))
 
 
 @rule
-def dq_reviewed_endpoints(kg):
-    open_ = kg.entities.where(~F.col("status").isin("canonical", "human_reviewed")).select("id")
-    c = kg.connections.where(F.col("review") == "canonical").select("id", F.explode(F.array("source", "target")).alias("end"))
-    return _rows(c.join(open_.select(F.col("id").alias("end")), "end", "left_semi").select("id").distinct(), "dq_reviewed_endpoints", "canonical connection cites an entity that is not reviewed", "warning")
+def dq_reviewed_endpoints(kg, ends: DataFrame | None = None):
+    c, reviewed = with_ends(kg) if ends is None else ends, ["canonical", "human_reviewed"]
+    bad = c.where((F.col("review") == "canonical") & (~F.col("source_status").isin(reviewed) | ~F.col("target_status").isin(reviewed)))
+    return _rows(bad.select("id").distinct(), "dq_reviewed_endpoints", "canonical connection cites an entity that is not reviewed", "warning")
 
 
 @rule
@@ -163,16 +192,10 @@ def dq_registry_coherence(kg):
     return _rows(j.select("name", F.explode(why).alias("why")), "dq_registry_coherence", F.col("why"), focus="name")
 
 
-@rule
-def dq_epistemics(kg):
-    c = kg.connections
-    unpaired = c.where(F.col("confidence").isNull() != F.col("confidence_basis").isNull())
-    return _rows(unpaired, "dq_epistemics", "confidence and its basis go together", "warning").unionByName(_rows(c.where((F.col("confidence") < 0) | (F.col("confidence") > 1)), "dq_epistemics", "confidence outside 0..1"))
-
+check("dq_epistemics", "connections", lambda: F.col("confidence").isNull() != F.col("confidence_basis").isNull(), "confidence and its basis go together", "warning")
+check("dq_epistemics", "connections", lambda: (F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence outside 0..1")
 
-@rule
-def dq_rejected_reason(kg):
-    return _rows(kg.connections.where((F.col("review") == "rejected") & _blank("reason")), "dq_rejected_reason", "rejected without a written reason")
+check("dq_rejected_reason", "connections", lambda: (F.col("review") == "rejected") & _blank("reason"), "rejected without a written reason")
 
 
 @rule
@@ -226,13 +249,11 @@ PROFILE = {
 }
 
 
-@rule
-def dq_profile(kg):
-    """Sources have a link of a known form or are kept in libraries; evidence has its place; relations are those of the profile."""
-    out = _rows(kg.sources.where(_blank("url") & ~F.col("type").isin(PROFILE["libraries"])), "dq_profile", "source cannot be verified")
-    out = out.unionByName(_rows(kg.sources.where(~_blank("url") & ~F.col("url").rlike(PROFILE["link"])), "dq_profile", "link has another form"))
-    out = out.unionByName(_rows(kg.connections.where(~F.col("relation").isin(PROFILE["relations"])), "dq_profile", F.concat(F.lit("not in the profile: "), F.col("relation"))))
-    return out.unionByName(_rows(kg.evidence.where(F.col("type").isin(PROFILE["placed"]) & _blank("locator")), "dq_profile", "evidence without a place", focus="connection_id"))
+# sources have a link of a known form or are kept in libraries; evidence has its place; relations are those of the profile
+check("dq_profile", "sources", lambda: _blank("url") & ~F.col("type").isin(PROFILE["libraries"]), "source cannot be verified")
+check("dq_profile", "sources", lambda: ~_blank("url") & ~F.col("url").rlike(PROFILE["link"]), "link has another form")
+check("dq_profile", "connections", lambda: ~F.col("relation").isin(PROFILE["relations"]), lambda: F.concat(F.lit("not in the profile: "), F.col("relation")))
+check("dq_profile", "evidence", lambda: F.col("type").isin(PROFILE["placed"]) & _blank("locator"), "evidence without a place", focus="connection_id")
 
 
 #: Limits on the number of values of a property, by type: (type, property, least, most).
@@ -260,23 +281,6 @@ def dq_triage_advisory(kg):
     return _rows(t.where("verdict = 'candidate'"), "dq_triage_advisory", F.concat_ws(" ", F.lit("may be"), "suggested"), "info")
 
 
-def validate(kg: KnowledgeSet, only: list[str] | None = None) -> DataFrame:
-    """All violations. The tables that most rules read are made once, whatever they come from; each rule then scans its columns of them."""
-    kg, out = kg.with_(entities=cut(kg.entities), connections=cut(kg.connections)), None
-    for name, f in RULES.items():
-        if only is None or name in only:
-            out = f(kg) if out is None else out.unionByName(f(kg))
-    return out
-
-
-def severity_counts(kg: KnowledgeSet) -> DataFrame:
-    return validate(kg).groupBy("rule", "severity").agg(F.count("*").alias("n"))
-
-
-def conforms(kg: KnowledgeSet) -> DataFrame:
-    return validate(kg).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")).withColumn("conforms", F.col("errors") == 0)
-
-
 def anomalies(kg: KnowledgeSet) -> DataFrame:
     """The advisory report: duplicate triples, conflicting reviews, isolated entities, contradictions."""
     triple = F.concat_ws("|", "source", "relation", "object")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.policy import active
 from weftgraph.operators import views
-from weftgraph.operators.quality import RULES, _blank, _rows
+from weftgraph.operators.quality import RULES, _blank, _rows, check, rule
 from weftgraph.schema import KnowledgeSet
 
 REVIEWED = ["canonical", "human_reviewed"]
@@ -39,6 +39,7 @@ def _gaps(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return _rows(df.select("id", gap.alias("field")), name, F.concat(F.lit("missing "), F.col("field")))
 
 
+@rule
 def dq_extensions(kg: KnowledgeSet) -> DataFrame:
     """Keys are registered, apply to the record's type, and have values of their pattern."""
     known = F.broadcast(kg.blocks.sparkSession.createDataFrame(EXTENSIONS, "key string, applies string, pattern string"))
@@ -47,22 +48,33 @@ def dq_extensions(kg: KnowledgeSet) -> DataFrame:
     return _rows(x.withColumn("why", why).where("why is not null"), "dq_extensions", F.concat_ws(": ", "key", "why"))
 
 
+@rule
 def dq_historical(kg: KnowledgeSet) -> DataFrame:
     """An attribution has a closed set of members, says who, and its year is a number."""
-    x = _of(kg, "historical")
-    out = _rows(x.where(~F.col("key").isin(HISTORICAL)), "dq_historical", F.concat(F.lit("unknown member "), F.col("key")))
-    out = out.unionByName(_rows(x.where((F.col("key") == "year") & ~F.col("value").rlike("^-?[0-9]{1,4}$")), "dq_historical", "year is no number"))
-    return out.unionByName(_gaps(_members(kg, "historical", "stated_by"), ["stated_by"], "dq_historical"))
+    return _gaps(_members(kg, "historical", "stated_by"), ["stated_by"], "dq_historical")
 
 
+@rule
 def dq_adopted_from(kg: KnowledgeSet) -> DataFrame:
     """An adoption has a closed set of members, names the record, its relation to it and the authority."""
-    x = _of(kg, "adopted_from")
-    out = _rows(x.where(~F.col("key").isin(ADOPTED)), "dq_adopted_from", F.concat(F.lit("unknown member "), F.col("key")))
-    out = out.unionByName(_rows(x.where((F.col("key") == "relation") & ~F.col("value").isin(ADOPTED_RELATIONS)), "dq_adopted_from", F.concat(F.lit("relation "), F.col("value"))))
-    return out.unionByName(_gaps(_members(kg, "adopted_from", "external_id", "relation", "authority"), ["external_id", "relation", "authority"], "dq_adopted_from"))
+    return _gaps(_members(kg, "adopted_from", "external_id", "relation", "authority"), ["external_id", "relation", "authority"], "dq_adopted_from")
 
 
+_in = lambda block, *keys: (F.col("block") == block) & (F.col("key").isin(*keys) if keys else F.lit(True))
+_unknown = lambda: F.concat(F.lit("unknown member "), F.col("key"))
+check("dq_historical", "blocks", lambda: _in("historical") & ~F.col("key").isin(HISTORICAL), _unknown)
+check("dq_historical", "blocks", lambda: _in("historical", "year") & ~F.col("value").rlike("^-?[0-9]{1,4}$"), "year is no number")
+check("dq_adopted_from", "blocks", lambda: _in("adopted_from") & ~F.col("key").isin(ADOPTED), _unknown)
+check("dq_adopted_from", "blocks", lambda: _in("adopted_from", "relation") & ~F.col("value").isin(ADOPTED_RELATIONS), lambda: F.concat(F.lit("relation "), F.col("value")))
+_of_vocabulary = lambda: F.coalesce(*[F.when(F.col("key") == k, F.col("value").isin(v)) for k, v in CONTEXT.items()], F.lit(False))
+check("dq_context_vocab", "blocks", lambda: _in("context") & ~_of_vocabulary(), lambda: F.concat_ws(" ", "key", "value"))
+# a retired id prefix, in any id, pointer or member
+for _table, _columns in (("entities", ("id", "deprecated_by", "source_ref")), ("connections", ("id", "source", "target", "replaced_by")), ("blocks", ("value",))):
+    for _c in _columns:
+        check("dq_legacy_prefix", _table, lambda c=_c: F.contains(F.col(c), F.lit(LEGACY)), lambda c=_c: F.col(c))
+
+
+@rule
 def dq_debt(kg: KnowledgeSet, forward_only: bool = False) -> DataFrame:
     """Outstanding debt blocks a reviewed status (only a canonical one, if forward_only); cleared and deferred debts say by whom and when."""
     d = _members(kg, "debt", "status", "cleared_by", "cleared_at", "deferred_by", "deferred_until").withColumnRenamed("status", "debt")
@@ -77,6 +89,7 @@ def dq_debt(kg: KnowledgeSet, forward_only: bool = False) -> DataFrame:
     return _rows(d.withColumn("why", why).where("why is not null"), "dq_debt", F.col("why"))
 
 
+@rule
 def dq_human_review(kg: KnowledgeSet) -> DataFrame:
     """A reviewed record has a registered human writer, and an edit by a human or a declared human review."""
     human = kg.agents.where("class = 'human'").select(F.col("id").alias("value"))
@@ -87,6 +100,7 @@ def dq_human_review(kg: KnowledgeSet) -> DataFrame:
     return _rows(r.withColumn("why", why).where("why is not null"), "dq_human_review", F.col("why"))
 
 
+@rule
 def dq_governing(kg: KnowledgeSet, core: tuple = ()) -> DataFrame:
     """Governing laws exist, are laws and not the record itself; the core laws are there."""
     law = kg.entities.select(F.col("id").alias("value"), F.col("type").alias("kind"))
@@ -97,12 +111,7 @@ def dq_governing(kg: KnowledgeSet, core: tuple = ()) -> DataFrame:
     return out.unionByName(_rows(wanted, "dq_governing", "core law is not there"))
 
 
-def dq_context_vocab(kg: KnowledgeSet) -> DataFrame:
-    c = _of(kg, "context")
-    ok = F.coalesce(*[F.when(F.col("key") == k, F.col("value").isin(v)) for k, v in CONTEXT.items()], F.lit(False))
-    return _rows(c.where(~ok), "dq_context_vocab", F.concat_ws(" ", "key", "value"))
-
-
+@rule
 def dq_node_projection(kg: KnowledgeSet) -> DataFrame:
     """Every node has a type and a label, an assertion both ends, and only canonical records are nodes."""
     n = views.jsonld_nodes(kg)
@@ -124,13 +133,7 @@ def dq_candidate(kg: KnowledgeSet, entities: DataFrame, connections: DataFrame,
     return out.withColumn("message", F.concat_ws(": ", "rule", "message")).withColumn("rule", F.lit("dq_candidate"))
 
 
-def dq_legacy_prefix(kg: KnowledgeSet, prefix: str = LEGACY) -> DataFrame:
-    """A retired id prefix, in any id, pointer or member."""
-    ids = kg.entities.select("id", F.explode(F.array("id", "deprecated_by", "source_ref")).alias("text"))
-    ids = ids.unionByName(kg.connections.select("id", F.explode(F.array("id", "source", "target", "replaced_by")).alias("text"))).unionByName(kg.blocks.select("id", F.col("value").alias("text")))
-    return _rows(ids.where(F.contains("text", F.lit(prefix))), "dq_legacy_prefix", F.col("text"))
-
-
+@rule
 def dq_inline_relationships(kg: KnowledgeSet) -> DataFrame:
     return _rows(_of(kg, "relationships").select("id").distinct(), "dq_inline_relationships", "relationships stand on the entity")
 
@@ -154,4 +157,5 @@ def scoping_keys(blocks: DataFrame, scopes: list[str] | None = None) -> DataFram
     return blocks.where(out).select("id", "key").distinct()
 
 
-RECORD_RULES = {f.__name__: f for f in (dq_extensions, dq_historical, dq_adopted_from, dq_debt, dq_human_review, dq_governing, dq_context_vocab, dq_node_projection, dq_legacy_prefix, dq_inline_relationships)}
+#: The rules of this module.
+RECORD_RULES = ["dq_extensions", "dq_historical", "dq_adopted_from", "dq_debt", "dq_human_review", "dq_governing", "dq_context_vocab", "dq_node_projection", "dq_legacy_prefix", "dq_inline_relationships"]
