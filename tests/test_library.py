@@ -298,8 +298,8 @@ def test_registry_of_rules_is_bounded(spark):
 def test_rules_find_what_is_planted(tiny, spark):
     bad = tiny.with_(connections=frame(spark, [edge("e.1", "root", "made_up", "alpha"), edge("e.2", "root", "requires", None), edge("e.3", "root", "causes", "beta", review="rejected"), edge("e.4", "beta", "contradicts", "root")], schema.CONNECTIONS))
     assert [r.focus for r in quality.dq_relation_known(bad).collect()] == ["e.1"]
-    assert [r.focus for r in quality.dq_target_xor_value(bad).collect()] == ["e.2"]
-    assert [r.focus for r in quality.dq_rejected_reason(bad).collect()] == ["e.3"]
+    assert [r.focus for r in quality.RULES["dq_target_xor_value"](bad).collect()] == ["e.2"]
+    assert [r.focus for r in quality.RULES["dq_rejected_reason"](bad).collect()] == ["e.3"]
     assert [r.focus for r in quality.dq_contradiction(bad).collect()] == ["beta|root"]
 
 
