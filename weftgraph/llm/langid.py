@@ -34,10 +34,16 @@ MARK = "▁"
 _CELLS = 1 << 17
 
 
-def _letter_runs() -> re.Pattern:
-    """Runs of characters that str.isalpha holds for: word characters but digits, the underscore and other numbers."""
-    other = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{re.escape(other)}]+")
+#: Word characters but digits and the underscore: letters, and numbers of other kinds, which are taken out where a run holds any.
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of characters that str.isalpha holds for."""
+    runs = _RUNS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [part for r in runs for part in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
 
 
 class Pieces:
@@ -75,13 +81,13 @@ class Pieces:
                 self.step[nodes[n[:-1]], place[n[-1]]] = i
         for p in long:
             self.piece[nodes[p[:-1]], place[p[-1]]] = number[p]
-        self.inner, self.runs = len(inner), _letter_runs()
+        self.inner = len(inner)
 
     def __len__(self) -> int:
         return len(self.names)
 
     def words(self, text: str | None) -> list[str]:
-        return self.runs.findall(text.lower()) if text else []
+        return letter_runs(text.lower()) if text else []
 
     def spelled(self, word: str) -> np.ndarray:
         """The symbols of a word."""
