@@ -89,27 +89,33 @@ class Pieces:
     def words(self, text: str | None) -> list[str]:
         return letter_runs(text.lower()) if text else []
 
-    def spelled(self, word: str) -> np.ndarray:
-        """The symbols of a word."""
-        s = self.symbol[np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), "<u4")]
-        if (s >= 0).all():
-            return s
-        parts = ([x] if x >= 0 else (self.bytes_from + b for b in c.encode("utf-8", "surrogatepass")) for x, c in zip(s.tolist(), MARK + word, strict=True))
-        return np.fromiter((x for p in parts for x in p), np.int32)
+    def spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of all words behind one another, where each word's begin, and its number of them."""
+        points = np.frombuffer("".join([MARK + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4")
+        flat, sizes = self.symbol[points], np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.cumsum(sizes) - sizes
+        strange = flat < 0
+        if strange.any():
+            wide = np.where(strange, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), 1)
+            sizes = np.add.reduceat(wide, begin)
+            begin = np.cumsum(sizes) - sizes
+            flat, strange = np.repeat(flat, wide), np.repeat(strange, wide)
+            flat[strange] = self.bytes_from + np.frombuffer(points[self.symbol[points] < 0].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+        return flat, begin, sizes
 
     def lattices(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
         """Words of like length together: (their places in `words`, their sizes, edges by end: (begin, rows, pieces))."""
-        spelled = [self.spelled(w) for w in words]
-        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        order, lo = np.argsort(sizes, kind="stable"), 0
+        if not words:
+            return
+        flat, begin, sizes = self.spelled(words)
+        order = np.argsort(sizes, kind="stable")
+        ranked, lo = sizes[order], 0
         while lo < len(order):
-            hi, least = lo + 1, int(sizes[order[lo]])
-            most = least + 2 + least // 8
-            hi = lo + max(1, min(int(np.searchsorted(sizes[order[lo:]], most, "right")), _CELLS // most))
-            own, width = order[lo:hi], int(sizes[order[hi - 1]])
-            s = np.full((hi - lo, width), -1, np.int32)
-            for r, w in enumerate(own):
-                s[r, : sizes[w]] = spelled[w]
+            most = int(ranked[lo]) * 9 // 8 + 2
+            hi = lo + max(1, min(int(np.searchsorted(ranked, most, "right")) - lo, _CELLS // most))
+            own, at = order[lo:hi], np.arange(int(ranked[hi - 1]))
+            s = flat[np.minimum(begin[own][:, None] + at, len(flat) - 1)]
+            s[at >= sizes[own][:, None]] = -1
             yield own, sizes[own], self._edges(s)
             lo = hi
 
