@@ -1,11 +1,12 @@
 """Secret scan by assignment-aware lexing of source and configuration text.
 
 Base spans (assign, access, hex) come from three fixed patterns. The method then goes through a text in three steps:
-  1. a lexer: comments, strings (single, double, back-quoted and triple-quoted, with escapes), names (dotted, dashed, snake
-     or camel), operators, brackets, tags, line ends with their indent; each token is matched once, at the place where the
-     one before ended, so a text is lexed in time linear in its length and no token has a length limit;
-  2. a parser of assignments: `name = value`, `name: value`, `name := value`, `name => value`, `"name": value`, keyword
-     arguments, `<name>value</name>`, and YAML block scalars (`name: |`). A value is a sum of strings, bare words and names;
+  1. a lexer goes from one structural character (operator, quote, bracket, comma, tag, line end, comment) to the next, so prose is passed in single
+     matches; strings are single, double, back-quoted or triple-quoted, with escapes and letters before the quote; no token has a length limit;
+  2. a parser of assignments: `name = value`, with a type (`name: str = value`), `name: value`, `:=`, `=>`, `+=`, `"name": value`, `x["name"] = value`,
+     keyword arguments, tuples (`a, name = 1, value`), `define("name", value)` and its like, `<name a="b">value</name>` and CDATA, YAML block scalars. A
+     value is a sum of strings (adjacent ones too), names, bare words, values in brackets, and calls, which hand on their last argument. What is
+     commented out is parsed in the same way, with constants of its own;
   3. propagation: names assigned in an open scope (a bracket, or an indented block) are constants there and in scopes
      inside it; a value that names one takes its literals over, and literals are scored by the sensitive name they reach.
 A pair's score adds the weight of the target name's words and the literal's shape (length, mixed alphabets, entropy) and
@@ -168,123 +169,335 @@ class Scopes:
         return held[-1][1] if held else None
 
 
-class Parser:
-    """Name-value pairs of a text, constants propagated in its order."""
-
-    def __init__(self, text: str):
-        self.text, self.scopes, self.bracket, self.indent = text, Scopes(), 0, 0
+#: What the parser stops at; what stands between is prose or operands, and is passed in one match.
+_NEXT = re.compile(r"""[=:<>,()\[\]{}"'`\n]|/\*|(?<![^\s;{}])(?://|\#|--)""")
+_NAME_END = re.compile(r"[A-Za-z0-9_.\-]")
+_INDENT = re.compile(r"\n[\x20\t]*+")
+_COMMENT = re.compile(r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)|<!--(?:[^-]|-(?!->))*+(?:-->|\Z)|(?://|\#|--)[^\n]*+")
+_TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.\-]*+)(?=[\s>/])", re.ASCII)
+_CDATA = re.compile(r"\s*+<!\[CDATA\[((?:[^\]]|\](?!\]>))*+)\]\]>\s*+")
+_BLOCK = re.compile(r"[\x20\t]*+[|>](?:[+-]?[1-9]?|[1-9][+-])[\x20\t]*+(?:\#[^\n]*+)?\n")
+_ROW = re.compile(r"([\x20\t]*+)([^\n]*+)(\n|\Z)")
+#: A type after a name's colon, up to the = of its value: names, dots, brackets, unions.
+_TYPE = re.compile(r"[\x20\t]*+(?:[A-Za-z_][A-Za-z0-9_.]*+(?:[<\[][^=:\n\"'`]*?[>\]]++(?=[\x20\t]*+[|=?!\[]))?+(?:\[\])*+[?!]?[\x20\t]*+\|?[\x20\t]*+)++=(?![=>])", re.ASCII)
+#: Letters before a string's quote that belong to it.
+_PREFIX = re.compile(r"""(?:[rRbBuUfF]{1,2}|[@$L]{1,2})(?=["'])""")
+#: What stands between a value and another that may take its place.
+_LINK = re.compile(r"(?:or|else)\b|\|\||\?\?|\?:|if\b(?:[^\n;\"'`()=]|==|(?<=[<>!])=)*?\belse\b")
+#: Brackets, and strings whose brackets are none.
+_PAREN = re.compile(r"""\"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`]*+`|[()]""", re.DOTALL)
+#: Functions that give a value a name: name first, value second; and those whose lone argument names what they look up.
+_SETTERS = {"define", "set", "put", "setenv", "putenv", "setproperty", "setitem", "setattribute", "setheader", "setdefault", "setvalue", "addheader", "header", "defvar", "setq"}
+_GETTERS = re.compile(r"(?i)(?:get|getenv|env|environ|getproperty|getstring|lookup|fetch|config|setting|require|prompt|input|read)$")
 
-    def token(self, at: int):
-        return _TOKEN.match(self.text, at)
 
-    def skip(self, at: int) -> int:
-        """Past blanks, not past line ends."""
-        text, n = self.text, len(self.text)
-        while at < n and text[at] in " \t\r":
+class Parser:
+    """Name-value pairs of a text, constants propagated in its order. base: the place in a larger text of which this is a comment."""
+
+    def __init__(self, text: str, base: int = 0, comment: bool = False):
+        self.text, self.base, self.comment, self.scopes, self.brackets, self.indent = text, base, comment, Scopes(), [], 0
+        #: round brackets that close; up to where brackets are known to hold no literal and no constant
+        self.closed: set[int] | None = None
+        self.empty = 0
+
+    def closes(self, at: int) -> bool:
+        """Does the round bracket at a place close? Found out for all of the text at once."""
+        if self.closed is None:
+            self.closed, open_ = set(), []
+            for m in _PAREN.finditer(self.text):
+                if m.group() == "(":
+                    open_.append(m.start())
+                elif m.group() == ")" and open_:
+                    self.closed.add(open_.pop())
+        return at in self.closed
+
+    def literal(self, text: str, at: int) -> Value:
+        return Value(text, at + self.base)
+
+    def skip(self, at: int, lines: bool = False) -> int:
+        """Past blanks, and past line ends only where asked."""
+        text, n, blank = self.text, len(self.text), " \t\r\n" if lines else " \t\r"
+        while at < n and text[at] in blank:
             at += 1
         return at
 
+    def name_before(self, at: int, low: int) -> tuple[str | None, int]:
+        """The name that ends before a place (blanks between), from `low` on, and where it begins."""
+        text, end = self.text, at
+        while end > low and text[end - 1] in " \t":
+            end -= 1
+        start = end
+        while start > low and _NAME_END.match(text, start - 1):
+            start -= 1
+        while start < end and not (text[start].isalpha() or text[start] == "_"):
+            start += 1
+        return (text[start:end] or None), start
+
+    def put(self, name: str, value: Value | None):
+        if value is not None:
+            self.scopes.put(name, value)
+            yield name, value
+
     def pairs(self):
-        text, n, at, subject = self.text, len(self.text), 0, None
-        while at < n:
-            m = self.token(at)
-            kind, at = m.lastgroup, m.end()
-            if kind == "line":
-                subject, blank = None, at >= n or text[at] == "\n"
-                if not blank and not self.bracket:
-                    self.indent = at - m.start() - 1
+        """Goes from one structural character to the next; `low` is where a name may begin at the earliest."""
+        text, n, at, low = self.text, len(self.text), 0, 0
+        key, key_end = None, -1  # a string that may be a key, and where an operator would have to follow
+        targets: list[str] = []  # names before commas, of a tuple that may be assigned
+        tags: list[str] = []
+        while (m := _NEXT.search(text, at)) is not None:
+            p, c = m.start(), m.group()
+            if c == "\n":
+                at = low = _INDENT.match(text, p).end()
+                targets, key = [], None
+                if not self.brackets and at < n and text[at] != "\n":
+                    self.indent = at - p - 1
                     self.scopes.line(self.indent)
-            elif kind in ("name", "string"):
-                subject = m.group() if kind == "name" else m.group()[1:-1]
-                subject = subject if (own := _PLAIN_NAME.match(subject)) and own.end() == len(subject) else None
-            elif kind == "op" and subject and m.group() in (":", "=", ":=", "=>"):
-                value, at = self.block(at) if m.group() == ":" else (None, at)
-                if value is None:
-                    value, at = self.value(self.skip(at))
-                if value is not None:
-                    self.scopes.put(subject, value)
-                    yield subject, value
-                subject = None
-            elif kind == "tag":
-                close = text.find("<", at)
-                if close >= 0 and text.startswith(f"</{m['tag']}>", close) and close > at:
-                    value = Value(text[at:close], at)
-                    self.scopes.put(m["tag"], value)
-                    yield m["tag"], value
-                    at = close
-                subject = None
-            elif kind == "open":
-                self.bracket += 1
+            elif c in "\"'`":
+                t = _TOKEN.match(text, p)
+                if t.lastgroup in ("string", "triple"):
+                    at = low = t.end()
+                    if t.lastgroup == "string":
+                        key, key_end = t.group()[1:-1], self.skip(at)
+                        if text[p - 1 : p] == "[" and text[key_end : key_end + 1] == "]":  # a subscript
+                            key_end = self.skip(key_end + 1)
+                else:
+                    at = p + 1  # not closed: a mark alone
+            elif c in ("/*", "//", "#", "--") or (c == "<" and text.startswith("<!--", p)):
+                if self.comment:
+                    at = low = p + len(c)
+                    continue
+                end = _COMMENT.match(text, p).end()
+                begin = p + 4 if c == "<" else p + len(c)
+                inner = Parser(text[begin:end], self.base + begin, True)  # what is commented out is read by itself
+                yield from inner.pairs()
+                at = low = end
+            elif c in "=:":
+                at, found = self.assignment(p, low, key if key_end == p else None, targets)
+                for pair in found:
+                    yield from self.put(*pair)
+                low, targets, key = at, [], None
+            elif c == ",":
+                name, _ = self.name_before(p, low)
+                if name and not self.brackets:
+                    targets.append(name)
+                else:
+                    targets = []
+                at = low = p + 1
+            elif c == "<":
+                t = _TAG.match(text, p)
+                if t:
+                    tags.append(t[1])
+                    at = low = t.end()
+                else:
+                    if text.startswith("</", p) and tags:
+                        tags.pop()
+                    at = low = p + 1
+                    at = max(at, text.find(">", p) + 1) if text.startswith("</", p) else at
+                    low = at
+            elif c == ">":
+                at = low = p + 1
+                if tags and text[p - 1] != "/":
+                    value, at = self.content(at, tags[-1])
+                    low = at
+                    if value is not None:
+                        yield from self.put(tags[-1], value)
+                elif tags:
+                    tags.pop()
+            elif c in "([{":
+                name = self.name_before(p, low)[0] if c == "(" else None
+                self.brackets.append(c)
                 self.scopes.open()
-                subject = None
-            elif kind == "close":
-                self.bracket = max(0, self.bracket - 1)
+                at = low = p + 1
+                if name and name.rsplit(".", 1)[-1].lower() in _SETTERS:
+                    t = _TOKEN.match(text, self.skip(at, True)) if self.skip(at, True) < n else None
+                    comma = self.skip(t.end(), True) if t and t.lastgroup == "string" else n
+                    if text[comma : comma + 1] == ",":
+                        value, end = self.value(self.skip(comma + 1, True), True)
+                        if value is not None:
+                            yield from self.put(t.group()[1:-1], value)
+                            at = low = end
+                targets = []
+            else:  # a closing bracket
+                if self.brackets:
+                    self.brackets.pop()
                 self.scopes.close()
-                subject = None
-            elif kind not in ("space", "comment"):
-                subject = None
+                if not (c == "]" and key_end > p):
+                    key = None
+                at = low = p + 1
+                targets = []
+
+    def assignment(self, p: int, low: int, key: str | None, targets: list[str]) -> tuple[int, list]:
+        """From an = or : at p: where to go on, and the (name, value) pairs."""
+        text = self.text
+        op = re.compile(r":=|=>|=++|:++").match(text, p)
+        end, mark = op.end(), op.group()
+        before = text[p - 1 : p]
+        if mark not in ("=", ":", ":=", "=>") or (mark == "=" and before and before in "!<>"):
+            return end, []
+        at = p
+        if mark == "=" and before and before in "+.-*|" and key is None:
+            at = p - 1  # compound: the name stands before the sign
+        name = key or self.name_before(at, low)[0]
+        if not name:
+            return end, []
+        if mark == ":":
+            value, to = self.block(end)
+            if value is not None:
+                return to, [(name, value)]
+            typed = _TYPE.match(text, end)
+            if typed and self.opens_literal(self.skip(typed.end())):
+                end = typed.end()
+        names = [*targets, name] if targets and mark == "=" else [name]
+        out = []
+        for i, own in enumerate(names):
+            value, to = self.value(self.skip(end))
+            if value is not None:
+                if at < p and before == "+" and (old := self.scopes.get(own)) is not None:
+                    value = Value(parts=(old, value))
+                out.append((own, value))
+            end = max(end, to)
+            if i + 1 < len(names):
+                end = self.skip(end)
+                if text[end : end + 1] != ",":
+                    break
+                end += 1
+        return end, out
+
+    def opens_literal(self, at: int) -> bool:
+        """Does a string, a bracket or a call begin here?"""
+        return bool(re.compile(r"""["'`(\[]|[rRbBuUfF@$L]{1,2}["']|[A-Za-z_][A-Za-z0-9_.]*+\s*+(?:\(|\Z|[;\n])""").match(self.text, at))
+
+    def content(self, at: int, tag: str) -> tuple[Value | None, int]:
+        """What an element holds, if that is text or CDATA alone."""
+        text = self.text
+        data = _CDATA.match(text, at)
+        if data and text.startswith(f"</{tag}", data.end()):
+            return self.literal(data[1], data.start(1)), data.end()
+        close = text.find("<", at)
+        if close > at and text.startswith(f"</{tag}", close):
+            inner = text[at:close]
+            if inner.strip():
+                return self.literal(inner.strip(), at + len(inner) - len(inner.lstrip())), close
+        return None, at
 
     def block(self, at: int) -> tuple[Value | None, int]:
-        """A YAML block scalar: lines indented deeper than the name, after | or >; each line's text is a part."""
-        head = re.compile(r"[\x20\t]*+[|>][+-]?[\x20\t]*+\n").match(self.text, at)
+        """A YAML block scalar: lines indented deeper than the name, after | or > and its signs; each line's text is a part."""
+        head = _BLOCK.match(self.text, at)
         if not head:
             return None, at
         at, parts = head.end(), []
-        row = re.compile(r"([\x20\t]*+)([^\n]*+)(\n|\Z)")
         while at < len(self.text):
-            m = row.match(self.text, at)
+            m = _ROW.match(self.text, at)
             if m[2] and len(m[1]) <= self.indent:
                 break
             if m[2].rstrip():
-                parts.append(Value(m[2].rstrip(), m.start(2)))
+                parts.append(self.literal(m[2].rstrip(), m.start(2)))
             at = m.end()
         # the line end before the next line stays, so that its indent is seen
         return (parts[0] if len(parts) == 1 else Value(parts=tuple(parts))) if parts else None, at - (at > head.end() and self.text[at - 1] == "\n")
 
-    def value(self, at: int) -> tuple[Value | None, int]:
-        """A sum of strings, names and bare words; None if there is none."""
-        text, parts, begin = self.text, [], at
-        while at < len(text):
-            m = self.token(at)
-            kind = m.lastgroup
-            if kind == "string":
-                parts.append(Value(m.group()[1:-1], at + 1))
-                at = m.end()
-            elif kind == "triple":
-                shut = 3 if len(m.group()) >= 6 and m.group()[-3:] == m.group()[:3] else 0
-                parts.append(Value(m.group()[3 : len(m.group()) - shut], at + 3))
-                at = m.end()
-            elif kind in ("name", "bare", "op") and (bare := _BARE.match(text, at)):
-                word = bare.group()
+    def string(self, at: int) -> tuple[Value, int] | None:
+        """A string, with letters before its quote, at a place."""
+        own = _PREFIX.match(self.text, at)
+        begin = own.end() if own else at
+        if self.text[begin : begin + 1] not in tuple("\"'`"):
+            return None
+        m = _TOKEN.match(self.text, begin)
+        if m.lastgroup == "string":
+            return self.literal(m.group()[1:-1], begin + 1), m.end()
+        if m.lastgroup == "triple":
+            shut = 3 if len(m.group()) >= 6 and m.group()[-3:] == m.group()[:3] else 0
+            return self.literal(m.group()[3 : len(m.group()) - shut], begin + 3), m.end()
+        return None
+
+    def value(self, begin: int, lines: bool = False) -> tuple[Value | None, int]:
+        """A sum of strings, names, bare words, values in brackets and calls; None if there is none. lines: it may go on over line ends.
+
+        Brackets and calls are kept on a stack, so their depth has no limit: [sum so far, place of its begin, name of the call, its arguments].
+        """
+        text, n, at = self.text, len(self.text), begin
+        stack: list[list] = []
+        parts: list[Value] = []
+        while True:
+            done = False
+            at = self.skip(at, lines or bool(stack))
+            found = self.string(at) if at < n else None
+            if found:
+                parts.append(found[0])
+                at = found[1]
+            elif at < n and text[at] == "(" and at >= self.empty and self.closes(at):
+                stack.append([parts, None, []])
+                parts, at = [], at + 1
+                continue
+            elif at < n and (bare := _BARE.match(text, at)):
+                word, end = bare.group(), bare.end()
+                named = _PLAIN_NAME.match(text, at)
+                if word == "new" and _PLAIN_NAME.match(text, self.skip(end)):
+                    at = end
+                    continue
+                if named and text[named.end() : named.end() + 1] == "(" and named.end() >= self.empty and self.closes(named.end()):
+                    stack.append([parts, named.group(), []])
+                    parts, at = [], named.end() + 1
+                    continue
                 known = self.scopes.get(word)
-                follows = text[bare.end() : bare.end() + 1]
+                plus = text.find("+", at, end)
                 if known is not None:
                     parts.append(known)
-                elif text[self.skip(bare.end()) :][:1] == "+" and kind == "name":
-                    pass  # an unknown name in a sum
-                elif follows == "(" or (parts and kind == "name"):
-                    pass  # a call, or a name of a sum that is not known
-                elif not parts and kind != "op" or kind == "bare":
-                    plus = text.find("+", at, bare.end())
-                    own = self.scopes.get(word[: plus - at]) if plus > at else None
-                    if own is not None:  # name+"literal", written together
-                        parts.append(own)
-                        at = plus
-                        nxt = self.skip(at + 1)
-                        at = nxt
-                        continue
-                    parts.append(Value(word, at))
-                at = bare.end()
+                elif plus > at and self.scopes.get(word[: plus - at]) is not None:
+                    parts.append(self.scopes.get(word[: plus - at]))  # name+"literal", written together
+                    end = plus
+                elif named and (text[self.skip(end) : self.skip(end) + 1] == "+" or _LINK.match(text, self.skip(end))) or parts or stack:
+                    pass  # a name of a sum, or an argument, that is not known
+                else:
+                    parts.append(self.literal(word, at))
+                at = end
             else:
-                break
-            nxt = self.skip(at)
-            if text[nxt : nxt + 1] == "+" and text[nxt + 1 : nxt + 2] != "=":
-                at = self.skip(nxt + 1)
-                continue
-            break
-        if not parts:
-            return None, begin
-        return parts[0] if len(parts) == 1 else Value(parts=tuple(parts)), at
+                done = True
+            # after an operand: a sign or another string goes on; a comma or a bracket ends an argument
+            while True:
+                nxt = self.skip(at, lines or bool(stack))
+                c = text[nxt : nxt + 1]
+                if stack and c and c in "),":
+                    held = stack[-1]
+                    held[2].append(self.summed(parts))
+                    if c == ",":
+                        parts, at, done = [], nxt + 1, False
+                        break
+                    stack.pop()
+                    inner = self.of_call(held[1], held[2])
+                    parts, at, done = held[0] + ([inner] if inner is not None else []), nxt + 1, False
+                    continue
+                if not done and c == "+" and text[nxt + 1 : nxt + 2] != "=":
+                    at = nxt + 1
+                    break
+                if not done and (link := _LINK.match(text, nxt)):
+                    at = link.end()
+                    break
+                if not done and parts and self.string(nxt):
+                    at = nxt
+                    break
+                if stack and not done and c and c not in "]}":
+                    at = nxt + 1  # another operator or word within brackets
+                    break
+                while stack:  # a bracket that is not closed: what was read so far
+                    held = stack.pop()
+                    inner = self.of_call(held[1], [*held[2], self.summed(parts)])
+                    parts = held[0] + ([inner] if inner is not None else [])
+                if not parts:
+                    self.empty = max(self.empty, at)
+                return self.summed(parts), at if parts else begin
+
+    @staticmethod
+    def summed(parts: list[Value]) -> Value | None:
+        return None if not parts else parts[0] if len(parts) == 1 else Value(parts=tuple(parts))
+
+    @staticmethod
+    def of_call(name: str | None, arguments: list[Value | None]) -> Value | None:
+        """What a call, or a bracket (no name), hands on: its last argument, such as a default; a look-up's lone argument names what it looks for."""
+        if name is None:
+            found = [a for a in arguments if a is not None]
+            return Value(parts=tuple(found)) if len(found) > 1 else found[0] if found else None
+        return None if len(arguments) == 1 and _GETTERS.search(name) else arguments[-1]
 
 
 def pairs(text: str):
@@ -301,7 +514,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     more, told_of = set(), set()
-    if _SENSITIVE.search(text) and ("=" in text or ":" in text or "</" in text):
+    if _SENSITIVE.search(text) and ("=" in text or ":" in text or "</" in text or "(" in text):
         # base spans of one kind do not overlap, so of each kind only the last that begins by a place can cover it
         by_kind = [[s for s in base if s[2] == k] for k in KINDS[:3]]
         starts = [[s[0] for s in own] for own in by_kind]
