@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.policy import active
 from weftgraph.operators.graph import ordinal
-from weftgraph.runtime import unused
+from weftgraph.runtime import stored, unused
 from weftgraph.schema import KnowledgeSet
 
 CHAIN = ["editor", "domain_expert", "board"]
@@ -154,12 +154,26 @@ def ledger_append(events: DataFrame, stream: str, order: list[str], body: list[s
     return rows.repartition(stream).sortWithinPartitions(stream, *order).mapInArrow(fold, ", ".join(fields))
 
 
-def ledger_verify(ledger: DataFrame, stream: str, order: list[str], body: list[str]) -> DataFrame:
-    """Each entry: does its hash recompute, and does it link to the last entry before it whose own hash is good."""
+def ledger_verify(ledger: DataFrame, stream: str, order: list[str], body: list[str], parts: int | None = None) -> DataFrame:
+    """Each entry: does its hash recompute, and does it link to the last entry before it whose own hash is good.
+
+    A prefix scan in two passes: entries are dealt by ranges of (stream, order), so a long stream lies in many partitions; each is scanned on its own, and the last
+    good hash that a partition leaves of its last stream is carried on to those behind it, a row a partition.
+    """
+    parts = parts or int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     good = F.sha2(F.concat_ws("|", "prev_hash", *body), 256) == F.col("hash")
-    w = Window.partitionBy(stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ledger.withColumn("hash_ok", F.coalesce(good, F.lit(False)))
-    last = F.coalesce(F.last(F.when(F.col("hash_ok"), F.col("hash")), ignorenulls=True).over(w), F.lit("0" * 64))
+    own = ledger.select(stream, *order, "prev_hash", F.coalesce(good, F.lit(False)).alias("hash_ok"), F.col("hash").alias("__hash"))
+    dealt = stored(own.repartitionByRange(parts, stream, *order).withColumn("__part", F.spark_partition_id()))
+    told = F.when(F.col("hash_ok"), F.col("__hash"))
+    ends = dealt.groupBy("__part", stream).agg(F.max_by("__hash", F.when(F.col("hash_ok"), F.struct(*order))).alias("__left"))
+    # streams that go on behind a partition are at most one a partition
+    many = ends.groupBy(stream).agg(F.count("*").alias("n")).where("n > 1").select(F.col(stream).alias("__of"))
+    ends = ends.join(many, F.col(stream).eqNullSafe(F.col("__of")), "left_semi")
+    before = Window.partitionBy(stream).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("__part").alias("__at"), F.col(stream).alias("__of"), F.last("__left", ignorenulls=True).over(before).alias("__carried"))
+    w = Window.partitionBy("__part", stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("__here", F.last(told, ignorenulls=True).over(w)).join(F.broadcast(carried), (F.col("__part") == F.col("__at")) & F.col(stream).eqNullSafe(F.col("__of")), "left")
+    last = F.coalesce("__here", "__carried", F.lit("0" * 64))
     return out.withColumn("link_ok", F.col("prev_hash").eqNullSafe(last)).select(stream, *order, "hash_ok", "link_ok")
 
 
