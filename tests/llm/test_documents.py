@@ -503,3 +503,21 @@ def test_posteriors_against_brute_force(spark):
     out = bayes.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, bad double, toxic double"))
     got = [tuple(round(r[c], 9) for c in ("bad", "toxic", "host_bad", "path_bad", "p_bad", "host_toxic", "path_toxic", "p_toxic")) for r in out.collect()]
     same(got, [tuple(round(v, 9) for v in (r[3], r[4], *expected[i])) for i, r in enumerate(rows)])
+
+
+def test_places_of_pieces_come_through_the_character_map(monkeypatch):
+    p = pieces.Pieces(pieces.default_model())
+    texts = [t.encode() for t in ("a plain text", "  two  spaces ", "né ▁ x", "", "日本語 \0 zero", "x" * 50)]
+    told = p.encode(texts)
+    whole = pieces.Pieces(pieces.default_model())
+    monkeypatch.setattr(whole.map, "heads", np.ones(256, dtype=bool))  # every byte is looked up, one after another
+    for (ids, place), (other, places) in zip(told, whole.encode(texts), strict=True):
+        assert ids.tolist() == other.tolist() and place.tolist() == places.tolist()
+    # if the map is not asked, no place is right
+    monkeypatch.setattr(p, "normalise", lambda t: (b"", np.zeros(1, np.int64)))
+    assert all(place.max() == 0 for _, place in p.encode(texts))
+
+
+def test_packing_limits_of_nothing_raise(docs):
+    with pytest.raises(ValueError, match="limits"):
+        packing.pack(docs, max_loss=0)

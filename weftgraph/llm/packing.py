@@ -195,7 +195,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = 1024,
     the seven columns into others inside the task (for digests, so that ids need not leave it).
     """
     path = tokenizer or default_tokenizer()
-    limits = (max_tokens, max_segments, max_loss or max_tokens)
+    limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
+    if min(limits) < 1:
+        raise ValueError("limits have to be one or more")
     end = np.array([end_id], dtype="<u4").tobytes()
     finish = sink or (lambda cols: cols)
     names = [c.split()[0] for c in schema.split(", ")]

@@ -34,6 +34,14 @@ class CharacterMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob[4 : 4 + size], dtype="<u4").tolist()
         self.texts = blob[4 + size :]
+        #: bytes that something in the map begins with
+        self.heads = np.array([self._begins(c) for c in range(256)], dtype=bool)
+
+    def _begins(self, c: int) -> bool:
+        if not self.units:
+            return False
+        node = self._offset(self.units[0]) ^ c
+        return node < len(self.units) and (self.units[node] & 0x800000FF) == c
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest prefix of data[at:] in the trie, and what it becomes."""
@@ -75,10 +83,8 @@ class Pieces:
         inner = any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces)
         user = any(p.type == 4 for p in model.pieces)
         self.by_word = self.plain and not inner and self.sp.piece_to_id(SPACE) != self.sp.unk_id() and not user and model.trainer_spec.model_type == 2 and model.trainer_spec.byte_fallback
-        # bytes of each piece in the normalised text, and in the source where nothing but spaces was changed
-        wide = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], dtype=np.int64)
-        marks = np.array([0 if p.type == 6 else p.piece.count(SPACE) for p in model.pieces], dtype=np.int64)
-        self.wide, self.narrow = wide, wide - 2 * marks
+        # bytes of each piece in the normalised text
+        self.wide = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], dtype=np.int64)
         self.memo = Memo(self._word, 150_000)
 
     def _word(self, unit: bytes) -> bytes:
@@ -89,6 +95,11 @@ class Pieces:
         """The normalised bytes, and for each of them, and their end, the place in the source it came from."""
         out, source = bytearray(), []
         mark = SPACE.encode() if self.escape else b" "
+        raw = np.frombuffer(text, np.uint8)
+        if len(raw) and not self.squeeze and not self.map.heads[raw].any():  # the map changes nothing: only spaces become marks
+            wide = np.where(raw == 32, len(mark), 1)
+            lead = len(mark) if self.prefix else 0
+            return mark * self.prefix + text.replace(b" ", mark), np.concatenate([np.zeros(lead, np.int64), np.repeat(np.arange(len(raw)), wide), [len(raw)]])
 
         def put(piece: bytes, at: int):
             out.extend(piece)
@@ -129,14 +140,18 @@ class Pieces:
         return bytes(out), np.array(source, dtype=np.int64)
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each text: ids, and n + 1 places; piece i has the source bytes place[i]:place[i + 1]."""
-        alone = [i for i, t in enumerate(texts) if t and not (self.by_word and b"\0" not in t and _MARK not in t)]
-        left = dict.fromkeys(alone)
-        flat = self._by_word([b"" if i in left else t for i, t in enumerate(texts)])
+        """Of each text: ids, and n + 1 places; piece i has the source bytes place[i]:place[i + 1].
+
+        Every text goes through the character map first; its alignment gives the places. Texts that the map leaves as they are, but for marks, are encoded word by word.
+        """
+        normal = [self.normalise(t) for t in texts]
+        mark = _MARK if self.escape else b" "
+        same = [self.by_word and b"\0" not in t and _MARK not in t and out == (mark + t.replace(b" ", mark) if t else b"") for t, (out, _) in zip(texts, normal, strict=True)]
+        flat = self._by_word([t if ok else b"" for t, ok in zip(texts, same, strict=True)])
         out = []
-        for i, t in enumerate(texts):
-            ids = np.array(self.sp.encode(t.decode()), dtype=np.int32) if i in left else flat.of(i).view(np.int32)
-            out.append((ids, self._places(t, ids, i not in left)))
+        for i, (t, ok) in enumerate(zip(texts, same, strict=True)):
+            ids = flat.of(i).view(np.int32) if ok else np.array(self.sp.encode(t.decode()), dtype=np.int32)
+            out.append((ids, self._places(ids, normal[i][1])))
         return out
 
     def _by_word(self, texts: list[bytes]) -> Flat:
@@ -156,18 +171,13 @@ class Pieces:
         inner = ~head[starts]
         return encode_units(data, starts + inner, ends, np.searchsorted(starts, np.append(begin, len(data))), self.memo.__getitem__)
 
-    def _places(self, text: bytes, ids: np.ndarray, plain: bool) -> np.ndarray:
+    def _places(self, ids: np.ndarray, source: np.ndarray) -> np.ndarray:
+        """Pieces stand one after another in the normalised text; source tells where each of its bytes came from."""
         place = np.zeros(len(ids) + 1, dtype=np.int64)
-        if not len(ids):
-            return place
-        if plain:
-            np.cumsum(self.narrow[ids], out=place[1:])
-            place[1:] -= 1  # the mark that was put first has no source
-            return place
-        _, source = self.normalise(text)
-        place[0] = source[0]
-        place[1:] = source[np.minimum(np.cumsum(self.wide[ids]), len(source) - 1)]
-        place[-1] = source[-1]
+        if len(ids):
+            place[0] = source[0]
+            place[1:] = source[np.minimum(np.cumsum(self.wide[ids]), len(source) - 1)]
+            place[-1] = source[-1]
         return place
 
     def decode(self, ids: np.ndarray) -> str:
