@@ -636,11 +636,11 @@ add_raw("extract_claims", lambda spark, d: match.extract_claims(match.evidence_w
 
 
 def _rules(spark):
-    return spark.createDataFrame([("email", "[a-z0-9]+@mail[0-9]", "contact"), ("licence", "Licensed under", "law"), ("token", "token = ", "secret"), ("phone", r"\+1 \([0-9]{3}\)", "contact")], "rule string, pattern string, domain string")
+    return spark.createDataFrame([("email", "[a-z0-9]+@mail[0-9]", "contact"), ("licence", "Licensed under", "law"), ("token", "token = ", "secret"), ("phone", r"\+1 \([0-9]{3}\)", "contact"), ("shout", "[A-Z]{6}", "style"), ("both", "the (of|and) ?", "style")], "rule string, pattern string, domain string")
 
 
 add_raw("rule_entities", lambda spark, d: match.rule_entities(_DOCS(spark, d), _rules(spark)).select("doc_id", "rule", "domain", F.col("hits").cast("long").alias("hits")),
-        r"""SELECT doc_id, rule, domain, CAST(len(regexp_extract_all(text, pattern)) AS BIGINT) AS hits FROM documents CROSS JOIN (VALUES ('email', '[a-z0-9]+@mail[0-9]', 'contact'), ('licence', 'Licensed under', 'law'), ('token', 'token = ', 'secret'), ('phone', '\+1 \([0-9]{3}\)', 'contact')) r(rule, pattern, domain) WHERE regexp_matches(text, pattern)""")
+        r"""SELECT doc_id, rule, domain, CAST(len(regexp_extract_all(text, pattern)) AS BIGINT) AS hits FROM documents CROSS JOIN (VALUES ('email', '[a-z0-9]+@mail[0-9]', 'contact'), ('licence', 'Licensed under', 'law'), ('token', 'token = ', 'secret'), ('phone', '\+1 \([0-9]{3}\)', 'contact'), ('shout', '[A-Z]{6}', 'style'), ('both', 'the (of|and) ?', 'style')) r(rule, pattern, domain) WHERE regexp_matches(text, pattern)""")
 add("search", lambda kg: match.search(kg, "widget"),
     rf"""SELECT id, name, CAST(CASE WHEN n LIKE 'widget%' THEN 0 WHEN n LIKE '%widget%' THEN 1 ELSE 2 END AS INTEGER) AS rank FROM (SELECT id, name, array_to_string(regexp_extract_all(lower(name), '[a-z0-9]+'), ' ') AS n, array_to_string(regexp_extract_all(lower(definition), '[a-z0-9]+'), ' ') AS d FROM entities WHERE {LIVE})
 WHERE n LIKE '%widget%' OR d LIKE '%widget%'""", "entities")

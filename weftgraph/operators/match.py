@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.arrays import once, running
 from weftgraph.operators import names
 from weftgraph.operators.names import RATIO
+from weftgraph.runtime import stored, unused
 from weftgraph.schema import KnowledgeSet
 
 
@@ -230,13 +233,78 @@ def proposals(kg: KnowledgeSet) -> DataFrame:
     return c.join(clash, triple, "left").select("claim_id", *triple, F.coalesce("conflict", F.lit(False)).alias("conflict"), F.lit("proposed").alias("review"), gaps.alias("gaps"))
 
 
-def rule_entities(docs: DataFrame, rules: DataFrame, max_rules: int = 10_000) -> DataFrame:
-    """rules(rule, pattern, domain) against every text: (doc_id, rule, domain, hits, first_hit). The registry is a small table; a larger one raises."""
-    if rules.limit(max_rules + 1).count() > max_rules:
-        raise ValueError(f"over {max_rules} rules")
-    j = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rules), how="cross")
+def required_literal(pattern: str) -> str:
+    """The longest run of ASCII characters that every match of a pattern holds, in lower case; empty where none is certain.
+
+    Groups, classes and escapes of letters end a run and give nothing; so does, for the whole pattern, a choice outside groups, quoting, or a mode in which letters
+    match others than their two cases or white space means nothing.
+    """
+    modes = set("".join(re.findall(r"\(\?([a-zA-Z]+)", pattern)))
+    if modes & {"x", "u", "U"} or r"\Q" in pattern:
+        return ""
+    runs, run, i, n = [], "", 0, len(pattern)
+
+    def after_class(j: int) -> int:
+        depth, j = 1, j + 1 + (pattern[j + 1 : j + 2] == "^")
+        j += pattern[j : j + 1] == "]"
+        while j < n and depth:
+            depth += {"[": 1, "]": -1}.get(pattern[j], 0)
+            j += 1 + (pattern[j] == "\\")
+        return j
+
+    while i < n:
+        c = pattern[i]
+        if c == "|":
+            return ""
+        literal, end = "", i + 1
+        if c == "\\":
+            end = i + 2
+            literal = "" if pattern[i + 1 : i + 2].isalnum() else pattern[i + 1 : i + 2]
+        elif c == "[":
+            end = after_class(i)
+        elif c == "(":
+            depth, end = 1, i + 1
+            while end < n and depth:
+                if pattern[end] == "[":
+                    end = after_class(end)
+                    continue
+                depth += {"(": 1, ")": -1}.get(pattern[end], 0)
+                end += 1 + (pattern[end] == "\\")
+        elif c not in ".^$" and c.isascii():
+            literal = c
+        times = re.match(r"(?:\*|\?|\+|\{[0-9]+(?:,[0-9]*)?\})[?+]?", pattern[end:])
+        if literal and times and times.group()[0] in "*?{" and not re.match(r"\{0*[1-9]", times.group()):
+            literal = ""
+        run += literal
+        if not literal or times:
+            runs.append(run)
+            run = ""
+        i = end + (times.end() if times else 0)
+    return max([*runs, run], key=len).lower()
+
+
+def rule_entities(docs: DataFrame, rules: DataFrame, gram: int = 3, parts: int = 8) -> DataFrame:
+    """rules(rule, pattern, domain) against every text: (doc_id, rule, domain, hits, first_hit), for any number of rules.
+
+    Texts meet rules by the first characters of what each pattern needs (required_literal), in a join of the texts' grams; the pattern runs on texts that
+    hold all of it. Patterns without such a literal run on every text. Null texts are empty.
+    """
+
+    @F.pandas_udf("string")
+    def needed(p: pd.Series) -> pd.Series:
+        return pd.Series([required_literal(x) for x in p])
+
+    (row,) = unused(docs.columns, "row")
+    d = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(row, F.monotonically_increasing_id()))
+    r = stored(rules.select("rule", "pattern", "domain").withColumn("literal", needed("pattern")).withColumn("gram", F.substring("literal", 1, gram)))
+    own = d.select(row, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1)))).alias("gram"))
+    met = own.join(r.where(F.length("literal") >= gram), "gram").drop("gram")
+    kept = met.join(d, row).where(F.contains(F.lower("text"), F.col("literal")))
+    free = r.where(F.length("literal") < gram).withColumn("part", F.pmod(F.xxhash64("rule"), F.lit(parts)).cast("int"))
+    every = d.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(free, "part")
+    cols = ["doc_id", "rule", "domain", "pattern", "text"]
     hits = F.expr("regexp_extract_all(text, pattern, 0)")
-    return j.where("text rlike pattern").select("doc_id", "rule", "domain", F.size(hits).alias("hits"), F.get(hits, F.lit(0)).alias("first_hit"))
+    return kept.select(*cols).unionByName(every.select(*cols)).where("text rlike pattern").select("doc_id", "rule", "domain", F.size(hits).alias("hits"), F.get(hits, F.lit(0)).alias("first_hit"))
 
 
 _WORD = "[a-z0-9]+"
@@ -248,8 +316,6 @@ def normal_text(c: str) -> Column:
 
 def search(kg: KnowledgeSet, query: str, domain=None, include_retired: bool = False, limit: int | None = None) -> DataFrame:
     """(id, name, rank): 0 the name starts with the query, 1 the name holds it or all its words, 2 the definition does."""
-    import re
-
     from weftgraph.operators.lookup import entities_filter, limited
 
     words = re.findall(_WORD, query.casefold())
@@ -272,8 +338,6 @@ STOP = [
 
 def grounding_topk(kg: KnowledgeSet, question: str, k: int = 5, stop: list[str] = STOP) -> DataFrame:
     """The k records with the best additive score over entity fields and connection texts."""
-    import re
-
     terms = [t for t in re.sub(r"[^a-z0-9\s._-]", " ", question.lower()).split() if len(t) > 1 and t not in stop]
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     when = lambda test, n: F.when(test, n).otherwise(0)
