@@ -632,7 +632,7 @@ add("proposal_evidence_gate", lambda kg: match.proposals(kg).where("gaps <> ''")
 _DOCS = lambda spark, d: read(spark, d, "documents")
 add_raw("evidence_windows", lambda spark, d: match.evidence_windows(_DOCS(spark, d)).select("doc_id", "sentence_id", "start", "end", F.length("text_span").cast("long").alias("n")))
 RELATION_NAMES = ["depends_on", "causes", "related_to"]
-add_raw("extract_claims", lambda spark, d: match.extract_claims(match.evidence_windows(_DOCS(spark, d)), RELATION_NAMES))
+add_raw("extract_claims", lambda spark, d: match.extract_claims(match.evidence_windows(_DOCS(spark, d), None), RELATION_NAMES))
 
 
 def _rules(spark):

@@ -131,8 +131,8 @@ def resolve_claim_entities(claims: DataFrame, kg: KnowledgeSet, threshold: float
     return out.select("claim_id", "subject", F.coalesce("by_name", "by_slug", "by_ratio", F.concat(F.lit("candidate:"), "subject")).alias("entity_id"), method.alias("method"))
 
 
-def evidence_windows(docs: DataFrame, size: int = 3) -> DataFrame:
-    """Sentences with places and context: (doc_id, sentence_id, text_span, start, end, section, context).
+def evidence_windows(docs: DataFrame, size: int | None = 3) -> DataFrame:
+    """Sentences with places and context, `size` sentences either way: (doc_id, sentence_id, text_span, start, end, section, context); no context if size is None.
 
     A text's sentences, places and contexts are made before they become rows, so nothing is shuffled.
     """
@@ -143,7 +143,7 @@ def evidence_windows(docs: DataFrame, size: int = 3) -> DataFrame:
         parts = x["parts"]
         sizes = F.transform(F.arrays_zip(parts.alias("p"), x["gaps"].alias("g")), lambda y: (F.length(y["p"]) + F.coalesce(F.length(y["g"]), F.lit(0))).cast("long"))
         around = lambda i: F.array_join(F.slice(parts, F.greatest(i - size, F.lit(0)) + 1, F.least(i, F.lit(size)) + 1 + size), " ")
-        one = lambda at: F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("own"), F.get(at, i).alias("start"), around(i).alias("context")))
+        one = lambda at: F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("own"), F.get(at, i).alias("start"), (F.lit(None).cast("string") if size is None else around(i)).alias("context")))
         return once(running(sizes), one)
 
     cut_up = F.struct(F.split(text, gap).alias("parts"), F.regexp_extract_all(text, F.lit(gap), F.lit(0)).alias("gaps"))
@@ -169,13 +169,18 @@ def extract_claims(windows: DataFrame, known_relations: list[str], phrases=PHRAS
     A relation that is not known becomes related_to; a document without any claim gets generic ones from its first three windows of 20
     characters and more.
     """
-    words = r"\w+(?:\s+\w+)*"
+    # words in a row, which names and phrases are part of; each is looked at as a whole, so nothing is tried from every place
+    rows = F.split("text_span", r"(?U)[^\w\s]+")
     name = lambda c: F.substring(F.translate(F.lower(F.trim(c)), " ", "_"), 1, 50)
+    like = lambda p: lambda x: x.rlike(p)
     hits = []
     for phrase, relation in phrases:
-        p = rf"(?iU)({words})\s+{phrase}\s+({words})"
+        p = rf"(?isU)^\s*(\w(?:.*\w)?)\s+{phrase}\s+(\w(?:.*\w)?)\s*$"
         kept = relation if relation in known_relations else "related_to"
-        hits.append(F.when(F.col("text_span").rlike(rf"(?i)\b{phrase}\b") & F.col("text_span").rlike(p), F.struct(name(F.regexp_extract("text_span", p, 1)).alias("subject"), F.lit(kept).alias("relation"), name(F.regexp_extract("text_span", p, 2)).alias("object"))))
+        first = F.get(F.filter("rows", like(p)), F.lit(0))
+        hits.append(F.when(F.col("text_span").rlike(rf"(?i)\b{phrase}\b") & first.isNotNull(), F.struct(name(F.regexp_extract(first, p, 1)).alias("subject"), F.lit(kept).alias("relation"), name(F.regexp_extract(first, p, 2)).alias("object"))))
+    said = F.col("text_span").rlike("(?i)" + "|".join(p for p, _ in phrases))
+    windows = windows.withColumn("rows", F.when(said, rows))
     w = windows.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
     amount = r"([0-9]+\.?[0-9]*)\s*([a-zA-Z/%°]+)"
     q, u = F.regexp_extract("text_span", amount, 1), F.regexp_extract("text_span", amount, 2)
