@@ -700,6 +700,30 @@ SELECT CAST(0 AS BIGINT) AS query_id, sha256(string_agg('[' || rank || '] ' || i
 add("citations_grounded", lambda kg: vector.citations_grounded(vector.rag_context(_hits(kg), vector.chunk_entities(kg)).select("query_id", F.lit(False).alias("refused"), F.col("citations").alias("cited")).unionByName(_stray(kg)), _hits(kg), kg),
     "SELECT CAST(0 AS BIGINT) AS query_id, true AS grounded UNION ALL SELECT CAST(substr(id, 6) AS BIGINT), CAST(substr(id, 6) AS BIGINT) % 3 = 0 FROM entities WHERE id LIKE 'org.s%'", "entities")
 
+def _measures(texts):
+    """An embedding hook for the tests of this catalog: length and number of spaces."""
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+def _one_hot(texts):
+    """Another: a one at the length modulo 64."""
+    return [[float(i == len(t) % 64) for i in range(64)] for t in texts]
+
+
+def _retrieved(kg, spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("prod.p"), F.col("vec_id").cast("string")).alias("id"), F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string")).alias("model"), F.col("embedding").alias("vector"))
+    return vector.retrieve(v, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), kg, _one_hot, "m1", 5, "prod")
+
+
+add("embed_with", lambda kg: vector.embed_with(kg.entities.select("id", F.col("name").alias("content")), _measures, "m1").select("id", "model", F.get("vector", F.lit(0)).alias("length"), F.get("vector", F.lit(1)).alias("spaces")),
+    "SELECT id, 'm1' AS model, CAST(length(name) AS DOUBLE) AS length, CAST(length(name) - length(replace(name, ' ', '')) AS DOUBLE) AS spaces FROM entities", "entities")
+_RETRIEVED = """v AS (SELECT 'prod.p' || CAST(vec_id AS STRING) AS id, embedding AS e, sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])) AS norm FROM embeddings WHERE vec_id % 3 = 1 AND 'prod.p' || CAST(vec_id AS STRING) IN (SELECT id FROM entities)),
+s AS (SELECT CAST(item_id AS STRING) AS query_id, id, round(CAST(e[length(text) % 64 + 1] AS DOUBLE) / norm, 6) AS score FROM benchmark, v),
+h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5)"""
+add_raw("retrieve", lambda spark, d: _retrieved(knowledge(spark, d), spark, d), ctes("entities") + f", {_RETRIEVED} SELECT query_id, rank, id, score, name, 'm1' AS model FROM h JOIN entities USING (id)")
+add_raw("rag_citations", lambda spark, d: vector.rag_citations(_retrieved(knowledge(spark, d), spark, d), knowledge(spark, d)),
+        ctes("entities", "sources") + f", {_RETRIEVED} SELECT query_id, rank, h.id AS entity_id, coalesce(e.source_ref, '') AS source_ref, coalesce(url, '') AS link FROM h JOIN entities e ON e.id = h.id LEFT JOIN sources s ON s.id = e.source_ref")
+
 # sources and streams
 
 def _digest_sql(table: str, columns: list[str]) -> str:

@@ -105,6 +105,28 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
     return j.withColumn("score", F.round("score", 6)).withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def retrieve(vectors: DataFrame, questions: DataFrame, kg: KnowledgeSet, embed: Callable[[list[str]], list[list[float]]], model: str, k: int = 5, domain: str | None = None) -> DataFrame:
+    """vectors(id, model, vector), questions(query_id, text) -> (query_id, rank, id, score, name, model): the k entities nearest to each question.
+
+    Questions are embedded by the caller's hook, in batches; no vector is made up for a model that is not there. Vectors are those of the model and of entities of
+    the domain; if there are none, all are searched, and `model` tells whose vector was found.
+    """
+    own = vectors.where(F.col("model") == model)
+    if domain is not None:
+        own = own.join(kg.entities.where(F.col("domain") == domain).select("id"), "id", "left_semi")
+    own = vectors if own.isEmpty() else own
+    asked = embed_with(questions.select(F.col("query_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("content")), embed, model).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    found = vector_topk(own.select("id", "vector"), asked, k)
+    return found.join(kg.entities.select("id", "name"), "id", "left").join(own.select("id", "model"), "id").select("query_id", "rank", "id", "score", "name", "model")
+
+
+def rag_citations(hits: DataFrame, kg: KnowledgeSet) -> DataFrame:
+    """hits(query_id, rank, id) -> (query_id, rank, entity_id, source_ref, link): a row a citation, empty where the entity has no source or the source no link."""
+    e = kg.entities.select("id", F.coalesce("source_ref", F.lit("")).alias("source_ref"))
+    s = kg.sources.select(F.col("id").alias("source_ref"), F.col("url").alias("link"))
+    return hits.join(e, "id").join(s, "source_ref", "left").select("query_id", "rank", F.col("id").alias("entity_id"), "source_ref", F.coalesce("link", F.lit("")).alias("link"))
+
+
 def embeddings_preview(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", F.size("vector").alias("dimensions"), F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
 
