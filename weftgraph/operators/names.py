@@ -269,10 +269,15 @@ def alike(names: DataFrame, threshold: float = RATIO) -> DataFrame:
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            m = SequenceMatcher(None, p, q)
-            out.append(m.ratio() if m.quick_ratio() >= threshold else 0.0)
+        # what difflib knows of the second name is kept while that stays the same
+        out, m, last = [0.0] * len(x), SequenceMatcher(None), None
+        names, others = x.tolist(), y.tolist()
+        for i in sorted(range(len(others)), key=others.__getitem__):
+            if others[i] != last:
+                last = others[i]
+                m.set_seq2(last)
+            m.set_seq1(names[i])
+            out[i] = m.ratio()
         return pd.Series(out, dtype="float64")
 
     candidates = by_class.unionByName(by_length).unionByName(by_pattern).distinct()
