@@ -155,9 +155,12 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
     there = F.explode(F.array(*[F.struct(F.lit(c.length_class).alias("c"), F.lit(c.most).alias("most"), F.lit(blocks[c.length_class]).alias("blocks")) for c in classes])).alias("there")
     asked = home.where(query).join(floors, "vec_id", "left").withColumn("grp", F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int")).select("*", there)
     hope = F.col("floor").isNull() | (F.sqrt("squared") * F.sqrt("there.most") * (1 + 1e-9) + 1 >= F.col("floor"))
-    asked = asked.where(hope).select("length_class", "block", "there.c", F.explode(F.sequence(F.lit(0), F.col("there.blocks") - 1)).alias("b"), "grp", "vec_id", "v", "floor")
+    asked = asked.where(hope)
+    # candidates go only to groups with a query that may find something in their class: at most 125 rows of sets of groups
+    wanted = asked.groupBy(F.col("there.c").alias("length_class")).agg(F.collect_set("grp").alias("groups"))
+    asked = asked.select("length_class", "block", "there.c", F.explode(F.sequence(F.lit(0), F.col("there.blocks") - 1)).alias("b"), "grp", "vec_id", "v", "floor")
     asked = asked.where((F.col("c") != F.col("length_class")) | (F.col("b") != F.col("block"))).select(F.col("c").alias("length_class"), F.col("b").alias("block"), *fields[2:], "floor", F.lit(1).alias("role"))
-    packed = home.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*fields, none, F.lit(0).alias("role"))
+    packed = home.join(F.broadcast(wanted), "length_class").withColumn("grp", F.explode("groups")).select(*fields, none, F.lit(0).alias("role"))
     then = packed.unionByName(asked).groupBy("length_class", "block", "grp").applyInArrow(lambda t: _search(t, k), schema)
     return _best(then.unionByName(first.select("query_id", "vec_id", "score")), k).select("query_id", "rank", "vec_id", "score")
 
