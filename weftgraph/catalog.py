@@ -16,7 +16,7 @@ from weftgraph.operators import curate, graph, history, lookup, match, quality,
 from weftgraph.plans import testgraph
 from weftgraph.plans.testgraph import ctes, knowledge
 from weftgraph.runtime import read, ship
-from weftgraph.sources import files
+from weftgraph.sources import bundle, files, merkle
 from weftgraph.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -859,14 +859,63 @@ add_raw("write_embeddings", lambda spark, d: files.write_embeddings(_vectors(spa
 add_raw("load_embeddings", _reread_vectors, "SELECT 'v.' || CAST(vec_id AS STRING) AS entity_id, 'm1' AS model, CAST(len(embedding) AS INTEGER) AS dimensions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
 
 
-def _reread_views(spark, sf_dir):
+def _publish_views(spark, sf_dir):
+    """Two views of the graph published together: what is live, and the canonical entities alone; both stamped with the content hash of all entities."""
     kg, path = knowledge(spark, sf_dir), _shared(spark, "views")
-    files.write_views({"live": kg.entities.where(~F.coalesce(F.col("status").isin("deprecated", "superseded"), F.lit(False))), "canonical": kg.entities.where("status = 'canonical'")}, path)
-    return spark.read.parquet(path).groupBy("view", "domain").agg(F.count("*").alias("n"))
+    live = kg.entities.where(~F.coalesce(F.col("status").isin("deprecated", "superseded"), F.lit(False)))
+    views_ = {"live": {"entities": live, "connections": kg.connections, "sources": kg.sources}, "canonical": {"entities": kg.entities.where("status = 'canonical'")}, "rejected": {"connections": kg.connections.where("review = 'rejected'")}}
+    stamp = files.tree_hash(kg.entities.select("id", "name", "status")).first().digest
+    bundle.publish(spark, views_, path, {"content_hash": f"sha256:{stamp}"})
+    return path
+
+
+def _reread_views(spark, sf_dir):
+    path = _publish_views(spark, sf_dir)
+    each = [bundle.read_view(spark, path, v, "entities", "domain string").withColumn("view", F.lit(v)) for v in ("live", "canonical")]
+    return each[0].unionByName(each[1]).groupBy("view", "domain").agg(F.count("*").alias("n"))
+
+
+def _view_manifest(spark, sf_dir):
+    m = bundle.current(_publish_views(spark, sf_dir))
+    rows = [(v, x["kind"], s.removesuffix("_count"), n, m["content_hash"]) for v, x in m["views"].items() for s, n in x.items() if s != "kind"]
+    return spark.createDataFrame(rows, "view string, kind string, section string, n long, content_hash string")
 
 
 add_raw("write_views", _reread_views, ctes("entities") + f"""
 SELECT 'live' AS view, domain, count(*) AS n FROM entities WHERE {LIVE} GROUP BY domain UNION ALL SELECT 'canonical', domain, count(*) FROM entities WHERE status = 'canonical' GROUP BY domain""")
+add_raw("view_manifest", _view_manifest, ctes("entities", "connections", "sources") + f""", stamp AS ({_digest_sql("entities", ["id", "name", "status"])}),
+n AS (SELECT 'live' AS view, 'export' AS kind, 'entities' AS section, count(*) AS n FROM entities WHERE {LIVE} UNION ALL SELECT 'live', 'export', 'connections', count(*) FROM connections
+  UNION ALL SELECT 'live', 'export', 'sources', count(*) FROM sources UNION ALL SELECT 'canonical', 'other', 'entities', count(*) FROM entities WHERE status = 'canonical'
+  UNION ALL SELECT 'rejected', 'connections-view', 'connections', count(*) FROM connections WHERE review = 'rejected')
+SELECT n.*, 'sha256:' || digest AS content_hash FROM n, stamp""")
+
+
+def _text_trees(spark, sf_dir):
+    """Digests of two trees with a file for each passage of the benchmark: the later one lacks some files, has some changed and some new."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.coalesce("text", F.lit("")).alias("content"))
+    named = lambda df: df.select(F.concat(F.lit("d"), (F.col("k") % 7).cast("string"), F.lit("/t"), F.col("k").cast("string"), F.lit(".txt")).alias("file"), "content")
+    late = b.where("k % 9 > 0").withColumn("content", F.when(F.col("k") % 10 == 3, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    late = late.unionByName(b.where("k % 11 = 0").withColumn("k", -F.col("k") - 1))
+    out = []
+    for rows in (b, late):
+        at = _shared(spark, "tree")
+        _write_files(named(rows), f"{at}/files")
+        out.append(merkle.write_tree(merkle.file_leaves(spark, f"{at}/files"), f"{at}/merkle"))
+    return out
+
+
+def _merkle_sql(depth=4):
+    levels = [f"l{depth} AS (SELECT substr(h, 1, {depth}) AS p, sha256(string_agg(h || ':' || digest, chr(10) ORDER BY h || ':' || digest)) AS d, count(*) AS n FROM leaf GROUP BY 1)"]
+    levels += [f"l{i} AS (SELECT substr(p, 1, {i}) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l{i + 1} GROUP BY 1)" for i in range(depth - 1, -1, -1)]
+    return f"""WITH leaf AS (SELECT sha256('d' || CAST(item_id % 7 AS STRING) || '/t' || CAST(item_id AS STRING) || '.txt') AS h, sha256(coalesce(text, '')) AS digest FROM benchmark),
+{", ".join(levels)} SELECT d AS digest, CAST(n AS BIGINT) AS leaves FROM l0"""
+
+
+_PATH = "'d' || CAST({0} % 7 AS STRING) || '/t' || CAST({0} AS STRING) || '.txt'"
+add_raw("tree_content_hash", lambda spark, d: merkle.root(_text_trees(spark, d)[0]), _merkle_sql())
+add_raw("tree_drift", lambda spark, d: merkle.drift(*_text_trees(spark, d)), f"""
+SELECT {_PATH.format("item_id")} AS path, CASE WHEN item_id % 9 = 0 THEN 'removed' ELSE 'changed' END AS change FROM benchmark WHERE item_id % 9 = 0 OR item_id % 10 = 3
+UNION ALL SELECT {_PATH.format("(-item_id - 1)")}, 'added' FROM benchmark WHERE item_id % 11 = 0""")
 
 
 def _bundles(spark, sf_dir):

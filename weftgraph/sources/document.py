@@ -29,16 +29,20 @@ SCHEMA = "kind string, place long, key string, raw string"
 _KEY = re.compile(rb'("(?:[^"\\]|\\.)*")\s*:\s*$', re.S)
 
 
+def store_of(path: str):
+    """(file system, path in it) of a path or address in any store that pyarrow knows."""
+    from pyarrow import fs
+
+    if re.match(r"[a-z][a-z0-9+.-]*:/", path):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.LocalFileSystem(), path
+
+
 class File:
     """Bytes of a file in any store that pyarrow reads."""
 
     def __init__(self, path: str):
-        from pyarrow import fs
-
-        if re.match(r"[a-z][a-z0-9+.-]*:/", path):
-            store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-        else:
-            store, at = fs.LocalFileSystem(), path
+        store, at = store_of(path)
         self.size = store.get_file_info(at).size
         self.stream = store.open_input_file(at)
 

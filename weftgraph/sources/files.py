@@ -220,17 +220,23 @@ def tree_hash(rows: DataFrame, *columns: str) -> DataFrame:
     return part.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
-def write_views(views: dict[str, DataFrame], path: str) -> None:
-    """Each named view under its own folder; Spark's committer makes a view appear whole or not at all."""
-    for name, df in views.items():
-        df.write.mode("overwrite").parquet(f"{path}/view={name}")
+#: What a file is by its name; the first pattern that fits counts, `other` if none does. A parameter: publishers add their names.
+FILE_KINDS = {r"^knowledge\.json$": "export", r"^connections\..*\.json$": "connections-view", r"\.hash\.json$": "hash-pointer", r"\.jsonld$": "jsonld-projection", r"\.ttl$": "shacl-shapes"}
+COUNTS = ["entity_count", "connection_count", "source_count"]
 
 
-def bundle_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, bytes) of every file of a bundle; file is the path from its root, so folders may hold equal names."""
+def bundle_manifest(spark: SparkSession, path: str, kinds: dict[str, str] = FILE_KINDS) -> DataFrame:
+    """(file, sha256, bytes, kind, entity_count, connection_count, source_count) of every file of a bundle.
+
+    file is the path from its root, so folders may hold equal names; counts are those that a .json file states, null elsewhere.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = re.escape(re.sub("^[a-z][a-z0-9+.-]*:/*", "/", path).rstrip("/"))
-    return f.select(F.regexp_replace("path", f"^.*?{root}/", "").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    name, kind = F.element_at(F.split("path", "/"), -1), F.lit("other")
+    for pattern, k in reversed(kinds.items()):
+        kind = F.when(name.rlike(pattern), F.lit(k)).otherwise(kind)
+    counts = [F.when(name.endswith(".json"), F.get_json_object(decoded(F.col("content")), f"$.{c}").try_cast("long")).alias(c) for c in COUNTS]
+    return f.select(F.regexp_replace("path", f"^.*?{root}/", "").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), kind.alias("kind"), *counts)
 
 
 def bundle_id(manifest: DataFrame) -> DataFrame:
