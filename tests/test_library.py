@@ -314,7 +314,8 @@ QUICK = ["neighbors", "values", "review_views", "consumer_bundle", "stats", "cur
          "duplicate_triples", "conflicting_review", "isolated_entities", "projection_mismatch", "relationship_cycles", "dq_enum", "dq_retired_pointer", "dq_target_xor_value", "dq_contradiction", "id_deleted", "prerequisites", "transitive_closure", "edge_union", "node_projection", "dq_provenance_shape", "dq_registry_coherence", "verify_claims",
          "ledger_append", "ledger_verify", "vector_topk_all", "rag_context", "citations_grounded", "scoping_claims", "payload_sha256", "content_hash", "load_export", "dq_export_contract", "load_corpus", "duplicate_yaml_keys", "ingest_text_documents",
          "rule_entities", "embed_with", "retrieve", "rag_citations", "dq_domain_range", "dq_reviewed_endpoints", "name_classes",
-         "write_views", "view_manifest", "tree_content_hash", "tree_drift", "bundle_manifest", "bundle_verify"]
+         "write_views", "view_manifest", "tree_content_hash", "tree_drift", "bundle_manifest", "bundle_verify",
+         "ledger_lineage", "claim_lineage", "proposal_evidence_gate", "dq_quantity_fields", "dq_epistemics", "dq_domain_identity", "dq_id_format", "dq_candidate"]
 
 
 @pytest.mark.parametrize("name", QUICK)

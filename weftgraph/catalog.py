@@ -396,14 +396,38 @@ add_raw("ledger_verify", lambda spark, d: history.ledger_verify(_ledger(spark, d
 SELECT user_id, event_id, hash_ok, prev_hash = coalesce(last_value(CASE WHEN hash_ok THEN hash END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), repeat('0', 64)) AS link_ok FROM h""")
 add_raw("ledger_query", lambda spark, d: read(spark, d, "events").where("event_type = 'click'").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id"),
         "SELECT event_id, user_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 50")
-add("ledger_lineage", lambda kg: kg.claims.select("claim_id", F.col("source_id")).join(kg.sources.select(F.col("id").alias("source_id"), "lifecycle"), "source_id").join(kg.evidence.select(F.col("source_ref").alias("source_id"), "connection_id").distinct().groupBy("source_id").agg(F.count("*").alias("n_connections")), "source_id").select("claim_id", "source_id", "lifecycle", "n_connections"),
+add("claim_lineage", lambda kg: kg.claims.select("claim_id", F.col("source_id")).join(kg.sources.select(F.col("id").alias("source_id"), "lifecycle"), "source_id").join(kg.evidence.select(F.col("source_ref").alias("source_id"), "connection_id").distinct().groupBy("source_id").agg(F.count("*").alias("n_connections")), "source_id").select("claim_id", "source_id", "lifecycle", "n_connections"),
     "SELECT claim_id, source_id, lifecycle, n AS n_connections FROM claims JOIN sources s ON s.id = source_id JOIN (SELECT source_ref, count(DISTINCT connection_id) AS n FROM evidence GROUP BY source_ref) e ON e.source_ref = source_id", "claims", "sources", "evidence")
 
+
+
+def _entries(spark, sf_dir):
+    """A ledger of admitted claims, the documents that they were candidates of, the parts that those rest on and the suppliers that those come from."""
+    l = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("doc."), "l_orderkey").alias("d"), F.concat(F.lit("ev.p"), "l_partkey").alias("p"), F.concat(F.lit("src.s"), "l_suppkey").alias("s"), F.concat_ws(".", F.lit("claim"), "l_orderkey", "l_linenumber").alias("c"))
+    none, one = F.lit(None).cast("array<string>"), lambda c: F.array(c)
+    entry = lambda df, event, ref, cand, ev, src: df.select(F.lit(event).alias("event_type"), F.col(ref).alias("ref"), cand.alias("candidate_refs"), ev.alias("evidence_refs"), src.alias("source_refs"))
+    out = entry(l.select("c", "d").distinct(), "canonical_admitted", "c", one("d"), none, none).unionByName(entry(l.groupBy("d").agg(F.collect_set("p").alias("ps")), "candidate_created", "d", none, F.col("ps"), none))
+    out = out.unionByName(entry(l.groupBy("p").agg(F.collect_set("s").alias("ss")), "evidence_extracted", "p", none, none, F.col("ss"))).unionByName(entry(l.select("s").distinct(), "source_registered", "s", none, none, none))
+    return out.withColumn("seq", F.xxhash64("event_type", "ref"))
+
+
+def _traced(spark, sf_dir):
+    n = lambda e, c: F.count_if(F.col("event_type") == e).alias(c)
+    return history.ledger_lineage(_entries(spark, sf_dir)).groupBy(F.col("asked").alias("claim_id")).agg(n("candidate_created", "n_candidates"), n("evidence_extracted", "n_evidence"), n("source_registered", "n_sources"))
+
+
+add_raw("ledger_lineage", _traced, """WITH parts AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), made AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
+n AS (SELECT o, count(DISTINCT parts.p) AS n_evidence, count(DISTINCT s) AS n_sources FROM parts JOIN made ON made.p = parts.p GROUP BY o)
+SELECT DISTINCT 'claim.' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) AS claim_id, CAST(1 AS BIGINT) AS n_candidates, n_evidence, n_sources FROM lineitem JOIN n ON o = l_orderkey""")
+
 # quality
 
 _DQ = {
     "dq_required": ("""SELECT 'dq_required' AS rule, 'error' AS severity, id AS focus, 'missing url' AS message FROM sources WHERE url IS NULL""", ["sources"]),
-    "dq_quantity_fields": ("SELECT 'dq_quantity_fields' AS rule, 'error' AS severity, id AS focus, 'quantity without symbol' AS message FROM entities WHERE type = 'quantity' AND symbol IS NULL", ["entities"]),
+    "dq_quantity_fields": ("SELECT 'dq_quantity_fields' AS rule, 'error' AS severity, id AS focus, 'quantity without symbol' AS message FROM entities WHERE type = 'quantity' AND symbol IS NULL "
+        "UNION ALL SELECT 'dq_quantity_fields', 'error', id, 'quantity_kind is neither base nor derived' FROM entities e WHERE type = 'quantity' AND NOT EXISTS (SELECT 1 FROM blocks b WHERE b.id = e.id AND block = 'quantity' AND key = 'quantity_kind' AND value IN ('base', 'derived')) "
+        "UNION ALL SELECT 'dq_quantity_fields', 'error', id, 'tensor_character is not scalar, vector or tensor' FROM entities e WHERE type = 'quantity' AND NOT EXISTS (SELECT 1 FROM blocks b WHERE b.id = e.id AND block = 'quantity' AND key = 'tensor_character' AND value IN ('scalar', 'vector', 'tensor')) "
+        "UNION ALL SELECT 'dq_quantity_fields', 'error', id, type || ' without others of its dimension' FROM entities e WHERE type IN ('quantity', 'unit') AND NOT EXISTS (SELECT 1 FROM blocks b WHERE b.id = e.id AND block = 'same_dimension')", ["entities", "blocks"]),
     "dq_provenance_shape": ("""SELECT 'dq_provenance_shape' AS rule, 'warning' AS severity, id AS focus, 'reviewed record without source' AS message FROM entities WHERE status IN ('canonical', 'human_reviewed') AND source_ref IS NULL
 UNION ALL SELECT 'dq_provenance_shape', 'error', id, 'ai_drafted is not true or false' FROM blocks WHERE block = 'origin' AND key = 'ai_drafted' AND value NOT IN ('true', 'false')
 UNION ALL SELECT 'dq_provenance_shape', 'error', id, 'source_kind ' || value FROM blocks WHERE block = 'origin' AND key = 'source_kind' AND value NOT IN ('paper', 'textbook', 'standard', 'dataset', 'expert')
@@ -416,7 +440,10 @@ UNION ALL SELECT 'dq_target_xor_value', 'error', id, 'amount is not a decimal' F
 WHERE (r.domain <> '' AND NOT list_contains(string_split(r.domain, ','), s.type)) OR (range_ <> '' AND t.type IS NOT NULL AND NOT list_contains(string_split(range_, ','), t.type))""", ["entities", "connections", "relations"]),
     "dq_reviewed_endpoints": ("""SELECT 'dq_reviewed_endpoints' AS rule, 'warning' AS severity, id AS focus, 'canonical connection cites an entity that is not reviewed' AS message FROM connections
 WHERE review = 'canonical' AND (source IN (SELECT id FROM entities WHERE status NOT IN ('canonical', 'human_reviewed')) OR target IN (SELECT id FROM entities WHERE status NOT IN ('canonical', 'human_reviewed')))""", ["entities", "connections"]),
-    "dq_epistemics": ("SELECT 'dq_epistemics' AS rule, 'warning' AS severity, id AS focus, 'confidence and its basis go together' AS message FROM connections WHERE (confidence IS NULL) <> (confidence_basis IS NULL)", ["connections"]),
+    "dq_epistemics": ("SELECT 'dq_epistemics' AS rule, 'warning' AS severity, id AS focus, 'confidence and its basis go together' AS message FROM connections WHERE (confidence IS NULL) <> (confidence_basis IS NULL) "
+        "UNION ALL SELECT 'dq_epistemics', 'error', id, CASE WHEN inferred THEN 'inferred without rule and path' ELSE 'inference of what is not inferred' END FROM (SELECT c.id, coalesce(assertion_type, '') = 'inferred' AS inferred, r, p FROM connections c "
+        "LEFT JOIN (SELECT id, count(*) FILTER (key = 'rule' AND trim(value) <> '') > 0 AS r, count(*) FILTER (key = 'path' AND trim(value) <> '') > 0 AS p FROM blocks WHERE block = 'inference' GROUP BY id) b ON b.id = c.id) x "
+        "WHERE CASE WHEN inferred THEN NOT coalesce(r AND p, false) ELSE r IS NOT NULL END", ["connections", "blocks"]),
     "dq_rejected_reason": ("SELECT 'dq_rejected_reason' AS rule, 'error' AS severity, id AS focus, 'rejected without a written reason' AS message FROM connections WHERE review = 'rejected' AND reason IS NULL", ["connections"]),
     "dq_evidence": (f"SELECT 'dq_evidence' AS rule, CASE WHEN review = 'canonical' THEN 'error' ELSE 'warning' END AS severity, id AS focus, 'no evidence' AS message FROM connections WHERE {ACTIVE} AND id NOT IN (SELECT connection_id FROM evidence)", ["connections", "evidence"]),
     "dq_contradiction": ("""SELECT 'dq_contradiction' AS rule, 'warning' AS severity, pair AS focus, 'contradicted and asserted' AS message FROM (SELECT least(source, target) || '|' || greatest(source, target) AS pair, relation FROM connections WHERE target IS NOT NULL)
@@ -436,14 +463,20 @@ JOIN (VALUES ('law', 'edges', 1, 1000000000), ('unit', 'symbol', 1, 1), ('quanti
 WHERE NOT CASE scheme WHEN 'sku' THEN regexp_matches(value, '^SKU[0-9]+$') WHEN 'ledger' THEN regexp_matches(value, '^[0-9]+$') ELSE regexp_matches(value, '^Brand#[0-9]+-[0-9]+$') END
 UNION ALL SELECT 'dq_external_ids', 'warning', min(entity_id), 'shared: ' || scheme || ' ' || value FROM external_ids GROUP BY scheme, value HAVING count(*) > 1""", ["external_ids"]),
     "dq_retired_pointer": (f"""SELECT 'dq_retired_pointer' AS rule, 'error' AS severity, id AS focus, 'retired record does not say what replaces it' AS message FROM entities WHERE NOT {LIVE} AND (deprecated_by IS NULL OR deprecated_by = id)
-UNION ALL SELECT 'dq_retired_pointer', 'error', id, 'live record says it is replaced' FROM entities WHERE {LIVE} AND deprecated_by IS NOT NULL""", ["entities"]),
+UNION ALL SELECT 'dq_retired_pointer', 'error', id, 'live record says it is replaced' FROM entities WHERE {LIVE} AND deprecated_by IS NOT NULL
+UNION ALL SELECT 'dq_retired_pointer', 'error', id, 'alias is no id: ' || value FROM blocks WHERE block = 'aliases' AND NOT regexp_matches(value, '^[a-z]+[.][a-z]*[0-9]+$')
+UNION ALL SELECT 'dq_retired_pointer', 'error', id, 'alias is its own id' FROM blocks WHERE block = 'aliases' AND value = id""", ["entities", "blocks"]),
     "dq_unique_ids": ("SELECT 'dq_unique_ids' AS rule, 'error' AS severity, id AS focus, CAST(count(*) AS STRING) || ' records' AS message FROM (SELECT id FROM entities UNION ALL SELECT id FROM connections UNION ALL SELECT id FROM sources) GROUP BY id HAVING count(*) > 1", ["entities", "connections", "sources"]),
-    "dq_domain_identity": ("SELECT 'dq_domain_identity' AS rule, 'error' AS severity, id AS focus, 'id prefix and domain differ' AS message FROM entities WHERE split_part(id, '.', 1) <> domain", ["entities"]),
-    "dq_id_format": (r"SELECT 'dq_id_format' AS rule, 'error' AS severity, id AS focus, 'id does not fit its pattern' AS message FROM (SELECT id FROM entities UNION ALL SELECT id FROM connections UNION ALL SELECT id FROM sources) WHERE NOT regexp_matches(id, '^[a-z]+\.[a-z]*[0-9]+$')", ["entities", "connections", "sources"]),
+    "dq_domain_identity": ("SELECT 'dq_domain_identity' AS rule, 'error' AS severity, id AS focus, 'id prefix and domain differ' AS message FROM entities WHERE split_part(id, '.', 1) <> domain AND split_part(id, '.', 1) IN ('geo', 'org', 'prod') "
+        "UNION ALL SELECT 'dq_domain_identity', 'error', id, 'unknown id prefix ' || split_part(id, '.', 1) FROM entities WHERE split_part(id, '.', 1) NOT IN ('geo', 'org', 'prod') "
+        "UNION ALL SELECT 'dq_domain_identity', 'error', id, 'not in vocabulary: domain ' || domain FROM entities WHERE domain NOT IN ('geo', 'org', 'prod') "
+        "UNION ALL SELECT 'dq_domain_identity', 'error', id, 'file is not in the directory of its domain' FROM blocks WHERE block = 'file' AND split_part(value, '/', 1) <> CASE split_part(id, '.', 1) WHEN 'geo' THEN 'geography' WHEN 'org' THEN 'organisations' ELSE 'products' END", ["entities", "blocks"]),
+    "dq_id_format": (r"SELECT 'dq_id_format' AS rule, 'error' AS severity, id AS focus, 'id does not fit its pattern' AS message FROM (SELECT id FROM entities UNION ALL SELECT id FROM connections UNION ALL SELECT id FROM sources) WHERE NOT regexp_matches(id, '^[a-z]+\.[a-z]*[0-9]+$') "
+        "UNION ALL SELECT 'dq_id_format', 'error', id, 'file name is not the slug' FROM blocks WHERE block = 'file' AND split_part(split_part(value, '/', 2), '.', 1) <> split_part(id, '.', 2)", ["entities", "connections", "sources", "blocks"]),
     "dq_enum": ("""SELECT 'dq_enum' AS rule, 'error' AS severity, id AS focus, 'not in vocabulary: type ' || type AS message FROM entities WHERE type NOT IN ('concept', 'quantity', 'law', 'equation', 'model', 'phenomenon', 'unit', 'experiment', 'method')
 UNION ALL SELECT 'dq_enum', 'error', id, 'not in vocabulary: status ' || status FROM entities WHERE status NOT IN ('draft', 'proposed', 'ai_reviewed', 'human_reviewed', 'reviewed', 'canonical', 'deprecated', 'superseded', 'rejected')""", ["entities"]),
 }
-_ROUGH = {"dq_id_format", "dq_enum", "dq_quantity_fields", "dq_retired_pointer", "dq_unique_ids", "dq_domain_identity", "dq_target_xor_value", "dq_relation_known", "dq_domain_range", "dq_contradiction", "dq_shape"}
+_ROUGH = {"dq_id_format", "dq_enum", "dq_quantity_fields", "dq_retired_pointer", "dq_unique_ids", "dq_domain_identity", "dq_target_xor_value", "dq_relation_known", "dq_domain_range", "dq_contradiction", "dq_shape", "dq_epistemics"}
 for _key in [k for k in quality.RULES if k not in records.RECORD_RULES]:
     _rule = quality.RULES[_key]
     _sql, _tables = _DQ.get(_key, (None, []))
@@ -481,6 +514,7 @@ ORACLE["anomalies"] = " UNION ALL ".join([
     _say("duplicate_triple", "low", _KEY, "CAST(n AS STRING) || ' times'", _from("duplicate_triples")),
     _say("conflicting_review", "high", _KEY, "CAST(n_reviews AS STRING) || ' reviews'", _from("conflicting_review")),
     _say("isolated_entity", "low", "id", "'no connection'", _from("isolated_entities")),
+    _say("confidence_pair", "medium", "id", "'confidence and its basis go together'", "FROM (" + ctes("rough_connections") + " SELECT * FROM rough_connections) x WHERE (confidence IS NULL) <> (confidence_basis IS NULL)"),
     "SELECT rule, 'high' AS severity, focus, message " + _from("dq_contradiction"),
 ])
 
@@ -523,8 +557,10 @@ for _key in records.RECORD_RULES:
         add(_key, quality.RULES[_key], _RECORD_SQL[_key][0], *_RECORD_SQL[_key][1])
 add("dq_governing", lambda kg: records.dq_governing(kg, ("org.s1", "org.s777777")), _GOVERN, "blocks", "entities")
 _CANDIDATE = " UNION ALL ".join(f"SELECT 'dq_candidate' AS rule, severity, focus, rule || ': ' || message AS message FROM ({_DQ[k][0]})" for k in records.CANDIDATE_RULES)
+_CANDIDATE = re.sub(r"FROM entities", "FROM (SELECT * FROM entities WHERE status = 'draft')", re.sub(r"FROM connections", "FROM (SELECT * FROM connections WHERE review = 'unreviewed')", _CANDIDATE))
+_CANDIDATE = re.sub(r"FROM blocks", "FROM (SELECT * FROM blocks WHERE id IN (SELECT id FROM entities WHERE status = 'draft' UNION ALL SELECT id FROM connections WHERE review = 'unreviewed'))", _CANDIDATE)
 add_rough("dq_candidate", lambda kg: records.dq_candidate(kg, kg.entities.where("status = 'draft'"), kg.connections.where("review = 'unreviewed'")),
-          re.sub(r"FROM entities", "FROM (SELECT * FROM entities WHERE status = 'draft')", re.sub(r"FROM connections", "FROM (SELECT * FROM connections WHERE review = 'unreviewed')", _CANDIDATE)), "entities", "connections", "relations")
+          _CANDIDATE, "entities", "connections", "relations", "blocks")
 add("dq_live_counts", lambda kg: records.dq_live_counts(kg, kg.entities.where("id not like '%12'").groupBy(F.col("status").alias("name")).agg(F.count("*").alias("n"))),
     """WITH r AS (SELECT status AS name, count(*) AS n FROM entities WHERE id NOT LIKE '%12' GROUP BY status), l AS (SELECT status, count(*) AS live FROM entities GROUP BY status)
 SELECT 'dq_live_counts' AS rule, 'error' AS severity, coalesce(name, status) AS focus, 'recorded ' || CAST(coalesce(n, 0) AS STRING) || ' live ' || CAST(coalesce(live, 0) AS STRING) AS message FROM r FULL JOIN l ON name = status WHERE n IS DISTINCT FROM live""", "entities")
@@ -552,7 +588,7 @@ def _whole(sql, tables):
 
 
 _EVERY = {k: _whole(*v) for k, v in (_RECORD_SQL | {"dq_governing": (_GOVERN.split(" UNION ALL ")[0], ["blocks", "entities"])} | _DQ).items()}
-_EVERY["dq_candidate"] = _whole(re.sub(r"FROM entities", "FROM (SELECT * FROM entities WHERE status = 'draft')", re.sub(r"FROM connections", "FROM (SELECT * FROM connections WHERE review = 'unreviewed')", _CANDIDATE)), ["entities", "connections", "relations"])
+_EVERY["dq_candidate"] = _whole(_CANDIDATE, ["entities", "connections", "relations", "blocks"])
 _ALL = " UNION ALL ".join(f"SELECT rule, severity, focus, message FROM ({_EVERY.get(k) or ORACLE[k]}) x" for k in [*quality.RULES, "dq_candidate", "dq_live_counts"])
 add_raw("validate", _validated(validation.conforms), f"SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS conforms FROM ({_ALL}) y")
 add_raw("severity_counts", _validated(validation.severity_counts), f"SELECT rule, severity, count(*) AS n FROM ({_ALL}) y GROUP BY rule, severity")
@@ -628,7 +664,9 @@ SELECT claim_id, failed, support, CASE WHEN failed <> '' THEN 'failed' WHEN supp
 add("proposals", match.proposals,
     """WITH k AS (SELECT subject, relation, object, count(DISTINCT value) > 1 AS conflict FROM claims WHERE value IS NOT NULL GROUP BY ALL)
 SELECT claim_id, subject, relation, object, coalesce(conflict, false) AS conflict, 'proposed' AS review, CASE WHEN value IS NULL THEN 'value' ELSE '' END AS gaps FROM claims LEFT JOIN k USING (subject, relation, object)""", "claims")
-add("proposal_evidence_gate", lambda kg: match.proposals(kg).where("gaps <> ''").select("claim_id", "gaps"), "SELECT claim_id, 'value' AS gaps FROM claims WHERE value IS NULL", "claims")
+add_raw("proposal_evidence_gate", lambda spark, d: match.evidence_gate(testgraph.table(spark, d, "rough_claims")), ctes("rough_claims") + """
+SELECT claim_id, field FROM (SELECT claim_id, unnest(['source_id', 'document_hash', 'text_span', 'model_id', 'pipeline_version', 'verification_status']) AS field,
+  unnest([source_id, document_id, text_span, model_id, pipeline_version, verification_status]) AS value FROM rough_claims) x WHERE trim(coalesce(value, '')) = ''""")
 _DOCS = lambda spark, d: read(spark, d, "documents")
 add_raw("evidence_windows", lambda spark, d: match.evidence_windows(_DOCS(spark, d)).select("doc_id", "sentence_id", "start", "end", F.length("text_span").cast("long").alias("n")))
 RELATION_NAMES = ["depends_on", "causes", "related_to"]

@@ -183,3 +183,29 @@ def proposal_ids(claims: DataFrame) -> DataFrame:
 
 def stale(kg: KnowledgeSet) -> DataFrame:
     return kg.connections.where(~active()).select("id")
+
+
+#: Members of a ledger entry that cite others, and the event by which the cited one was entered.
+CITED = {"candidate_refs": "candidate_created", "evidence_refs": "evidence_extracted", "source_refs": "source_registered"}
+
+
+def _citing(event: str):
+    return lambda ref: F.struct(F.lit(event).alias("to_event"), ref.alias("to_ref"))
+
+
+def ledger_lineage(entries: DataFrame, admitted: str = "canonical_admitted") -> DataFrame:
+    """(asked, seq, event_type, ref): for each admitted record the entries that its admission rests on, however long the way, each once.
+
+    entries: (seq, event_type, ref, candidate_refs, evidence_refs, source_refs), the last three lists. What cites what is joined once; then all records go
+    back together, a join a hop, and only entries that are new for a record go on, so cycles end. Nulls in lists cite nothing.
+    """
+    none = F.array().cast("array<string>")
+    cited = F.concat(*[F.transform(F.coalesce(c, none), _citing(e)) for c, e in CITED.items()])
+    known = entries.select("seq", "event_type", "ref")
+    to = known.select(F.col("seq").alias("to_seq"), F.col("event_type").alias("to_event"), F.col("ref").alias("to_ref"))
+    cites = stored(entries.select("seq", F.explode(cited).alias("x")).select("seq", "x.*").join(to, ["to_event", "to_ref"]).select("seq", "to_seq").distinct())
+    found = fresh = stored(known.where(F.col("event_type") == admitted).select(F.col("ref").alias("asked"), "seq").distinct())
+    while not fresh.isEmpty():
+        fresh = stored(fresh.join(cites, "seq").select("asked", F.col("to_seq").alias("seq")).distinct().join(found, ["asked", "seq"], "left_anti"))
+        found = found.unionByName(fresh)
+    return found.join(known, "seq").select("asked", "seq", "event_type", "ref")

@@ -238,6 +238,18 @@ def proposals(kg: KnowledgeSet) -> DataFrame:
     return c.join(clash, triple, "left").select("claim_id", *triple, F.coalesce("conflict", F.lit(False)).alias("conflict"), F.lit("proposed").alias("review"), gaps.alias("gaps"))
 
 
+#: What a proposal has to have before it is reviewed.
+GATE = ("source_id", "document_hash", "text_span", "model_id", "pipeline_version", "verification_status")
+
+
+def evidence_gate(claims: DataFrame, fields: tuple[str, ...] = GATE) -> DataFrame:
+    """(claim_id, field): a row for each field that a proposal lacks (null, blank, or no such column); a document's hash is made of its id where there is no column of it."""
+    if "document_hash" not in claims.columns and "document_id" in claims.columns:
+        claims = claims.withColumn("document_hash", F.sha2("document_id", 256))
+    lacks = [F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == "" if f in claims.columns else F.lit(True), F.lit(f)) for f in fields]
+    return claims.select("claim_id", F.explode(F.array_compact(F.array(*lacks))).alias("field"))
+
+
 def required_literal(pattern: str) -> str:
     """The longest run of ASCII characters that every match of a pattern holds, in lower case; empty where none is certain.
 

@@ -23,6 +23,11 @@ SCHEMES = {"sku": "^SKU[0-9]+$", "ledger": "^[0-9]+$", "brand": "^Brand#[0-9]+-[
 DECIMAL = r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 ID = r"^[a-z]+\.[a-z]*[0-9]+$"
 
+#: Domain and directory of ids by their prefix.
+DOMAINS = {"geo": ("geo", "geography"), "org": ("org", "organisations"), "prod": ("prod", "products")}
+#: What a quantity says about itself.
+QUANTITY_KINDS, TENSORS = ["base", "derived"], ["scalar", "vector", "tensor"]
+
 #: Different humans that a board stage needs, unless it is waived.
 BOARD = 2
 
@@ -103,6 +108,25 @@ check("dq_enum", "entities", lambda: ~F.col("status").isin(ENTITY_STATUSES), lam
 
 check("dq_quantity_fields", "entities", lambda: (F.col("type") == "quantity") & _blank("symbol"), "quantity without symbol")
 
+
+@rule
+def dq_quantity_fields(kg):
+    """Quantities say their kind and tensor character; they and units name others of their dimension (members of the blocks `quantity` and `same_dimension`)."""
+    if kg.blocks is None:
+        return None
+    of = lambda k: F.max(F.when((F.col("block") == "quantity") & (F.col("key") == k), F.col("value"))).alias(k)
+    said = kg.blocks.where("block in ('quantity', 'same_dimension')").groupBy("id").agg(of("quantity_kind"), of("tensor_character"), F.count_if((F.col("block") == "same_dimension") & F.col("value").isNotNull()).alias("alike"))
+    e = kg.entities.where("type in ('quantity', 'unit')").select("id", "type").join(said, "id", "left")
+    quantity, among = F.col("type") == "quantity", lambda c, known: F.coalesce(F.col(c).isin(known), F.lit(False))
+    tests = [
+        (quantity & ~among("quantity_kind", QUANTITY_KINDS), F.lit("quantity_kind is neither base nor derived")),
+        (quantity & ~among("tensor_character", TENSORS), F.lit("tensor_character is not scalar, vector or tensor")),
+        (F.coalesce("alike", F.lit(0)) == 0, F.concat("type", F.lit(" without others of its dimension"))),
+    ]
+    return _rows(e.select("id", F.explode(F.array_compact(F.array(*[F.when(t, m) for t, m in tests]))).alias("why")), "dq_quantity_fields", F.col("why"))
+
+
+
 _origin = lambda key: (F.col("block") == "origin") & (F.col("key") == key)
 check("dq_provenance_shape", "entities", lambda: F.col("status").isin("canonical", "human_reviewed") & _blank("source_ref"), "reviewed record without source", "warning")
 check("dq_provenance_shape", "blocks", lambda: _origin("ai_drafted") & ~F.coalesce(F.col("value").isin("true", "false"), F.lit(False)), "ai_drafted is not true or false")
@@ -121,6 +145,8 @@ def dq_provenance_shape(kg):
 
 check("dq_retired_pointer", "entities", lambda: retired() & (_blank("deprecated_by") | (F.col("deprecated_by") == F.col("id"))), "retired record does not say what replaces it")
 check("dq_retired_pointer", "entities", lambda: ~retired() & ~_blank("deprecated_by"), "live record says it is replaced")
+check("dq_retired_pointer", "blocks", lambda: (F.col("block") == "aliases") & ~F.coalesce(F.col("value").rlike(ID), F.lit(False)), lambda: F.concat(F.lit("alias is no id: "), F.coalesce("value", F.lit("null"))))
+check("dq_retired_pointer", "blocks", lambda: (F.col("block") == "aliases") & (F.col("value") == F.col("id")), "alias is its own id")
 
 
 @rule
@@ -129,7 +155,15 @@ def dq_unique_ids(kg):
     return _rows(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "dq_unique_ids", F.concat(F.col("n").cast("string"), F.lit(" records")))
 
 
-check("dq_domain_identity", "entities", lambda: F.split_part("id", F.lit("."), F.lit(1)) != F.col("domain"), "id prefix and domain differ")
+_prefix, _slug = lambda: F.split_part("id", F.lit("."), F.lit(1)), lambda: F.regexp_replace("id", r"^[^.]*\.", "")
+_by_prefix = lambda i: F.coalesce(*[F.when(_prefix() == p, F.lit(x[i])) for p, x in DOMAINS.items()])
+_path = lambda: (F.col("block") == "file") & (F.col("key") == "path")
+check("dq_domain_identity", "entities", lambda: _by_prefix(0).isNull(), lambda: F.concat(F.lit("unknown id prefix "), _prefix()))
+check("dq_domain_identity", "entities", lambda: _by_prefix(0) != F.col("domain"), "id prefix and domain differ")
+check("dq_domain_identity", "entities", lambda: ~F.col("domain").isin([d for d, _ in DOMAINS.values()]), lambda: F.concat(F.lit("not in vocabulary: domain "), "domain"))
+# the block `file` has the path of a record in its tree
+check("dq_domain_identity", "blocks", lambda: _path() & (F.split_part("value", F.lit("/"), F.lit(1)) != _by_prefix(1)), "file is not in the directory of its domain")
+check("dq_id_format", "blocks", lambda: _path() & (F.regexp_extract("value", r"([^/]*?)(\.[a-z]+)?$", 1) != _slug()), "file name is not the slug")
 
 _form = lambda: F.coalesce(*[F.when(F.col("scheme") == s, F.col("value").rlike(p)) for s, p in SCHEMES.items()], F.lit(False))
 check("dq_external_ids", "external_ids", lambda: ~_form(), lambda: F.concat(F.col("scheme"), F.lit(" has a wrong format")), focus="entity_id")
@@ -195,6 +229,20 @@ def dq_registry_coherence(kg):
 check("dq_epistemics", "connections", lambda: F.col("confidence").isNull() != F.col("confidence_basis").isNull(), "confidence and its basis go together", "warning")
 check("dq_epistemics", "connections", lambda: (F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence outside 0..1")
 
+
+@rule
+def dq_epistemics(kg):
+    """Inferred connections name a rule and a path (members of the block `inference`), others have no such block; beside the checks of confidence."""
+    if kg.blocks is None:
+        return None
+    has = lambda k: (F.count_if((F.col("key") == k) & (F.trim("value") != "")) > 0).alias(k)
+    block = kg.blocks.where("block = 'inference'").groupBy("id").agg(has("rule"), has("path"))
+    c = kg.connections.select("id", (F.coalesce("assertion_type", F.lit("")) == "inferred").alias("inferred")).join(block, "id", "left")
+    why = F.when(F.col("inferred") & ~F.coalesce(F.col("rule") & F.col("path"), F.lit(False)), "inferred without rule and path").when(~F.col("inferred") & F.col("rule").isNotNull(), "inference of what is not inferred")
+    return _rows(c.select("id", why.alias("why")).where("why is not null"), "dq_epistemics", F.col("why"))
+
+
+
 check("dq_rejected_reason", "connections", lambda: (F.col("review") == "rejected") & _blank("reason"), "rejected without a written reason")
 
 
@@ -282,9 +330,11 @@ def dq_triage_advisory(kg):
 
 
 def anomalies(kg: KnowledgeSet) -> DataFrame:
-    """The advisory report: duplicate triples, conflicting reviews, isolated entities, contradictions."""
+    """The advisory report: duplicate triples, conflicting reviews, isolated entities, confidence without basis or the reverse, contradictions."""
     triple = F.concat_ws("|", "source", "relation", "object")
     out = _rows(reports.duplicate_triples(kg).withColumn("id", triple), "duplicate_triple", F.concat(F.col("n").cast("string"), F.lit(" times")), "low")
     out = out.unionByName(_rows(reports.conflicting_review(kg).withColumn("id", triple), "conflicting_review", F.concat(F.col("n_reviews").cast("string"), F.lit(" reviews")), "high"))
     out = out.unionByName(_rows(reports.isolated_entities(kg), "isolated_entity", "no connection", "low"))
+    alone = kg.connections.where(F.col("confidence").isNull() != F.col("confidence_basis").isNull())
+    out = out.unionByName(_rows(alone, "confidence_pair", "confidence and its basis go together", "medium"))
     return out.unionByName(dq_contradiction(kg).withColumn("severity", F.lit("high")))

@@ -127,6 +127,8 @@ CANDIDATE_RULES = ["dq_enum", "dq_quantity_fields", "dq_target_xor_value", "dq_r
 def dq_candidate(kg: KnowledgeSet, entities: DataFrame, connections: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """Drafted rows under the rules that published ones obey, before they are staged."""
     drafted, out = kg.with_(entities=entities, connections=connections), None
+    if kg.blocks is not None:
+        drafted = drafted.with_(blocks=kg.blocks.join(entities.select("id").unionByName(connections.select("id")), "id", "left_semi"))
     for name in rules or CANDIDATE_RULES:
         found = RULES[name](drafted)
         out = found if out is None else out.unionByName(found)

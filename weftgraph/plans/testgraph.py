@@ -107,6 +107,14 @@ GRAPH["blocks"] = "\nUNION ALL ".join([
     _block("origin", "'ai_drafted'", "CASE c_custkey % 5 WHEN 0 THEN 'false' WHEN 1 THEN 'maybe' ELSE 'true' END", _C, "customer", "c_custkey % 12 < 3"),
     _block("origin", "'source_kind'", "CASE c_custkey % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'rumour' ELSE 'expert' END", _C, "customer", "c_custkey % 12 < 2"),
     _block("relationships", "'requires'", "'prod.p1'", _C, "customer", "c_custkey % 101 = 0"),
+    _block("quantity", "'quantity_kind'", "CASE c_custkey % 7 WHEN 0 THEN 'odd' WHEN 1 THEN 'base' ELSE 'derived' END", _C, "customer", "c_custkey % 20 > 0"),
+    _block("quantity", "'tensor_character'", "CASE c_custkey % 5 WHEN 0 THEN 'matrix' WHEN 1 THEN 'vector' WHEN 2 THEN 'tensor' ELSE 'scalar' END", _C, "customer", "c_custkey % 25 > 0"),
+    _block("same_dimension", "'0'", "'org.c1'", _C, "customer", "c_custkey % 15 > 0"),
+    _block("same_dimension", "'0'", "'prod.p1'", _P, "part", "p_partkey % 40 > 0"),
+    _block("aliases", "'0'", "CASE c_custkey % 3 WHEN 0 THEN 'not an id' WHEN 1 THEN 'org.c' || CAST(c_custkey AS STRING) ELSE 'org.old' || CAST(c_custkey AS STRING) END", _C, "customer", "c_custkey % 16 = 5"),
+    _block("file", "'path'", "CASE WHEN c_custkey % 31 = 0 THEN 'products' ELSE 'organisations' END || '/' || CASE WHEN c_custkey % 29 = 0 THEN 'c0' ELSE 'c' END || CAST(c_custkey AS STRING) || '.md'", _C, "customer", "c_custkey % 2 = 0"),
+    _block("inference", "'rule'", "'transitive'", "'e.m' || CAST(p_partkey AS STRING)", "part", "p_partkey % 17 = 0 AND p_partkey % 3 > 0 OR p_partkey % 97 = 7"),
+    _block("inference", "'path'", "CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE 'e.m1, e.m2' END", "'e.m' || CAST(p_partkey AS STRING)", "part", "p_partkey % 17 = 0 AND p_partkey % 5 > 0"),
 ])
 
 #: The graph's records as a careless hand would leave them, for the rules to find: k is the number in the id.
@@ -117,7 +125,7 @@ GRAPH["rough_entities"] = f"""SELECT CASE WHEN k % 41 = 0 THEN upper(id) ELSE id
 UNION ALL SELECT id, type, name, domain, subdomain, status, definition, symbol, unit, equation, deprecated_by, source_ref FROM entities WHERE {_K} % 53 = 0"""
 _EDGE = "asserted_by, confidence, confidence_basis, reason, replaced_by"
 GRAPH["rough_connections"] = f"""SELECT id, source, CASE WHEN k % 59 = 0 THEN 'unheard_of' WHEN k % 61 = 0 THEN 'requires' WHEN k % 7 = 3 AND relation IN ('applies_to', 'related_to') THEN 'contradicts' ELSE relation END AS relation, CASE WHEN k % 71 = 0 THEN CAST(NULL AS STRING) ELSE target END AS target,
-  CASE WHEN k % 71 = 1 THEN '1.5e' ELSE amount END AS amount, unit, assertion_status, assertion_type, review, {_EDGE} FROM (SELECT *, {_K} AS k FROM connections) c
+  CASE WHEN k % 71 = 1 THEN '1.5e' ELSE amount END AS amount, unit, assertion_status, CASE WHEN k % 17 = 0 THEN 'inferred' ELSE assertion_type END AS assertion_type, review, {_EDGE} FROM (SELECT *, {_K} AS k FROM connections) c
 UNION ALL SELECT id || '0000000000', source, relation, target, amount, unit, 'active', assertion_type, CASE WHEN {_K} % 2 = 0 THEN 'canonical' ELSE review END, {_EDGE} FROM connections WHERE {_K} % 73 = 0
 UNION ALL SELECT id || '1000000000', target, relation, source, amount, unit, 'active', assertion_type, review, {_EDGE} FROM connections WHERE relation = 'logically_requires' AND {_K} % 5 = 0 AND {_K} % 7 > 0
 UNION ALL SELECT id || '2000000000', source, 'causes', target, amount, unit, 'active', assertion_type, review, {_EDGE} FROM connections WHERE relation IN ('applies_to', 'related_to') AND {_K} % 14 = 3"""
@@ -130,7 +138,8 @@ GRAPH["rough_relations"] = f"""SELECT {_R.format("k")} AS name, CASE WHEN k % 28
 #: Claims of several relations, with units, numbers, texts, subjects and equations some of which fail.
 GRAPH["rough_claims"] = """SELECT claim_id, document_id, source_id, CASE WHEN k % 11 = 0 THEN 'prod.p999999999' ELSE subject END AS subject, CASE WHEN k % 4 = 0 THEN relation WHEN k % 4 = 1 THEN 'depends_on' WHEN k % 4 = 2 THEN 'has_unit' ELSE 'causes' END AS relation, object,
   CASE WHEN k % 7 = 0 THEN 'about ' || value ELSE value END AS value, CASE WHEN k % 6 = 1 THEN 'usd for 100' WHEN k % 6 = 2 THEN 'm/s' WHEN k % 6 = 3 THEN CAST(NULL AS STRING) ELSE unit END AS unit,
-  CASE WHEN k % 9 = 0 THEN 'short' WHEN k % 9 = 1 THEN 'a longer text which names nobody at all' ELSE text_span END AS text_span, CASE WHEN k % 5 = 0 THEN 'p = c * d' WHEN k % 5 = 1 THEN 'p c d' END AS equation
+  CASE WHEN k % 9 = 0 THEN 'short' WHEN k % 9 = 1 THEN 'a longer text which names nobody at all' ELSE text_span END AS text_span, CASE WHEN k % 5 = 0 THEN 'p = c * d' WHEN k % 5 = 1 THEN 'p c d' END AS equation,
+  CASE WHEN k % 8 > 0 THEN 'm' || CAST(k % 3 AS STRING) END AS model_id, CASE WHEN k % 10 = 0 THEN ' ' ELSE '1.0' END AS pipeline_version, CASE WHEN k % 12 > 0 THEN 'verified' END AS verification_status
   FROM (SELECT *, CAST(split_part(claim_id, '.', 2) AS BIGINT) AS k FROM claims) c"""
 
 #: Tables that each graph table is made of, besides the driver's.
