@@ -208,8 +208,8 @@ def test_files(spark, tmp_path):
     assert files.corpus_entities(corpus).first().id == "d.a" and files.duplicate_yaml_keys(corpus).count() == 1
     text = {r.path.rsplit("/", 1)[1]: r.text for r in files.ingest_text_documents(spark, str(tmp_path)).collect()}
     assert text["d.txt"] == "café" and set(text) == {"a.md", "b.yaml", "c.yaml", "d.txt"}
-    man = files.bundle_manifest(spark, str(tmp_path)).collect()
-    kept = spark.createDataFrame(man)
+    man = files.bundle_manifest(spark, str(tmp_path))
+    kept = spark.createDataFrame(man.collect(), man.schema)
     (tmp_path / "b.yaml").write_text("changed")
     (tmp_path / "e.txt").write_text("new")
     (tmp_path / "d.txt").unlink()

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.sources import bundle, merkle
+from weftgraph.sources import bundle, files, merkle
 
 
 def test_views_appear_together_or_not_at_all(spark, tmp_path):
@@ -46,6 +46,14 @@ def test_views_appear_together_or_not_at_all(spark, tmp_path):
         bundle.publish(spark, {"../x": {"entities": a}}, path)
 
 
+def test_bundle_files_have_kinds_and_stated_counts(spark, tmp_path):
+    for name, text in {"knowledge.json": '{"entity_count": 3, "source_count": "x", "entities": []}', "connections.canonical.json": '{"connection_count": 2}', "a/k.jsonld": '{"entity_count": 3}', "broken.json": "{", "e.txt": ""}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {(r.file, r.kind, r.entity_count, r.connection_count, r.source_count) for r in files.bundle_manifest(spark, str(tmp_path)).collect()}
+    assert got == {("knowledge.json", "export", 3, None, None), ("connections.canonical.json", "connections-view", None, 2, None), ("a/k.jsonld", "jsonld-projection", None, None, None), ("broken.json", "other", None, None, None)}  # a file without bytes has no row
+
+
 def _plain(leaves: dict, depth: int) -> str:
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 

@@ -229,6 +229,7 @@ def bundle_manifest(spark: SparkSession, path: str, kinds: dict[str, str] = FILE
     """(file, sha256, bytes, kind, entity_count, connection_count, source_count) of every file of a bundle.
 
     file is the path from its root, so folders may hold equal names; counts are those that a .json file states, null elsewhere.
+    Files without bytes have no row, as Spark's readers of files pass over them.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = re.escape(re.sub("^[a-z][a-z0-9+.-]*:/*", "/", path).rstrip("/"))

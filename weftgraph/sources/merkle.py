@@ -40,7 +40,7 @@ class Tree:
 
 
 def file_leaves(spark: SparkSession, root: str) -> DataFrame:
-    """(path from the root, digest) of every file below a folder."""
+    """(path from the root, digest) of every file below a folder that has bytes."""
     return bundle_manifest(spark, root).select(F.col("file").alias("path"), F.col("sha256").alias("digest"))
 
 
