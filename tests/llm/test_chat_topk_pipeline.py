@@ -208,3 +208,38 @@ def test_oracles(spark):
         want = con.sql(sql)
         got = QUERIES[name](spark, SF).select(*want.columns)
         assert Counter(map(tuple, got.collect())) == Counter(want.fetchall()), name
+
+
+def test_packing_leaves_no_freed_memory_in_its_worker(spark):
+    """Workers are reused: what an idle one holds counts beside the stage that follows."""
+    import os
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from weftgraph.llm import packing
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.hex(F.xxhash64("id", i) % 100_000)))
+    docs = spark.range(0, 8_000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    pids = packing.pack(docs, sink=lambda cols: [cols[0], *cols[1:3], [os.getpid()] * len(cols[0]), *cols[4:]], schema=packing.CHECKSUMS)
+    pids = {r[0] for r in pids.select("ids_crc32").distinct().collect()}
+
+    def held(batches):
+        import ctypes
+        import re
+        import time
+
+        def mb():
+            with open("/proc/self/status") as f:
+                return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) // 1024
+
+        list(batches)
+        before = mb()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        time.sleep(0.2)  # so that every idle worker gets a task
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "before": [before], "after": [mb()]})
+
+    rows = spark.range(0, 64, 1, 64).mapInArrow(held, "pid long, before long, after long").collect()
+    freed = [r["before"] - r["after"] for r in rows if r["pid"] in pids]
+    assert freed and max(freed) < 40, freed

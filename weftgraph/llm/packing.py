@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.cache import Memo
+from weftgraph.llm.cache import Memo, give_back
 from weftgraph.llm.units import encode_units, rounds
 
 POOL = 2048
@@ -46,9 +46,8 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,6 +61,12 @@ class ByteBpe:
             self.wide[i] = len(word)  # a letter of the file's alphabet is a byte
         self.memo = Memo(lambda unit: np.array(self.ranks.encode_ordinary(unit.decode()), dtype="<u4").tobytes(), 150_000)
 
+    @functools.cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         data = b"".join(texts)
@@ -211,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = 1024,
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(finish(cols), types, strict=True)], names=names)
 
-    def run(batches):
+    def packed(batches):
         bpe = byte_bpe(path)
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         out = []
@@ -232,6 +237,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = 1024,
         out += packer.close()
         yield batch(out)
 
+    def run(batches):
+        yield from packed(batches)
+        give_back()
+
     doc = F.col("doc_id").cast("long")
     key = F.struct(doc.alias("d"), F.col(loss_from).cast("long").alias("b")) if loss_from else doc
     return docs.select(key.alias("key"), F.col("text").cast("string")).mapInArrow(run, schema)
