@@ -3,7 +3,7 @@
 import datetime as dt
 
 from weftgraph import schema
-from weftgraph.operators import curate, history
+from weftgraph.operators import curate, history, quality
 from weftgraph.plans.testgraph import knowledge
 
 DAY = dt.datetime(2026, 1, 1)
@@ -26,3 +26,7 @@ def test_promote_batch(spark):
     kg = graph(spark).with_(promotions=spark.createDataFrame([r for r in ROWS if r[1] == "domain_expert"], schema.PROMOTIONS).coalesce(1))
     asked = spark.createDataFrame([("x", "q", DAY + dt.timedelta(2)), ("y", "p", DAY + dt.timedelta(2))], "id string, actor string, at timestamp")
     assert sorted((r.id, r.verdict) for r in curate.promote_batch(kg, asked).collect()) == [("x", "ok"), ("y", "same actor")]
+
+
+def test_dq_promotion(spark):
+    assert [r.focus for r in quality.RULES["dq_promotion"](graph(spark)).where("message like 'same actor%'").collect()] == ["x"]
