@@ -3,7 +3,7 @@
 import datetime as dt
 
 from weftgraph import schema
-from weftgraph.operators import curate, history, quality
+from weftgraph.operators import curate, history, quality, validation
 from weftgraph.plans.testgraph import knowledge
 
 DAY = dt.datetime(2026, 1, 1)
@@ -30,3 +30,16 @@ def test_promote_batch(spark):
 
 def test_dq_promotion(spark):
     assert [r.focus for r in quality.RULES["dq_promotion"](graph(spark)).where("message like 'same actor%'").collect()] == ["x"]
+
+
+#: an actor at both stages of z by the second of two rows alone, so nothing is wrong there but its chain and times
+ONE = [("z", "editor", "q", DAY, False), ("z", "domain_expert", "p", DAY + dt.timedelta(9), False), ("z", "domain_expert", "q", DAY + dt.timedelta(9), False)]
+
+
+def one(spark):
+    return graph(spark).with_(promotions=spark.createDataFrame(ONE, schema.PROMOTIONS).coalesce(1))
+
+
+def test_validate(spark):
+    errors = validation.conforms(one(spark), only=["dq_promotion"]).first().errors
+    assert errors == quality.RULES["dq_promotion"](one(spark)).where("severity = 'error' and message not like 'same actor%'").count()
