@@ -43,3 +43,8 @@ def one(spark):
 def test_validate(spark):
     errors = validation.conforms(one(spark), only=["dq_promotion"]).first().errors
     assert errors == quality.RULES["dq_promotion"](one(spark)).where("severity = 'error' and message not like 'same actor%'").count()
+
+
+def test_severity_counts(spark):
+    n = {r.severity: r.n for r in validation.severity_counts(one(spark), only=["dq_promotion"]).collect()}
+    assert n.get("error", 0) == quality.RULES["dq_promotion"](one(spark)).where("severity = 'error' and message not like 'same actor%'").count() and n["warning"] == 1
