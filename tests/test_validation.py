@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from weftgraph.operators import quality, records, validation
 from weftgraph.plans.testgraph import knowledge, table
 
@@ -33,3 +35,12 @@ def test_every_rule_takes_part():
     rules = set(quality.RULES)
     assert set(records.RECORD_RULES) <= rules and len(rules) == 34
     assert rules == {c.rule for c in quality.CHECKS} | set(quality.JOINED)
+
+
+def test_each_canonical_connection_is_told_once(spark):
+    """Two connections of one id, as keys beyond a million give, and two records of one end."""
+    one = knowledge(spark, SF)
+    e = one.entities.where("id in ('geo.n5', 'geo.n0')")
+    c = one.connections.limit(1).withColumns({"review": F.lit("canonical"), "id": F.lit("e.a1"), "source": F.lit("geo.n5"), "target": F.lit("geo.n0")})
+    kg = one.with_(entities=e.unionByName(e), connections=c.unionByName(c))
+    assert Counter(r.focus for r in quality.RULES["dq_reviewed_endpoints"](kg).collect()) == Counter({"e.a1": 2})
