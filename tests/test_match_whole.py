@@ -7,9 +7,10 @@ from difflib import SequenceMatcher
 import pytest
 
 from weftgraph.catalog import QUERIES
-from weftgraph.operators import names
+from weftgraph.operators import match, names
 from weftgraph.operators.names import RATIO
 from weftgraph.plans import testgraph
+from weftgraph.schema import KnowledgeSet
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +86,15 @@ def test_families_meet_in_few_candidates():
 def test_thresholds_that_are_not_proven_raise(spark):
     with pytest.raises(ValueError, match="ratios"):
         names.alike(spark.createDataFrame([("a", "b")], "id string, name string"), 0.5)
+
+
+def test_aliases_met_in_blocks(spark, monkeypatch):
+    """One alias of many, entities of several aliases and names, and no shuffle of the pairs but for those."""
+    rows = [(f"a{i}", f"n{i}", ["Many", "x"] if i % 3 else ["many"]) for i in range(30)] + [(f"b{i}", "MANY", None) for i in range(20)] + [("b1", "X", ["n3"]), ("b1", "many", []), ("a7", "many", ["n3", "N3"])]
+    e = spark.createDataFrame(rows, "id string, name string, aliases array<string>")
+    want = {(p, q) for p, _, al in rows for q, n, _ in rows for x in al or [] if x.lower() == n.lower() and p != q}
+    monkeypatch.setattr(match, "BLOCK", 5)
+    got = [tuple(r) for r in match.match_alias(KnowledgeSet(e, None)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = match.match_alias(KnowledgeSet(e, None))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert plan[0].startswith("Union") and plan[1].startswith(":- Project [a#")  # the most of the pairs is not aggregated
