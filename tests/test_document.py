@@ -59,3 +59,14 @@ def test_a_broken_document_raises(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"a": [{"b": 1}, {"c": ')
     with pytest.raises(ValueError, match="close"):
         read_document(spark, str(tmp_path / "d.json"), 8)
+
+
+def test_a_task_reads_many_small_ranges(spark, tmp_path):
+    doc = {"a": [{"id": f"{i} {{", "x": "y" * 40} for i in range(2000)], "b": []}
+    path = str(tmp_path / "d.json")
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    at = document.states(spark, path, 1000)
+    read = spark.read.format("json_elements").option("path", path).option("states", json.dumps(at))
+    spark.dataSource.register(document.JsonElements)
+    assert len(at) > 100 and read.load().rdd.getNumPartitions() < 5
+    assert [json.loads(r.raw) for r in read_document(spark, path, 1000)[1].orderBy("place").collect()] == doc["a"]
