@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from weftgraph.sources import document
+from weftgraph.sources import document, files
 from weftgraph.sources.document import File, _Range, elements, read_document, summary
 
 
@@ -70,3 +70,11 @@ def test_a_task_reads_many_small_ranges(spark, tmp_path):
     spark.dataSource.register(document.JsonElements)
     assert len(at) > 100 and read.load().rdd.getNumPartitions() < 5
     assert [json.loads(r.raw) for r in read_document(spark, path, 1000)[1].orderBy("place").collect()] == doc["a"]
+
+
+def test_an_export_is_written_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "COPY", 3)
+    rows = spark.range(7).repartition(3).selectExpr("to_json(named_struct('id', id, 'text', ',\n    ')) as raw")
+    files.write_export(spark, {"n": 1}, {"a": rows, "none": rows.limit(0), "b": rows.where("id = 3")}, str(tmp_path / "e.json"))
+    got = json.loads((tmp_path / "e.json").read_text())
+    assert got["n"] == 1 and got["none"] == [] and [x["id"] for x in got["b"]] == [3] and sorted(x["id"] for x in got["a"]) == list(range(7))
